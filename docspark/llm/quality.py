@@ -26,6 +26,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docspark.llm._common import fresh, materialize
 
@@ -61,7 +62,7 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-@F.arrow_udf("struct<" + ",".join(f"{x}:double" for x in STATS) + ">")
+@F.arrow_udf(StructType([StructField(x, DoubleType()) for x in STATS]))
 def stats_udf(text: pa.Array) -> pa.Array:
     rows = np.array([statistics(t or b"") for t in text.to_pylist()], float).reshape(-1, len(STATS))
     return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATS))], names=STATS)
@@ -113,7 +114,7 @@ class RuleEnsemble:
 
 def fit(labelled: DataFrame, trees: int = 10, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> RuleEnsemble:
     """``labelled``: the statistics as columns, and label (0 or 1)."""
-    data = VectorAssembler(inputCols=STATS, outputCol="x").transform(labelled).select("x", F.col("label").cast("double").alias("label"), *STATS).cache()
+    data = VectorAssembler(inputCols=STATS, outputCol="x").transform(labelled).select("x", F.col("label").cast("double").alias("label"), *STATS).repartition(6).cache()
     n, ones = data.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         rate = min(0.99, max(0.01, ones / n)) if n else 0.5
