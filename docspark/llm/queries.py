@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontaminate, mixing, pii, quality, simhash
+from docspark.llm import chat, decontaminate, jpeg, mixing, pii, quality, simhash, suffix_dedup
 from docspark.llm._common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op3(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontamination, op6_mixing, op7_simhash, op9_quality, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_jpeg_media, op3_chat_format, op4_decontamination, op6_mixing, op7_simhash, op9_quality, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
