@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -363,7 +364,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _groups(batches: Iterator[pa.RecordBatch]):
     """Ids and values of rows that together have about GROUP_MCUS units."""
     for b in batches:
-        size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False) // UNIT + 1
+        size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False) // UNIT + 1
         lot = np.cumsum(size) // GROUP_MCUS
         cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
