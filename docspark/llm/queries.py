@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import chat, decontaminate, jpeg, mixing, pii, quality, simhash, suffix_dedup
+from docspark.llm import chat, decontaminate, html_extract, jpeg, mixing, pii, quality, secrets, simhash, suffix_dedup
 from docspark.llm._common import table
 
 
@@ -26,6 +26,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op6(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_jpeg_media, op3_chat_format, op4_decontamination, op6_mixing, op7_simhash, op9_quality, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_jpeg_media, op3_chat_format, op4_decontamination, op5_secrets, op6_mixing, op7_simhash, op8_html_extract, op9_quality, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
