@@ -11,7 +11,8 @@ one pair):
    name in the 307 positions from them remain; all others are settled.
 2. Long ties. The remaining starts lie mostly inside long repeats, where whole runs of suffixes are
    tied. Starts are put into cells: cut points are chosen by the content of 16 bytes, and all starts
-   whose 400 bytes hold the same cut points form a cell. A cell has two names: of its core (from the
+   whose 400 bytes hold the same cut points form a cell (with denser cut points, where the 400 bytes
+   hold none, as in texts with a short period). A cell has two names: of its core (from the
    first cut point to the last, which each of its strings contains) and of its span (all that its
    strings cover). Cells with equal spans are tied throughout and rank together, without a look at
    single suffixes. A cell whose core is alone has no repeats at all. Only where one core has several
@@ -20,13 +21,14 @@ one pair):
 3. Those starts, and the few without a cut point, are named by their full 400 bytes, and sorted in
    buckets as in 1.
 
-Documents travel in blocks of about ``BLOCK_BYTES``, compressed, dealt once and checkpointed so that
-each round finds them in place; rounds exchange packed arrays of names, one row for a block and a
+Documents travel in blocks of about ``BLOCK_BYTES``, compressed and checkpointed, and are shuffled
+once for all rounds; rounds exchange packed arrays of names, one row for a block and a
 bucket, and get back one or two bits a name. Every name comes once from each block at most, so
 passages with any number of copies cost a bucket one entry a block. Memory holds one block, or one
 bucket, whose number grows with the data.
 
-Names have 64 bits, where they settle a repeat 128 (spans and full strings).
+Names of cover positions have 48 bits besides their bucket's (a chance match only costs time), names
+that settle a repeat, of spans and full strings, 96.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than LENGTH likewise.
 Repeated rows are copies of each other, and go whole if they have LENGTH bytes or more. Extra
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm._common import materialize, n_shuffle
 
-LENGTH, ORDER, GRAM, CUT = 400, 17, 16, 64
+LENGTH, ORDER, GRAM, CUTS = 400, 17, 16, (64, 16)
 PERIOD = ORDER * ORDER + ORDER + 1
 NAMED = LENGTH - PERIOD + 1
 BLOCK_BYTES, BUCKET_TEXT = 2 << 20, 1 << 27
@@ -151,11 +153,19 @@ class Text:
         x = (total[b - 7] - total[a]) * inverse[a]
         return _mix(x, (b - a).astype(np.uint64))
 
-    def cells(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def cells(self, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """Cells of the starts: first and last start, first and last cut point; and starts without a cut."""
         h16 = _double(_words(self.buf), 8)
-        cut = np.flatnonzero(_mix(h16, h16) >> U(40) & U(CUT - 1) == 0)
-        cut = cut[cut + GRAM <= self.end[self.doc[cut]]] if len(cut) else cut
+        h = _mix(h16, h16)
+        found = []
+        for k, density in enumerate(CUTS):
+            cut = np.flatnonzero((h >> U(40 - 16 * k)) & U(density - 1) == 0)
+            cut = cut[cut + GRAM <= self.end[self.doc[cut]]]
+            *cells, starts = self._cells_by(cut, starts)
+            found.append(cells)
+        return (*(np.concatenate(x) for x in zip(*found, strict=True)), starts)
+
+    def _cells_by(self, cut: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         f = np.searchsorted(cut, starts)
         z = np.searchsorted(cut, starts + LENGTH - GRAM, "right") - 1
         bare = starts[f > z]
@@ -172,25 +182,23 @@ class Text:
         return lo, hi, first, last, bare
 
 
-def _by_bucket(names: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, indexes of its names); names are sorted, and stay so in their bucket."""
-    b = (names % U(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    cuts = np.flatnonzero(np.diff(b[order])) + 1
-    return [(int(b[x[0]]), x) for x in np.split(order, cuts) if len(x)]
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, indexes of its rows, in order)."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[x[0]]), x) for x in np.split(order, cuts) if len(x)]
 
 
-def _unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows in order, the row of each input row, and how often each occurs."""
+def _kinds(*columns: np.ndarray) -> np.ndarray:
+    """For each row: 0 if an equal one comes before it, 2 if one comes after it only, else 1."""
     order = np.lexsort(columns[::-1])
-    rows = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows])
-    number = np.cumsum(new) - 1
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = number
-    return [c[new] for c in rows], inverse, np.bincount(number, minlength=int(new.sum()))
+    out = np.ones(len(order), np.uint8)
+    if len(order) > 1:
+        equal = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+        head = np.concatenate([[False], equal])
+        out[order[:-1][equal & ~head[:-1]]] = 2
+        out[order[head]] = 0
+    return out
 
 
 def _bits(x: np.ndarray) -> bytes:
@@ -202,122 +210,142 @@ def _unbits(data: bytes, n: int) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Non-negative numbers, each array in the smallest type that holds it."""
     import zstandard
 
-    head = np.array([len(arrays), *(len(x) for x in arrays)], np.int64)
-    return zstandard.ZstdCompressor(1).compress(b"".join([head.tobytes(), *(x.astype(np.int32).tobytes() for x in arrays)]))
+    small = [x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)) for x in arrays]
+    head = np.array([v for x in small for v in (x.itemsize, len(x))], np.int64)
+    return zstandard.ZstdCompressor(1).compress(b"".join([bytes([len(small)]), head.tobytes(), *(x.tobytes() for x in small)]))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes, at, out = np.frombuffer(raw, np.int64, n, 8), 8 + 8 * n, []
-    for size in sizes.tolist():
-        out.append(np.frombuffer(raw, np.int32, size, at).astype(np.int64))
-        at += 4 * size
+    head, at, out = np.frombuffer(raw, np.int64, 2 * raw[0], 1).reshape(-1, 2), 1 + 16 * raw[0], []
+    for width, size in head.tolist():
+        out.append(np.frombuffer(raw, f"u{width}", size, at).astype(np.int64))
+        at += width * size
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences."""
+    return np.diff(x, prepend=0)
+
+
+NAME = np.dtype([("low", "<u4"), ("high", "<u2")])
+SPAN = np.dtype([("core", "<u8"), ("span", "<u8"), ("more", "<u4")])
+STRING = np.dtype([("span", "<u8"), ("more", "<u4")])
+
+
 class Rounds:
-    """What a block sends and does in each round. ``buckets``: number of suffix buckets."""
+    """What a block sends and does in each round. ``buckets``: number of suffix buckets.
+
+    A block sends each distinct name once, in the order of its first occurrence, and keeps the
+    names' buckets; the replies have a bit or two for each, in the same order. Later occurrences
+    within the block are repeats without any reply.
+    """
 
     def __init__(self, buckets: int):
         self.buckets = buckets
 
-    def names(self, text: Text) -> list[tuple[int, bytes]]:
-        (names,), _, _ = _unique(text.cover()[1])
-        return [(b, names[x].tobytes()) for b, x in _by_bucket(names, self.buckets)]
+    def _send(self, rows: np.ndarray, bucket: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(b, rows[x].tobytes()) for b, x in _by_bucket(bucket)]
 
-    def _flags(self, names: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(names), bool)
-        for b, x in _by_bucket(names, self.buckets):
-            out[x] = _unbits(replies[b], len(x))
-        return out
+    def _reply(self, bucket: np.ndarray, replies: dict[int, bytes], n_bits: int = 1) -> list[np.ndarray]:
+        out = np.zeros((n_bits, len(bucket)), bool)
+        for b, x in _by_bucket(bucket):
+            out[:, x] = _unbits(replies[b], n_bits * len(x)).reshape(n_bits, -1)
+        return list(out)
+
+    def _bucket(self, names: np.ndarray) -> np.ndarray:
+        return (names % U(self.buckets)).astype(np.int64)
+
+    def names(self, text: Text) -> list[tuple[int, bytes]]:
+        names = np.unique(text.cover()[1])
+        rows = np.empty(len(names), NAME)
+        rows["low"], rows["high"] = names >> U(16) & U(0xFFFFFFFF), names >> U(48)
+        return self._send(rows, self._bucket(names))
 
     def spans(self, text: Text, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
         p, names = text.cover()
-        (distinct,), inverse, count = _unique(names)
-        p = p[(self._flags(distinct, replies) | (count > 1))[inverse]]
-        lo, hi, first, last, bare = text.cells(text.zone(p))
-        one, two = text.sums() if len(lo) else (None, None)
-        if not len(lo):
-            return [(-1, _pack(lo, hi, lo, lo, bare))] if len(bare) else []
-        core = text.string_hash(one, first, last + GRAM)
-        span1 = _mix(text.string_hash(one, lo, hi + LENGTH), (first - lo).astype(np.uint64))
-        span2 = text.string_hash(two, lo, hi + LENGTH)
-        rows, inverse, count = _unique(core, span1, span2)
-        table = np.stack(rows, 1)
-        sent = [(b, table[x].tobytes()) for b, x in _by_bucket(rows[0], self.buckets)]
-        # The cells' number within each bucket is found again from their order and their core's bucket.
-        bucket = (rows[0] % U(self.buckets)).astype(np.int64)
-        return [*sent, (-1, _pack(lo, hi, inverse, bucket, bare, count > 1))]
+        distinct, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
+        (again,) = self._reply(self._bucket(distinct), replies)
+        lo, hi, first, last, bare = text.cells(text.zone(p[(again | (count > 1))[inverse]]))
+        if not len(lo) and not len(bare):
+            return []
+        rows = np.empty(len(lo), SPAN)
+        if len(lo):
+            one, two = text.sums()
+            rows["core"] = text.string_hash(one, first, last + GRAM)
+            rows["span"] = _mix(text.string_hash(one, lo, hi + LENGTH), (first - lo).astype(np.uint64))
+            rows["more"] = text.string_hash(two, lo, hi + LENGTH) >> U(32)
+        kind = _kinds(rows["core"], rows["span"], rows["more"])
+        bucket = self._bucket(rows["core"][kind > 0])
+        order = np.argsort(lo, kind="stable")  # packs best; the first of equal cells stays known by its kind
+        place = np.cumsum(kind > 0) - 1
+        state = _pack(_steps(lo[order]), (hi - lo)[order], kind[order], place[order][kind[order] > 0], bucket, _steps(bare))
+        return [*self._send(rows[kind > 0], bucket), (-1, state)]
 
     def strings(self, text: Text, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
         if -1 not in replies:
             return []
-        lo, hi, inverse, bucket, bare, *more = _unpack(replies[-1])
-        again, single = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
-        if len(lo):
-            again |= more[0].astype(bool)
-            order = np.argsort(bucket, kind="stable")
-            for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                both = _unbits(replies[int(bucket[x[0]])], 2 * len(x))
-                again[x] |= both[: len(x)]
-                single[x] = both[len(x) :]
-        again, single = (x[inverse] for x in (again, single)) if len(lo) else (again, single)
+        lo, size, kind, place, bucket, bare = _unpack(replies[-1])
+        lo, bare = np.cumsum(lo), np.cumsum(bare)
+        hi = lo + size
+        reply = self._reply(bucket, replies, 2)
+        again, single = kind != 1, np.zeros(len(kind), bool)
+        again[kind > 0] |= reply[0][place]
+        single[kind > 0] = reply[1][place]
         starts = np.union1d(text._ranges(lo[single], hi[single]), bare) if single.any() else bare
-        state = [lo[again], hi[again], starts]
-        if not len(starts):
-            return [(-1, _pack(*state, starts, starts, starts))]
-        h64 = _double(_double(_double(_words(text.buf), 8), 16), 32)
-        name = h64[starts]
-        for k in (64, 128, 192, 256, 320, LENGTH - 64):
-            name = _mix(name, h64[starts + k])
-        rows, inverse, count = _unique(name, text.string_hash(text.sums()[1], starts, starts + LENGTH))
-        table = np.stack(rows, 1)
-        bucket = (rows[0] % U(self.buckets)).astype(np.int64)
-        return [*((b, table[x].tobytes()) for b, x in _by_bucket(rows[0], self.buckets)), (-1, _pack(*state, inverse, bucket, count > 1))]
+        state = [_steps(lo[again]), size[again], _steps(starts)]
+        rows = np.empty(len(starts), STRING)
+        if len(starts):
+            h64 = _double(_double(_double(_words(text.buf), 8), 16), 32)
+            name = h64[starts]
+            for k in (64, 128, 192, 256, 320, LENGTH - 64):
+                name = _mix(name, h64[starts + k])
+            rows["span"], rows["more"] = name, text.string_hash(text.sums()[1], starts, starts + LENGTH) >> U(32)
+        kind = _kinds(rows["span"], rows["more"])
+        bucket = self._bucket(rows["span"][kind > 0])
+        return [*self._send(rows[kind > 0], bucket), (-1, _pack(*state, kind, bucket))]
 
     def removed(self, text: Text, replies: dict[int, bytes]) -> np.ndarray:
         """Mask of the bytes that go."""
         gone = np.zeros(len(text.buf), bool)
         if -1 not in replies:
             return gone
-        lo, hi, starts, inverse, bucket, repeated = _unpack(replies[-1])
-        again = repeated.astype(bool)
-        if len(bucket):
-            order = np.argsort(bucket, kind="stable")
-            for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                again[x] |= _unbits(replies[int(bucket[x[0]])], len(x))
-            starts = starts[again[inverse]]
-        gone[text._ranges(np.concatenate([lo, starts]), np.concatenate([hi, starts]) + LENGTH - 1)] = True
+        lo, size, starts, kind, bucket = _unpack(replies[-1])
+        lo, starts, again = np.cumsum(lo), np.cumsum(starts), kind != 1
+        again[kind > 0] |= self._reply(bucket, replies)[0]
+        starts = starts[again]
+        gone[text._ranges(np.concatenate([lo, starts]), np.concatenate([lo + size, starts]) + LENGTH - 1)] = True
         return gone
 
 
-def _sorted_bucket(width: int):
-    """One bucket: sorts the rows of ``width`` names that blocks sent; returns each block's bits."""
+def _sorted_bucket(kind: np.dtype):
+    """One bucket: sorts the names that blocks sent; returns each block's bits, in its order."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             return table.select(["block", "bucket", "data"])
         blocks, data = table.column("block").to_numpy(), table.column("data").to_pylist()
-        sizes = [len(d) // (8 * width) for d in data]
-        rows = np.frombuffer(b"".join(data), np.uint64).reshape(-1, width)
+        sizes = [len(d) // kind.itemsize for d in data]
+        rows = np.frombuffer(b"".join(data), kind)
         owner = np.repeat(np.argsort(np.argsort(blocks)), sizes)
-        order = np.lexsort([owner, *(rows[:, k] for k in range(width - 1, -1, -1))])
-        r = rows[order]
-        new = np.ones(len(r) + 1, bool)
-        new[1:-1] = (r[1:] != r[:-1]).any(1)
-        again = np.zeros(len(r), bool)
+        columns = [rows[name] for name in kind.names]
+        order = np.lexsort([owner, *columns[::-1]])
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+        again = np.zeros(len(rows), bool)
         again[order] = ~(new[:-1] & new[1:])
         flags = [again]
-        if width == 3:  # cores with several spans: one block of each span compares its starts
-            core = np.concatenate([[True], r[1:, 0] != r[:-1, 0]])
-            group = np.cumsum(core) - 1
+        if kind is SPAN:  # cores with several spans: one block of each span compares its starts
+            core = columns[0][order]
+            group = np.cumsum(np.concatenate([[True], core[1:] != core[:-1]])) - 1
             several = np.bincount(group, weights=new[:-1]) > 1
-            single = np.zeros(len(r), bool)
+            single = np.zeros(len(rows), bool)
             single[order] = new[:-1] & several[group]
             flags.append(single)
         ends = np.cumsum(sizes)
@@ -330,29 +358,33 @@ def _sorted_bucket(width: int):
 BLOCK = "block long, ids binary, nulls binary, lengths binary, payload binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of about BLOCK_BYTES of whole documents."""
-    import zstandard
-    from pyspark import TaskContext
+def _blocks(block_bytes: int):
+    """Rows of about ``block_bytes`` of whole documents."""
 
-    number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(1)
-    ids, texts, size = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
 
-    def row() -> pa.RecordBatch:
-        columns = [[number], [np.array([i or 0 for i in ids], np.int64).tobytes()], [np.array([i is None for i in ids]).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [pack.compress(b"".join(texts))]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "ids", "nulls", "lengths", "payload"])
+        number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(1)
+        ids, texts, size = [], [], 0
 
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            t = t.as_py() or b""
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= BLOCK_BYTES or len(ids) >= 100_000:
-                yield row()
-                number, ids, texts, size = number + 1, [], [], 0
-    if ids:
-        yield row()
+        def row() -> pa.RecordBatch:
+            columns = [[number], [np.array([i or 0 for i in ids], np.int64).tobytes()], [np.array([i is None for i in ids]).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [pack.compress(b"".join(texts))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "ids", "nulls", "lengths", "payload"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = t.as_py() or b""
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= block_bytes or len(ids) >= 100_000:
+                    yield row()
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield row()
+
+    return run
 
 
 def _text(lengths: bytes, payload: bytes) -> Text:
@@ -365,11 +397,11 @@ def _replies(cell) -> dict[int, bytes]:
     return {r["bucket"]: r["data"] for r in cell or ()}
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row: what stays of its bytes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = materialize(rows.mapInArrow(_blocks, BLOCK).repartition(n_shuffle(spark), "block"))
+    blocks = materialize(rows.mapInArrow(_blocks(block_bytes), BLOCK))
     total = blocks.agg(F.sum(F.length("payload"))).first()[0] or 0
     rounds = Rounds(max(2 * n_shuffle(spark), 3 * total // BUCKET_TEXT))
 
@@ -377,8 +409,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    block, lengths, payload = (b.column(k)[i].as_py() for k in (0, 1, 2))
-                    args = [_replies(b.column(3)[i].as_py())] if b.num_columns > 3 else []
+                    block, lengths, payload = (b.column(k)[i].as_py() for k in (0, 3, 4))
+                    args = [_replies(b.column(5)[i].as_py())] if b.num_columns > 5 else []
                     # A block's own record goes through the shuffle on its own.
                     sent = [(x if x >= 0 else -1 - block, d) for x, d in step(_text(lengths, payload), *args)]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(sent), pa.int64()), pa.array([x for x, _ in sent], pa.int64()), pa.array([d for _, d in sent], pa.binary())], names=["block", "bucket", "data"])
@@ -387,19 +419,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = "block long, bucket long, data binary"
 
-    def with_replies(found: DataFrame, *columns: str) -> DataFrame:
+    def with_replies(found: DataFrame) -> DataFrame:
+        """All columns of the blocks each time, so that Spark shuffles them once and reuses that."""
         own = F.struct(F.greatest("bucket", F.lit(-1)).alias("bucket"), "data")
         by_block = found.groupBy("block").agg(F.collect_list(own).alias("replies"))
-        return blocks.join(by_block.hint("shuffle_hash"), "block", "left").select(*columns, "replies")
+        return blocks.join(by_block.hint("shuffle_hash"), "block", "left").select(*blocks.columns, "replies")
 
-    found = blocks.select("block", "lengths", "payload").mapInArrow(send(rounds.names), schema).groupBy("bucket").applyInArrow(_sorted_bucket(1), schema)
-    found = with_replies(found, "block", "lengths", "payload").mapInArrow(send(rounds.spans), schema).groupBy("bucket").applyInArrow(_sorted_bucket(3), schema)
-    found = with_replies(found, "block", "lengths", "payload").mapInArrow(send(rounds.strings), schema).groupBy("bucket").applyInArrow(_sorted_bucket(2), schema)
+    found = blocks.mapInArrow(send(rounds.names), schema).groupBy("bucket").applyInArrow(_sorted_bucket(NAME), schema)
+    found = with_replies(found).mapInArrow(send(rounds.spans), schema).groupBy("bucket").applyInArrow(_sorted_bucket(SPAN), schema)
+    found = with_replies(found).mapInArrow(send(rounds.strings), schema).groupBy("bucket").applyInArrow(_sorted_bucket(STRING), schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids, nulls, lengths, payload, replies = (b.column(k)[i].as_py() for k in range(5))
+                ids, nulls, lengths, payload, replies = (b.column(k)[i].as_py() for k in range(1, 6))
                 text = _text(lengths, payload)
                 gone = rounds.removed(text, _replies(replies))
                 ids = np.frombuffer(ids, np.int64)
@@ -414,8 +447,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     own = pa.array(ids[lo : lo + 512], mask=np.frombuffer(nulls, bool)[lo : lo + 512])
                     yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_replies(found, "ids", "nulls", "lengths", "payload").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_replies(found).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def op1(docs: DataFrame) -> DataFrame:
-    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def op1(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return suffix_dedup(docs, block_bytes=block_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
