@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from docspark.llm._common import fresh, materialize, n_shuffle
 
-#: 1: the token counts; 0: any token. Of eight or fewer kept tokens each.
-MASKS = ("111101111", "11011011011", "1110010111", "1010110101011")
+#: 1: the token counts; 0: any token. The first needs five tokens in a row; the others pass over single
+#: and regularly repeated substitutions.
+MASKS = ("11111", "1101011", "111101111", "11011011011")
 MIN_TOKENS, SIMILARITY, WINDOW, SHIFT = 5, 0.8, 50, 3
 BITS = 26
 SEGMENT = 16

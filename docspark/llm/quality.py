@@ -113,8 +113,10 @@ class RuleEnsemble:
 
 
 def fit(labelled: DataFrame, trees: int = 10, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> RuleEnsemble:
-    """``labelled``: the statistics as columns, and label (0 or 1)."""
-    data = VectorAssembler(inputCols=STATS, outputCol="x").transform(labelled).select("x", F.col("label").cast("double").alias("label"), *STATS).repartition(6).cache()
+    """``labelled``: lid, the statistics as columns, and label (0 or 1). Equal rows give equal models,
+    whatever their order: they are dealt and sorted by lid first."""
+    labelled = labelled.repartition(6, "lid").sortWithinPartitions("lid", *STATS)
+    data = VectorAssembler(inputCols=STATS, outputCol="x").transform(labelled).select("x", F.col("label").cast("double").alias("label"), *STATS).cache()
     n, ones = data.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         rate = min(0.99, max(0.01, ones / n)) if n else 0.5
@@ -136,7 +138,7 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     own = own.groupBy("lid").agg(F.min("label").alias("label"))
     fraction = min(1.0, max_labelled / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(fraction * 1_000_000))
-    return stats.join(own, stats["id"] == own["lid"]).select(*STATS, "label")
+    return stats.join(own, stats["id"] == own["lid"]).select("lid", *STATS, "label")
 
 
 def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
