@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import pages
+from docspark.plans import pages, workflow
 
-MODULES = [pages]
+MODULES = [pages, workflow]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
