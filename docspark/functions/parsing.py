@@ -65,11 +65,14 @@ def parse_boolean(c: Column) -> Column:
 
 
 def normalize_address(c: Column) -> Column:
-    out = strip(c)
-    for short, full in ADDRESS:
-        at = F.instr(F.lower(out), short)
-        out = F.when(at > 0, F.concat(F.substring(out, F.lit(1), at - 1), F.lit(full), F.substring(out, at + len(short), F.length(out)))).otherwise(out)
-    return out
+    rules = F.array(*(F.struct(F.lit(short).alias("short"), F.lit(full).alias("full")) for short, full in ADDRESS))
+
+    def replace_first(text: Column, rule: Column) -> Column:
+        at = F.call_function("locate", rule.short, F.lower(text))
+        tail = F.substring(text, at + F.length(rule.short), F.length(text))
+        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), rule.full, tail)).otherwise(text)
+
+    return F.aggregate(rules, strip(c), replace_first)
 
 
 def _digits(c: Column) -> Column:
@@ -116,16 +119,21 @@ def score_band(c: Column) -> Column:
     return F.when(c >= 90, "good").when(c >= 50, "fair").otherwise("poor")
 
 
+def _masked(stars: str, plain: Column, n: int) -> Column:
+    """The last n characters behind the stars; stars only for shorter values."""
+    return F.when(F.length(plain) >= n, F.concat(F.lit(stars), F.right(plain, F.lit(n)))).otherwise(stars + "*" * n)
+
+
 def mask_value(c: Column, kind: Column) -> Column:
     """What a viewer without the right to personal data sees."""
     plain = F.regexp_replace(c, "[- ]", "")
-    last = F.when(F.length(plain) >= 4, F.right(plain, F.lit(4))).otherwise("****")
-    return F.when(kind == "ssn", F.concat(F.lit("***-**-"), last)).when(kind == "tax_id", F.concat(F.lit("**-***"), last)).when(kind == "dob", F.lit("****-**-**")).otherwise("**REDACTED**")
+    return F.when(kind == "ssn", _masked("***-**-", plain, 4)).when(kind == "tax_id", _masked("**-***", plain, 4)).when(kind == "dob", F.lit("****-**-**")).otherwise("**REDACTED**")
 
 
 def redact_value(c: Column, kind: Column) -> Column:
-    """The form for logs: digits only; a birth date keeps its year."""
+    """The form for logs: a birth date keeps its year, a government id its end."""
     d = _digits(c)
-    last = F.when(F.length(d) >= 4, F.right(d, F.lit(4))).otherwise("****")
-    year = F.nullif(F.regexp_extract(c, r"(\d{4})", 1), F.lit(""))
-    return F.when(kind == "ssn", F.concat(F.lit("***-**-"), last)).when(kind == "tax_id", F.concat(F.lit("**-***"), last)).when(kind == "dob", F.concat(F.coalesce(year, F.lit("****")), F.lit("-**-**"))).when(kind == "government_id", F.concat(F.lit("***"), last)).otherwise("[REDACTED]")
+    year = F.nullif(F.regexp_extract(c, r"((?:19|20)\d{2})", 1), F.lit(""))
+    born = F.when(year.isNotNull(), F.concat(F.lit("****-**-** ("), year, F.lit(")"))).otherwise("****-**-**")
+    number = F.when(F.length(c) >= 4, F.concat(F.lit("****"), F.right(c, F.lit(4)))).otherwise("****")
+    return F.when(kind == "ssn", _masked("***-**-", d, 4)).when(kind == "tax_id", _masked("**-***", d, 4)).when(kind == "dob", born).when(kind == "government_id", number).otherwise("[REDACTED]")

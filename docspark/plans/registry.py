@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import pages, workflow
+from docspark.plans import pages, records, workflow
 
-MODULES = [pages, workflow]
+MODULES = [pages, workflow, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
