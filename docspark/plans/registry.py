@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import pages, records, workflow
+from docspark.plans import pages, records, sources, workflow
 
-MODULES = [pages, workflow, records]
+MODULES = [pages, workflow, records, sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
