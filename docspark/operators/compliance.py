@@ -100,9 +100,9 @@ OBLIGATIONS = ["must", "shall", "required", "at least", "at most", "no later tha
 
 def extract_requirements(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
     """(doc_id, seq, text, category, criticality, confidence_threshold, status) of sentences that oblige."""
-    pattern = r"(?i)(^|[^\p{L}])(" + "|".join(words or OBLIGATIONS) + r")([^\p{L}]|$)"
+    pattern = r"(^|[^\p{L}])(" + "|".join(words or OBLIGATIONS) + r")([^\p{L}]|$)"
     rows = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("seq", "s")).select("doc_id", "seq", strip(F.col("s")).alias("text"))
-    return rows.where(F.col("text").rlike(pattern)).select("doc_id", "seq", "text", F.lit("General").alias("category"), F.lit("should-have").alias("criticality"), F.lit(0.8).alias("confidence_threshold"), F.lit("active").alias("status"))
+    return rows.where(F.lower("text").rlike(pattern)).select("doc_id", "seq", "text", F.lit("General").alias("category"), F.lit("should-have").alias("criticality"), F.lit(0.8).alias("confidence_threshold"), F.lit("active").alias("status"))
 
 
 def append_requirements(baselines: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_DEPTH = 6
+MAX_DEPTH = 8
 
 
 def heading_entries(pages: DataFrame) -> DataFrame:
@@ -59,19 +59,16 @@ def node_ids(nodes: DataFrame) -> DataFrame:
 
 
 def tree_end_pages(nodes: DataFrame, totals: DataFrame) -> DataFrame:
-    """(…, end_index): before the next sibling's start, for the last sibling the parent's end. Level by level."""
-    sibling = Window.partitionBy("doc_id", "parent").orderBy("seq")
-    rows = nodes.withColumn("next", F.lead("start_index").over(sibling)).join(totals, "doc_id")
-    level = {}
-    # A node's level in the tree; parents are settled before their children.
-    settled = None
-    frontier = rows.where("parent is null").withColumn("end_index", F.greatest("start_index", F.coalesce(F.col("next") - 1, F.col("total_pages"))))
-    for k in range(MAX_DEPTH + 1):
-        level[k] = frontier
-        settled = frontier if settled is None else settled.unionByName(frontier)
-        parents = frontier.select("doc_id", F.col("seq").alias("parent"), F.col("end_index").alias("parent_end"))
-        frontier = rows.join(parents, ["doc_id", "parent"]).withColumn("end_index", F.greatest("start_index", F.coalesce(F.col("next") - 1, F.col("parent_end")))).drop("parent_end").select(*settled.columns)
-    return settled.select("doc_id", "seq", "parent", "depth", "title", "start_index", "end_index")
+    """(…, end_index): before the next sibling's start, for the last sibling the parent's end.
+
+    In preorder that is the page before the first later node of no greater depth, which follows the
+    node's whole subtree, so one pass of windows settles all levels.
+    """
+    after = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    by_depth = [F.min(F.when(F.col("depth") == k, F.col("start_index"))).over(after) for k in range(MAX_DEPTH)]
+    following = F.array_min(F.array(*(F.when(F.col("depth") >= k, x) for k, x in enumerate(by_depth))))
+    end = F.greatest("start_index", F.coalesce(following - 1, F.col("total_pages")))
+    return nodes.join(totals, "doc_id").select("doc_id", "seq", "parent", "depth", "title", "start_index", end.alias("end_index"))
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:

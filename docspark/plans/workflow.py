@@ -266,7 +266,7 @@ SQL = {
     "verdict_cube": f"""WITH {VERDICTS} SELECT baseline_id, category, criticality, count(*) AS verdicts, count(*) FILTER (verdict = 'PASS') AS passed, grouping(baseline_id, category, criticality)::INT AS level,
       CASE WHEN count(*) FILTER (verdict <> 'NOT_APPLICABLE') > 0 THEN round(count(*) FILTER (verdict = 'PASS') / (count(*) FILTER (verdict <> 'NOT_APPLICABLE'))::DOUBLE, 6) END AS pass_rate FROM vd GROUP BY CUBE (baseline_id, category, criticality)""",
     "extract_requirements": r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS l FROM documents), e AS (SELECT doc_id, i::INT - 1 AS seq, regexp_replace(regexp_replace(l[i], '^\s+', ''), '\s+$', '') AS t FROM s, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u)
-      SELECT doc_id, seq, md5(t) AS text_md5, 'General' AS category, 'should-have' AS criticality FROM e WHERE regexp_matches(t, '(^|[^\p{L}])(that|not|für|sur)([^\p{L}]|$)', 'i')""",
+      SELECT doc_id, seq, md5(t) AS text_md5, 'General' AS category, 'should-have' AS criticality FROM e WHERE regexp_matches(lower(t), '(^|[^\p{L}])(that|not|für|sur)([^\p{L}]|$)')""",
     "append_requirements": f"""WITH {VERDICTS}, n AS (SELECT supp, category, requirement_id || '-' || seq AS t, 'src' || doc_id % 3 AS src FROM vd WHERE seq % 7 = 0),
       a AS (SELECT supp, string_agg(t, ',' ORDER BY t, category) AS t, string_agg(DISTINCT src, ',' ORDER BY src) AS src FROM n GROUP BY 1), c AS (SELECT s_suppkey AS supp, 'General' AS category FROM supplier UNION SELECT s_suppkey, 'c1' FROM supplier UNION SELECT supp, category FROM n)
       SELECT s_suppkey AS baseline_id, (SELECT string_agg(category, ',' ORDER BY category) FROM c WHERE c.supp = s_suppkey) AS categories, concat_ws(',', s_name, t) AS requirements, coalesce(src, '') AS sources FROM supplier LEFT JOIN a ON a.supp = s_suppkey""",
