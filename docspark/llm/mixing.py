@@ -83,7 +83,7 @@ def _edf() -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """``docs`` with ``mix_block`` (number of the row's block in its source) and ``mix_slot`` (when it runs)."""
-    src, n, c, q, slots, group, rank, first, own, groups = fresh(docs, "src", "n", "c", "period", "slots", "group", "rank", "first", "own", "groups")
+    src, n, c, q, slots, group, rank, first, own, groups, a, b = fresh(docs, "src", "n", "c", "period", "slots", "group", "rank", "first", "own", "groups", "a", "b")
     source = F.col(source_col)
     sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n"))
     plan = targets(sizes, weights, period).toDF(src, n, c, q, slots).withColumn(groups, F.ceil(F.col(n) / F.lit(block_rows * GROUP_BLOCKS)))
@@ -93,10 +93,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     # Each group's first block: the blocks of the groups before it. One row a group.
     counts = keyed.groupBy(src, group).agg(F.count("*").alias(own))
     before = F.sum(F.ceil(F.col(own) / block_rows)).over(Window.partitionBy(src).orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(src).alias("a"), F.col(group).alias("b"), F.coalesce(before, F.lit(0)).alias(first))
-    starts = starts.join(plan.select(F.col(src).alias("p"), c, q, slots), F.col("a").eqNullSafe(F.col("p"))).select("a", "b", first, c, q, slots)
+    starts = counts.select(F.col(src).alias(a), F.col(group).alias(b), F.coalesce(before, F.lit(0)).alias(first))
+    starts = starts.join(plan.select(src, c, q, slots), F.col(a).eqNullSafe(F.col(src))).select(a, b, first, c, q, slots)
     ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(src, group).orderBy(F.col(id_col))))
-    placed = ranked.join(starts.toDF("__a", "__b", first, c, q, slots), F.col(src).eqNullSafe(F.col("__a")) & (F.col(group) == F.col("__b")))
+    placed = ranked.join(starts, F.col(src).eqNullSafe(F.col(a)) & (F.col(group) == F.col(b)))
     block = F.col(first) + F.floor((F.col(rank) - 1) / block_rows)
     slot = F.floor(block / F.col(c)) * F.col(q) + F.get(F.col(slots), F.pmod(block, F.col(c)).cast("int"))
     return placed.select(*(docs[f"`{x}`"] for x in docs.columns if x.lower() not in ("mix_block", "mix_slot")), block.cast("long").alias("mix_block"), slot.cast("long").alias("mix_slot"))
