@@ -10,9 +10,9 @@ digests, of files.
 Training. No table holds findings, so labelled findings are generated by rule with their labels:
 random keys of many lengths and alphabets behind usual names, and look-alikes (digests, commit ids,
 paths, version strings, placeholders, joined words, counters). The dictionary and the transitions
-come from all documents' words: counts of words by groupBy, of which the ``DICTIONARY`` most
-frequent are kept (a top-k of the statistics, not of the rows scanned), so their size is bounded
-before they are sent around.
+come from all documents' words: counts of words by groupBy, of which at most ``DICTIONARY``, the
+most frequent, are kept (a cut of the statistics, not of the rows scanned), so their size is
+bounded before they are sent around.
 
 Defined cases: null and empty texts have no findings. A candidate that overlaps none and repeats
 gives a row each time. Rows with null ids are scanned and reported with it. Repeated rows report
@@ -35,6 +35,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm._common import materialize
+
 DICTIONARY, FINDINGS, CONTEXT = 20_000, 4000, 40
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@=-])(?=[^\s\"']{0,199}?\d)(?=[^\s\"']{0,199}?[A-Za-z])[A-Za-z0-9+/_.=-]{12,200}(?![A-Za-z0-9+/_@-])")
 ASSIGNED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?\b\s{0,3}(?::|=>?|:=)\s{0,3}([\"'])([^\"'\s]{8,200})\1")
@@ -120,7 +122,10 @@ def labelled_findings(words: list[str], n: int = FINDINGS, seed: int = 11) -> li
 
 
 def dictionary(docs: DataFrame, text_col: str, size: int = DICTIONARY) -> dict[str, int]:
-    """The most frequent words of 4 to 14 letters in all documents, with their counts; ties by word."""
+    """The most frequent words of 4 to 14 letters in all documents, at most ``size``, with their counts.
+
+    Words of about the same count are in or out together, so which words are kept does not hang on ties.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter = Counter()
@@ -133,7 +138,16 @@ def dictionary(docs: DataFrame, text_col: str, size: int = DICTIONARY) -> dict[s
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["w", "n"])
 
     rows = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r.w: r.n for r in rows.orderBy(F.desc("n"), "w").limit(size).collect()}
+    words = materialize(rows)
+    # A histogram of the counts gives the count from which on the words are few enough to be sent.
+    level = F.floor(F.log2("n") * 16)
+    kept, least = 0, None
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
+        kept += r["count"]
+        if kept > size:
+            break
+        least = r["level"]
+    return {} if least is None else {r.w: r.n for r in words.where(level >= least).collect()}
 
 
 def fit_forest(spark, words: dict[str, int], trees: int = 30, depth: int = 8):
