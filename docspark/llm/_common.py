@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(x.lower())
         out.append(x)
     return out
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, checkpointed and counted; marked for broadcast only up to ``most_rows`` rows."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most_rows else df

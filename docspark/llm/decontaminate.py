@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm._common import fresh, materialize, n_shuffle
+from docspark.llm._common import broadcast_if_small, fresh, materialize, n_shuffle
 
 #: 1: the token counts; 0: any token. The first needs five tokens in a row; the others pass over single
 #: and regularly repeated substitutions.
@@ -209,4 +209,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **args) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     (gone,) = fresh(docs, "gone")
     found = contaminated(docs, benchmark, **args).select(F.col("doc_id").alias(gone)).distinct()
+    found = broadcast_if_small(found, BROADCAST_ROWS)
     return docs.join(found, F.col(args.get("id_col", "doc_id")).cast("long") == F.col(gone), "left_anti")

@@ -38,7 +38,7 @@ def _group(id_col: Column, n: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
-    """(source, n, c, period, slots): each source's slots within the period, in rising order.
+    """(number, source, n, c, period, slots): each source's slots within the period, in rising order.
 
     ``sizes`` has source and n. c is 1 and the source's part of the other slots by its weight, the
     rest dealt by largest remainder, ties by source.
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights: dict[str, float] | None = None, period: i
     one = one.withColumn("pattern", _edf())
     by = one.select("q", "pattern", F.posexplode(F.arrays_zip("s", "c")).alias("i", "x"))
     slots = F.filter(F.transform("pattern", lambda p, t: F.when(p == F.col("i"), t.cast("long"))), lambda t: t.isNotNull())
-    return by.select("x.s.source", "x.s.n", "x.c", F.col("q").alias("period"), slots.alias("slots"))
+    return by.select(F.col("i").alias("number"), "x.s.source", "x.s.n", "x.c", F.col("q").alias("period"), slots.alias("slots"))
 
 
 def _edf() -> Column:
@@ -83,20 +83,20 @@ def _edf() -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """``docs`` with ``mix_block`` (number of the row's block in its source) and ``mix_slot`` (when it runs)."""
-    src, n, c, q, slots, group, rank, first, own, groups, a, b = fresh(docs, "src", "n", "c", "period", "slots", "group", "rank", "first", "own", "groups", "a", "b")
+    num, src, n, c, q, slots, group, rank, first, own, groups = fresh(docs, "num", "src", "n", "c", "period", "slots", "group", "rank", "first", "own", "groups")
     source = F.col(source_col)
     sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n"))
-    plan = targets(sizes, weights, period).toDF(src, n, c, q, slots).withColumn(groups, F.ceil(F.col(n) / F.lit(block_rows * GROUP_BLOCKS)))
+    plan = targets(sizes, weights, period).toDF(num, src, n, c, q, slots).withColumn(groups, F.ceil(F.col(n) / F.lit(block_rows * GROUP_BLOCKS)))
     bounded = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     near = F.broadcast if bounded else (lambda x: x)
-    keyed = docs.join(near(plan.select(F.col(src), F.col(groups))), source.eqNullSafe(F.col(src))).withColumn(group, _group(F.col(id_col), F.col(groups)))
-    # Each group's first block: the blocks of the groups before it. One row a group.
-    counts = keyed.groupBy(src, group).agg(F.count("*").alias(own))
-    before = F.sum(F.ceil(F.col(own) / block_rows)).over(Window.partitionBy(src).orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(src).alias(a), F.col(group).alias(b), F.coalesce(before, F.lit(0)).alias(first))
-    starts = starts.join(plan.select(src, c, q, slots), F.col(a).eqNullSafe(F.col(src))).select(a, b, first, c, q, slots)
-    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(src, group).orderBy(F.col(id_col))))
-    placed = ranked.join(starts, F.col(src).eqNullSafe(F.col(a)) & (F.col(group) == F.col(b)))
+    keyed = docs.join(near(plan.select(num, src, groups)), source.eqNullSafe(F.col(src))).withColumn(group, _group(F.col(id_col), F.col(groups)))
+    # Each group's first block: the blocks of the groups before it. One row a group. The source's number
+    # is never null, so that numbering rows and joining their group's start share one shuffle.
+    counts = keyed.groupBy(num, group).agg(F.count("*").alias(own))
+    before = F.sum(F.ceil(F.col(own) / block_rows)).over(Window.partitionBy(num).orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(num, group, F.coalesce(before, F.lit(0)).alias(first)).join(plan.select(num, c, q, slots), num)
+    ranked = keyed.drop(src, groups).withColumn(rank, F.row_number().over(Window.partitionBy(num, group).orderBy(F.col(id_col))))
+    placed = ranked.join(starts, [num, group])
     block = F.col(first) + F.floor((F.col(rank) - 1) / block_rows)
     slot = F.floor(block / F.col(c)) * F.col(q) + F.get(F.col(slots), F.pmod(block, F.col(c)).cast("int"))
     return placed.select(*(docs[f"`{x}`"] for x in docs.columns if x.lower() not in ("mix_block", "mix_slot")), block.cast("long").alias("mix_block"), slot.cast("long").alias("mix_slot"))

@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm._common import fresh, materialize
+from docspark.llm._common import broadcast_if_small, fresh, materialize
 
 MAX_BITS = 2
 N_BLOCKS = 5
+#: Ids that go are broadcast up to this number (8 bytes each), and joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
 #: Buckets up to this size are compared pair by pair in numpy; larger ones by probing.
 PAIRWISE = 2048
 
@@ -221,6 +223,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (gone,) = fresh(docs, "gone")
     found = simhash_components(docs, id_col, text_col)
     removed = found.where("component <> id").select(F.col("id").alias(gone)).distinct()
+    removed = broadcast_if_small(removed, BROADCAST_ROWS)
     kept = docs.join(removed, F.col(id_col).cast("long") == F.col(gone), "left_anti")
     repeats = found.where("id is not null").groupBy("id").count().where("count > 1")
     if repeats.isEmpty():
