@@ -36,6 +36,7 @@ from docspark.llm._common import broadcast_if_small, fresh, materialize, n_shuff
 MASKS = ("11111", "1101011", "111101111", "11011011011")
 MIN_TOKENS, SIMILARITY, WINDOW, SHIFT = 5, 0.8, 50, 3
 BITS = 26
+LOT = 64
 SEGMENT = 16
 BROADCAST_ROWS = 500_000
 WORD = re.compile(r"\w+")
@@ -127,28 +128,33 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, bitmap, masks: list[tuple
         low = np.uint64((1 << BITS) - 1)
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens = token_hashes(text, memo)
-                at, seed = [], []
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for first in range(0, len(ids), LOT):  # the documents of a lot are hashed as one row of tokens
+                each = [token_hashes(t, memo) for t in texts[first : first + LOT]]
+                ends = np.cumsum([len(t) for t in each])
+                joined, at, seed = np.concatenate(each), [], []
                 for k, mask in masks:
-                    keys = seed_keys(tokens, mask, k)
+                    keys = seed_keys(joined, mask, k)
                     i = keys & low
                     hit = np.flatnonzero(bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8) & 1)
+                    hit = hit[hit + len(mask) <= ends[np.searchsorted(ends, hit, "right")]] if len(hit) else hit
                     at.append(hit)
                     seed.append(keys[hit])
                 at, seed = np.concatenate(at), np.concatenate(seed)
-                if not len(at):
-                    continue
                 order = np.argsort(at, kind="stable")
                 at, seed = at[order], seed[order]
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > margin) + 1):
+                owner = np.searchsorted(ends, at, "right")
+                cuts = np.flatnonzero((np.diff(at) > margin) | (np.diff(owner) > 0)) + 1
+                for part in np.split(np.arange(len(at)), cuts) if len(at) else ():
                     number += 1
-                    lo, hi = max(0, int(at[part[0]]) - margin), int(at[part[-1]]) + margin
+                    doc = owner[part[0]]
+                    tokens, start = each[doc], int(ends[doc]) - len(each[doc])
+                    lo, hi = max(0, int(at[part[0]]) - start - margin), int(at[part[-1]]) - start + margin
                     m = len(part)
                     out[0] += [number] * (m + 1)
-                    out[1] += [doc_id] * (m + 1)
+                    out[1] += [ids[first + doc]] * (m + 1)
                     out[2] += [*seed[part].view(np.int64).tolist(), None]
-                    out[3] += [*(at[part] - lo).tolist(), None]
+                    out[3] += [*(at[part] - start - lo).tolist(), None]
                     out[4] += [None] * m + [tokens[lo:hi].tobytes()]
                     out[5] += [None] * m + [len(tokens[lo:hi])]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["run", "doc_id", "seed", "at", "tokens", "n"])
