@@ -123,11 +123,11 @@ def _llm(tokens_in: Column, tokens_out: Column, price: tuple[float, float]) -> C
 def document_cost(usage: DataFrame) -> DataFrame:
     """(document_id, costs, total): of tokens by step, pages, transitions and compute.
 
-    ``usage`` has for each of router, normalizer, pageindex, compliance its _in and _out tokens, and pages, is_credit, memory_mb, duration_ms.
+    ``usage`` has for each of router, normalizer, outline, compliance its _in and _out tokens, and pages, is_credit, memory_mb, duration_ms.
     """
     c = F.col
     compliance = _llm(c("compliance_in") * 0.3, c("compliance_out") * 0.3, HAIKU) + _llm(c("compliance_in") * 0.7, c("compliance_out") * 0.7, SONNET)
-    steps = {s: _llm(c(f"{s}_in"), c(f"{s}_out"), HAIKU) for s in ("router", "normalizer", "pageindex")} | {"compliance": compliance, "pages": c("pages") * PAGE}
+    steps = {s: _llm(c(f"{s}_in"), c(f"{s}_out"), HAIKU) for s in ("router", "normalizer", "outline")} | {"compliance": compliance, "pages": c("pages") * PAGE}
     steps["transitions"] = F.when(c("is_credit"), 15).otherwise(10) * F.lit(TRANSITION)
     steps["compute"] = (6 + c("pages")) * F.lit(INVOCATION) + c("memory_mb") / 1024 * (c("duration_ms") / 1000) * F.lit(GB_SECOND)
     total = sum(list(steps.values())[1:], list(steps.values())[0])

@@ -203,7 +203,7 @@ def plugin_versions(spark, sf):
 
 def document_cost(spark, sf):
     q = F.col("l_quantity").cast("int")
-    u = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(*(F.sum(q * k).cast("double").alias(n) for n, k in (("router_in", 100), ("router_out", 10), ("normalizer_in", 300), ("normalizer_out", 50), ("pageindex_in", 200), ("pageindex_out", 20), ("compliance_in", 500), ("compliance_out", 70))), F.count("*").alias("pages"), (F.max("l_linenumber") > 5).alias("is_credit"), F.lit(1024).alias("memory_mb"), F.lit(30000).alias("duration_ms"))
+    u = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(*(F.sum(q * k).cast("double").alias(n) for n, k in (("router_in", 100), ("router_out", 10), ("normalizer_in", 300), ("normalizer_out", 50), ("outline_in", 200), ("outline_out", 20), ("compliance_in", 500), ("compliance_out", 70))), F.count("*").alias("pages"), (F.max("l_linenumber") > 5).alias("is_credit"), F.lit(1024).alias("memory_mb"), F.lit(30000).alias("duration_ms"))
     return W.document_cost(u)
 
 
@@ -304,10 +304,10 @@ SQL = {
       QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC) = 1""",
     "plugin_versions": "SELECT 'p' || p_partkey % 17 AS plugin_id, 'v' || max(p_size) AS newest, 'v' || max(p_size) + 1 AS next_version, 'v' || max(p_size) FILTER (p_size % 2 = 0) AS publishable FROM part GROUP BY 1",
     "document_cost": """WITH u AS (SELECT l_orderkey AS document_id, sum(l_quantity::INT)::DOUBLE AS q, count(*) AS pages, max(l_linenumber) > 5 AS cr FROM lineitem GROUP BY 1),
-      c AS (SELECT document_id, q * 0.1::DOUBLE * 0.001::DOUBLE + q * 0.01::DOUBLE * 0.005::DOUBLE AS router, q * 0.3::DOUBLE * 0.001::DOUBLE + q * 0.05::DOUBLE * 0.005::DOUBLE AS normalizer, q * 0.2::DOUBLE * 0.001::DOUBLE + q * 0.02::DOUBLE * 0.005::DOUBLE AS pageindex,
+      c AS (SELECT document_id, q * 0.1::DOUBLE * 0.001::DOUBLE + q * 0.01::DOUBLE * 0.005::DOUBLE AS router, q * 0.3::DOUBLE * 0.001::DOUBLE + q * 0.05::DOUBLE * 0.005::DOUBLE AS normalizer, q * 0.2::DOUBLE * 0.001::DOUBLE + q * 0.02::DOUBLE * 0.005::DOUBLE AS outline,
         q * 0.5::DOUBLE * (0.3::DOUBLE * 0.001::DOUBLE + 0.7::DOUBLE * 0.003::DOUBLE) + q * 0.07::DOUBLE * (0.3::DOUBLE * 0.005::DOUBLE + 0.7::DOUBLE * 0.015::DOUBLE) AS compliance, pages * 0.02::DOUBLE AS pages_, CASE WHEN cr THEN 15 ELSE 10 END * 0.000025::DOUBLE AS trans, (6 + pages) * 0.0000002::DOUBLE + 30 * 0.0000166667::DOUBLE AS compute FROM u)
-      SELECT document_id, round(router, 6) AS router_cost, round(normalizer, 6) AS normalizer_cost, round(pageindex, 6) AS pageindex_cost, round(compliance, 6) AS compliance_cost, round(pages_, 6) AS pages_cost, round(trans, 6) AS transitions_cost, round(compute, 6) AS compute_cost,
-        round(router + normalizer + pageindex + compliance + pages_ + trans + compute, 4) AS total_cost FROM c""",
+      SELECT document_id, round(router, 6) AS router_cost, round(normalizer, 6) AS normalizer_cost, round(outline, 6) AS outline_cost, round(compliance, 6) AS compliance_cost, round(pages_, 6) AS pages_cost, round(trans, 6) AS transitions_cost, round(compute, 6) AS compute_cost,
+        round(router + normalizer + outline + compliance + pages_ + trans + compute, 4) AS total_cost FROM c""",
     "processing_time": f"""WITH {EVENTS}, s AS (SELECT document_id, greatest(0.0::DOUBLE, least(3600.0::DOUBLE, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6)) AS s FROM ev WHERE event_id % 50 = 0 GROUP BY 1)
       SELECT document_id, round(s, 3) AS seconds, round(s * 0.3::DOUBLE, 3) AS router_seconds, round(s * 0.25::DOUBLE, 3) AS extractor_seconds, round(s * 0.15::DOUBLE, 3) AS normalizer_seconds, round(s * 0.3::DOUBLE, 3) AS compliance_seconds FROM s""",
     "cost_rollup": f"WITH {DOCS} SELECT document_type, strftime(created_at, '%Y-%m') AS month, grouping(document_type, strftime(created_at, '%Y-%m'))::INT AS level, count(*) AS documents, round(sum(cost), 2) AS cost, round(sum(cost) / count(*), 4) AS cost_per_document FROM docs GROUP BY ROLLUP (document_type, strftime(created_at, '%Y-%m'))",
