@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Prices in dollars (1,000 tokens in and out; a page; a transition; an invocation; a GB second).
-HAIKU, SONNET, PAGE = (0.001, 0.005), (0.003, 0.015), 0.02
+SMALL_MODEL, LARGE_MODEL, PAGE = (0.001, 0.005), (0.003, 0.015), 0.02
 TRANSITION, INVOCATION, GB_SECOND = 0.000025, 0.0000002, 0.0000166667
 
 
@@ -126,8 +126,8 @@ def document_cost(usage: DataFrame) -> DataFrame:
     ``usage`` has for each of router, normalizer, outline, compliance its _in and _out tokens, and pages, is_credit, memory_mb, duration_ms.
     """
     c = F.col
-    compliance = _llm(c("compliance_in") * 0.3, c("compliance_out") * 0.3, HAIKU) + _llm(c("compliance_in") * 0.7, c("compliance_out") * 0.7, SONNET)
-    steps = {s: _llm(c(f"{s}_in"), c(f"{s}_out"), HAIKU) for s in ("router", "normalizer", "outline")} | {"compliance": compliance, "pages": c("pages") * PAGE}
+    compliance = _llm(c("compliance_in") * 0.3, c("compliance_out") * 0.3, SMALL_MODEL) + _llm(c("compliance_in") * 0.7, c("compliance_out") * 0.7, LARGE_MODEL)
+    steps = {s: _llm(c(f"{s}_in"), c(f"{s}_out"), SMALL_MODEL) for s in ("router", "normalizer", "outline")} | {"compliance": compliance, "pages": c("pages") * PAGE}
     steps["transitions"] = F.when(c("is_credit"), 15).otherwise(10) * F.lit(TRANSITION)
     steps["compute"] = (6 + c("pages")) * F.lit(INVOCATION) + c("memory_mb") / 1024 * (c("duration_ms") / 1000) * F.lit(GB_SECOND)
     total = sum(list(steps.values())[1:], list(steps.values())[0])
