@@ -1,8 +1,9 @@
 """Secret scans: candidates by shape, a random forest that removes false positives.
 
-A candidate is a run of 12 to 200 key characters with letters and digits mixed (or any quoted value
-of 8 or more assigned to a name such as password or token). Its features: length, entropy, letter
-case and digit shares, how usual its character transitions are (against transitions of the corpus'
+A candidate is a run of 12 or more key characters with letters and digits mixed, and with "=" only as
+padding at its end, or any quoted value of 8 or more assigned to a name such as password or token (the
+name may be quoted, and part of an identifier: client_secret, AWS_SECRET, accessToken). Neither has
+an upper length, and both are found in one pass over the text. Its features: length, entropy, letter case and digit shares, how usual its character transitions are (against transitions of the corpus'
 own words), how much of it dictionary words cover (words of the corpus), marks of paths, addresses,
 checksums and placeholders in it or before it, and the words on its left: names of secrets, of
 digests, of files.
@@ -38,8 +39,12 @@ from pyspark.sql import functions as F
 from docspark.llm._common import materialize
 
 DICTIONARY, FINDINGS, CONTEXT = 20_000, 4000, 40
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@=-])(?=[^\s\"']{0,199}?\d)(?=[^\s\"']{0,199}?[A-Za-z])[A-Za-z0-9+/_.=-]{12,200}(?![A-Za-z0-9+/_@-])")
-ASSIGNED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?\b\s{0,3}(?::|=>?|:=)\s{0,3}([\"'])([^\"'\s]{8,200})\1")
+#: Each possessive part starts at the edge of a run only, so that no character is read more than a few times.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.-]*+\d)(?=[0-9+/_.-]*+[A-Za-z])[A-Za-z0-9+/_.-]{12,}+(?:={1,2}+(?![A-Za-z0-9+/_.@=-]))?+(?!@)")
+ASSIGNED = re.compile(r"(?::=|=>?|:)\s{0,3}(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)')")
+#: What may stand between an identifier and its separator, and the names in identifiers that tell of secrets.
+GAP = re.compile(r"[\"']?\s{0,3}$")
+NAME = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credential|(?<![a-z])(?:auth|pass))(?:s|[_-]?key)?(?![a-z])")
 #: Words that name secrets, digests, files and placeholders.
 SECRET_WORDS = re.compile(r"(?i)token|secret|passw|passphrase|pwd|api.?key|access.?key|auth|credential|bearer|private|signature")
 DIGEST_WORDS = re.compile(r"(?i)sha\d*|md5|checksum|digest|commit|revision|hash|etag|integrity|uuid|guid|build|version")
@@ -77,14 +82,27 @@ def features(value: str, before: str, after: str, words: frozenset[str], transit
     ]
 
 
+def _named(text: str, at: int) -> bool:
+    """Whether the identifier before the separator at ``at`` names a secret."""
+    end = max(0, at - 4) + GAP.search(text[max(0, at - 4) : at]).start()
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+        start -= 1
+    return bool(NAME.search(re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text[start:end]).lower()))
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidates, in order, none overlapping another."""
-    spans = {m.span(2) for m in ASSIGNED.finditer(text)}
+    assigned = [m.span(m.lastindex) for m in ASSIGNED.finditer(text) if _named(text, m.start())]
+    spans, k = list(assigned), 0
     for m in CANDIDATE.finditer(text):
-        if not any(c.isalpha() for c in m[0]) or not any(c.isdigit() for c in m[0]):
-            continue
-        if not any(a < m.end() and m.start() < b for a, b in spans):
-            spans.add(m.span())
+        a, z = m.span()
+        if text[z - 1] == "=" and text[z : z + 1] in ('"', "'") and text[a - 1 : a] != text[z]:
+            z = a + len(m[0].rstrip("="))  # the separator of name="value"
+        while k < len(assigned) and assigned[k][1] <= a:
+            k += 1
+        if k == len(assigned) or assigned[k][0] >= z:
+            spans.append((a, z))
     return sorted(spans)
 
 

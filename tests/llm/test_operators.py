@@ -183,6 +183,26 @@ def test_secrets(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_of_any_length_and_form(spark):
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    jwt = f"eyJ{key(40)}.eyJ{key(300)}.{key(86)}"
+    forms = [
+        ('token = "{}"', "a1B2" * 60), ("{}", "eyJ" + "a1B2" * 80), ('token = "{}"', jwt), ("token: {}", jwt), ("Bearer {}", key(5000)), ('client_secret: "{}"', "hunter22"),
+        ('AWS_SECRET="{}"', "abcdefgh"), ('"password":"{}"', "hunter22"), ("'accessToken' : '{}'", "it-is\"quoted"), ("api_key={}", "AKIA" + key(16)), ("secret={}", key(42) + "=="), ('s3_secret_key_1="{}"', key(43) + "="),
+    ]
+    texts = [f"{words(6)} {form.format(value)} {words(4)}" for form, value in forms]
+    texts += ['author: "Abcdefghij"', "mail a1b2c3d4e5f6g7@example.org", 'compass: "northeast"']
+    got = secrets.find_secrets(frame(spark, texts)).collect()
+    found = {(r.doc_id, r.value): r for r in got}
+    for k, (_, value) in enumerate(forms):
+        r = found[k, value]
+        assert texts[k][r.start : r.end] == value
+    assert all(found[k, forms[k][1]].is_secret for k in (2, 3, 4, 9, 10, 11))
+    assert not any(r.doc_id >= len(forms) for r in got)
+    assert len(secrets.candidates("a1B2" * 500_000)) == 1
+
+
 def test_secret_forest_on_held_out_findings(spark):
     known = {w: 5 for w in WORDS if len(w) >= 4}
     forest = secrets.fit_forest(spark, known)
