@@ -9,13 +9,16 @@ So equal values have equal pseudonyms in all documents, different values differe
 whoever has the key can invert them.
 
 Defined cases: a null text stays null with no findings; candidates that fail their check (an octet
-over 255, an impossible date, a wrong check digit) stay as they are. Other columns, ties and repeated rows pass through.
+over 255, an impossible date, a wrong check digit) stay as they are. A card number or IBAN may stand
+beside other digits or words: each start is tried with every end at the edge of a group, and the longest
+that passes its check counts; after a failed check the search goes on right behind the start. Other columns, ties and repeated rows pass through.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from hashlib import blake2b
 
@@ -38,10 +41,13 @@ NUMBERS = re.compile(
     r"|(?P<dmy>\d{1,2}([-/.])\d{1,2}\5\d{4})(?!\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![-\d])"
     r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![ -]?\d)"
+    r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\d)"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r")"
 )
+#: The kinds with several ends, for a start whose first kind or first end fails its check.
+ENDS = {"card": re.compile(r"\d(?:[ -]?\d){12,18}"), "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")}
+LONGEST = 48
 EMAIL = re.compile(r"(?P<local>[\w%+-](?:[\w.%+-]{0,62}[\w%+-])?)@(?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
 
 
@@ -190,6 +196,18 @@ def _by_alphabet(text: str, p: Permute, tweak: str) -> str:
 VALUES: dict[str, Callable[[str, Permute], str | None]] = {"ip": _ip, "ymd": _date, "dmy": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
 
 
+def _spans(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
+    """(kind, end) to try for the start of ``m``: the kind it matched, then cards and IBANs, longest first."""
+    a = m.start()
+    if m.lastgroup not in ENDS:
+        yield m.lastgroup, m.end()
+    for kind, shape in ENDS.items():
+        if shape.match(text, a):
+            for b in range(min(len(text), a + LONGEST), a + 12, -1):
+                if text[b - 1].isalnum() and not text[b : b + 1].isalnum() and shape.fullmatch(text, a, b):
+                    yield kind, b
+
+
 def pseudonymize(text: str, key: bytes, found: list | None = None) -> str:
     """``text`` with pseudonyms; ``found`` gets (kind, start, end) of each value replaced, by the input's positions."""
 
@@ -202,15 +220,23 @@ def pseudonymize(text: str, key: bytes, found: list | None = None) -> str:
             edits.append((m.start("local"), m.end("local"), _by_alphabet(m["local"], p, "mail")))
             if found is not None:
                 found.append(("email", *m.span("local")))
-    taken = [(a, b) for a, b, _ in edits]
-    for m in NUMBERS.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in taken):
-            continue
-        new = VALUES[m.lastgroup](m[0], p)
-        if new is not None:
-            edits.append((*m.span(), new))
-            if found is not None:
-                found.append((m.lastgroup, *m.span()))
+    taken, at = [(a, b) for a, b, _ in edits], 0
+    starts = [a for a, _ in taken]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b) - 1
+        return k < 0 or taken[k][1] <= a
+
+    while m := NUMBERS.search(text, at):
+        a, at = m.start(), m.start() + 1
+        for kind, b in _spans(text, m):
+            new = VALUES[kind](text[a:b], p) if free(a, b) else None
+            if new is not None:
+                edits.append((a, b, new))
+                if found is not None:
+                    found.append((kind, a, b))
+                at = b
+                break
     out, at = [], 0
     for a, b, new in sorted(edits):
         out += [text[at:a], new]

@@ -414,6 +414,20 @@ def test_pii_values():
     assert card in again
 
 
+def test_pii_beside_other_digits_and_words(spark):
+    card, spaced, iban = "4111111111111111", "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = {
+        f"{card} 4000056655665556": 2, f"{card} 12": 1, f"{spaced} 123": 1, f"{spaced} {spaced}": 2, f"12 {card}": 1, f"{card} 123@example.org": 2, "7536784127813050 4845168114407329": 1,
+        f"{iban} ABC": 1, f"{iban} ABCD": 1, f"{iban} ABCDE": 1, f"AB12 {iban}": 1, f"{iban} {iban} X": 2, f"{card}{card}": 0, "2353820953013749": 0,
+    }
+    rows = {r.doc_id: r for r in pii.op10(frame(spark, list(texts))).collect()}
+    for k, (text, n) in enumerate(texts.items()):
+        assert rows[k].n_values >= n if n else rows[k].n_values == 0, text
+        for value in (card, spaced, iban, "4000056655665556", "7536784127813050"):
+            assert not n or value not in rows[k].text, text
+        assert len(rows[k].text) == len(text)
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 3, 10, 257, 1000):
         images = [pii.permute(x, size, b"key", "t") for x in range(size)]
