@@ -34,6 +34,9 @@ MAX_BITS = 2
 N_BLOCKS = 5
 #: Ids that go are broadcast up to this number (8 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
+#: The pipeline's stage: five-word shingles, Jaccard similarity 0.8. A pair of exactly 0.8 shares a key
+#: of 40 bands of 6 minima with probability 1 - (1 - 0.8^6)^40 = 0.999995.
+STAGE_WORDS, STAGE_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
 #: Buckets up to this size are compared pair by pair in numpy; larger ones by probing.
 PAIRWISE = 2048
 
@@ -220,8 +223,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with a null id link to others but are kept: nothing names them. Of rows that repeat an id,
     one stays.
     """
+    return _one_each(docs, simhash_components(docs, id_col, text_col), id_col)
+
+
+def _one_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the ids of ``found`` that are not the smallest of their component."""
     (gone,) = fresh(docs, "gone")
-    found = simhash_components(docs, id_col, text_col)
     removed = found.where("component <> id").select(F.col("id").alias(gone)).distinct()
     removed = broadcast_if_small(removed, BROADCAST_ROWS)
     kept = docs.join(removed, F.col(id_col).cast("long") == F.col(gone), "left_anti")
@@ -231,6 +238,98 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
 
 
+def shingles(text: bytes, n_words: int) -> np.ndarray:
+    """Distinct hashes of the windows of ``n_words`` words, sorted; words and short texts as in ``fingerprint``."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = [b" ".join(words)] if len(words) < n_words else map(b" ".join, zip(*(words[k:] for k in range(n_words)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def _node(sh: np.ndarray) -> int:
+    """The class of equal shingle sets."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(sh.tobytes(), 7))
+
+
+def _band_keys(sh: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key a band: a hash of the smallest images of the set under ``rows`` seeded permutations."""
+    rng = np.random.default_rng(5)
+    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    low = np.array([((sh ^ (sh >> np.uint64(29))) * m + b).min() for m, b in zip(odd, add, strict=True)]).reshape(bands, rows)
+    out = np.zeros(bands, np.uint64)
+    for k in range(rows):
+        out = (out ^ (low[:, k] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("sh").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("sh").alias("y")), "v")
+    return joined.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """One row per row of ``docs``: id, component (smallest id reached by links of ``similarity`` or more).
+
+    Equal shingle sets are one class. Classes that share a key are candidates. First each is compared with
+    the smallest of its bucket, which joins most of a large group by as many pairs as it has members;
+    then all pairs of a bucket that lie in different components. No bucket is cut.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t or b"", n_words) for t in b.column(1).to_pylist()]
+            keys = [_band_keys(s, bands, rows) if len(s) else [] for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t or b"", n_words) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sh"])
+
+    text = F.col(text_col).cast("binary").alias("text")
+    found = materialize(docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(keyed, "id long, node long, keys array<long>"))
+    dealt = found.select("node", F.posexplode("keys").alias("band", "key")).distinct()
+    low = dealt.groupBy("band", "key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "key", "low")
+    shared = materialize(dealt.join(low, ["band", "key"]))
+    nodes = broadcast_if_small(shared.select("node").distinct(), BROADCAST_ROWS)
+    sets = docs.select(text).mapInArrow(with_set, "node long, sh binary").join(nodes, "node", "left_semi")
+    sets = materialize(sets.groupBy("node").agg(F.first("sh").alias("sh")))
+    links = materialize(_verified(shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), sets, similarity))
+    roots = connected_components(links)
+    placed = shared.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band", "key")
+    left = materialize(placed.join(mixed, ["band", "key"]))
+    right = left.select("band", "key", F.col("node").alias("v"), F.col("root").alias("root_v"))
+    rest = left.withColumnRenamed("node", "u").join(right, ["band", "key"]).where("u < v and root <> root_v").select("u", "v").distinct()
+    roots = connected_components(links.unionByName(_verified(rest, sets, similarity)))
+    classes = found.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    least = classes.groupBy("root").agg(F.min("id").alias("component"))
+    return found.select("id", "node").join(classes.select("node", "root").join(least, "root"), "node").select("id", "component")
+
+
+def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``jaccard_components``; ids as in ``simhash_dedup``."""
+    return _one_each(docs, materialize(jaccard_components(docs, id_col, text_col)), id_col)
+
+
 def op7(docs: DataFrame) -> DataFrame:
     found = simhash_components(docs)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

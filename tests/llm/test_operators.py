@@ -328,6 +328,39 @@ def test_simhash_edges(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, -1, 5]
 
 
+def test_near_dedup_stage_equals_brute_force(spark):
+    import corpus_pipeline
+
+    texts = [None, "", "a b", "A  b", "a b c d e"]
+    for n in (60, 120, 300):
+        for _ in range(4):
+            base = words(n).split()
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 3, 5, 8):
+                t = list(base)
+                for _ in range(edits):
+                    t[RNG.randrange(n)] = RNG.choice(WORDS)
+                texts.append(" ".join(t))
+    grams = []
+    for t in texts:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if grams[i] == grams[j] or len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = frame(spark, texts)
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert len(set(root)) < len({frozenset(g) for g in grams}) - 20
+    assert corpus_pipeline.near_dedup(spark, empty(spark), "").count() == 0
+    rows = frame(spark, ["a b c d", "a b c d", "e f g h", None], [5, None, 5, None])
+    assert sorted(r.doc_id or -1 for r in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [-1, -1, 5]
+
+
 # 8
 
 PAGE = """<html><head><title>t</title><style>x</style></head><body><div id="cookie-consent"><p>We use cookies.</p></div>
