@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,33 +14,40 @@ COMMON_WORDS = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def quality_parts(text: Column) -> dict[str, Column]:
-    """The measures behind the page quality score."""
+def _measures(text: Column) -> Column:
+    """struct(n, glyph, alnum, special, found, stripped) of a text: shares but for n, found and stripped."""
     n = F.length(text)
-    low = F.lower(text)
-    glyph = F.regexp_count(text, F.lit(r"/\d+\s*/\d+")) / F.greatest(F.lit(1.0), n / 10)
-    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) / n
-    special = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", "")) / n
-    found = sum((F.contains(low, F.lit(w)).cast("int") for w in COMMON_WORDS), F.lit(0))
-    return {"glyph": glyph, "alnum": alnum, "special": special, "found": found, "word": F.least(F.lit(1.0), found / 5)}
+    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    spaces = n - F.length(F.translate(text, " \t\n\x0b\f\r", ""))
+    found = let(F.lower(text), lambda low: sum((F.contains(low, F.lit(w)).cast("int") for w in COMMON_WORDS), F.lit(0)))
+    glyphs = F.regexp_count(text, F.lit(r"/\d+\s*/\d+"))
+    raw = F.struct(n.alias("n"), glyphs.alias("glyphs"), alnum.alias("alnum"), spaces.alias("spaces"), found.alias("found"), F.length(strip(text)).alias("stripped"))
+    return let(raw, lambda m: F.struct(m.n.alias("n"), (m.glyphs / F.greatest(F.lit(1.0), m.n / 10)).alias("glyph"), (m.alnum / m.n).alias("alnum"), ((m.n - m.alnum - m.spaces) / m.n).alias("special"), m.found.alias("found"), m.stripped.alias("stripped")))
 
 
 def text_quality(text: Column) -> Column:
-    """struct(quality_score, is_readable, issues) of a page's text."""
-    text = F.coalesce(text, F.lit(""))
-    p = quality_parts(text)
-    score = (1.0 - F.least(F.lit(1.0), p["glyph"] * 10)) * 0.4 + p["alnum"] * 0.3 + p["word"] * 0.3
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    issue = lambda cond, name: F.when(cond, F.lit(name))
-    issues = F.array_compact(F.array(issue(p["glyph"] > 0.05, "glyph_indices_detected"), issue(p["alnum"] < 0.3, "low_alphanumeric_ratio"), issue(p["found"] == 0, "no_common_words"), issue(p["special"] > 0.3, "high_special_char_ratio")))
-    bad = F.struct(F.lit(0.0).alias("quality_score"), F.lit(False).alias("is_readable"), F.array(F.lit("insufficient_text")).alias("issues"))
-    good = F.struct(score.alias("quality_score"), ((score >= 0.4) & (p["glyph"] <= 0.05)).alias("is_readable"), issues.alias("issues"))
-    return F.when(F.length(strip(text)) < 10, bad).otherwise(good)
+    """struct(quality_score, is_readable, issues, has_text) of a page's text; each measure is computed once."""
+
+    def judged(m: Column) -> Column:
+        score = (1.0 - F.least(F.lit(1.0), m.glyph * 10)) * 0.4 + m.alnum * 0.3 + F.least(F.lit(1.0), m.found / 5) * 0.3
+        issue = lambda cond, name: F.when(cond, F.lit(name))
+        issues = F.array_compact(F.array(issue(m.glyph > 0.05, "glyph_indices_detected"), issue(m.alnum < 0.3, "low_alphanumeric_ratio"), issue(m.found == 0, "no_common_words"), issue(m.special > 0.3, "high_special_char_ratio")))
+        has_text = (m.stripped > 50).alias("has_text")
+        bad = F.struct(F.lit(0.0).alias("quality_score"), F.lit(False).alias("is_readable"), F.array(F.lit("insufficient_text")).alias("issues"), has_text)
+        good = let(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), lambda x: F.struct(x.alias("quality_score"), ((x >= 0.4) & (m.glyph <= 0.05)).alias("is_readable"), issues.alias("issues"), has_text))
+        return F.when(m.stripped < 10, bad).otherwise(good)
+
+    return let(_measures(F.coalesce(text, F.lit(""))), judged)
 
 
 def token_estimate(text: Column, cut: int = 3000) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Names in file names and the type that each means, in order.
 FILENAME_TYPES = [("loan agreement", "loan_agreement"), ("credit agreement", "credit_agreement"), ("bsa profile", "bsa_profile"), ("bsa", "bsa_profile"), ("loan package", "loan_package"), ("w2", "w2"), ("w-2", "w2"), ("drivers license", "drivers_license"), ("driver license", "drivers_license")]
@@ -18,12 +19,12 @@ def classify_by_filename(docs: DataFrame) -> DataFrame:
 
 
 def resolve_plugin(docs: DataFrame, plugins: DataFrame, legacy: DataFrame) -> DataFrame:
-    """By id, else as a section name, else by the legacy name as it is or in upper case. Configuration is broadcast."""
+    """By id, else as a section name, else by the legacy name as it is or in upper case. Spark broadcasts these tables by their size."""
     ids = plugins.select(F.col("plugin_id").alias("document_type"), F.col("plugin_id").alias("by_id"))
     names = plugins.select(F.explode("section_names").alias("document_type"), "plugin_id").groupBy("document_type").agg(F.min("plugin_id").alias("by_name"))
     old = legacy.select(F.col("name").alias("document_type"), F.col("plugin_id").alias("by_old"))
     up = legacy.select(F.col("name").alias("upper"), F.col("plugin_id").alias("by_upper"))
-    out = docs.join(F.broadcast(ids), "document_type", "left").join(F.broadcast(names), "document_type", "left").join(F.broadcast(old), "document_type", "left").withColumn("upper", F.upper("document_type")).join(F.broadcast(up), "upper", "left")
+    out = docs.join(ids, "document_type", "left").join(names, "document_type", "left").join(old, "document_type", "left").withColumn("upper", F.upper("document_type")).join(up, "upper", "left")
     return out.select("document_id", "document_type", F.coalesce("by_id", "by_name", "by_old", "by_upper").alias("plugin_id"))
 
 
@@ -32,10 +33,21 @@ def identified_types(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.array_join(F.sort_array(F.map_keys(F.map_filter("starts", lambda k, v: v.isNotNull()))), ",").alias("types"))
 
 
-def plugin_catalogue(sections: DataFrame) -> DataFrame:
-    """(plugin_id, keywords, section_names, needs_signatures): the first ten keywords in section order."""
-    ordered = F.sort_array(F.collect_list(F.struct("ordinal", "keywords", "section_id")))
-    return sections.groupBy("plugin_id").agg(F.array_join(F.slice(F.flatten(F.transform(ordered, lambda s: s.keywords)), 1, 10), ",").alias("keywords"), F.array_join(F.transform(ordered, lambda s: s.section_id), ",").alias("section_names"), F.bool_or("extract_signatures").alias("needs_signatures"))
+def plugin_catalogue(sections: DataFrame, most: int = 10) -> DataFrame:
+    """(plugin_id, keywords, n_sections, needs_signatures): the first keywords in section order.
+
+    Only ``most`` keywords of a plugin are ever gathered; its sections have rows of their own (``plugin_sections``).
+    """
+    words = sections.select("plugin_id", "ordinal", F.posexplode("keywords").alias("pos", "word"))
+    first = words.withColumn("r", F.row_number().over(Window.partitionBy("plugin_id").orderBy("ordinal", "pos"))).where(F.col("r") <= most)
+    keywords = first.groupBy("plugin_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "word"))), lambda x: x.word), ",").alias("keywords"))
+    facts = sections.groupBy("plugin_id").agg(F.count("*").alias("n_sections"), F.bool_or("extract_signatures").alias("needs_signatures"))
+    return facts.join(keywords, "plugin_id", "left").select("plugin_id", F.coalesce("keywords", F.lit("")).alias("keywords"), "n_sections", "needs_signatures")
+
+
+def plugin_sections(sections: DataFrame) -> DataFrame:
+    """(plugin_id, position, section_id): a row for each section of a plugin, in order."""
+    return sections.select("plugin_id", F.row_number().over(Window.partitionBy("plugin_id").orderBy("ordinal")).alias("position"), "section_id")
 
 
 def active_plugins(files: DataFrame, dynamic: DataFrame) -> DataFrame:
@@ -52,9 +64,12 @@ def plugin_fields(schemas: DataFrame) -> DataFrame:
 
 
 def wizard_config(fields: DataFrame, most_keywords: int = 20, most_pages: int = 50) -> DataFrame:
-    """One section for a flat field list: its keywords, pages and queries."""
-    rows = fields.groupBy("plugin_id").agg(F.slice(F.sort_array(F.collect_set(F.lower("label"))), 1, most_keywords).alias("k"), F.least(F.lit(most_pages), F.max("pages")).alias("max_pages"), F.count("*").alias("queries"))
-    return rows.select("plugin_id", F.array_join("k", ",").alias("keywords"), "max_pages", "queries")
+    """One section for a flat field list: its first keywords in order, pages and queries."""
+    labels = fields.select("plugin_id", F.lower("label").alias("k")).distinct()
+    first = labels.withColumn("r", F.row_number().over(Window.partitionBy("plugin_id").orderBy("k"))).where(F.col("r") <= most_keywords)
+    keywords = first.groupBy("plugin_id").agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("keywords"))
+    facts = fields.groupBy("plugin_id").agg(F.least(F.lit(most_pages), F.max("pages")).alias("max_pages"), F.count("*").alias("queries"))
+    return facts.join(keywords, "plugin_id").select("plugin_id", "keywords", "max_pages", "queries")
 
 
 def label_kind(name: Column, value: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions.text import strip
+from docspark.operators.shared import broadcast_if_small
 
 
 def select_baselines(docs: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -26,27 +29,42 @@ def requirement_batches(requirements: DataFrame, n: int = 10) -> DataFrame:
     return requirements.select("baseline_id", F.posexplode("requirement_ids").alias("pos", "requirement_id")).withColumn("batch", F.floor(F.col("pos") / n).cast("int"))
 
 
-def candidate_pages(requirements: DataFrame, pages: DataFrame) -> DataFrame:
-    """(requirement_id, doc_id, page_number, found): pages that hold any of a requirement's terms.
+def _term_hits(requirements: DataFrame, pages: DataFrame) -> DataFrame:
+    """(requirement_id, doc_id, page_number, term) of each page and each of a requirement's terms that it holds.
 
-    Terms meet pages by an equi-join on words, so neither side is paired with the other as a whole.
+    Terms meet pages by an equi-join on words. The terms are broadcast if they are few, so words that are no
+    terms go before any shuffle and a common word is no hot key; else the join is shuffled.
     """
-    terms = requirements.select("requirement_id", F.explode(F.array_distinct("terms")).alias("term"))
+    terms = requirements.select("requirement_id", F.explode(F.array_distinct("terms")).alias("term")).distinct()
     words = pages.select("doc_id", "page_number", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    return words.join(terms, "term").groupBy("requirement_id", "doc_id", "page_number").agg(F.count("*").cast("int").alias("found"))
+    return words.join(broadcast_if_small(terms), "term")
+
+
+def candidate_pages(requirements: DataFrame, pages: DataFrame) -> DataFrame:
+    """(requirement_id, doc_id, page_number, found): pages that hold any of a requirement's terms."""
+    return _term_hits(requirements, pages).groupBy("requirement_id", "doc_id", "page_number").agg(F.count("*").cast("int").alias("found"))
+
 
+def keyword_evaluator(rows: DataFrame) -> DataFrame:
+    """Verdicts by the share of terms found anywhere in the document: all is PASS, some PARTIAL, none NOT_FOUND."""
+    found = F.coalesce("found", F.lit(0))
+    verdict = F.when(found == 0, "NOT_FOUND").when(found == F.col("n_terms"), "PASS").otherwise("PARTIAL")
+    return rows.withColumns({"verdict": verdict, "confidence": F.when(found > 0, found / F.col("n_terms")).otherwise(0.0)})
 
-def evaluate_requirements(requirements: DataFrame, pages: DataFrame) -> DataFrame:
-    """The default evaluator: verdict by the share of terms found anywhere in the document.
 
-    All found is PASS, some PARTIAL, none NOT_FOUND (no row is dropped: documents x requirements of
-    the documents that hold a term; others are NOT_FOUND by absence).
+def evaluate_requirements(chosen: DataFrame, requirements: DataFrame, pages: DataFrame, evaluator: Callable[[DataFrame], DataFrame] = keyword_evaluator) -> DataFrame:
+    """(doc_id, requirement_id, verdict, confidence, first_page, page_references): a row for every requirement of
+    every baseline chosen for a document, whatever is found.
+
+    ``chosen`` has doc_id, baseline_id; ``requirements`` has baseline_id, requirement_id, terms. ``evaluator``
+    adds verdict and confidence to rows of doc_id, requirement_id, n_terms, found, first_page and
+    page_references; one that asks a model may do so in ``mapInPandas``.
     """
-    terms = requirements.select("requirement_id", F.explode(F.array_distinct("terms")).alias("term"))
-    total = terms.groupBy("requirement_id").agg(F.count("*").alias("n_terms"))
-    words = pages.select("doc_id", "page_number", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    hits = words.join(terms, "term").groupBy("requirement_id", "doc_id").agg(F.countDistinct("term").alias("found"), F.min("page_number").alias("first_page"))
-    return hits.join(total, "requirement_id").select("requirement_id", "doc_id", F.when(F.col("found") == F.col("n_terms"), "PASS").otherwise("PARTIAL").alias("verdict"), (F.col("found") / F.col("n_terms")).alias("confidence"), "first_page")
+    wanted = requirements.select("baseline_id", "requirement_id", F.size(F.array_distinct("terms")).alias("n_terms"))
+    pairs = chosen.join(wanted, "baseline_id").select("doc_id", "requirement_id", "n_terms").distinct()
+    hits = _term_hits(requirements, pages).groupBy("requirement_id", "doc_id").agg(F.countDistinct("term").alias("found"), F.min("page_number").alias("first_page"), F.sort_array(F.collect_set("page_number")).alias("page_references"))
+    rows = pairs.join(hits, ["doc_id", "requirement_id"], "left")
+    return evaluator(rows).select("doc_id", "requirement_id", "verdict", "confidence", "first_page", "page_references")
 
 
 def report_scores(verdicts: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def map_columns(tables: DataFrame, rules: DataFrame) -> DataFrame:
     """(table_id, role, position): each header cell takes the first rule whose substring it holds; of a
     role's columns the last counts. ``tables`` has header; rules (ordinal, part, role) are configuration."""
     cells = tables.select("table_id", F.posexplode("header").alias("position", "cell"))
-    named = cells.join(F.broadcast(rules), F.contains(F.lower("cell"), F.col("part"))).groupBy("table_id", "position").agg(F.min_by("role", "ordinal").alias("role"))
+    named = cells.join(rules, F.contains(F.lower("cell"), F.col("part"))).groupBy("table_id", "position").agg(F.min_by("role", "ordinal").alias("role"))
     return named.groupBy("table_id", "role").agg(F.max("position").alias("position"))
 
 
@@ -33,14 +33,30 @@ def rebuild_rows(rows: DataFrame, roles: DataFrame, current: DataFrame) -> DataF
     return parsed.join(enough, "table_id", "left_semi")
 
 
+def rebuild_tiers(rows: DataFrame, roles: DataFrame, current: DataFrame) -> DataFrame:
+    """(table_id, row_no, level, term_spread, base_spread, fee_rate) of pricing tables with more rows than the
+    current list of tiers has; other tables keep their list and give no row.
+
+    Roles are level, term, base and fee (see ``map_columns``); spreads and fees are read as percentages. A row
+    without any of the four is left out. ``current`` has table_id and n.
+    """
+    names = {"level": "level", "term": "term_spread", "base": "base_spread", "fee": "fee_rate"}
+    wide = roles.groupBy("table_id").agg(*(F.max(F.when(F.col("role") == r, F.col("position"))).alias(f"at_{r}") for r in names))
+    enough = rows.groupBy("table_id").agg(F.count("*").alias("k")).join(current, "table_id", "left").where(F.col("k") > F.coalesce("n", F.lit(0))).select("table_id")
+    cell = lambda r: F.get("cells", F.col(f"at_{r}"))
+    out = rows.join(enough, "table_id", "left_semi").join(wide, "table_id")
+    out = out.select("table_id", "row_no", F.trim(cell("level")).alias("level"), *(V.normal_percentage(cell(r)).alias(a) for r, a in names.items() if r != "level"))
+    return out.where(F.coalesce("level", *(F.col(a).cast("string") for a in names.values())).isNotNull())
+
+
 def first_table(extractions: DataFrame) -> DataFrame:
     """(doc_id, section_id, table_id): the first table of a section's first extraction that has one."""
     return extractions.where("table_id is not null").groupBy("doc_id", "section_id").agg(F.min_by("table_id", F.struct("seq", "idx")).alias("table_id"))
 
 
 def unwrap_payload(rows: DataFrame) -> DataFrame:
-    """The loan data of a payload, else all of it but its bookkeeping, as JSON."""
-    rest = F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, v: ~k.isin("validation", "audit", "signatures"))
+    """The loan data of a payload, else all of it but its bookkeeping, as JSON; nested values stay as they are."""
+    rest = F.map_filter(F.from_json("payload", "map<string,variant>"), lambda k, v: ~k.isin("validation", "audit", "signatures"))
     return rows.select("doc_id", F.coalesce(F.get_json_object("payload", "$.loanData"), F.to_json(rest)).alias("data"))
 
 
@@ -111,9 +127,11 @@ def _touches(kind, name: str) -> bool:
 
 
 def schema_subset(defs: DataFrame, required: bool | None = None, pii: bool | None = None) -> DataFrame:
-    """Names of a schema's fields in order, all or those required or private."""
+    """(schema_id, position, field_id): a schema's fields in order, all or those required or private; a row each."""
+    from pyspark.sql.window import Window
+
     rows = defs
     for column, want in (("required", required), ("pii", pii)):
         if want is not None:
             rows = rows.where(F.col(column) == want)
-    return rows.groupBy("schema_id").agg(F.array_join(F.sort_array(F.collect_list("field_id")), ",").alias("fields"))
+    return rows.select("schema_id", F.row_number().over(Window.partitionBy("schema_id").orderBy("field_id")).alias("position"), "field_id")

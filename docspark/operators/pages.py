@@ -10,11 +10,14 @@ from docspark.functions import text as T
 
 
 def paginate(docs: DataFrame, chars: int = 1500) -> DataFrame:
-    """(doc_id, page_number, total_pages, text): one row for each slice of ``chars``; an empty text is one page."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / chars)).cast("int")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", n.alias("total_pages"))
-    rows = rows.select("doc_id", "text", "total_pages", F.explode(F.sequence(F.lit(1), "total_pages")).alias("page_number"))
-    return rows.select("doc_id", "page_number", "total_pages", F.substring("text", (F.col("page_number") - 1) * chars + 1, F.lit(chars)).alias("text"))
+    """(doc_id, page_number, total_pages, text): one row for each slice of ``chars``; an empty text is one page.
+
+    A text is cut in one pass, so a long one costs no more a page than a short one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    cut = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0)))
+    rows = docs.select("doc_id", cut.alias("cut")).select("doc_id", F.size("cut").alias("total_pages"), F.posexplode("cut").alias("pos", "text"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("page_number"), "total_pages", "text")
 
 
 def page_snippets(pages: DataFrame, n: int = 1500) -> DataFrame:
@@ -22,8 +25,9 @@ def page_snippets(pages: DataFrame, n: int = 1500) -> DataFrame:
 
 
 def page_quality(pages: DataFrame) -> DataFrame:
+    """``pages`` with quality_score, is_readable, issues and has_text."""
     q = pages.select("doc_id", "page_number", "total_pages", "text", T.text_quality(F.col("text")).alias("q"))
-    return q.select("doc_id", "page_number", "total_pages", "text", "q.quality_score", "q.is_readable", "q.issues", (F.length(T.strip(F.col("text"))) > 50).alias("has_text"))
+    return q.select("doc_id", "page_number", "total_pages", "text", "q.quality_score", "q.is_readable", "q.issues", "q.has_text")
 
 
 def pick_best_parse(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def best_answer_per_query(answers: DataFrame) -> DataFrame:
     return kept.select("doc_id", "query", "b.*")
 
 
+def best_value_per_key(values: DataFrame) -> DataFrame:
+    """(doc_id, key, value, confidence, page_number): the surest value of each form field over pages; of equally
+    sure ones the earliest page's. Empty values count, and a missing confidence is 0."""
+    sure = F.coalesce("confidence", F.lit(0.0))
+    best = F.min_by(F.struct("value", sure.alias("confidence"), "page_number"), F.struct(-sure, "page_number", "value"))
+    return values.groupBy("doc_id", "key").agg(best.alias("b")).select("doc_id", "key", "b.*")
+
+
+def signatures(blocks: DataFrame, threshold: float = 85.0) -> DataFrame:
+    """(doc_id, page, id, confidence, meets_threshold) of the signature blocks; a missing confidence is 0."""
+    sure = F.coalesce("confidence", F.lit(0.0))
+    return blocks.where("block_type = 'SIGNATURE'").select("doc_id", "page", "id", sure.alias("confidence"), (sure >= threshold).alias("meets_threshold"))
+
+
 def tables_in_page_order(tables: DataFrame) -> DataFrame:
     """(doc_id, tables, failed): table ids in page order; failed only if every page failed."""
     ids = F.transform(F.sort_array(F.collect_list(F.when(~F.col("failed"), F.struct("page_number", "idx", "table_id")))), lambda x: x.table_id)
@@ -84,9 +98,9 @@ PARSERS = {"number": V.parse_number, "currency": V.parse_currency, "percentage":
 def validate_fields(docs: DataFrame, defs: DataFrame, values: DataFrame) -> DataFrame:
     """(doc_id, field_id, value, is_valid, errors, warnings) of every defined field of every document.
 
-    ``defs`` (field_id, field_type, required, validation_regex, min_value, max_value) is configuration and broadcast.
+    ``defs`` (field_id, field_type, required, validation_regex, min_value, max_value) is configuration.
     """
-    rows = docs.select("doc_id").join(F.broadcast(defs), F.lit(True), "inner").join(values, ["doc_id", "field_id"], "left")
+    rows = docs.select("doc_id").join(defs, F.lit(True), "inner").join(values, ["doc_id", "field_id"], "left")
     v, kind = F.col("value"), F.col("field_type")
     missing = F.coalesce(v, F.lit("")) == ""
     number: Column = F.lit(None).cast("double")
@@ -106,9 +120,20 @@ def validate_fields(docs: DataFrame, defs: DataFrame, values: DataFrame) -> Data
     return rows.select("doc_id", "field_id", F.when(~missing, text).alias("value"), (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
 
 
+def validate_record(docs: DataFrame, defs: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, is_valid, n_fields, n_errors, n_warnings, invalid): every defined field counts, absent ones included.
+
+    A record is valid if all its fields are; ``invalid`` names the others in order.
+    """
+    fields = validate_fields(docs, defs, values)
+    return fields.groupBy("doc_id").agg(
+        F.bool_and("is_valid").alias("is_valid"), F.count("*").alias("n_fields"), F.sum(F.size("errors")).alias("n_errors"), F.sum(F.size("warnings")).alias("n_warnings"), F.sort_array(F.collect_set(F.when(~F.col("is_valid"), F.col("field_id")))).alias("invalid")
+    )
+
+
 def apply_overrides(leaves: DataFrame, overrides: DataFrame) -> DataFrame:
     """(doc_id, path, value, defaulted): configured defaults where a path is missing, null or empty."""
-    grid = leaves.select("doc_id").distinct().join(F.broadcast(overrides.withColumnRenamed("value", "default")), F.lit(True), "inner")
+    grid = leaves.select("doc_id").distinct().join(overrides.withColumnRenamed("value", "default"), F.lit(True), "inner")
     out = leaves.join(grid, ["doc_id", "path"], "full")
     empty = F.coalesce("value", F.lit("")) == ""
     return out.select("doc_id", "path", F.when(empty, F.coalesce("default", "value")).otherwise(F.col("value")).alias("value"), (empty & F.col("default").isNotNull()).alias("defaulted"))
@@ -134,7 +159,7 @@ def loan_defaults(loans: DataFrame) -> DataFrame:
 
 def code_lookup(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """The code of the first phrase that a text holds; ``codes`` (ordinal, phrase, code) is configuration."""
-    hit = rows.join(F.broadcast(codes), F.contains(F.lower("text"), F.lower("phrase")))
+    hit = rows.join(codes, F.contains(F.lower("text"), F.lower("phrase")))
     best = hit.groupBy("doc_id").agg(F.min_by("code", "ordinal").alias("code"))
     return rows.select("doc_id").join(best, "doc_id", "left")
 
@@ -143,7 +168,7 @@ def cross_reference(fields: DataFrame, pairs: DataFrame, tolerance: float = 0.01
     """(doc_id, field_a, field_b, matches): the same fact in two fields; both null match."""
     a = fields.select("doc_id", F.col("field_id").alias("field_a"), F.col("value").alias("va"))
     b = fields.select("doc_id", F.col("field_id").alias("field_b"), F.col("value").alias("vb"))
-    both = a.join(F.broadcast(pairs), "field_a").join(b, ["doc_id", "field_b"])
+    both = a.join(pairs, "field_a").join(b, ["doc_id", "field_b"])
     return both.select("doc_id", "field_a", "field_b", (F.col("va").eqNullSafe(F.col("vb")) | F.coalesce(F.abs(F.col("va") - F.col("vb")) <= tolerance, F.lit(False))).alias("matches"))
 
 
@@ -158,10 +183,29 @@ def sanity_rules(loans: DataFrame) -> DataFrame:
     return loans.select("doc_id", F.array_join(broken, ",").alias("failed"))
 
 
-def leaf_paths(rows: DataFrame, json_col: str) -> DataFrame:
-    """(doc_id, path, value) of the scalar leaves of an object with one level; null, empty and _ keys are left out."""
-    m = F.from_json(F.col(json_col), "map<string,string>")
-    return rows.select("doc_id", F.explode(m).alias("path", "value")).where("value is not null and value <> '' and not startswith(path, '_')")
+def _leaves(rows: DataFrame, json_col: str, depth: int) -> DataFrame:
+    """(doc_id, path, value, hidden) of the leaves of JSON up to ``depth`` levels down; a record without any has
+    one row without a path. A leaf's value is null for JSON null; ``hidden``: a key on its path begins with _."""
+    step = rows.select("doc_id", F.try_parse_json(json_col).alias("v"), F.lit("").alias("path"), F.lit(False).alias("hidden"))
+    for _ in range(depth):  # scalars pass through, objects and arrays are opened by one level
+        inner = step.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        name = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "key")).when(F.col("pos").isNotNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.col("path"))
+        opened = F.col("key").isNotNull() | F.col("pos").isNotNull()
+        step = inner.select("doc_id", F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v"), name.alias("path"), (F.col("hidden") | F.coalesce(F.col("key").startswith("_"), F.lit(False))).alias("hidden"))
+    kind = F.schema_of_variant("v")
+    scalar = F.coalesce(~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID")), F.lit(False)) & (F.col("path") != "")
+    return step.select("doc_id", F.when(scalar, F.col("path")).alias("path"), F.when(scalar, F.variant_get("v", "$", "string")).alias("value"), "hidden")
+
+
+def leaf_paths(rows: DataFrame, json_col: str, depth: int = 5) -> DataFrame:
+    """(doc_id, path, value) of the scalar leaves of nested JSON: a.b[0].c. Null and empty values and keys with a
+    leading _ are left out, and so is what lies deeper than ``depth`` levels or is no JSON."""
+    return _leaves(rows, json_col, depth).where("value is not null and value <> '' and not hidden").select("doc_id", "path", "value")
+
+
+def count_fields(rows: DataFrame, json_col: str, depth: int = 5) -> DataFrame:
+    """(doc_id, fields): the number of leaves that are not null, to ``depth`` levels; 0 for records without any."""
+    return _leaves(rows, json_col, depth).groupBy("doc_id").agg(F.count("value").alias("fields"))
 
 
 def section_page_map(rows: DataFrame) -> DataFrame:
@@ -217,11 +261,22 @@ def mask_paths(df: DataFrame, paths: dict[str, str], can_view: bool) -> DataFram
 
 
 def encrypt_columns(df: DataFrame, columns: list[str], key: Column) -> DataFrame:
-    """Values replaced by a mark, their ciphertexts kept in the map ``envelope``; rows done before stay as they are."""
+    """Values replaced by a mark, their ciphertexts kept in the map ``envelope``.
+
+    A value that is marked and has its ciphertext stays as it is, so a second run changes nothing. Nulls
+    stay null and get no ciphertext. Ciphertexts of other columns are kept.
+    """
     mark = "[ENCRYPTED]"
-    pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.base64(F.aes_encrypt(F.col(c).cast("binary"), key)).alias("v")) for c in columns))
-    envelope = F.map_from_entries(F.filter(pairs, lambda p: p.v.isNotNull()))
-    return df.withColumn("envelope", envelope).withColumns({c: F.when(F.col(c).isNotNull(), mark) for c in columns})
+    old = F.coalesce("envelope", F.expr("cast(map() as map<string,string>)")) if "envelope" in df.columns else F.expr("cast(map() as map<string,string>)")
+
+    def sealed(c: str) -> Column:
+        done = (F.col(c) == mark) & F.map_contains_key(old, F.lit(c))
+        return F.when(done, F.try_element_at(old, F.lit(c))).otherwise(F.base64(F.aes_encrypt(F.col(c).cast("binary"), key)))
+
+    pairs = F.array(*(F.struct(F.lit(c).alias("k"), sealed(c).alias("v")) for c in columns))
+    others = F.map_filter(old, lambda k, v: ~k.isin(columns))
+    envelope = F.map_concat(others, F.map_from_entries(F.filter(pairs, lambda p: p.v.isNotNull())))
+    return df.withColumns({"envelope": envelope} | {c: F.when(F.col(c).isNotNull(), mark) for c in columns})
 
 
 def decrypt_columns(df: DataFrame, columns: list[str], key: Column) -> DataFrame:

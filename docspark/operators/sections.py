@@ -2,8 +2,10 @@
 
 The configuration is small tables: sections (ordinal, section_id, priority, keywords, min_matches,
 max_pages, extract_signatures, search_last_pages) and rules (section_id, condition, patterns, bonus).
-They are rows of configuration, tens at most, and broadcast. A selection is (doc_id, section_id,
-page_number), and every step from C4 to C8 takes and gives one.
+Spark broadcasts them by their size (``spark.sql.autoBroadcastJoinThreshold``); scoring packs them
+into one row, so that each page is read once for all sections. A selection is (doc_id, section_id,
+page_number), and every step from C4 to C8 takes and gives one. Only scoring needs the pages' texts;
+the other steps take the narrow table of ``page_scores``.
 """
 
 from __future__ import annotations
@@ -13,19 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _matches():
-    """Distinct keywords in the page; pages that cannot be read hold none."""
-    usable, low = F.col("is_readable") & F.col("has_text"), F.lower("text")
-    return F.when(usable, F.size(F.filter("keywords", lambda k: F.contains(low, F.lower(k))))).otherwise(0)
-
-
-def _holds(condition, patterns):
+def _holds(low, condition, patterns):
     """Whether a rule holds for the page; position rules also do for pages that cannot be read."""
-    low = F.when(F.col("is_readable") & F.col("has_text"), F.lower("text")).otherwise("")
     n = lambda default: F.coalesce(F.try_element_at(patterns, F.lit(1)).try_cast("int"), F.lit(default))
+    has = lambda p: F.contains(low, F.lower(p))
     return (
-        F.when(condition == "contains_any", F.exists(patterns, lambda p: F.contains(low, F.lower(p))))
-        .when(condition == "contains_all", F.forall(patterns, lambda p: F.contains(low, F.lower(p))))
+        F.when(condition == "contains_any", F.exists(patterns, has))
+        .when(condition == "contains_all", F.forall(patterns, has))
+        .when(condition == "contains_with", has(F.try_element_at(patterns, F.lit(1))) & F.exists(F.slice(patterns, F.lit(2), F.size(patterns)), has))
         .when(condition == "first_n_pages", F.col("page_number") - 1 < n(5))
         .when(condition == "last_n_pages", F.col("page_number") - 1 >= F.col("total_pages") - n(3))
         .when(condition == "regex_match", F.exists(patterns, lambda p: F.regexp_like(low, F.concat(F.lit("(?i)"), p))))
@@ -33,34 +30,55 @@ def _holds(condition, patterns):
     )
 
 
-def _config(df: DataFrame) -> DataFrame:
-    return F.broadcast(df)
+def _readable(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``low``: the text in lower case, empty where the page cannot be read."""
+    return pages.withColumn("low", F.when(F.col("is_readable") & F.col("has_text"), F.lower("text")).otherwise(""))
+
+
+def _matches(keywords):
+    """Distinct keywords in the page; pages that cannot be read hold none."""
+    return F.size(F.filter(keywords, lambda k: F.contains(F.col("low"), F.lower(k))))
 
 
 def keyword_matches(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """(page columns, section columns, matches) of each page and section."""
-    return pages.join(_config(sections), F.lit(True), "inner").withColumn("matches", _matches())
+    return _readable(pages).join(sections, F.lit(True), "inner").withColumn("matches", F.when(F.col("low") != "", _matches("keywords")).otherwise(0)).drop("low")
 
 
 def rule_bonus(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, page_number, section_id, bonus) of pages with any bonus."""
-    both = pages.join(_config(rules), F.lit(True), "inner").where(_holds(F.col("condition"), F.col("patterns")))
+    both = _readable(pages).join(rules, F.lit(True), "inner").where(_holds(F.col("low"), F.col("condition"), F.col("patterns")))
     return both.groupBy("doc_id", "page_number", "section_id").agg(F.sum("bonus").cast("int").alias("bonus"))
 
 
-def section_scores(pages: DataFrame, sections: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, section_id, page_number, score, max_pages): pages that reach their section's minimum.
+def page_scores(pages: DataFrame, sections: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, page_number, total_pages, is_readable, has_text, hits): the sections whose minimum a page reaches,
+    as an array of (section_id, score, max_pages).
 
-    A section without keywords takes its first max_pages pages. Rules come as one array a section,
-    so that pages are read and paired once.
+    A section without keywords takes its first max_pages pages. Without texts, the result is small.
     """
-    packed = rules.groupBy("section_id").agg(F.collect_list(F.struct("condition", "patterns", "bonus")).alias("rules"))
-    worth = F.transform("rules", lambda r: F.when(_holds(r.condition, r.patterns), r.bonus).otherwise(0))
-    bonus = F.coalesce(F.aggregate(worth, F.lit(0), lambda a, x: a + x), F.lit(0))
-    both = pages.join(_config(sections.join(packed, "section_id", "left")), F.lit(True), "inner").withColumn("score", _matches() + bonus)
-    bare = F.size("keywords") == 0
-    kept = both.where(F.when(bare, F.col("page_number") <= F.col("max_pages")).otherwise(F.col("score") >= F.coalesce("min_matches", F.lit(2))))
-    return kept.select("doc_id", "section_id", "page_number", F.when(bare, 0).otherwise(F.col("score")).alias("score"), "max_pages")
+    own = rules.groupBy("section_id").agg(F.collect_list(F.struct("condition", "patterns", "bonus")).alias("rules"))
+    row = F.struct("section_id", "keywords", F.coalesce("min_matches", F.lit(2)).alias("min_matches"), "max_pages", "rules")
+    packed = sections.join(own, "section_id", "left").agg(F.collect_list(row).alias("sections"))
+    both = _readable(pages).join(packed, F.lit(True), "inner")
+
+    def score(s):
+        worth = F.aggregate(F.transform(s.rules, lambda r: F.when(_holds(F.col("low"), r.condition, r.patterns), r.bonus).otherwise(0)), F.lit(0), lambda a, x: a + x)
+        return F.when(F.size(s.keywords) == 0, 0).otherwise(_matches(s.keywords) + F.coalesce(worth, F.lit(0)))
+
+    scored = F.transform("sections", lambda s: F.struct(s.section_id.alias("section_id"), score(s).alias("score"), s.max_pages.alias("max_pages"), F.when(F.size(s.keywords) == 0, F.when(F.col("page_number") <= s.max_pages, 0).otherwise(1)).otherwise(s.min_matches).alias("least")))
+    kept = F.transform(F.filter(scored, lambda x: x.score >= x.least), lambda x: F.struct(x.section_id.alias("section_id"), x.score.alias("score"), x.max_pages.alias("max_pages")))
+    return both.select("doc_id", "page_number", "total_pages", "is_readable", "has_text", kept.alias("hits"))
+
+
+def scores_of(scored: DataFrame) -> DataFrame:
+    """(doc_id, section_id, page_number, score, max_pages) from ``page_scores``."""
+    return scored.select("doc_id", "page_number", F.inline("hits")).select("doc_id", "section_id", "page_number", "score", "max_pages")
+
+
+def section_scores(pages: DataFrame, sections: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, section_id, page_number, score, max_pages): pages that reach their section's minimum."""
+    return scores_of(page_scores(pages, sections, rules))
 
 
 def top_pages(scores: DataFrame) -> DataFrame:
@@ -77,12 +95,12 @@ def route_low_quality(sel: DataFrame, pages: DataFrame, sections: DataFrame, few
     """Unreadable pages go to signature sections, then, where little was found, to the primary section."""
     low = pages.where(~(F.col("is_readable") & F.col("has_text"))).select("doc_id", "page_number")
     signing = sections.where("extract_signatures and search_last_pages").select("section_id", "max_pages")
-    wanted = low.join(F.broadcast(signing), F.lit(True), "inner").join(sel, ["doc_id", "section_id", "page_number"], "left_anti")
+    wanted = low.join(signing, F.lit(True), "inner").join(sel, ["doc_id", "section_id", "page_number"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("page_number"))
     one = sel.unionByName(wanted.withColumn("rn", rank).where("rn <= max_pages").select("doc_id", "section_id", "page_number"))
     enough = one.groupBy("doc_id").agg(F.countDistinct("page_number").alias("n")).where(F.col("n") >= few).select("doc_id")
     first = low.join(enough, "doc_id", "left_anti").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number"))).where(F.col("rn") <= most)
-    added = first.join(F.broadcast(primary_section(sections)), F.lit(True), "inner").select("doc_id", "section_id", "page_number")
+    added = first.join(primary_section(sections), F.lit(True), "inner").select("doc_id", "section_id", "page_number")
     return one.unionByName(added).distinct()
 
 
@@ -94,12 +112,12 @@ def cover_uncovered(sel: DataFrame, pages: DataFrame, sections: DataFrame, share
     state = state.withColumn("n_used", F.count("used").over(per_doc))
     readable = F.col("is_readable") & F.col("has_text")
     gap = state.where(readable & F.col("used").isNull() & (F.col("n_used") / F.col("total_pages") < share) & (F.col("total_pages") <= most))
-    return sel.unionByName(gap.join(F.broadcast(primary_section(sections)), F.lit(True), "inner").select("doc_id", "section_id", "page_number")).distinct()
+    return sel.unionByName(gap.join(primary_section(sections), F.lit(True), "inner").select("doc_id", "section_id", "page_number")).distinct()
 
 
 def dedup_across_sections(sel: DataFrame, sections: DataFrame) -> DataFrame:
     """Each page stays in the section of least priority number only."""
-    ranked = sel.join(F.broadcast(sections.select("section_id", F.coalesce("priority", F.lit(999)).alias("p"), "ordinal")), "section_id")
+    ranked = sel.join(sections.select("section_id", F.coalesce("priority", F.lit(999)).alias("p"), "ordinal"), "section_id")
     w = Window.partitionBy("doc_id", "page_number").orderBy("p", "ordinal")
     return ranked.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("doc_id", "section_id", "page_number")
 
@@ -110,21 +128,21 @@ def expand_neighbours(sel: DataFrame, pages: DataFrame, sections: DataFrame, few
     used = sel.groupBy("doc_id").agg(F.collect_set("page_number").alias("p")).join(totals, "doc_id").where((F.size("p") < few) & (F.col("total") > long))
     near = used.select("doc_id", "p", "total", F.explode(F.array_distinct(F.flatten(F.transform("p", lambda x: F.array(x - 1, x + 1))))).alias("page_number"))
     near = near.where((F.col("page_number") >= 1) & (F.col("page_number") <= F.col("total")) & ~F.array_contains("p", F.col("page_number")))
-    return sel.unionByName(near.join(F.broadcast(primary_section(sections)), F.lit(True), "inner").select("doc_id", "section_id", "page_number"))
+    return sel.unionByName(near.join(primary_section(sections), F.lit(True), "inner").select("doc_id", "section_id", "page_number"))
 
 
-def select_pages(pages: DataFrame, sections: DataFrame, rules: DataFrame) -> DataFrame:
-    """Scores, top pages, repairs and deduplication in turn."""
-    sel = top_pages(section_scores(pages, sections, rules))
-    sel = route_low_quality(sel, pages, sections)
-    sel = cover_uncovered(sel, pages, sections)
+def select_pages(scored: DataFrame, sections: DataFrame) -> DataFrame:
+    """Top pages of ``page_scores``, repairs and deduplication in turn."""
+    sel = top_pages(scores_of(scored))
+    sel = route_low_quality(sel, scored, sections)
+    sel = cover_uncovered(sel, scored, sections)
     return dedup_across_sections(sel, sections)
 
 
 def start_page_ranges(starts: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, section_id, start_page, end_page): each section runs to the next one's start; unknown
     sections take part in the order and are dropped afterwards. ``starts`` has doc_id, section_id, start_page, total_pages."""
-    known = F.broadcast(sections.select("section_id", "ordinal", "max_pages"))
+    known = sections.select("section_id", "ordinal", "max_pages")
     rows = starts.join(known, "section_id", "left")
     following = F.lead("start_page").over(Window.partitionBy("doc_id").orderBy("start_page", F.coalesce("ordinal", F.lit(999)), "section_id"))
     end = F.least(F.coalesce(following - 1, F.col("total_pages")), F.col("start_page") + F.col("max_pages") - 1)
@@ -133,7 +151,7 @@ def start_page_ranges(starts: DataFrame, sections: DataFrame) -> DataFrame:
 
 def extraction_plan(sel: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, section_id, section_pages): selected pages; all pages for the primary section where none was selected."""
-    bare = pages.join(sel.select("doc_id").distinct(), "doc_id", "left_anti").join(F.broadcast(primary_section(sections)), F.lit(True), "inner").select("doc_id", "section_id", "page_number")
+    bare = pages.join(sel.select("doc_id").distinct(), "doc_id", "left_anti").join(primary_section(sections), F.lit(True), "inner").select("doc_id", "section_id", "page_number")
     return sel.unionByName(bare).groupBy("doc_id", "section_id").agg(F.sort_array(F.collect_set("page_number")).alias("section_pages"))
 
 
@@ -144,13 +162,16 @@ def plan_coverage(plan: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def classify_by_keywords(docs: DataFrame, sections: DataFrame, least: int = 3) -> DataFrame:
-    """The section (as a type) with the most keywords in a document, with a confidence band."""
-    low = F.lower("text")
-    hits = docs.join(F.broadcast(sections), F.lit(True), "inner").select("doc_id", "section_id", "ordinal", F.size(F.filter("keywords", lambda k: F.contains(low, F.lower(k)))).alias("hits"))
-    best = hits.where(F.col("hits") >= least).groupBy("doc_id").agg(F.max_by(F.struct("section_id", "hits"), F.struct("hits", -F.col("ordinal"))).alias("b"))
-    out = docs.select("doc_id").join(best, "doc_id", "left")
+    """The section (as a type) with the most keywords in a document, with a confidence band.
+
+    The sections come as one row, so a text is lowered and read once and never shuffled.
+    """
+    packed = sections.agg(F.collect_list(F.struct("ordinal", "section_id", "keywords")).alias("sections"))
+    rows = docs.select("doc_id", F.lower("text").alias("low")).join(packed, F.lit(True), "inner")
+    hits = F.transform("sections", lambda s: F.struct(_matches(s.keywords).alias("hits"), (-s.ordinal).alias("turn"), s.section_id.alias("section_id")))
+    best = rows.select("doc_id", F.array_max(F.filter(hits, lambda h: h.hits >= least)).alias("b"))
     band = F.when(F.col("b.hits") >= 5, "high").when(F.col("b.hits").isNotNull(), "medium").otherwise("none")
-    return out.select("doc_id", F.coalesce("b.section_id", F.lit("unknown")).alias("document_type"), F.coalesce("b.hits", F.lit(0)).alias("hits"), band.alias("confidence"))
+    return best.select("doc_id", F.coalesce("b.section_id", F.lit("unknown")).alias("document_type"), F.coalesce("b.hits", F.lit(0)).alias("hits"), band.alias("confidence"))
 
 
 def reclassify_if_empty(sel: DataFrame, docs: DataFrame, critical: list[str]) -> DataFrame:

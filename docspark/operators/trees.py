@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_DEPTH = 8
-
 
 def heading_entries(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, line, structure, title) of lines that begin with a number like 1.2."""
@@ -35,22 +31,36 @@ def apply_offset(entries: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def locate_titles(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, seq, physical_page): the first page that holds an unlocated entry's title."""
+    """(doc_id, seq, physical_page): the first page that holds an unlocated entry's title.
+
+    A document's titles travel as one array, so each page meets them once.
+    """
     e = entries.where("physical_page is null").select("doc_id", "seq", F.trim(F.lower("title")).alias("key")).where("key <> ''")
-    hit = e.join(pages.select("doc_id", "page_number", F.lower("text").alias("t")), "doc_id").where(F.contains("t", F.col("key")))
-    return hit.groupBy("doc_id", "seq").agg(F.min("page_number").alias("physical_page"))
+    titles = e.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "key")).alias("titles"))
+    both = pages.select("doc_id", "page_number", F.lower("text").alias("t")).join(titles, "doc_id")
+    held = F.transform(F.filter("titles", lambda x: F.contains(F.col("t"), x.key)), lambda x: x.seq)
+    return both.select("doc_id", "page_number", F.explode(held).alias("seq")).groupBy("doc_id", "seq").agg(F.min("page_number").alias("physical_page"))
+
+
+def _by_level(nodes: DataFrame, first) -> DataFrame:
+    """``nodes`` once for each level from ``first`` to the deepest of their document, and ``own``: whether it is
+    the row of the node's own depth. Rows of one level can be compared by windows, whatever the depth."""
+    deepest = F.max("depth").over(Window.partitionBy("doc_id"))
+    levels = F.when(first <= F.col("deepest"), F.sequence(first, F.col("deepest"))).otherwise(F.array().cast("array<int>"))
+    rows = nodes.withColumn("deepest", deepest).withColumn("level", F.explode(F.array_union(F.array("depth"), levels)))
+    return rows.withColumn("own", F.col("level") == F.col("depth")).drop("deepest")
 
 
 def tree_parents(entries: DataFrame) -> DataFrame:
     """(doc_id, seq, parent, depth, title, start_index): order by page, then structure as text; the parent
-    is the nearest earlier entry of smaller depth."""
+    is the nearest earlier entry of smaller depth. Any depth."""
     depth = F.length("structure") - F.length(F.regexp_replace("structure", r"\.", ""))
     order = Window.partitionBy("doc_id").orderBy("physical_page", "structure", "entry_id")
     rows = entries.select("doc_id", "title", F.col("physical_page").alias("start_index"), depth.alias("depth"), F.row_number().over(order).alias("seq"))
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("depth") == k, F.col("seq"))).over(before) for k in range(MAX_DEPTH)]
-    parent = reduce(lambda a, k: F.when(F.col("depth") > k, F.greatest(F.coalesce(last[k], F.lit(0)), a)).otherwise(a), range(MAX_DEPTH), F.lit(0))
-    return rows.select("doc_id", "seq", F.nullif(parent, F.lit(0)).alias("parent"), "depth", "title", "start_index")
+    # An entry stands for a parent on every level below its own.
+    before = Window.partitionBy("doc_id", "level").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parent = F.max(F.when(~F.col("own"), F.col("seq"))).over(before)
+    return _by_level(rows, F.col("depth") + 1).withColumn("parent", parent).where("own").select("doc_id", "seq", "parent", "depth", "title", "start_index")
 
 
 def node_ids(nodes: DataFrame) -> DataFrame:
@@ -64,11 +74,11 @@ def tree_end_pages(nodes: DataFrame, totals: DataFrame) -> DataFrame:
     In preorder that is the page before the first later node of no greater depth, which follows the
     node's whole subtree, so one pass of windows settles all levels.
     """
-    after = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    by_depth = [F.min(F.when(F.col("depth") == k, F.col("start_index"))).over(after) for k in range(MAX_DEPTH)]
-    following = F.array_min(F.array(*(F.when(F.col("depth") >= k, x) for k, x in enumerate(by_depth))))
-    end = F.greatest("start_index", F.coalesce(following - 1, F.col("total_pages")))
-    return nodes.join(totals, "doc_id").select("doc_id", "seq", "parent", "depth", "title", "start_index", end.alias("end_index"))
+    after = Window.partitionBy("doc_id", "level").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    rows = _by_level(nodes.select("doc_id", "seq", "parent", "depth", "title", "start_index"), F.col("depth"))
+    rows = rows.withColumn("following", F.min("start_index").over(after)).where("own").join(totals, "doc_id")
+    end = F.greatest("start_index", F.coalesce(F.col("following") - 1, F.col("total_pages")))
+    return rows.select("doc_id", "seq", "parent", "depth", "title", "start_index", end.alias("end_index"))
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:
@@ -83,6 +93,21 @@ def oversized_leaves(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, m
     return sized.where((F.col("pages") > most_pages) | (F.col("tokens") > most_tokens))
 
 
+def split_oversized(nodes: DataFrame, oversized: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, leaf, seq, parent, depth, title, start_index, end_index): the headings found inside the pages of
+    oversized leaves, as trees of their own under each leaf; the last sibling ends where the leaf ends.
+
+    ``headings`` has doc_id, entry_id, structure, title, page_number. Leaves without a heading give no row
+    and stay as they are. A leaf's tree is built as a document of its own, so all leaves are split at once.
+    """
+    leaves = oversized.select("doc_id", F.col("seq").alias("leaf")).join(nodes.select("doc_id", F.col("seq").alias("leaf"), "start_index", "end_index"), ["doc_id", "leaf"])
+    within = leaves.join(headings, "doc_id").where(F.col("page_number").between(F.col("start_index"), F.col("end_index")))
+    key = F.struct("doc_id", "leaf").alias("doc_id")
+    entries = within.select(key, "entry_id", "structure", "title", F.col("page_number").alias("physical_page"))
+    trees = tree_end_pages(tree_parents(entries), leaves.select(key, F.col("end_index").alias("total_pages")))
+    return trees.select("doc_id.doc_id", "doc_id.leaf", "seq", "parent", "depth", "title", "start_index", "end_index")
+
+
 def verify_headings(entries: DataFrame, pages: DataFrame, n: int = 15) -> DataFrame:
     """(doc_id, checked, share): share of a fixed sample of entries whose title stands at the top of its page."""
     w = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("entry_id").cast("string"))))
@@ -112,7 +137,7 @@ def leaf_sections(nodes: DataFrame, level: int = 2) -> DataFrame:
 
 def match_sections_to_nodes(nodes: DataFrame, sections: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, section_id, seq, score): 3 for each keyword in the title, else 1 for one in the summary."""
-    both = nodes.join(F.broadcast(sections.select("section_id", "keywords")), F.lit(True), "inner")
+    both = nodes.join(sections.select("section_id", "keywords"), F.lit(True), "inner")
     title, summary = F.lower("title"), F.lower(F.coalesce("summary", F.lit("")))
     score = F.aggregate("keywords", F.lit(0), lambda a, k: a + F.when(F.contains(title, F.lower(k)), 3).when(F.contains(summary, F.lower(k)), 1).otherwise(0))
     return both.withColumn("score", score).where(F.col("score") >= least).select("doc_id", "section_id", "seq", "score")

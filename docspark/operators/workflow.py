@@ -149,7 +149,7 @@ def cost_rollup(costs: DataFrame) -> DataFrame:
 
 def budget_flags(costs: DataFrame, budgets: DataFrame) -> DataFrame:
     """ok, warn or over, by the budget of the document's type; no budget is ok. Budgets are configuration rows."""
-    out = costs.join(F.broadcast(budgets), "document_type", "left")
+    out = costs.join(budgets, "document_type", "left")
     return out.select("document_id", F.when(F.col("cost") > F.col("max_cost"), "over").when(F.col("cost") > F.col("warn_cost"), "warn").otherwise("ok").alias("flag"))
 
 

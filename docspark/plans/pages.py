@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators import dedup, pages, sections
+from docspark.operators import dedup, pages, profiles, sections
+from docspark.operators.shared import materialize
 from docspark.plans import config
 
 CHARS = 1500
@@ -41,7 +42,7 @@ def dedup_against_history(spark, sf):
 
 
 def dedup_statements(spark, sf):
-    return dedup.dedup_statements(_docs(spark, sf).where("length(text) between 1 and 400").select("doc_id", "text"), 0.8)
+    return dedup.dedup_statements(_docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 0.8)
 
 
 def paginate(spark, sf):
@@ -99,9 +100,14 @@ def top_pages(spark, sf):
     return sections.top_pages(sections.section_scores(_quality(spark, sf), config.sections(spark), config.rules(spark)))
 
 
-def _selected(spark, sf, chars=400):
-    q = _quality(spark, sf, chars)
-    return q, sections.top_pages(sections.section_scores(q, config.sections(spark), config.rules(spark)))
+def _scored(spark, sf, chars=400):
+    """Page scores, written once without texts and dealt by document: the texts are read and measured once."""
+    return materialize(sections.page_scores(_quality(spark, sf, chars), config.sections(spark), config.rules(spark)).repartition("doc_id"))
+
+
+def _selected(spark, sf):
+    scored = _scored(spark, sf)
+    return scored, sections.top_pages(sections.scores_of(scored))
 
 
 def route_low_quality(spark, sf):
@@ -125,20 +131,25 @@ def expand_neighbours(spark, sf):
 
 
 def page_selection(spark, sf):
-    q = _quality(spark, sf, 400)
-    return sections.select_pages(q, config.sections(spark), config.rules(spark))
+    return sections.select_pages(_scored(spark, sf), config.sections(spark))
+
+
+def _plan(spark, sf):
+    scored = _scored(spark, sf)
+    return scored, sections.extraction_plan(sections.select_pages(scored, config.sections(spark)), scored, config.sections(spark))
 
 
 def extraction_plan(spark, sf):
-    q = _quality(spark, sf, 400)
-    plan = sections.extraction_plan(sections.select_pages(q, config.sections(spark), config.rules(spark)), q, config.sections(spark))
-    return plan.select("doc_id", "section_id", F.array_join(F.transform("section_pages", lambda p: p.cast("string")), ",").alias("section_pages"))
+    return _plan(spark, sf)[1].select("doc_id", "section_id", F.array_join(F.transform("section_pages", lambda p: p.cast("string")), ",").alias("section_pages"))
 
 
 def plan_coverage(spark, sf):
-    q = _quality(spark, sf, 400)
-    plan = sections.extraction_plan(sections.select_pages(q, config.sections(spark), config.rules(spark)), q, config.sections(spark))
-    return sections.plan_coverage(plan, q).withColumn("share", F.round("share", 6))
+    scored, plan = _plan(spark, sf)
+    return sections.plan_coverage(plan, scored).withColumn("share", F.round("share", 6))
+
+
+def legacy_bonus_profiles(spark, sf):
+    return sections.rule_bonus(_quality(spark, sf, 400), profiles.legacy_rules(spark))
 
 
 def start_page_ranges(spark, sf):
@@ -161,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_hashes, multipart_etags, dedup_against_history, dedup_statements, paginate, page_snippets, page_quality, pick_best_parse, token_budget_groups, assemble_context, hybrid_merge, slice_first_pages, billable_pages,
-        keyword_matches, rule_bonus, section_scores, top_pages, route_low_quality, cover_uncovered, dedup_across_sections, expand_neighbours, page_selection, extraction_plan, plan_coverage, start_page_ranges, classify_by_keywords, reclassify_if_empty,
+        keyword_matches, rule_bonus, section_scores, top_pages, route_low_quality, cover_uncovered, dedup_across_sections, expand_neighbours, page_selection, extraction_plan, plan_coverage, legacy_bonus_profiles, start_page_ranges, classify_by_keywords, reclassify_if_empty,
     )
 }
 
@@ -196,6 +207,7 @@ def _q(chars: int) -> str:
 MATCHES = "CASE WHEN is_readable AND has_text THEN len(list_filter(keywords, lambda k: contains(lower(text), lower(k)))) ELSE 0 END"
 HOLDS = """CASE condition WHEN 'contains_any' THEN len(list_filter(patterns, lambda p: contains(low, lower(p)))) > 0
   WHEN 'contains_all' THEN len(list_filter(patterns, lambda p: contains(low, lower(p)))) = len(patterns)
+  WHEN 'contains_with' THEN contains(low, lower(patterns[1])) AND len(list_filter(patterns[2:], lambda p: contains(low, lower(p)))) > 0
   WHEN 'first_n_pages' THEN page_number - 1 < coalesce(try_cast(patterns[1] AS INT), 5)
   WHEN 'last_n_pages' THEN page_number - 1 >= total_pages - coalesce(try_cast(patterns[1] AS INT), 3)
   WHEN 'regex_match' THEN regexp_matches(low, patterns[1], 'i') ELSE false END"""
@@ -225,19 +237,22 @@ def _dedup(sel: str, name: str) -> str:
 
 
 SELECT_PAGES = f"{_q(400)}, {SCORES}, {_low('top_', 'lowq')}, {_cover('lowq', 'cov')}, {_dedup('cov', 'chosen')}"
-PLAN = f"{SELECT_PAGES}, filled AS (SELECT * FROM chosen UNION ALL SELECT q.doc_id, primary_id, page_number FROM q, prim WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.doc_id = q.doc_id))"
+FILLED = f"filled AS (SELECT * FROM chosen UNION ALL SELECT q.doc_id, primary_id, page_number FROM q, prim WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.doc_id = q.doc_id))"
+PLAN = f"{SELECT_PAGES}, {FILLED}"
 
 SQL = {
     "content_hashes": f"WITH {DOCS} SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1, substr(sha256(concat_ws(':', sha256(text), source, length(text)::VARCHAR)), 1, 32) AS fingerprint FROM docs",
     "dedup_against_history": f"""WITH {DOCS}, h AS (SELECT doc_id, sha256(text) AS content_hash FROM docs), k AS (SELECT content_hash, min(doc_id) AS orig FROM h WHERE doc_id % 10 = 3 GROUP BY 1),
       n AS (SELECT *, min(doc_id) OVER (PARTITION BY content_hash) AS first_id FROM h WHERE doc_id % 10 <> 3)
       SELECT doc_id, content_hash, CASE WHEN orig IS NOT NULL OR first_id <> doc_id THEN 'DUPLICATE' ELSE 'STARTED' END AS status, coalesce(orig, CASE WHEN first_id <> doc_id THEN first_id END) AS original_id FROM n LEFT JOIN k USING (content_hash)""",
-    "dedup_statements": """WITH d AS (SELECT doc_id, regexp_split_to_array(trim(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' +') AS w, length(text) AS n FROM documents WHERE length(text) BETWEEN 1 AND 400),
+    "dedup_statements": """WITH d AS (SELECT doc_id, regexp_split_to_array(trim(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' +') AS w, length(coalesce(text, '')) AS n FROM documents),
       s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i) u),
       c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
       p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
       links AS (SELECT x, y FROM p JOIN c ca ON ca.doc_id = x JOIN c cb ON cb.doc_id = y WHERE common / (ca.k + cb.k - common)::DOUBLE >= 0.8)
       SELECT doc_id, n AS n_chars, NOT EXISTS (SELECT 1 FROM links l JOIN d o ON o.doc_id = CASE WHEN l.x = d.doc_id THEN l.y ELSE l.x END WHERE (l.x = d.doc_id OR l.y = d.doc_id) AND (o.n > d.n OR (o.n = d.n AND o.doc_id < d.doc_id))) AS kept FROM d""",
+    "multipart_etags": f"""WITH {DOCS}, b AS (SELECT doc_id, encode(text) AS d, octet_length(encode(text)) AS n FROM docs), p AS (SELECT doc_id, n, d, k, md5(d[k * 1000 + 1 : k * 1000 + 1000]) AS h FROM b, LATERAL (SELECT unnest(range(0, greatest(1, ceil(n / 1000.0)::BIGINT))) AS k) u)
+      SELECT doc_id, CASE WHEN any_value(n) <= 1000 THEN md5(any_value(d)) ELSE md5(unhex(string_agg(h, '' ORDER BY k))) || '-' || count(*) END AS etag FROM p GROUP BY 1""",
     "paginate": f"WITH {_pages_sql(CHARS)} SELECT doc_id, page_number, total_pages, md5(text) AS text_md5 FROM pages_",
     "page_snippets": f"WITH {_pages_sql(CHARS)} SELECT doc_id, page_number, length({_strip_sql('text')}) > 50 AS has_text, md5({_strip_sql('text')}) AS snippet_md5 FROM pages_",
     "page_quality": f"WITH {_q(CHARS)} SELECT doc_id, page_number, round(quality_score, 6) AS quality_score, is_readable, issues, has_text FROM q",
@@ -257,6 +272,7 @@ SQL = {
     "billable_pages": f"WITH {_q(CHARS)} SELECT doc_id, count(*) FILTER (is_readable) AS text_pages, count(*) FILTER (NOT is_readable) AS ocr_pages, count(*) AS pages FROM q GROUP BY 1",
     "keyword_matches": f"WITH {_q(CHARS)} SELECT * FROM (SELECT doc_id, page_number, section_id, ({MATCHES})::INT AS matches FROM q, sections) WHERE matches > 0",
     "rule_bonus": f"WITH {_q(CHARS)}, {BONUS} SELECT doc_id, page_number, section_id, bonus FROM bonus_",
+    "legacy_bonus_profiles": f"WITH {_pages_sql(400)}, {_quality_sql('pages_', 'q')}, rules AS {config.values(profiles.LEGACY_RULES, 'section_id, condition, patterns, bonus')}, {BONUS} SELECT doc_id, page_number, section_id, bonus FROM bonus_",
     "section_scores": f"WITH {_q(CHARS)}, {SCORES} SELECT doc_id, section_id, page_number, score FROM scores",
     "top_pages": f"WITH {_q(CHARS)}, {SCORES} SELECT * FROM top_",
     "route_low_quality": f"WITH {_q(400)}, {SCORES}, {_low('top_', 'lowq')} SELECT doc_id, section_id, page_number FROM lowq",

@@ -69,6 +69,14 @@ def oversized_leaves(spark, sf):
     return G.oversized_leaves(_nodes(spark, sf)[0], _pages(spark, sf), 3, 300)
 
 
+def split_oversized(spark, sf):
+    """The pages of a document as headings on two levels."""
+    nodes, pages = _nodes(spark, sf)[0], _pages(spark, sf)
+    n = F.col("page_number")
+    headings = pages.select("doc_id", n.alias("entry_id"), F.when(n % 3 == 0, "1").when(n % 3 == 1, "1.1").otherwise("2").alias("structure"), F.substring("text", 1, 10).alias("title"), "page_number")
+    return G.split_oversized(nodes, G.oversized_leaves(nodes, pages, 3, 300), headings)
+
+
 def verify_headings(spark, sf):
     e = _entries(spark, sf).withColumn("physical_page", F.col("physical_page") + F.when(F.col("entry_id") % 3 == 2, 2).otherwise(0))
     return G.verify_headings(e, _pages(spark, sf), 4).withColumn("share", F.round("share", 6))
@@ -134,6 +142,46 @@ def lines_to_text(spark, sf):
     return R.lines_to_text(c).select("doc_id", F.md5("text").alias("text_md5"), "line_count", "word_count", F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
+def _blocks(spark, sf):
+    """Line items as OCR blocks: a key and a value block each with a word, and a signature for some."""
+    li = _lines(spark, sf)
+    part = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    rid = F.concat_ws("-", part("n", 2), part("part", 7), part("supp", 6), F.lpad(F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), 11, "0"))
+    rel = lambda kind, prefix: F.struct(F.lit(kind).alias("type"), F.array(F.concat(F.lit(prefix), rid)).alias("ids"))
+    none = F.expr("cast(array() as array<struct<type:string,ids:array<string>>>)")
+
+    def block(kind, prefix, text, confidence, entity, relations):
+        return F.struct(F.concat(F.lit(prefix), rid).alias("id"), F.lit(kind).alias("block_type"), text.cast("string").alias("text"), confidence.cast("double").alias("confidence"), F.array(*(F.lit(e) for e in entity)).cast("array<string>").alias("entity_types"), relations.alias("relationships"))
+
+    value = F.when(F.col("qty") % 10 == 0, 0).otherwise(50 + F.col("qty"))
+    all_ = [
+        block("KEY_VALUE_SET", "k", F.lit(None), F.col("confidence"), ["KEY"], F.array(rel("VALUE", "v"), rel("CHILD", "w"))),
+        block("KEY_VALUE_SET", "v", F.lit(None), value, ["VALUE"], F.array(rel("CHILD", "x"))),
+        block("WORD", "w", F.concat(F.lit("field"), (F.col("part") % 5).cast("string")), F.lit(99), [], none),
+        block("WORD", "x", F.col("supp"), F.lit(99), [], none),
+        block("SIGNATURE", "s", F.lit(None), F.when(F.col("qty") % 4 > 0, F.col("confidence")), [], none),
+    ]
+    return li.select("doc_id", F.col("n").alias("page"), F.explode(F.array(*all_)).alias("b")).select("doc_id", "page", "b.*")
+
+
+def block_edges(spark, sf):
+    return R.block_edges(_blocks(spark, sf))
+
+
+def key_values(spark, sf):
+    blocks = _blocks(spark, sf)
+    return R.key_values(blocks, R.block_edges(blocks))
+
+
+def signatures(spark, sf):
+    return R.signatures(_blocks(spark, sf))
+
+
+def best_value_per_key(spark, sf):
+    rows = _lines(spark, sf).select("doc_id", F.concat(F.lit("field"), (F.col("part") % 5).cast("string")).alias("key"), F.col("supp").cast("string").alias("value"), F.when(F.col("qty") % 10 > 0, F.col("confidence")).alias("confidence"), F.col("n").alias("page_number"))
+    return R.best_value_per_key(rows)
+
+
 def _answers(spark, sf):
     return _lines(spark, sf).select("doc_id", F.concat(F.lit("q"), (F.col("part") % 4).cast("string")).alias("query"), F.when(F.col("qty") % 7 == 0, "").otherwise(F.col("supp").cast("string")).alias("answer"), "confidence", F.col("n").alias("page_number"))
 
@@ -217,20 +265,22 @@ def masked_values(spark, sf):
 
 
 def mask_paths(spark, sf):
+    """A nested document a customer, with two owners."""
     k = F.col("c_custkey")
-    ssn = V.format_ssn(F.lpad((k * 7919 % 1000000000).cast("string"), 9, "0"))
-    people = _t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct(k.alias("key"), ssn.alias("ssn")))).alias("owners"))
-    masked = R.mask_paths(people.select("id", F.struct("owners").alias("d")), {"d.owners[*].ssn": "ssn"}, can_view=False)
-    return masked.select("id", F.md5(F.array_join(F.transform("d.owners", lambda o: F.concat_ws(":", o.key.cast("string"), o.ssn)), ",")).alias("owners_md5"))
+    ssn = lambda n: V.format_ssn(F.lpad((k * n % 1000000000).cast("string"), 9, "0"))
+    owners = F.array(*(F.struct((k + i).alias("key"), ssn(n).alias("ssn")) for i, n in enumerate((7919, 104729))))
+    people = _t(spark, sf, "customer").select(k.alias("id"), F.struct(owners.alias("owners")).alias("d"))
+    masked = R.mask_paths(people, {"d.owners[*].ssn": "ssn"}, can_view=False)
+    return masked.select("id", F.array_join(F.transform("d.owners", lambda o: F.concat_ws(":", o.key.cast("string"), o.ssn)), ",").alias("owners"))
 
 
 def encryption_round_trip(spark, sf):
+    """Encrypted twice, which must change nothing, and decrypted."""
     rows = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment"))
     key = F.lit("0123456789abcdef").cast("binary")
-    sealed = R.encrypt_columns(rows, ["name", "segment"], key)
-    again = R.decrypt_columns(sealed, ["name", "segment"], key)
-    marks = sealed.select("id", F.col("name").alias("mark"), F.size("envelope").alias("sealed"))
-    return again.join(marks, "id")
+    once = R.encrypt_columns(rows, ["name", "segment"], key)
+    sealed = R.encrypt_columns(once, ["name", "segment"], key).withColumns({"mark": F.col("name"), "sealed": F.size("envelope")})
+    return R.decrypt_columns(sealed, ["name", "segment"], key).select("id", "name", "segment", "mark", "sealed")
 
 
 def access_report(spark, sf):
@@ -238,14 +288,23 @@ def access_report(spark, sf):
     return R.access_report(e.select(F.col("user_id").alias("accessor_id"), (F.floor("value") % 20).cast("bigint").alias("document_id"), "ts"))
 
 
-def validate_fields(spark, sf):
+def _fields(spark, sf):
+    """Customers as records, their field definitions and values."""
     defs = spark.createDataFrame([("amount", "currency", True, None, 0.0, 5000.0), ("rate", "percentage", False, None, 0.0, 10.0), ("mail", "email", True, None, None, None), ("code", "string", False, "[A-C]", None, None), ("flag", "boolean", False, None, None, None), ("absent", "string", True, None, None, None)], "field_id string, field_type string, required boolean, validation_regex string, min_value double, max_value double")
     k = F.col("c_custkey")
     c = _t(spark, sf, "customer")
     given = {"amount": F.concat(F.lit("$"), F.floor("c_acctbal").cast("string")), "rate": F.when(k % 4 > 0, F.concat((k % 17).cast("string"), F.lit("%"))), "mail": F.when(k % 3 == 0, F.lit("a@b.co")).otherwise("nobody"), "code": F.substring("c_mktsegment", 1, 1), "flag": F.when(k % 2 == 0, F.lit("Yes")).otherwise("perhaps")}
     rows = c.select(k.alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(n).alias("field_id"), v.alias("value")) for n, v in given.items()))).alias("f")).select("doc_id", "f.field_id", "f.value")
-    out = R.validate_fields(c.select(k.alias("doc_id")), defs, rows)
-    return out.select("doc_id", "field_id", "is_valid", F.array_join("errors", ",").alias("errors"))
+    return c.select(k.alias("doc_id")), defs, rows
+
+
+def validate_fields(spark, sf):
+    return R.validate_fields(*_fields(spark, sf)).select("doc_id", "field_id", "is_valid", F.array_join("errors", ",").alias("errors"))
+
+
+def validate_record(spark, sf):
+    docs, defs, rows = _fields(spark, sf)
+    return R.validate_record(docs, defs.where("field_id <> 'absent'"), rows).withColumn("invalid", F.array_join("invalid", ","))
 
 
 def apply_overrides(spark, sf):
@@ -284,8 +343,19 @@ def sanity_rules(spark, sf):
     return R.sanity_rules(loans)
 
 
+def _nested(spark, sf):
+    """Events as nested records: lists, objects in lists, hidden keys, nulls, and leaves six levels down."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    text = F.concat(F.lit('{"meta":{"kind":"'), kind, F.lit('","tags":["a",{"n":'), (k % 5).cast("string"), F.lit('}],"_h":"x","note":null},"props":'), F.coalesce("props", F.lit("null")), F.lit(',"empty":"","deep":{"a":{"b":{"c":{"d":'), k.cast("string"), F.lit(',"e":{"f":2}}}}}}'))
+    return _t(spark, sf, "events").select(k.alias("doc_id"), text.alias("record"))
+
+
 def leaf_paths(spark, sf):
-    return R.leaf_paths(_t(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "props"), "props")
+    return R.leaf_paths(_nested(spark, sf), "record")
+
+
+def count_fields(spark, sf):
+    return R.count_fields(_nested(spark, sf), "record")
 
 
 def section_page_map(spark, sf):
@@ -307,9 +377,9 @@ def deep_merge(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_offset, apply_offset, locate_titles, tree_parents, tree_end_pages, tree_stats, oversized_leaves, verify_headings, node_pages, compact_outline, leaf_sections, match_sections_to_nodes, plan_from_tree, tree_cost, cache_summaries,
-        cells_to_rows, lines_to_text, best_answer_per_query, query_answers, tables_in_page_order, remap_page_index, extraction_quality, confidence_bands, best_radio_choice, signature_summary,
-        parsed_values, parsed_dates, parsed_texts, masked_values, mask_paths, encryption_round_trip, access_report, validate_fields, apply_overrides, loan_defaults, code_lookup, cross_reference, authoritative_value, sanity_rules, leaf_paths, section_page_map, merge_partial_records, deep_merge,
+        page_offset, apply_offset, locate_titles, tree_parents, tree_end_pages, tree_stats, oversized_leaves, split_oversized, verify_headings, node_pages, compact_outline, leaf_sections, match_sections_to_nodes, plan_from_tree, tree_cost, cache_summaries,
+        block_edges, key_values, signatures, best_value_per_key, cells_to_rows, lines_to_text, best_answer_per_query, query_answers, tables_in_page_order, remap_page_index, extraction_quality, confidence_bands, best_radio_choice, signature_summary,
+        parsed_values, parsed_dates, parsed_texts, masked_values, mask_paths, encryption_round_trip, access_report, validate_fields, validate_record, apply_overrides, loan_defaults, code_lookup, cross_reference, authoritative_value, sanity_rules, leaf_paths, count_fields, section_page_map, merge_partial_records, deep_merge,
     )
 }
 
@@ -339,6 +409,10 @@ def _claims() -> str:
 ANSWERS = f"{LINES}, an AS (SELECT doc_id, 'q' || part % 4 AS query, CASE WHEN qty % 7 = 0 THEN '' ELSE supp::VARCHAR END AS answer, confidence, n AS page_number FROM ln)"
 OFFSET = f"{ENTRIES}, e AS (SELECT doc_id, entry_id AS seq, title, physical_page + 2 AS printed_page, row_number() OVER (PARTITION BY doc_id ORDER BY entry_id) AS k FROM en), h AS (SELECT e.doc_id, k, page_number - printed_page AS page_shift FROM e JOIN pg ON pg.doc_id = e.doc_id AND page_number - printed_page BETWEEN -5 AND 29 AND contains(lower(text), trim(lower(title))) WHERE k <= 10 AND trim(title) <> ''), b AS (SELECT doc_id, page_shift FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k, page_shift) = 1), of_ AS (SELECT d.doc_id, coalesce(page_shift, 0)::INT AS page_shift, page_shift IS NOT NULL AS confident FROM (SELECT DISTINCT doc_id FROM en) d LEFT JOIN b USING (doc_id))"
 DIGITS = "lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '0')"
+RID = "lpad(n::VARCHAR, 2, '0') || '-' || lpad(part::VARCHAR, 7, '0') || '-' || lpad(supp::VARCHAR, 6, '0') || '-' || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 11, '0')"
+BLOCKS = f"{LINES}, bk AS (SELECT *, {RID} AS rid FROM ln)"
+LEAVES = """nj AS (SELECT event_id AS doc_id, '{"meta":{"kind":"' || event_type || '","tags":["a",{"n":' || event_id % 5 || '}],"_h":"x","note":null},"props":' || coalesce(props, 'null') || ',"empty":"","deep":{"a":{"b":{"c":{"d":' || event_id || ',"e":{"f":2}}}}}}' AS j FROM events),
+  lf AS (SELECT doc_id, replace(fullkey, '"', '') AS name, t.type AS kind, atom ->> '$' AS value, length(fullkey) - length(replace(replace(fullkey, '.', ''), '[', '')) AS levels FROM nj, json_tree(j) t)"""
 SSN = f"substr({DIGITS}, 1, 3) || '-' || substr({DIGITS}, 4, 2) || '-' || substr({DIGITS}, 6)"
 
 SQL = {
@@ -350,6 +424,9 @@ SQL = {
     "tree_stats": f"WITH RECURSIVE {NODES} SELECT doc_id, count(*) AS nodes, count(*) FILTER (parent IS NULL) AS top_level, max(depth) AS max_depth, max(end_index) AS last_page FROM nd GROUP BY 1",
     "oversized_leaves": f"WITH RECURSIVE {NODES}, lf AS (SELECT * FROM nd a WHERE NOT EXISTS (SELECT 1 FROM nd b WHERE b.doc_id = a.doc_id AND b.parent = a.seq)), z AS (SELECT lf.doc_id, seq, end_index - start_index + 1 AS pages, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM lf LEFT JOIN pg ON pg.doc_id = lf.doc_id AND page_number BETWEEN start_index AND end_index GROUP BY 1, 2, 3) SELECT doc_id, seq, pages::BIGINT AS pages, tokens FROM z WHERE pages > 3 OR tokens > 300",
     "verify_headings": f"WITH {ENTRIES}, s AS (SELECT doc_id, title, physical_page + CASE WHEN entry_id % 3 = 2 THEN 2 ELSE 0 END AS p FROM en QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || ':' || entry_id)) <= 4) SELECT s.doc_id, count(*) AS checked, round(avg(contains(lower(substr(text, 1, 2000)), trim(lower(title)))::INT), 6) AS share FROM s JOIN pg ON pg.doc_id = s.doc_id AND page_number = p GROUP BY 1",
+    "split_oversized": f"""WITH RECURSIVE {NODES}, lv AS (SELECT * FROM nd a WHERE NOT EXISTS (SELECT 1 FROM nd b WHERE b.doc_id = a.doc_id AND b.parent = a.seq)), z AS (SELECT lv.doc_id, seq AS leaf, start_index AS a, end_index AS z FROM lv LEFT JOIN pg ON pg.doc_id = lv.doc_id AND page_number BETWEEN start_index AND end_index GROUP BY ALL HAVING end_index - start_index + 1 > 3 OR coalesce(sum(tokens), 0) > 300),
+      h AS (SELECT z.*, page_number AS p, CASE page_number % 3 WHEN 0 THEN '1' WHEN 1 THEN '1.1' ELSE '2' END AS st, substr(text, 1, 10) AS title FROM z JOIN pg ON pg.doc_id = z.doc_id AND page_number BETWEEN a AND z), s AS (SELECT *, (st = '1.1')::INT AS depth, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY p, st)::INT AS seq FROM h)
+      SELECT doc_id, leaf, seq, (SELECT max(b.seq) FROM s b WHERE b.doc_id = s.doc_id AND b.leaf = s.leaf AND b.seq < s.seq AND b.depth < s.depth) AS parent, depth, title, p AS start_index, greatest(p, coalesce((SELECT min(b.p) FROM s b WHERE b.doc_id = s.doc_id AND b.leaf = s.leaf AND b.seq > s.seq AND b.depth <= s.depth) - 1, z)) AS end_index FROM s""",
     "node_pages": f"WITH RECURSIVE {NODES}, x AS (SELECT doc_id, seq, unnest(range(start_index, least(end_index, start_index + 4) + 1))::INT AS page_number FROM nd) SELECT * FROM x QUALIFY dense_rank() OVER (PARTITION BY doc_id ORDER BY page_number) <= 8",
     "compact_outline": f"WITH RECURSIVE {NODES} SELECT doc_id, md5(string_agg(repeat('  ', depth) || '[' || lpad((seq - 1)::VARCHAR, 4, '0') || '] ' || title || ' (p.' || start_index || CASE WHEN start_index = end_index THEN '' ELSE '-' || end_index END || ')', chr(10) ORDER BY seq)) AS outline_md5 FROM nd GROUP BY 1",
     "leaf_sections": f"WITH RECURSIVE {NODES} SELECT doc_id, seq, depth FROM nd a WHERE depth = 1 OR (depth < 1 AND NOT EXISTS (SELECT 1 FROM nd b WHERE b.doc_id = a.doc_id AND b.parent = a.seq))",
@@ -357,6 +434,10 @@ SQL = {
     "plan_from_tree": _claims(),
     "tree_cost": "WITH p AS (SELECT doc_id, greatest(1, ceil(length(coalesce(text, '')) / 1500.0))::BIGINT AS p FROM documents), t AS (SELECT doc_id, 500 * least(p, 20) + 500 * p + 7500 AS tokens_in, 200 + 100 * p + 750 AS tokens_out FROM p) SELECT *, round(tokens_in / 1e6 + tokens_out * 5 / 1e6, 6) AS cost FROM t",
     "cache_summaries": f"WITH RECURSIVE {MATCHED} SELECT doc_id, seq, md5(coalesce(CASE WHEN seq % 2 = 0 THEN summary END, CASE WHEN seq % 3 = 1 THEN reverse(summary) END)) AS summary_md5 FROM sm",
+    "block_edges": f"WITH {BLOCKS} SELECT doc_id, p || rid AS parent, type, c || rid AS child, 0 AS position FROM bk, (VALUES ('k', 'VALUE', 'v'), ('k', 'CHILD', 'w'), ('v', 'CHILD', 'x')) v(p, type, c)",
+    "key_values": f"WITH {BLOCKS} SELECT doc_id, 'field' || part % 5 AS key, supp::VARCHAR AS value, CASE WHEN qty % 10 = 0 THEN confidence ELSE least(confidence, 50 + qty) END AS confidence FROM bk QUALIFY row_number() OVER (PARTITION BY doc_id, part % 5 ORDER BY rid DESC) = 1",
+    "signatures": f"WITH {BLOCKS} SELECT doc_id, n AS page, 's' || rid AS id, CASE WHEN qty % 4 > 0 THEN confidence ELSE 0 END AS confidence, qty % 4 > 0 AND confidence >= 85 AS meets_threshold FROM bk",
+    "best_value_per_key": f"WITH {LINES}, c AS (SELECT doc_id, 'field' || part % 5 AS key, supp::VARCHAR AS value, CASE WHEN qty % 10 > 0 THEN confidence ELSE 0 END AS confidence, n AS page_number FROM ln) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY confidence DESC, page_number, value) = 1",
     "cells_to_rows": f"WITH {LINES}, f AS (SELECT doc_id, n, part % 3 + 1 AS c, 'q' || qty AS t FROM ln QUALIFY row_number() OVER (PARTITION BY doc_id, n, part % 3 ORDER BY part, supp, l_extendedprice, qty) = 1), z AS (SELECT doc_id, max(n) AS r, max(part % 3 + 1) AS c FROM ln GROUP BY 1), g AS (SELECT doc_id, i::INT AS i, unnest(range(1, c + 1))::INT AS j FROM (SELECT doc_id, c, unnest(range(1, r + 1)) AS i FROM z)) SELECT g.doc_id AS table_id, i AS row_index, j AS col_index, coalesce(t, '') AS text FROM g LEFT JOIN f ON f.doc_id = g.doc_id AND f.n = i AND f.c = j",
     "lines_to_text": r"SELECT conv_id AS doc_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS text_md5, count(*) AS line_count, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')))::BIGINT AS word_count, round(avg(60 + turn % 40), 6) AS mean_confidence FROM conversations GROUP BY 1",
     "best_answer_per_query": f"WITH {ANSWERS} SELECT doc_id, query, answer, confidence, page_number FROM an WHERE answer <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, query ORDER BY confidence DESC, page_number, answer) = 1",
@@ -376,13 +457,15 @@ SQL = {
     "masked_values": f"""WITH c AS (SELECT c_custkey AS k, ['ssn', 'tax_id', 'dob', 'government_id', 'other'][c_custkey % 5 + 1] AS kind, {SSN} AS s, strftime(DATE '1950-01-01' + (c_custkey * 37 % 18000)::INT, '%Y') AS y FROM customer), v AS (SELECT *, k % 9 = 0 AND kind <> 'dob' AS short FROM c)
       SELECT k AS id, kind, CASE kind WHEN 'ssn' THEN '***-**-' || CASE WHEN short THEN '****' ELSE right(s, 4) END WHEN 'tax_id' THEN '**-***' || CASE WHEN short THEN '****' ELSE right(s, 4) END WHEN 'dob' THEN '****-**-**' ELSE '**REDACTED**' END AS masked,
         CASE kind WHEN 'ssn' THEN '***-**-' || CASE WHEN short THEN '****' ELSE right(s, 4) END WHEN 'tax_id' THEN '**-***' || CASE WHEN short THEN '****' ELSE right(s, 4) END WHEN 'dob' THEN '****-**-** (' || y || ')' WHEN 'government_id' THEN CASE WHEN short THEN '****' ELSE '****' || right(s, 4) END ELSE '[REDACTED]' END AS redacted FROM v""",
-    "mask_paths": f"SELECT c_nationkey AS id, md5(string_agg(c_custkey || ':***-**-' || right({DIGITS}, 4), ',' ORDER BY c_custkey)) AS owners_md5 FROM customer GROUP BY 1",
+    "mask_paths": f"SELECT c_custkey AS id, c_custkey || ':***-**-' || right({DIGITS}, 4) || ',' || c_custkey + 1 || ':***-**-' || right(lpad((c_custkey * 104729 % 1000000000)::VARCHAR, 9, '0'), 4) AS owners FROM customer",
     "encryption_round_trip": "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment, '[ENCRYPTED]' AS mark, CASE WHEN c_custkey % 3 > 0 THEN 2 ELSE 1 END AS sealed FROM customer",
     "access_report": "SELECT user_id AS accessor_id, floor(value)::BIGINT % 20 AS document_id, count(*) AS accesses, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE event_type = 'view' GROUP BY 1, 2",
     "validate_fields": """WITH c AS (SELECT c_custkey AS k, floor(c_acctbal) AS a, c_mktsegment[1] AS m FROM customer)
       SELECT k AS doc_id, 'amount' AS field_id, a BETWEEN 0 AND 5000 AS is_valid, CASE WHEN a < 0 THEN 'below_min' WHEN a > 5000 THEN 'above_max' ELSE '' END AS errors FROM c
       UNION ALL SELECT k, 'rate', k % 4 = 0 OR k % 17 <= 10, CASE WHEN k % 4 > 0 AND k % 17 > 10 THEN 'above_max' ELSE '' END FROM c UNION ALL SELECT k, 'mail', k % 3 = 0, CASE WHEN k % 3 = 0 THEN '' ELSE 'bad_email' END FROM c
       UNION ALL SELECT k, 'code', m IN ('A', 'B', 'C'), CASE WHEN m IN ('A', 'B', 'C') THEN '' ELSE 'pattern' END FROM c UNION ALL SELECT k, 'flag', k % 2 = 0, CASE WHEN k % 2 = 0 THEN '' ELSE 'unparsed' END FROM c UNION ALL SELECT k, 'absent', false, 'missing' FROM c""",
+    "validate_record": """WITH c AS (SELECT c_custkey AS doc_id, floor(c_acctbal) NOT BETWEEN 0 AND 5000 AS amount, c_custkey % 4 > 0 AND c_custkey % 17 > 10 AS rate, c_custkey % 3 > 0 AS mail, c_mktsegment[1] NOT IN ('A', 'B', 'C') AS code, c_custkey % 2 > 0 AS flag FROM customer)
+      SELECT doc_id, NOT (amount OR rate OR mail OR code OR flag) AS is_valid, 5 AS n_fields, amount::INT + rate::INT + mail::INT + code::INT + flag::INT AS n_errors, 0 AS n_warnings, concat_ws(',', CASE WHEN amount THEN 'amount' END, CASE WHEN code THEN 'code' END, CASE WHEN flag THEN 'flag' END, CASE WHEN mail THEN 'mail' END, CASE WHEN rate THEN 'rate' END) AS invalid FROM c""",
     "apply_overrides": "SELECT c_custkey AS doc_id, 'a.segment' AS path, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'NONE' END AS value, c_custkey % 3 = 0 AS defaulted FROM customer UNION ALL SELECT c_custkey, 'a.name', c_name, false FROM customer UNION ALL SELECT c_custkey, 'a.extra', 'E', true FROM customer",
     "loan_defaults": """WITH p AS (SELECT p_partkey AS k FROM part) SELECT k AS doc_id, CASE WHEN k % 5 = 0 THEN 'Q' ELSE 'C:MONTHLY' END AS payment_frequency, CASE WHEN k % 6 = 0 THEN 'B' WHEN k % 2 = 0 THEN 'A:INTEREST ONLY' ELSE 'F:PAYMENT AMOUNT INCLUDING INTEREST' END AS billing_type, CASE WHEN k % 7 = 0 THEN 'EUR' ELSE 'USD:US DOLLAR' END AS currency,
         CASE WHEN k % 8 = 0 THEN '365' ELSE '360ACTUAL:ACTUAL DAYS / 360 DAY YEAR' END AS day_count, CASE WHEN k % 9 = 0 THEN 'X' WHEN k % 4 = 0 THEN 'PRM:PRIME RATE LOAN' WHEN k % 4 = 1 THEN 'FIX:FIXED RATE LOAN' WHEN k % 4 = 2 THEN 'SOF:SOFR' END AS rate_code, CASE WHEN k % 10 = 0 THEN 'Y' WHEN k % 3 = 0 THEN 'WALLST:WALL STREET JOURNAL PRIME' WHEN k % 3 = 1 THEN 'SOFR:SOFR RATE' END AS index_code,
@@ -391,7 +474,8 @@ SQL = {
     "cross_reference": "WITH l AS (SELECT l_orderkey AS k, round(max(l_extendedprice), 0) AS v FROM lineitem GROUP BY 1) SELECT o_orderkey AS doc_id, 'total' AS field_a, 'lines' AS field_b, abs(round(o_totalprice, 0) - v) <= 20000 AS matches FROM orders JOIN l ON k = o_orderkey UNION ALL SELECT k, 'lines', 'lines', true FROM l",
     "authoritative_value": f"WITH {LINES}, f AS (SELECT doc_id, 'f' || part % 3 AS field_id, supp AS value, n FROM ln WHERE qty % 4 > 0) SELECT doc_id, field_id, min_by(value, n * 1000000 + value) AS value, count(DISTINCT value) > 1 AS discrepancy FROM f GROUP BY 1, 2",
     "sanity_rules": "WITH l AS (SELECT l_orderkey AS k, sum(l_quantity::INT)::DOUBLE AS a, max(l_linenumber) * 0.01::DOUBLE AS r, min(l_quantity::INT)::DOUBLE AS p, count(*) * 6 AS m, sum(l_linenumber) / 10.0::DOUBLE AS s FROM lineitem GROUP BY 1) SELECT k AS doc_id, concat_ws(',', CASE WHEN abs(a * r / 12 - p) > a * 0.01::DOUBLE THEN 'payment' END, CASE WHEN m < 12 OR m > 360 THEN 'term' END, CASE WHEN abs(s - 1) > 0.01::DOUBLE THEN 'shares' END) AS failed FROM l",
-    "leaf_paths": "SELECT event_id AS doc_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
+    "leaf_paths": f"WITH {LEAVES} SELECT doc_id, substr(name, 3) AS path, value FROM lf WHERE kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND levels <= 5 AND value <> '' AND NOT contains(name, '._')",
+    "count_fields": f"WITH {LEAVES} SELECT doc_id, count(*) FILTER (kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND levels BETWEEN 1 AND 5) AS fields FROM lf GROUP BY 1",
     "section_page_map": f"WITH {LINES} SELECT doc_id, 's' || part % 3 AS section_id, string_agg(DISTINCT n::VARCHAR, ',' ORDER BY n::VARCHAR) AS pages FROM ln GROUP BY 1, 2",
     "merge_partial_records": "SELECT user_id AS doc_id, min_by(props, (ts, event_id)) FILTER (event_type = 'view') AS a, min_by(event_id, (ts, event_id)) FILTER (event_type = 'click') AS b, count(*) AS parts FROM events GROUP BY 1",
     "deep_merge": f"""WITH {LINES}, f AS (SELECT doc_id, CASE WHEN part % 3 = 0 THEN 'x.l[' || n || ']' ELSE 'x.f' || n END AS path, part % 3 = 0 AS listed, supp % 2 AS o, max(supp) AS v FROM ln GROUP BY 1, 2, 3, 4), b AS (SELECT * FROM f a WHERE o = 0 AND NOT (listed AND EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.o = 1 AND c.listed))), n AS (SELECT * FROM f WHERE o = 1)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import extraction, pages, records, sources, workflow
+from docspark.plans import extraction, pages, records, sources, streams, workflow
 
-MODULES = [pages, workflow, records, sources, extraction]
+MODULES = [pages, workflow, records, sources, extraction, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docspark.operators import catalogue as C
 from docspark.operators import trees as G
+from docspark.operators.shared import shared_folder
 from docspark.sources import landing as L
 
 
@@ -69,6 +72,10 @@ def plugin_catalogue(spark, sf):
     return C.plugin_catalogue(s)
 
 
+def plugin_sections(spark, sf):
+    return C.plugin_sections(_t(spark, sf, "part").select((F.col("p_partkey") % 20).alias("plugin_id"), F.col("p_partkey").alias("ordinal"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("section_id")))
+
+
 def active_plugins(spark, sf):
     files = _t(spark, sf, "part").where("p_partkey % 3 > 0").select(F.col("p_brand").alias("plugin_id"), F.concat(F.lit("p."), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("value"))
     dynamic = _t(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("plugin_id"), F.concat(F.lit("p."), F.col("p_partkey").cast("string")).alias("path"), F.col("p_type").alias("value"), F.when(F.col("p_size") > 10, "published").otherwise("draft").alias("status"))
@@ -119,7 +126,33 @@ def heading_entries(spark, sf):
     return G.heading_entries(d).select("doc_id", "line", "structure", F.md5("title").alias("title_md5"))
 
 
-QUERIES = {f.__name__: f for f in (upload_metadata, initial_records, list_audit, route_oversize, hydrate, model_json, classify_by_filename, resolve_plugin, identified_types, plugin_catalogue, active_plugins, plugin_fields, wizard_config, label_kinds, grounded_values, visible_rows, backfill_stats, summary_by_type, heading_entries)}
+def landed(spark, sf):
+    """A folder with one file for each source: the texts of its documents, a line feed behind each."""
+    folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}/ingest"
+    rows = _t(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(folder)
+    return folder
+
+
+def scan_landing(spark, sf):
+    out = L.scan_landing(spark, landed(spark, sf), 1 << 40).where("file_name <> '_SUCCESS'")
+    return out.select(F.regexp_extract("document_id", "=(.*)$", 1).alias("source"), "file_size", "content_hash", "status")
+
+
+def reference_texts(spark, sf):
+    out = L.scan_reference_text(spark, landed(spark, sf))
+    return out.select("file_type", F.sha2("text", 256).alias("content_hash"), F.length("text").cast("bigint").alias("chars"))
+
+
+def write_audit(spark, sf):
+    """What was written, read back."""
+    folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    rows = _t(spark, sf, "events").select(F.col("user_id").alias("document_id"), "event_id", "event_type", F.round("value", 6).alias("value"))
+    L.write_audit(rows.repartition("document_id"), folder)
+    return spark.read.schema("document_id bigint, event_id bigint, event_type string, value double").json(folder).select("document_id", "event_id", "event_type", "value")
+
+
+QUERIES = {f.__name__: f for f in (scan_landing, reference_texts, write_audit, plugin_sections, upload_metadata, initial_records, list_audit, route_oversize, hydrate, model_json, classify_by_filename, resolve_plugin, identified_types, plugin_catalogue, active_plugins, plugin_fields, wizard_config, label_kinds, grounded_values, visible_rows, backfill_stats, summary_by_type, heading_entries)}
 
 SQL = {
     "upload_metadata": "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'both' ELSE 'extract' END AS mode, CASE WHEN doc_id % 4 > 0 THEN concat_ws(',', source, lang) ELSE '' END AS baseline_ids, CASE WHEN doc_id % 5 > 0 THEN lang END AS plugin_id FROM documents",
@@ -131,7 +164,11 @@ SQL = {
     "classify_by_filename": "WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'loan_agreement' WHEN 1 THEN 'bsa_profile' WHEN 2 THEN 'w2' WHEN 5 THEN 'drivers_license' END AS f FROM part) SELECT k AS document_id, CASE WHEN k % 4 = 0 THEN 'loan_package' ELSE coalesce(f, 'unknown') END AS document_type, CASE WHEN k % 4 > 0 AND f IS NOT NULL THEN 'medium' ELSE 'high' END AS confidence FROM p",
     "resolve_plugin": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS t FROM documents) SELECT doc_id AS document_id, t AS document_type, CASE WHEN t IN ('en', 'fr') THEN t WHEN t IN ('src1', 'src2') THEN 'en' WHEN t = 'src3' THEN 'fr' WHEN t = 'src4' THEN 'old4' WHEN t = 'src5' THEN 'old5' END AS plugin_id FROM d",
     "identified_types": "SELECT doc_id AS document_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'disclosure' END, CASE WHEN doc_id % 3 = 0 THEN 'form' END, CASE WHEN doc_id % 2 = 0 THEN 'note' END) AS types FROM documents",
-    "plugin_catalogue": "WITH w AS (SELECT p_partkey % 20 AS plugin_id, p_partkey AS o, i, string_split(p_name, ' ')[i] AS k FROM part, LATERAL (SELECT unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i) u), t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY plugin_id ORDER BY o, i) <= 10), kw AS (SELECT plugin_id, string_agg(k, ',' ORDER BY o, i) AS keywords FROM t GROUP BY 1) SELECT p_partkey % 20 AS plugin_id, any_value(keywords) AS keywords, string_agg('s' || p_partkey, ',' ORDER BY p_partkey) AS section_names, bool_or(p_size > 48) AS needs_signatures FROM part JOIN kw ON kw.plugin_id = p_partkey % 20 GROUP BY 1",
+    "plugin_catalogue": "WITH w AS (SELECT p_partkey % 20 AS plugin_id, p_partkey AS o, i, string_split(p_name, ' ')[i] AS k FROM part, LATERAL (SELECT unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i) u), t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY plugin_id ORDER BY o, i) <= 10), kw AS (SELECT plugin_id, string_agg(k, ',' ORDER BY o, i) AS keywords FROM t GROUP BY 1) SELECT p_partkey % 20 AS plugin_id, any_value(keywords) AS keywords, count(*) AS n_sections, bool_or(p_size > 48) AS needs_signatures FROM part JOIN kw ON kw.plugin_id = p_partkey % 20 GROUP BY 1",
+    "plugin_sections": "SELECT p_partkey % 20 AS plugin_id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS position, 's' || p_partkey AS section_id FROM part",
+    "scan_landing": "WITH f AS (SELECT coalesce(source, 'none') AS source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT source, octet_length(encode(t)) AS file_size, sha256(t) AS content_hash, 'PENDING' AS status FROM f",
+    "reference_texts": "WITH f AS (SELECT coalesce(source, 'none') AS source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT 'txt' AS file_type, sha256(t) AS content_hash, length(t) AS chars FROM f",
+    "write_audit": "SELECT user_id AS document_id, event_id, event_type, round(value, 6) AS value FROM events",
     "active_plugins": "SELECT p_brand AS plugin_id, 'p.' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN p_type ELSE p_name END AS value, CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN 'dynamic' ELSE 'file' END AS source FROM part WHERE p_partkey % 3 > 0 OR (p_partkey % 2 = 0 AND p_size > 10)",
     "plugin_fields": "SELECT p_partkey AS plugin_id, 'loan_amount' AS name, 'Loan Amount' AS label, 'number' AS type FROM part UNION ALL SELECT p_partkey, 'x' || p_size, p_name, 'string' FROM part",
     "wizard_config": "WITH k AS (SELECT DISTINCT p_brand, lower(p_name || ' ' || p_size) AS l FROM part), t AS (SELECT p_brand, string_agg(l, ',' ORDER BY l) AS keywords FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY l) <= 20) GROUP BY 1) SELECT p_brand AS plugin_id, any_value(keywords) AS keywords, least(50, max(p_size + 20)) AS max_pages, count(*) AS queries FROM part JOIN t USING (p_brand) GROUP BY 1",

@@ -15,7 +15,10 @@ def _t(spark, sf, name):
 
 def _events(spark, sf):
     """Events by document (the user): each type is a stage, an error is a failure."""
-    e = _t(spark, sf, "events")
+    return events_of(_t(spark, sf, "events"))
+
+
+def events_of(e):
     kinds = {"view": "router", "click": "extractor", "purchase": "normalizer", "signup": "compliance"}
     stage = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()), F.lit("router"))
     v = F.floor("value").cast("int")
@@ -51,9 +54,9 @@ VERDICTS = """vd AS (SELECT l_orderkey AS doc_id, (l_suppkey % 4)::VARCHAR AS ba
 
 def compliance_baselines(spark, sf):
     c = _t(spark, sf, "customer")
-    docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("p"), (F.col("c_nationkey") % 4).cast("string")).alias("plugin_id"), F.when(F.col("c_custkey") % 3 == 0, F.array((F.col("c_custkey") % 7).cast("string"), F.lit("1"))).otherwise(F.expr("cast(array() as array<string>)")).alias("baseline_ids"))
-    s = _t(spark, sf, "supplier").where("s_suppkey < 7")
-    baselines = s.select(F.col("s_suppkey").cast("string").alias("baseline_id"), F.when(F.col("s_suppkey") % 3 == 2, "draft").otherwise("published").alias("status"), F.array(F.concat(F.lit("p"), (F.col("s_suppkey") % 4).cast("string")), F.concat(F.lit("p"), ((F.col("s_suppkey") + 1) % 4).cast("string"))).alias("plugin_ids"))
+    docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("p"), (F.col("c_custkey") % 1000).cast("string")).alias("plugin_id"), F.when(F.col("c_custkey") % 3 == 0, F.array((F.col("c_custkey") % 7).cast("string"), F.lit("1"))).otherwise(F.expr("cast(array() as array<string>)")).alias("baseline_ids"))
+    s = _t(spark, sf, "supplier")
+    baselines = s.select(F.col("s_suppkey").cast("string").alias("baseline_id"), F.when(F.col("s_suppkey") % 3 == 2, "draft").otherwise("published").alias("status"), F.array(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")), F.concat(F.lit("p"), (F.col("s_suppkey") + 1).cast("string"))).alias("plugin_ids"))
     return C.select_baselines(docs, baselines)
 
 
@@ -63,11 +66,13 @@ def requirement_batches(spark, sf):
 
 
 def _requirements(spark, sf):
+    """Items as requirements of four baselines; their longer words are the terms."""
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-    return _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("requirement_id"), F.array_distinct(F.filter(F.slice(words, 1, 8), lambda w: F.length(w) > 5)).alias("terms")).where(F.size("terms") > 0)
+    k = F.col("item_id")
+    return _t(spark, sf, "benchmark").select(F.concat(F.lit("b"), (k % 4).cast("string")).alias("baseline_id"), k.cast("string").alias("requirement_id"), F.array_distinct(F.filter(words, lambda w: F.length(w) > 5)).alias("terms"))
 
 
-REQS = r"req AS (SELECT item_id::VARCHAR AS requirement_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')[1:8], lambda w: length(w) > 5))) AS term FROM benchmark)"
+REQS = r"rq AS (SELECT item_id::VARCHAR AS requirement_id, 'b' || item_id % 4 AS baseline_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 5)) AS terms FROM benchmark), req AS (SELECT requirement_id, unnest(terms) AS term FROM rq)"
 PAGES = "pg AS (SELECT doc_id, p::INT AS page_number, substr(t, ((p - 1) * 1500 + 1)::BIGINT, 1500) AS text FROM (SELECT doc_id, coalesce(text, '') AS t, greatest(1, ceil(length(coalesce(text, '')) / 1500.0))::BIGINT AS n FROM documents) d, LATERAL (SELECT unnest(range(1, n + 1)) AS p) u)"
 WORDS = r"wd AS (SELECT DISTINCT doc_id, page_number, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM pg)"
 
@@ -77,8 +82,10 @@ def candidate_pages(spark, sf):
 
 
 def evaluate_requirements(spark, sf):
-    out = C.evaluate_requirements(_requirements(spark, sf), P.paginate(_t(spark, sf, "documents").select("doc_id", "text")))
-    return out.withColumn("confidence", F.round("confidence", 6))
+    docs = _t(spark, sf, "documents")
+    chosen = docs.select("doc_id", F.concat(F.lit("b"), (F.col("doc_id") % 4).cast("string")).alias("baseline_id"))
+    out = C.evaluate_requirements(chosen, _requirements(spark, sf), P.paginate(docs.select("doc_id", "text")))
+    return out.withColumns({"confidence": F.round("confidence", 6), "page_references": F.coalesce(F.array_join(F.transform("page_references", lambda p: p.cast("string")), ","), F.lit(""))})
 
 
 def report_scores(spark, sf):
@@ -125,21 +132,22 @@ def extract_requirements(spark, sf):
 
 def append_requirements(spark, sf):
     b = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("baseline_id"), F.array(F.lit("General"), F.lit("c1")).alias("categories"), F.array("s_name").alias("requirements"), F.expr("cast(array() as array<string>)").alias("sources"))
-    new = _verdicts(spark, sf).where("seq % 7 = 0").select(F.col("supp").alias("baseline_id"), "category", F.concat_ws("-", "requirement_id", F.col("seq").cast("string")).alias("text"), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string")).alias("source"))
+    new = _verdicts(spark, sf).select(F.col("supp").alias("baseline_id"), "category", F.concat_ws("-", "requirement_id", F.col("seq").cast("string")).alias("text"), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string")).alias("source"))
     out = C.append_requirements(b, new)
     return out.select("baseline_id", *(F.array_join(c, ",").alias(c) for c in ("categories", "requirements", "sources")))
 
 
 def edit_requirements(spark, sf):
-    base = _t(spark, sf, "part").where("p_partkey % 4 <> 0").select((F.col("p_partkey") % 10).alias("baseline_id"), F.col("p_partkey").alias("requirement_id"), F.col("p_name").alias("text"))
+    base = _t(spark, sf, "part").select((F.col("p_partkey") % 10).alias("baseline_id"), F.col("p_partkey").alias("requirement_id"), F.col("p_name").alias("text"))
     op = F.when(F.col("l_quantity") < 17, "delete").when(F.col("l_quantity") < 34, "update").otherwise("add")
-    ops = _t(spark, sf, "lineitem").where("l_partkey % 3 = 0").select((F.col("l_partkey") % 10).alias("baseline_id"), F.col("l_partkey").alias("requirement_id"), op.alias("op"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("text"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("seq"))
+    part = F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey"))  # the negative ones are unknown
+    ops = _t(spark, sf, "lineitem").select((F.col("l_partkey") % 10).alias("baseline_id"), part.alias("requirement_id"), op.alias("op"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("text"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("seq"))
     return C.edit_requirements(base, ops)
 
 
 def baseline_lifecycle(spark, sf):
     s = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("baseline_id"), F.lit("draft").alias("status"), F.lit(0).alias("version"), (F.col("s_suppkey") % 3).alias("n_requirements"))
-    ops = _t(spark, sf, "lineitem").where("l_partkey % 11 = 0").select(F.col("l_suppkey").alias("baseline_id"), F.when(F.col("l_linenumber") % 2 == 0, "publish").otherwise("archive").alias("op"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"))
+    ops = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("baseline_id"), F.when(F.col("l_linenumber") % 2 == 0, "publish").otherwise("archive").alias("op"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"))
     return C.baseline_lifecycle(s, ops)
 
 
@@ -208,7 +216,8 @@ def document_cost(spark, sf):
 
 
 def processing_time(spark, sf):
-    return W.processing_time(_events(spark, sf).where("event_id % 50 = 0"))
+    daily = F.concat_ws("/", F.col("document_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    return W.processing_time(_events(spark, sf).withColumn("document_id", daily))
 
 
 def cost_rollup(spark, sf):
@@ -249,12 +258,13 @@ REVIEWED = f"""{VERDICTS}, v AS (SELECT doc_id AS report_id, requirement_id, ver
 FLAGS = ", ".join(f"max((stage = '{s}')::INT) AS {s}" for s in W.STAGES)
 
 SQL = {
-    "compliance_baselines": """WITH d AS (SELECT c_custkey AS doc_id, 'p' || c_nationkey % 4 AS plugin_id FROM customer), b AS (SELECT s_suppkey::VARCHAR AS baseline_id, ['p' || s_suppkey % 4, 'p' || (s_suppkey + 1) % 4] AS plugin_ids FROM supplier WHERE s_suppkey < 7 AND s_suppkey % 3 <> 2)
+    "compliance_baselines": """WITH d AS (SELECT c_custkey AS doc_id, 'p' || c_custkey % 1000 AS plugin_id FROM customer), b AS (SELECT s_suppkey::VARCHAR AS baseline_id, ['p' || s_suppkey, 'p' || (s_suppkey + 1)] AS plugin_ids FROM supplier WHERE s_suppkey % 3 <> 2)
       SELECT DISTINCT doc_id, baseline_id FROM d JOIN b ON CASE WHEN doc_id % 3 = 0 THEN baseline_id IN ((doc_id % 7)::VARCHAR, '1') ELSE list_contains(plugin_ids, plugin_id) END""",
     "requirement_batches": "SELECT l_suppkey::VARCHAR AS baseline_id, l_partkey AS requirement_id, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1) // 10)::INT AS batch FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)",
     "candidate_pages": f"WITH {REQS}, {PAGES}, {WORDS} SELECT requirement_id, doc_id, page_number, count(*)::INT AS found FROM wd JOIN req USING (term) GROUP BY 1, 2, 3",
-    "evaluate_requirements": f"""WITH {REQS}, {PAGES}, {WORDS}, n AS (SELECT requirement_id, count(*) AS k FROM req GROUP BY 1), h AS (SELECT requirement_id, doc_id, count(DISTINCT term) AS f, min(page_number) AS first_page FROM wd JOIN req USING (term) GROUP BY 1, 2)
-      SELECT requirement_id, doc_id, CASE WHEN f = k THEN 'PASS' ELSE 'PARTIAL' END AS verdict, round(f / k::DOUBLE, 6) AS confidence, first_page FROM h JOIN n USING (requirement_id)""",
+    "evaluate_requirements": f"""WITH {REQS}, {PAGES}, {WORDS}, h AS (SELECT requirement_id, doc_id, count(DISTINCT term) AS f, min(page_number) AS first_page, list_aggregate(list_sort(list(DISTINCT page_number)), 'string_agg', ',') AS page_references FROM wd JOIN req USING (term) GROUP BY 1, 2)
+      SELECT d.doc_id, rq.requirement_id, CASE WHEN coalesce(f, 0) = 0 THEN 'NOT_FOUND' WHEN f = len(terms) THEN 'PASS' ELSE 'PARTIAL' END AS verdict, CASE WHEN f > 0 THEN round(f / len(terms)::DOUBLE, 6) ELSE 0 END AS confidence, first_page, coalesce(page_references, '') AS page_references
+      FROM documents d JOIN rq ON baseline_id = 'b' || d.doc_id % 4 LEFT JOIN h ON h.doc_id = d.doc_id AND h.requirement_id = rq.requirement_id""",
     "report_scores": f"WITH {SCORES} SELECT * FROM sc",
     "scores_with_missing": f"WITH {SCORES} SELECT o_orderkey AS doc_id, coalesce(baseline_id, 'no_baselines') AS baseline_id, coalesce(overall_score, -1) AS overall_score FROM orders LEFT JOIN sc ON sc.doc_id = o_orderkey",
     "document_score": f"WITH {SCORES} SELECT doc_id, max_by(overall_score, baseline_id) AS compliance_score FROM sc JOIN orders ON o_orderkey = doc_id GROUP BY 1",
@@ -267,15 +277,15 @@ SQL = {
       CASE WHEN count(*) FILTER (verdict <> 'NOT_APPLICABLE') > 0 THEN round(count(*) FILTER (verdict = 'PASS') / (count(*) FILTER (verdict <> 'NOT_APPLICABLE'))::DOUBLE, 6) END AS pass_rate FROM vd GROUP BY CUBE (baseline_id, category, criticality)""",
     "extract_requirements": r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS l FROM documents), e AS (SELECT doc_id, i::INT - 1 AS seq, regexp_replace(regexp_replace(l[i], '^\s+', ''), '\s+$', '') AS t FROM s, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u)
       SELECT doc_id, seq, md5(t) AS text_md5, 'General' AS category, 'should-have' AS criticality FROM e WHERE regexp_matches(lower(t), '(^|[^\p{L}])(that|not|für|sur)([^\p{L}]|$)')""",
-    "append_requirements": f"""WITH {VERDICTS}, n AS (SELECT supp, category, requirement_id || '-' || seq AS t, 'src' || doc_id % 3 AS src FROM vd WHERE seq % 7 = 0),
+    "append_requirements": f"""WITH {VERDICTS}, n AS (SELECT supp, category, requirement_id || '-' || seq AS t, 'src' || doc_id % 3 AS src FROM vd),
       a AS (SELECT supp, string_agg(t, ',' ORDER BY t, category) AS t, string_agg(DISTINCT src, ',' ORDER BY src) AS src FROM n GROUP BY 1), c AS (SELECT s_suppkey AS supp, 'General' AS category FROM supplier UNION SELECT s_suppkey, 'c1' FROM supplier UNION SELECT supp, category FROM n)
       SELECT s_suppkey AS baseline_id, (SELECT string_agg(category, ',' ORDER BY category) FROM c WHERE c.supp = s_suppkey) AS categories, concat_ws(',', s_name, t) AS requirements, coalesce(src, '') AS sources FROM supplier LEFT JOIN a ON a.supp = s_suppkey""",
-    "edit_requirements": """WITH b AS (SELECT p_partkey % 10 AS baseline_id, p_partkey AS requirement_id, p_name AS text FROM part WHERE p_partkey % 4 <> 0),
-      o AS (SELECT l_partkey % 10 AS baseline_id, l_partkey AS requirement_id, CASE WHEN l_quantity < 17 THEN 'delete' WHEN l_quantity < 34 THEN 'update' ELSE 'add' END AS op, 't' || l_linenumber AS t FROM lineitem WHERE l_partkey % 3 = 0
-        QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
+    "edit_requirements": """WITH b AS (SELECT p_partkey % 10 AS baseline_id, p_partkey AS requirement_id, p_name AS text FROM part),
+      o AS (SELECT l_partkey % 10 AS baseline_id, CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END AS requirement_id, CASE WHEN l_quantity < 17 THEN 'delete' WHEN l_quantity < 34 THEN 'update' ELSE 'add' END AS op, 't' || l_linenumber AS t FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
       SELECT coalesce(b.baseline_id, o.baseline_id) AS baseline_id, coalesce(b.requirement_id, o.requirement_id) AS requirement_id, CASE WHEN op IN ('update', 'add') THEN t ELSE text END AS text, coalesce(text IS NULL AND op <> 'add', false) AS rejected
       FROM b FULL JOIN o ON b.requirement_id = o.requirement_id WHERE coalesce(op, 'keep') <> 'delete' OR text IS NULL""",
-    "baseline_lifecycle": """WITH o AS (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'publish' ELSE 'archive' END AS op FROM lineitem WHERE l_partkey % 11 = 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1)
+    "baseline_lifecycle": """WITH o AS (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'publish' ELSE 'archive' END AS op FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1)
       SELECT s_suppkey AS baseline_id, CASE WHEN op = 'publish' AND s_suppkey % 3 > 0 THEN 'published' WHEN op = 'archive' THEN 'archived' ELSE 'draft' END AS status, CASE WHEN op = 'publish' AND s_suppkey % 3 > 0 THEN 1 ELSE 0 END AS version FROM supplier LEFT JOIN o ON l_suppkey = s_suppkey""",
     "list_documents": f"WITH {DOCS} SELECT document_id, status FROM docs WHERE status = 'PENDING' AND document_id > 50 ORDER BY document_id LIMIT 100",
     "status_metrics": f"WITH {DOCS} SELECT 'status' AS kind, status AS name, count(*) AS n FROM docs GROUP BY 2 UNION ALL SELECT 'review', review_status, count(*) FROM docs GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM docs",
@@ -308,7 +318,7 @@ SQL = {
         q * 0.5::DOUBLE * (0.3::DOUBLE * 0.001::DOUBLE + 0.7::DOUBLE * 0.003::DOUBLE) + q * 0.07::DOUBLE * (0.3::DOUBLE * 0.005::DOUBLE + 0.7::DOUBLE * 0.015::DOUBLE) AS compliance, pages * 0.02::DOUBLE AS pages_, CASE WHEN cr THEN 15 ELSE 10 END * 0.000025::DOUBLE AS trans, (6 + pages) * 0.0000002::DOUBLE + 30 * 0.0000166667::DOUBLE AS compute FROM u)
       SELECT document_id, round(router, 6) AS router_cost, round(normalizer, 6) AS normalizer_cost, round(outline, 6) AS outline_cost, round(compliance, 6) AS compliance_cost, round(pages_, 6) AS pages_cost, round(trans, 6) AS transitions_cost, round(compute, 6) AS compute_cost,
         round(router + normalizer + outline + compliance + pages_ + trans + compute, 4) AS total_cost FROM c""",
-    "processing_time": f"""WITH {EVENTS}, s AS (SELECT document_id, greatest(0.0::DOUBLE, least(3600.0::DOUBLE, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6)) AS s FROM ev WHERE event_id % 50 = 0 GROUP BY 1)
+    "processing_time": f"""WITH {EVENTS}, s AS (SELECT document_id || '/' || strftime(ts, '%Y-%m-%d') AS document_id, greatest(0.0::DOUBLE, least(3600.0::DOUBLE, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6)) AS s FROM ev GROUP BY 1)
       SELECT document_id, round(s, 3) AS seconds, round(s * 0.3::DOUBLE, 3) AS router_seconds, round(s * 0.25::DOUBLE, 3) AS extractor_seconds, round(s * 0.15::DOUBLE, 3) AS normalizer_seconds, round(s * 0.3::DOUBLE, 3) AS compliance_seconds FROM s""",
     "cost_rollup": f"WITH {DOCS} SELECT document_type, strftime(created_at, '%Y-%m') AS month, grouping(document_type, strftime(created_at, '%Y-%m'))::INT AS level, count(*) AS documents, round(sum(cost), 2) AS cost, round(sum(cost) / count(*), 4) AS cost_per_document FROM docs GROUP BY ROLLUP (document_type, strftime(created_at, '%Y-%m'))",
     "budget_flags": f"WITH {DOCS} SELECT document_id, CASE WHEN cost > CASE document_type WHEN 'type_0' THEN 100000 WHEN 'type_1' THEN 20000 END THEN 'over' WHEN cost > CASE document_type WHEN 'type_0' THEN 50000 WHEN 'type_1' THEN 10000 END THEN 'warn' ELSE 'ok' END AS flag FROM docs",

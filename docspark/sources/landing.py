@@ -73,9 +73,10 @@ TEXT_TYPES = {"txt": "txt", "md": "md", "docx": "docx", "doc": "docx", "pptx": "
 def scan_reference_text(spark: SparkSession, folder: str) -> DataFrame:
     """Texts extracted before (``name.ext.txt`` or plain text) with the type of their name; others are left out."""
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file_name"))
-    ext = F.lower(F.regexp_extract(F.regexp_replace("file_name", r"(\.\w+)\.txt$", "$1"), r"\.(\w+)$", 1))
+    inner = F.lower(F.regexp_extract("file_name", r"\.(\w+)\.txt$", 1))
+    outer = F.lower(F.regexp_extract("file_name", r"\.(\w+)$", 1))
     kinds = F.create_map(*(F.lit(x) for pair in TEXT_TYPES.items() for x in pair))
-    return rows.withColumn("file_type", F.try_element_at(kinds, ext)).where("file_type is not null")
+    return rows.withColumn("file_type", F.coalesce(F.try_element_at(kinds, inner), F.try_element_at(kinds, outer))).where("file_type is not null")
 
 
 def _balanced(text: str | None) -> str | None:

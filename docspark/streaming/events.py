@@ -36,6 +36,48 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "stage").agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), "stage", "events")
 
 
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+    """Writes all that is there to ``out`` as Parquet. In complete mode each batch replaces the result; in append
+    mode it has a folder of its own, so a batch that runs again replaces only what it wrote before."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_pipeline(spark: SparkSession, folder: str, out: str, checkpoint: str, sections: DataFrame, rules: DataFrame, chars: int = 1500, files_per_batch: int = 1000):
+    """Files to pages to plans to records, micro-batch by micro-batch, with the batch operators.
+
+    Each batch hashes its files, marks copies of files known or earlier in the batch as DUPLICATE, cuts the
+    others' texts into pages, measures and selects them, and writes to ``out``: ``plans`` (doc_id, section_id,
+    section_pages) and ``records`` (doc_id, file_name, content_hash, status, original_id, pages, targeted_pages).
+    A batch writes to folders of its number, so one that runs again after a failure changes nothing. What
+    batches share is the table of records, read anew by each.
+    """
+    from docspark.operators import dedup, pages, shared
+    from docspark.operators import sections as S
+
+    schema = "doc_id string, file_name string, content_hash string, status string, original_id string, pages bigint, targeted_pages bigint"
+    spark.createDataFrame([], f"{schema}, batch int").write.mode("append").partitionBy("batch").parquet(f"{out}/records")
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        known = session.read.schema(f"{schema}, batch int").parquet(f"{out}/records").where(F.col("batch") < number).select("content_hash", F.col("doc_id").alias("document_id"))
+        files = shared.materialize(batch.select(F.col("document_id").alias("doc_id"), "file_name", F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text")))
+        status = dedup.dedup_against_history(files.select("doc_id", "content_hash"), known)
+        new = files.join(status.where("status = 'STARTED'").select("doc_id"), "doc_id", "left_semi")
+        scored = shared.materialize(S.page_scores(pages.page_quality(pages.paginate(new.select("doc_id", "text"), chars)), sections, rules))
+        plan = shared.materialize(S.extraction_plan(S.select_pages(scored, sections), scored, sections))
+        plan.write.mode("overwrite").parquet(f"{out}/plans/batch={number}")
+        covered = S.plan_coverage(plan, scored).select("doc_id", F.col("total_pages").cast("bigint").alias("pages"), F.col("targeted_pages").cast("bigint").alias("targeted_pages"))
+        records = files.drop("text").join(status.drop("content_hash"), "doc_id").join(covered, "doc_id", "left").select(*[c.split()[0] for c in schema.split(", ")])
+        records.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return _named(files).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def each_batch_with_config(stream: DataFrame, config_path: str, apply: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str):
     """Runs ``apply(batch, configuration)`` on each micro-batch, the configuration read anew, and appends the result."""
 

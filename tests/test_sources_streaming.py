@@ -77,6 +77,32 @@ def test_stream_with_config(spark, tmp_path):
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4, 6, 8]
 
 
+def test_stream_pipeline_equals_batch_and_survives_a_second_run(spark, tmp_path):
+    from docspark.operators import pages
+
+    texts = {"a": "the and that with of nation " * 40, "b": "que pour les " * 30, "c": "the and that with of nation " * 40, "d": "x"}
+    for name, text in texts.items():
+        path = tmp_path / "in" / "ingest" / name / f"{name}.txt"
+        path.parent.mkdir(parents=True)
+        path.write_text(text)
+    run = lambda: S.stream_pipeline(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), config.sections(spark), config.rules(spark), 200, 2).awaitTermination()
+    run()
+    read = lambda: {(r.doc_id, r.status, r.pages) for r in spark.read.parquet(str(tmp_path / "out/records")).collect()}
+    first = read()
+    assert {x[1] for x in first if x[0] in "ac"} == {"STARTED", "DUPLICATE"} and len(first) == 4
+    started = [n for n in texts if (n, "STARTED") in {x[:2] for x in first}]
+    quality = pages.page_quality(pages.paginate(spark.createDataFrame([(n, texts[n]) for n in started], "doc_id string, text string"), 200))
+    scored = sections.page_scores(quality, config.sections(spark), config.rules(spark))
+    want = sections.extraction_plan(sections.select_pages(scored, config.sections(spark)), scored, config.sections(spark))
+    plans = spark.read.parquet(str(tmp_path / "out/plans"))
+    assert sorted(map(str, plans.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    more = tmp_path / "in" / "ingest" / "e" / "e.txt"
+    more.parent.mkdir()
+    more.write_text(texts["b"])
+    run()
+    assert read() - first == {("e", "DUPLICATE", None)}
+
+
 def test_key_values_and_edges(spark):
     blocks = spark.createDataFrame(
         [(1, "k", "KEY_VALUE_SET", None, 90.0, ["KEY"], [("VALUE", ["v"]), ("CHILD", ["w1", "w2"])]), (1, "v", "KEY_VALUE_SET", None, 80.0, ["VALUE"], [("CHILD", ["w3"])]), (1, "w1", "WORD", "Loan", 99.0, [], []), (1, "w2", "WORD", "Amount", 99.0, [], []), (1, "w3", "WORD", "$5", 99.0, [], [])],
