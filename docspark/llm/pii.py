@@ -1,15 +1,19 @@
 """PII: format-preserving pseudonyms by a keyed Feistel network.
 
 Validated values are replaced within their own format: e-mail addresses (letters and digits of the
-local part), IPv4 addresses, North American phone numbers, social security numbers, card numbers of
-13 to 19 digits that pass the Luhn check (as do their pseudonyms), IBANs (with right check digits)
-and calendar dates from 1900 to 2099. Each kind has its own permutation of its own
-domain: a Feistel network over the bits of the value, walked until the value lies in the domain.
-So equal values have equal pseudonyms in all documents, different values different ones, and
-whoever has the key can invert them.
-
-Defined cases: a null text stays null with no findings; candidates that fail their check (an octet
-over 255, an impossible date, a wrong check digit) stay as they are. A card number or IBAN may stand
+local part, of any script and length), IPv4 addresses, North American phone numbers (with or without
+separators), social security numbers, card numbers of 13 to 19 digits that pass the Luhn check (as do
+their pseudonyms), IBANs (with right check digits) and calendar dates from 1900 to 2099. Each kind has
+its own permutation of its own domain: a Feistel network over the bits of the value, walked until the
+value lies in the domain. So equal values have equal pseudonyms in all documents, different values
+different ones, and whoever has the key can invert them. A value is what is meant, not how it is
+written: one day has one pseudonym in every form of date, one phone number or card in every spacing.
+
+Defined cases: a null text stays null with no findings, an empty one empty; texts of any length are read
+whole, in time that grows with their length. An empty table gives no rows. Candidates that fail their check
+(an octet over 255, an impossible date, a wrong check digit) stay as they are, and so do local parts
+without a letter or digit that could be exchanged; neither is counted. Dates with day and month in doubt
+count as day first. A card number or IBAN may stand
 beside other digits or words: each start is tried with every end at the edge of a group, and the longest
 that passes its check counts; after a failed check the search goes on right behind the start. Other columns, ties and repeated rows pass through.
 """
@@ -20,7 +24,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 from hashlib import blake2b
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from docspark.llm._common import fresh
 
 DEFAULT_KEY = "docspark example key"
-ROUNDS = 8
+ROUNDS, PIECE = 8, 32
 #: The alphabets within which a character of a local part is replaced.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àáâäçèéêëíîïñóôöùúûüß"]
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -40,7 +46,7 @@ NUMBERS = re.compile(
     r"|(?P<ymd>\d{4}([-/.])\d{1,2}\3\d{1,2})(?!\d)"
     r"|(?P<dmy>\d{1,2}([-/.])\d{1,2}\5\d{4})(?!\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![-\d])"
-    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"
+    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?[2-9]\d{9})(?!\d)"
     r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\d)"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r")"
@@ -48,7 +54,7 @@ NUMBERS = re.compile(
 #: The kinds with several ends, for a start whose first kind or first end fails its check.
 ENDS = {"card": re.compile(r"\d(?:[ -]?\d){12,18}"), "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")}
 LONGEST = 48
-EMAIL = re.compile(r"(?P<local>[\w%+-](?:[\w.%+-]{0,62}[\w%+-])?)@(?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
+DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 
 
 def permute(x: int, size: int, key: bytes, tweak: str, inverse: bool = False) -> int:
@@ -105,21 +111,22 @@ def _date(text: str, p: Permute) -> str | None:
     orders = [(a, m, b)] if year_first else [(b, m, a), (b, a, m)]
     for k, ymd in enumerate(orders):
         try:
-            n = (date(*ymd) - FIRST_DAY).days
+            day = date(*ymd)
         except ValueError:
             continue
+        n = (day - FIRST_DAY).days
         if not 0 <= n < DAYS:
             return None
-        # Of the two orders of day and month, the first that is a date counts, so the pseudonym must
-        # be read in the same order: walk on until it is.
+        # Days to the 12th stay such days, and later ones later, so that a pseudonym is read in the order of
+        # day and month in which its date was, and every form of a date has the same one.
         while True:
-            n = p(n, DAYS, f"date{len(parts[0])}{k}")
-            d = FIRST_DAY + timedelta(days=n)
-            if k == 0 or d.day > 12:
+            n = p(n, DAYS, "date")
+            new = FIRST_DAY + timedelta(days=n)
+            if (new.day > 12) == (day.day > 12):
                 break
-        x, y = (d.month, d.day) if year_first or k else (d.day, d.month)
-        x, y = (f"{v:02d}" for v in (x, y))
-        return _separated([f"{d.year}", x, y] if year_first else [x, y, f"{d.year}"], text)
+        width = 1 if min(map(len, parts)) == 1 else 2
+        x, y = (f"{v:0{width}d}" for v in ((new.month, new.day) if year_first or k else (new.day, new.month)))
+        return _separated([f"{new.year}", x, y] if year_first else [x, y, f"{new.year}"], text)
     return None
 
 
@@ -141,16 +148,15 @@ def _ssn(text: str, p: Permute) -> str | None:
 def _phone(text: str, p: Permute) -> str | None:
     digits = "".join(c for c in text if c.isdigit())
     head, own = digits[:-10], digits[-10:]
-    radix = [(2, 8) if d >= "2" else (0, 2) if k in (0, 3) else (0, 10) for k, d in enumerate(own)]
-    radix = [r if k in (0, 3) else (0, 10) for k, r in enumerate(radix)]
-    x, size = 0, 1
-    for d, (low, n) in zip(own, radix, strict=True):
-        x, size = x * n + int(d) - low, size * n
-    x, out = p(x, size, "phone"), []
-    for low, n in reversed(radix):
-        x, d = divmod(x, n)
-        out.append(str(d + low))
-    return _digits(text, head + "".join(reversed(out)))
+    # A number that could be dialled becomes another one: its area and exchange begin with 2 to 9, neither ends in 11.
+    plain = lambda d: d[0] >= "2" and d[3] >= "2" and "11" not in (d[1:3], d[4:6])
+    if len(text) == len(digits) and not plain(own):
+        return None
+    new = own
+    while True:
+        new = f"{p(int(new), 10**10, 'phone'):010d}"
+        if plain(new) == plain(own):
+            return _digits(text, head + new)
 
 
 def _card(text: str, p: Permute) -> str | None:
@@ -171,41 +177,76 @@ def _iban(text: str, p: Permute) -> str | None:
     country, body = plain[:2], plain[4:]
     if not 15 <= len(plain) <= 34 or int(plain[2:4]) != _iban_check(country, body):
         return None
-    body = _by_alphabet(body, p, f"iban{country}")
+    body = _by_alphabet(body, p, f"iban{country}") or body
     out = iter(f"{country}{_iban_check(country, body):02d}{body}")
     return "".join(c if c == " " else next(out) for c in text)
 
 
-def _by_alphabet(text: str, p: Permute, tweak: str) -> str:
-    """Each character stays in its alphabet; characters of no alphabet stay."""
-    kinds = [next((a for a in ALPHABETS if c in a), "") for c in text]
-    x, size = 0, 1
-    for c, a in zip(text, kinds, strict=True):
-        if a:
-            x, size = x * len(a) + a.index(c), size * len(a)
-    shape = "".join(str(ALPHABETS.index(a)) if a else c for c, a in zip(text, kinds, strict=True))
-    x, out = p(x, size, f"{tweak}{shape}"), []
-    for c, a in zip(reversed(text), reversed(kinds), strict=True):
-        if a:
-            x, d = divmod(x, len(a))
-            c = a[d]
-        out.append(c)
-    return "".join(reversed(out))
+@lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The characters that may stand for ``c``: of its fixed alphabet, else the letters or digits of its kind among
+    the 128 code points around it; empty for all other characters."""
+    for a in ALPHABETS:
+        if c in a:
+            return a
+    if category(c) not in ("Ll", "Lu", "Lo", "Nd"):
+        return ""
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(max(first, 128), first + 128)) if category(x) == category(c) and not any(x in a for a in ALPHABETS))
+
+
+def _by_alphabet(text: str, p: Permute, tweak: str) -> str | None:
+    """Each character stays in its alphabet; characters of no alphabet stay. None if all do.
+
+    A long text goes in pieces of PIECE characters, each permuted under what stands before it.
+    """
+    out, changed = [], False
+    for lo in range(0, len(text), PIECE):
+        piece = text[lo : lo + PIECE]
+        kinds = [_alphabet(c) for c in piece]
+        x, size = 0, 1
+        for c, a in zip(piece, kinds, strict=True):
+            if a:
+                x, size = x * len(a) + a.index(c), size * len(a)
+        if size > 1:
+            shape = "".join(f"<{a[0]}>" if a else c for c, a in zip(piece, kinds, strict=True))
+            before = blake2b(text[:lo].encode(), digest_size=16).hexdigest() if lo else ""
+            x, changed = p(x, size, f"{tweak}{shape}{before}"), True
+        new = []
+        for c, a in zip(reversed(piece), reversed(kinds), strict=True):
+            if a:
+                x, d = divmod(x, len(a))
+                c = a[d]
+            new.append(c)
+        out += reversed(new)
+    return "".join(out) if changed else None
 
 
 VALUES: dict[str, Callable[[str, Permute], str | None]] = {"ip": _ip, "ymd": _date, "dmy": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
 
 
+def _locals(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the local parts of e-mail addresses, each read once from its @ backwards."""
+    at, last = text.find("@"), 0
+    while at >= 0:
+        a = at
+        while a > last and (text[a - 1].isalnum() or text[a - 1] in "_%+.-"):
+            a -= 1
+        while a < at and text[a] in ".-":
+            a += 1
+        if a < at and text[at - 1] != "." and DOMAIN.match(text, at + 1):
+            yield a, at
+        last, at = at + 1, text.find("@", at + 1)
+
+
 def _spans(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
-    """(kind, end) to try for the start of ``m``: the kind it matched, then cards and IBANs, longest first."""
+    """(kind, end) to try for the start of ``m``, longest first: the kind it matched, and cards and IBANs."""
     a = m.start()
-    if m.lastgroup not in ENDS:
-        yield m.lastgroup, m.end()
+    out = [] if m.lastgroup in ENDS else [(m.lastgroup, m.end())]
     for kind, shape in ENDS.items():
         if shape.match(text, a):
-            for b in range(min(len(text), a + LONGEST), a + 12, -1):
-                if text[b - 1].isalnum() and not text[b : b + 1].isalnum() and shape.fullmatch(text, a, b):
-                    yield kind, b
+            out += [(kind, b) for b in range(min(len(text), a + LONGEST), a + 12, -1) if text[b - 1].isalnum() and not text[b : b + 1].isalnum() and shape.fullmatch(text, a, b)]
+    yield from sorted(out, key=lambda x: -x[1])
 
 
 def pseudonymize(text: str, key: bytes, found: list | None = None) -> str:
@@ -215,11 +256,12 @@ def pseudonymize(text: str, key: bytes, found: list | None = None) -> str:
         return permute(x, size, key, tweak)
 
     edits: list[tuple[int, int, str]] = []
-    if "@" in text:
-        for m in EMAIL.finditer(text):
-            edits.append((m.start("local"), m.end("local"), _by_alphabet(m["local"], p, "mail")))
+    for a, b in _locals(text):
+        new = _by_alphabet(text[a:b], p, "mail")
+        if new is not None:
+            edits.append((a, b, new))
             if found is not None:
-                found.append(("email", *m.span("local")))
+                found.append(("email", a, b))
     taken, at = [(a, b) for a, b, _ in edits], 0
     starts = [a for a, _ in taken]
 
