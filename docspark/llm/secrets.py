@@ -10,14 +10,16 @@ digests, of files.
 
 Training. No table holds findings, so labelled findings are generated by rule with their labels:
 random keys of many lengths and alphabets behind usual names, and look-alikes (digests, commit ids,
-paths, version strings, placeholders, joined words, counters). The dictionary and the transitions
-come from all documents' words: counts of words by groupBy, of which at most ``DICTIONARY``, the
-most frequent, are kept (a cut of the statistics, not of the rows scanned), so their size is
-bounded before they are sent around.
+paths, version strings, placeholders, joined words, counters, order and model numbers). The dictionary and the transitions
+come from the words of all documents, counted by groupBy: a word that stands alone (not in a run of
+key characters) is in the dictionary if it makes up at least ``WORD_SHARE`` of all such words. That
+rule is the same for every size of input, and there are never more than 1 / WORD_SHARE such words, so
+what is sent around is bounded.
 
 Defined cases: null and empty texts have no findings. A candidate that overlaps none and repeats
 gives a row each time. Rows with null ids are scanned and reported with it. Repeated rows report
-repeatedly. Extra columns are ignored. An empty table has no findings.
+repeatedly, with equal scores. Texts and candidates of any length are read whole. Extra columns are
+ignored. An empty table has no findings; the dictionary is then empty, and the forest is trained all the same.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 
 from docspark.llm._common import materialize
 
-DICTIONARY, FINDINGS, CONTEXT = 20_000, 4000, 40
+WORD_SHARE, FINDINGS, CONTEXT = 1e-5, 4000, 40
+#: What may stand around a word that stands alone.
+MARKS = ".,;:!?\"'()[]«»„“”…"
 #: Each possessive part starts at the edge of a run only, so that no character is read more than a few times.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.-]*+\d)(?=[0-9+/_.-]*+[A-Za-z])[A-Za-z0-9+/_.-]{12,}+(?:={1,2}+(?![A-Za-z0-9+/_.@=-]))?+(?!@)")
 ASSIGNED = re.compile(r"(?::=|=>?|:)\s{0,3}(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)')")
@@ -124,7 +128,7 @@ def labelled_findings(words: list[str], n: int = FINDINGS, seed: int = 11) -> li
             before = f"{sentence()} {rng.choice(names)}{sep}{quote}" if rng.random() < 0.92 else f"{sentence()} {quote}"
             out.append((value, before[-CONTEXT:], quote + " " + word(), 1))
             continue
-        kind = rng.randrange(8)
+        kind = rng.randrange(11)
         value, before = [
             lambda: (key(hexa, rng.choice([32, 40, 64])), f"{sentence()} {rng.choice(['sha256:', 'md5 ', 'commit ', 'checksum: ', 'etag=', 'revision '])}{quote}"),
             lambda: ("/".join([word(), word(), f"{word()}{rng.randint(1, 99)}.{rng.choice(['html', 'js', 'png', 'txt'])}"]), f"{sentence()} {rng.choice(['https://', 'file ', 'path: ', '/'])}"),
@@ -133,39 +137,46 @@ def labelled_findings(words: list[str], n: int = FINDINGS, seed: int = 11) -> li
             lambda: ("".join(word() for _ in range(rng.randint(2, 4))) + str(rng.randint(1, 2030)), f"{sentence()} "),
             lambda: (f"{word()}_{word()}_{rng.randint(1, 9999):06d}", f"{sentence()} {rng.choice(['id=', 'name: ', 'row ', ''])}{quote}"),
             lambda: ("-".join([key(hexa, 8), key(hexa, 4), key(hexa, 4), key(hexa, 4), key(hexa, 12)]), f"{sentence()} {rng.choice(['uuid ', 'guid: ', 'id ', 'request '])}{quote}"),
+            lambda: ("-".join([key(base[:26], rng.randint(2, 4)), *(key(rng.choice([base[:26], base[52:], base[52:]]), rng.randint(1, 6)) for _ in range(rng.randint(2, 4)))]), f"{sentence()} {rng.choice(['number ', 'no. ', '', 'model '])}"),
+            lambda: ("-".join([word().title(), word().title(), f"{key(base[:26], 1)}{rng.randint(1, 9999)}{rng.choice(['', 'w', 'x', 'b'])}", word()]), f"{sentence()} "),
+            lambda: (rng.choice("_.").join([word(), word(), str(rng.randint(1900, 2030)), rng.choice(["v2", "final", "docx", "bak"])]), f"{sentence()} {rng.choice(['name ', 'file ', ''])}"),
             lambda: (f"20{rng.randint(10, 30)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T{rng.randint(10, 23)}.{rng.randint(10, 59)}.00Z", f"{sentence()} "),
         ][kind]()
         out.append((value, before[-CONTEXT:], quote + " " + word(), 0))
     return out
 
 
-def dictionary(docs: DataFrame, text_col: str, size: int = DICTIONARY) -> dict[str, int]:
-    """The most frequent words of 4 to 14 letters in all documents, at most ``size``, with their counts.
+def words_alone(counts: Counter) -> Counter:
+    """Words of 4 to 14 letters among the white-space delimited tokens counted, without marks around them."""
+    out: Counter = Counter()
+    for token, n in counts.items():
+        w = token.strip(MARKS)
+        if 4 <= len(w) <= 14 and w.isalpha():
+            out[w] += n
+    return out
+
 
-    Words of about the same count are in or out together, so which words are kept does not hang on ties.
-    """
+def dictionary(docs: DataFrame, text_col: str, share: float = WORD_SHARE) -> dict[str, int]:
+    """The words that make up at least ``share`` of the words of all documents, with their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            found = words_alone(own)
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
-                own.update(w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if 4 <= len(w) <= 14)
-            if len(own) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array(list(own.values()), pa.int64())], names=["w", "n"])
-                own.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["w", "n"])
-
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    words = materialize(rows)
-    # A histogram of the counts gives the count from which on the words are few enough to be sent.
-    level = F.floor(F.log2("n") * 16)
-    kept, least = 0, None
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
-        kept += r["count"]
-        if kept > size:
-            break
-        least = r["level"]
-    return {} if least is None else {r.w: r.n for r in words.where(level >= least).collect()}
+                own.update((t or "").lower().split())
+                if len(own) > 300_000:
+                    yield rows()
+                    own.clear()
+        yield rows()
+
+    words = materialize(docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return {r.w: r.n for r in words.where(F.col("n") >= share * total).collect()}
 
 
 def fit_forest(spark, words: dict[str, int], trees: int = 30, depth: int = 8):
