@@ -15,18 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a temporary folder is used.
+    The folder is the one that the session names in ``spark.checkpoint.dir``.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, set where it is not."""
+    """The checkpoint folder. Where none is named, a temporary one on one machine only; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docspark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docspark-"))
     return sc.getCheckpointDir()
 
 

@@ -8,12 +8,14 @@ whole page. The labelled blocks, references decoded and white space folded, are
 
 The labeller is trained here, at each call, on ``TRAIN_PAGES`` generated pages: layouts are drawn by
 rule (menus, headers, sidebars, notices, adverts, forms, comments and articles in many kinds of
-containers, partly broken markup), and their sentences come from at most ``SAMPLE_PAGES`` pages of
-the table, picked by the hash of their id. These two bounds are for training only; extraction reads
-every page whole.
+containers, partly broken markup), and their sentences are all blocks of ``SAMPLE_PAGES`` pages of the
+table, those with the smallest hashes of id and html, so that equal tables give equal models however
+they are dealt. These two bounds are for training only; extraction reads every page whole.
 
 Defined cases: null html is empty and has the empty text. Pages without blocks, or without main
-blocks, have the empty text. Repeated rows have equal texts. Extra columns are ignored.
+blocks, have the empty text. Repeated rows have equal texts, pages of any length are one sequence, rows
+with a null id are extracted like others. An empty table gives no rows; the labeller then learns from two
+fixed sentences. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -427,7 +429,7 @@ class Layouts:
 def train(sample: list[str], pages: int = TRAIN_PAGES) -> Labeller:
     """The labeller, trained on generated pages with sentences of the sample."""
     vocabulary = Vocabulary()
-    sentences = [t for page in sample for t, _, _, _ in blocks(page, vocabulary)][:5000] or ["One two three four five.", "Six seven eight."]
+    sentences = [t for page in sample for t, _, _, _ in blocks(page, vocabulary)] or ["One two three four five.", "Six seven eight."]
     layouts, x, y = Layouts(sentences), [], []
     for _ in range(pages):
         page, labels = layouts.page()
@@ -477,9 +479,11 @@ def fit_on(rows: DataFrame, sample_pages: int = SAMPLE_PAGES, train_pages: int =
         weights = train(sorted(sample), train_pages).w
         yield pa.RecordBatch.from_arrays([pa.array(list(weights)), pa.array([w.tobytes() for w in weights.values()], pa.binary())], names=["name", "data"])
 
-    fraction = min(1.0, sample_pages / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(fraction * 1_000_000) + 1)
-    sample = picked.select(F.substring("html", 1, 50_000).alias("html")).limit(2 * sample_pages).repartition(1)
+    # The ids are found by their hashes first, so that no other page's html is moved.
+    digest = F.xxhash64("page_id", "html").alias("digest")
+    least = rows.select(digest).distinct().orderBy("digest").limit(sample_pages)
+    picked = rows.select(digest, "html").join(F.broadcast(least), "digest")  # at most sample_pages rows
+    sample = picked.groupBy("digest").agg(F.min("html").alias("html")).select("html").repartition(1)
     model = Labeller()
     for name, data in sample.mapInArrow(run, "name string, data binary").collect():
         model.w[name] = np.frombuffer(data, np.float32).reshape(model.w[name].shape)
