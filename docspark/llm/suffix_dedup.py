@@ -1,8 +1,8 @@
-"""Suffix-array dedup: repeated strings of ``LENGTH`` bytes across and within documents.
+"""Suffix-array dedup: repeated strings of 400 bytes, and of 51 words, across and within documents.
 
-The suffixes that matter are those that agree with another over LENGTH bytes. They are found
-blockwise, by a difference cover of period 307 (18 residues; every shift is the difference of exactly
-one pair):
+The suffixes that matter are those that agree with another over the length asked for. They are found
+blockwise, by a difference cover (for bytes of period 307 with 18 residues; every shift is the
+difference of exactly one pair):
 
 1. Cover sample. Any two equal strings of 400 bytes hold a pair of equal 94-byte strings that both
    start at cover positions. Only these (6 % of all positions) are named: a name is the hash of the
@@ -21,18 +21,26 @@ one pair):
 3. Those starts, and the few without a cut point, are named by their full 400 bytes, and sorted in
    buckets as in 1.
 
+What is kept of the classical construction is the difference-cover sample and the buckets that are
+sorted one at a time. What is not: the order of suffixes is that of hashed names, not of their bytes,
+and ties are settled by names of cells, not by ranks of the sample (README says why, with figures).
+
+The same rounds run over words (runs of bytes other than ASCII white space) with a cover of period 31:
+they find passages of more than 50 words that stand elsewhere too, whatever white space is between
+their words. Both levels share the blocks and the shuffles.
+
 Documents travel in blocks of about ``BLOCK_BYTES``, compressed and checkpointed, and are shuffled
 once for all rounds; rounds exchange packed arrays of names, one row for a block and a
 bucket, and get back one or two bits a name. Every name comes once from each block at most, so
-passages with any number of copies cost a bucket one entry a block. Memory holds one block, or one
-bucket, whose number grows with the data.
+passages with any number of copies cost a bucket one entry a block. Memory holds one block, or the names
+of one bucket, whose number grows with the data and of which ``SORTED`` at most are sorted at once.
 
 Names of cover positions have 48 bits besides their bucket's (a chance match only costs time), names
 that settle a repeat, of spans and full strings, 96.
 
-Defined cases: null and empty texts have nothing to remove; texts shorter than LENGTH likewise.
-Repeated rows are copies of each other, and go whole if they have LENGTH bytes or more. Extra
-columns are ignored. An empty table gives no rows.
+Defined cases: null and empty texts have nothing to remove; texts shorter than the length likewise.
+Repeated rows are copies of each other, and go whole if they are long enough. Extra columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,14 +54,12 @@ from pyspark.sql import functions as F
 
 from docspark.llm._common import materialize, n_shuffle
 
-LENGTH, ORDER, GRAM, CUTS = 400, 17, 16, (64, 16)
-PERIOD = ORDER * ORDER + ORDER + 1
-NAMED = LENGTH - PERIOD + 1
-BLOCK_BYTES, BUCKET_TEXT = 2 << 20, 1 << 27
+BLOCK_BYTES, BUCKET_TEXT, SORTED = 2 << 20, 1 << 28, 1 << 22
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F)
-
-
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTER = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def difference_cover(q: int) -> np.ndarray:
@@ -72,10 +78,6 @@ def difference_cover(q: int) -> np.ndarray:
     raise ValueError("no difference set")
 
 
-COVER = np.zeros(PERIOD, bool)
-COVER[difference_cover(ORDER)] = True
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = b >> U(32)
     x ^= b
@@ -96,78 +98,96 @@ def _double(h: np.ndarray, n: int) -> np.ndarray:
     return _mix(h, np.concatenate([h[n:], h[:n]]))
 
 
-class Text:
-    """The documents of a block in one buffer."""
+class Units:
+    """The documents of a block as one sequence of units, each with a symbol of 64 bits.
+
+    ``length``: units of a repeated string; ``order``: of the difference cover; ``gram``: units that make a cut
+    point; ``cuts``: one in so many positions is one; ``reach``: units that a symbol covers.
+    """
+
+    length: int
+    order: int
+    gram: int
+    cuts: tuple[int, ...]
+    reach: int
+
+    def __init_subclass__(cls) -> None:
+        cls.period = cls.order * cls.order + cls.order + 1
+        cls.named = cls.length - cls.period + 1
+        cls.in_cover = np.zeros(cls.period, bool)
+        cls.in_cover[difference_cover(cls.order)] = True
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
+        self.symbols = symbols
+        self.end = np.cumsum(sizes)
+        self.start = self.end - sizes
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    def cover_names(self, p: np.ndarray) -> np.ndarray:
+        return self.string_hash(self.sums(1)[0], p, p + self.named)
 
-    def __init__(self, payload: bytes, lengths: np.ndarray):
-        self.buf = np.frombuffer(payload, np.uint8)
-        self.end = np.cumsum(lengths)
-        self.start = self.end - lengths
-        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    def full_names(self, starts: np.ndarray) -> np.ndarray:
+        return self.string_hash(self.sums(1)[0], starts, starts + self.length)
+
+    def grams(self) -> np.ndarray:
+        """Hashes of ``gram`` units from each position."""
+        raise NotImplementedError
 
     def cover(self) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions where a named string fits into its document, and their names."""
-        h16 = _double(_words(self.buf), 8)
-        h32 = _double(h16, 16)
-        h64 = _double(h32, 32)
-        at = np.arange(len(self.buf)) - self.start[self.doc]
-        at %= PERIOD
-        p = np.flatnonzero(COVER[at])
-        p = p[p + NAMED <= self.end[self.doc[p]]]
-        return p, _mix(h64[p], h32[p + NAMED - 32])
+        at = np.arange(len(self.symbols)) - self.start[self.doc]
+        at %= self.period
+        p = np.flatnonzero(self.in_cover[at])
+        p = p[p + self.named <= self.end[self.doc[p]]]
+        return p, self.cover_names(p)
 
     def zone(self, p: np.ndarray) -> np.ndarray:
-        """Starts with one of the cover positions ``p`` in the period from them, where LENGTH bytes fit."""
+        """Starts with one of the cover positions ``p`` in the period from them, where a whole string fits."""
         d = self.doc[p]
-        return self._ranges(np.maximum(p - PERIOD + 1, self.start[d]), np.minimum(p, self.end[d] - LENGTH))
+        return self.ranges(np.maximum(p - self.period + 1, self.start[d]), np.minimum(p, self.end[d] - self.length))
 
-    def _ranges(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def ranges(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Sorted positions of the union of ranges, ends included."""
         keep = lo <= hi
-        n = len(self.buf) + 1
+        n = len(self.symbols) + 1
         depth = np.cumsum(np.bincount(lo[keep], minlength=n) - np.bincount(hi[keep] + 1, minlength=n)[:n])
         return np.flatnonzero(depth > 0)
 
-    def sums(self) -> list[tuple]:
-        """Two sets of prefix sums for hashes of strings of any length, over mixed 8-byte words."""
-        w = _words(self.buf)
+    def sums(self, n: int = 2) -> list[tuple]:
+        """Sets of prefix sums for hashes of strings of any length, over mixed symbols."""
+        w = self.symbols
         out = []
-        for k, m in enumerate((M1, M3)):
+        for k, m in enumerate((M1, M3)[:n]):
             v = (w ^ (w >> U(31))) * (M2 if k else M3)
             v ^= v >> U(29)
             v *= m
             v ^= v >> U(32)
-            power = np.full(len(v), m | U(5), np.uint64)
-            power[:1] = 1
-            np.cumprod(power, out=power)
-            inverse = np.full(len(v), U(pow(int(m | U(5)), -1, 1 << 64)), np.uint64)
-            inverse[:1] = 1
-            np.cumprod(inverse, out=inverse)
+            power, inverse = _powers(m | U(5), len(v))
             out.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power, dtype=np.uint64)]), inverse))
         return out
 
-    @staticmethod
-    def string_hash(sums: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from a to b, at least 8 of them."""
+    def string_hash(self, sums: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the units from a to b, at least ``reach`` of them."""
         total, inverse = sums
-        x = (total[b - 7] - total[a]) * inverse[a]
+        x = (total[b - self.reach + 1] - total[a]) * inverse[a]
         return _mix(x, (b - a).astype(np.uint64))
 
     def cells(self, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """Cells of the starts: first and last start, first and last cut point; and starts without a cut."""
-        h16 = _double(_words(self.buf), 8)
-        h = _mix(h16, h16)
+        h = self.grams()
+        h = _mix(h, h)
         found = []
-        for k, density in enumerate(CUTS):
+        for k, density in enumerate(self.cuts):
             cut = np.flatnonzero((h >> U(40 - 16 * k)) & U(density - 1) == 0)
-            cut = cut[cut + GRAM <= self.end[self.doc[cut]]]
+            cut = cut[cut + self.gram <= self.end[self.doc[cut]]]
             *cells, starts = self._cells_by(cut, starts)
             found.append(cells)
         return (*(np.concatenate(x) for x in zip(*found, strict=True)), starts)
 
     def _cells_by(self, cut: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        inner = self.length - self.gram
         f = np.searchsorted(cut, starts)
-        z = np.searchsorted(cut, starts + LENGTH - GRAM, "right") - 1
+        z = np.searchsorted(cut, starts + inner, "right") - 1
         bare = starts[f > z]
         one = np.flatnonzero(f <= z)
         if len(one):
@@ -176,12 +196,76 @@ class Text:
         f, z, d = f[one], z[one], self.doc[starts[one]]
         first, last = cut[f], cut[z]
         before = np.concatenate([[-1], cut])[f]
-        after = np.concatenate([cut, [len(self.buf) + LENGTH]])[z + 1]
-        lo = np.maximum(np.maximum(before + 1, last - LENGTH + GRAM), self.start[d])
-        hi = np.minimum(np.minimum(first, after - LENGTH + GRAM - 1), self.end[d] - LENGTH)
+        after = np.concatenate([cut, [len(self.symbols) + self.length]])[z + 1]
+        lo = np.maximum(np.maximum(before + 1, last - inner), self.start[d])
+        hi = np.minimum(np.minimum(first, after - inner - 1), self.end[d] - self.length)
         return lo, hi, first, last, bare
 
 
+def _powers(m: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and their inverses modulo 2**64."""
+    power, inverse = np.full(n, m, np.uint64), np.full(n, U(pow(int(m), -1, 1 << 64)), np.uint64)
+    power[:1] = inverse[:1] = 1
+    np.cumprod(power, out=power)
+    np.cumprod(inverse, out=inverse)
+    return power, inverse
+
+
+class Bytes(Units):
+    """Strings of 400 bytes; a symbol is the 8 bytes from its position."""
+
+    length, order, gram, cuts, reach = 400, 17, 16, (64, 16), 8
+
+    def __init__(self, buf: np.ndarray, lengths: np.ndarray):
+        super().__init__(_words(buf), lengths)
+
+    def grams(self) -> np.ndarray:
+        return _double(self.symbols, 8)
+
+    def _h64(self) -> tuple[np.ndarray, np.ndarray]:
+        h32 = _double(self.grams(), 16)
+        return _double(h32, 32), h32
+
+    def cover_names(self, p: np.ndarray) -> np.ndarray:
+        h64, h32 = self._h64()
+        return _mix(h64[p], h32[p + self.named - 32])
+
+    def full_names(self, starts: np.ndarray) -> np.ndarray:
+        h64, _ = self._h64()
+        name = h64[starts]
+        for k in (64, 128, 192, 256, 320, self.length - 64):
+            name = _mix(name, h64[starts + k])
+        return name
+
+
+class Words(Units):
+    """Passages of 51 words; a symbol is the hash of a word, a run of bytes other than white space."""
+
+    length, order, gram, cuts, reach = 51, 5, 2, (8, 2), 1
+
+    def __init__(self, buf: np.ndarray, lengths: np.ndarray):
+        ends = np.cumsum(lengths)
+        inner = ~SPACE[buf]
+        begins, stops = inner.copy(), inner.copy()
+        begins[1:] &= ~inner[:-1]
+        stops[:-1] &= ~inner[1:]
+        edge = ends[lengths > 0]
+        begins[(edge - lengths[lengths > 0])] |= inner[edge - lengths[lengths > 0]]
+        stops[edge - 1] |= inner[edge - 1]
+        a, z = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        power, inverse = _powers(M1 | U(5), len(buf))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[buf] * power, dtype=np.uint64)])
+        symbols = _mix((total[z] - total[a]) * inverse[a], (z - a).astype(np.uint64))
+        doc = np.searchsorted(ends, a, "right")
+        super().__init__(symbols, np.bincount(doc, minlength=len(lengths)))
+
+    def grams(self) -> np.ndarray:
+        return _double(self.symbols, 1)
+
+
+LEVELS = (Bytes, Words)
+
+
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(bucket, indexes of its rows, in order)."""
     order = np.argsort(bucket, kind="stable")
@@ -240,7 +324,7 @@ STRING = np.dtype([("span", "<u8"), ("more", "<u4")])
 
 
 class Rounds:
-    """What a block sends and does in each round. ``buckets``: number of suffix buckets.
+    """What a block sends and does in each round at one level. ``buckets``: number of suffix buckets.
 
     A block sends each distinct name once, in the order of its first occurrence, and keeps the
     names' buckets; the replies have a bit or two for each, in the same order. Later occurrences
@@ -262,25 +346,25 @@ class Rounds:
     def _bucket(self, names: np.ndarray) -> np.ndarray:
         return (names % U(self.buckets)).astype(np.int64)
 
-    def names(self, text: Text) -> list[tuple[int, bytes]]:
-        names = np.unique(text.cover()[1])
+    def names(self, units: Units, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
+        names = np.unique(units.cover()[1])
         rows = np.empty(len(names), NAME)
         rows["low"], rows["high"] = names >> U(16) & U(0xFFFFFFFF), names >> U(48)
         return self._send(rows, self._bucket(names))
 
-    def spans(self, text: Text, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
-        p, names = text.cover()
+    def spans(self, units: Units, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
+        p, names = units.cover()
         distinct, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
         (again,) = self._reply(self._bucket(distinct), replies)
-        lo, hi, first, last, bare = text.cells(text.zone(p[(again | (count > 1))[inverse]]))
+        lo, hi, first, last, bare = units.cells(units.zone(p[(again | (count > 1))[inverse]]))
         if not len(lo) and not len(bare):
             return []
         rows = np.empty(len(lo), SPAN)
         if len(lo):
-            one, two = text.sums()
-            rows["core"] = text.string_hash(one, first, last + GRAM)
-            rows["span"] = _mix(text.string_hash(one, lo, hi + LENGTH), (first - lo).astype(np.uint64))
-            rows["more"] = text.string_hash(two, lo, hi + LENGTH) >> U(32)
+            one, two = units.sums()
+            rows["core"] = units.string_hash(one, first, last + units.gram)
+            rows["span"] = _mix(units.string_hash(one, lo, hi + units.length), (first - lo).astype(np.uint64))
+            rows["more"] = units.string_hash(two, lo, hi + units.length) >> U(32)
         kind = _kinds(rows["core"], rows["span"], rows["more"])
         bucket = self._bucket(rows["core"][kind > 0])
         order = np.argsort(lo, kind="stable")  # packs best; the first of equal cells stays known by its kind
@@ -288,7 +372,7 @@ class Rounds:
         state = _pack(_steps(lo[order]), (hi - lo)[order], kind[order], place[order][kind[order] > 0], bucket, _steps(bare))
         return [*self._send(rows[kind > 0], bucket), (-1, state)]
 
-    def strings(self, text: Text, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
+    def strings(self, units: Units, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
         if -1 not in replies:
             return []
         lo, size, kind, place, bucket, bare = _unpack(replies[-1])
@@ -298,34 +382,50 @@ class Rounds:
         again, single = kind != 1, np.zeros(len(kind), bool)
         again[kind > 0] |= reply[0][place]
         single[kind > 0] = reply[1][place]
-        starts = np.union1d(text._ranges(lo[single], hi[single]), bare) if single.any() else bare
+        starts = np.union1d(units.ranges(lo[single], hi[single]), bare) if single.any() else bare
         state = [_steps(lo[again]), size[again], _steps(starts)]
         rows = np.empty(len(starts), STRING)
         if len(starts):
-            h64 = _double(_double(_double(_words(text.buf), 8), 16), 32)
-            name = h64[starts]
-            for k in (64, 128, 192, 256, 320, LENGTH - 64):
-                name = _mix(name, h64[starts + k])
-            rows["span"], rows["more"] = name, text.string_hash(text.sums()[1], starts, starts + LENGTH) >> U(32)
+            rows["span"], rows["more"] = units.full_names(starts), units.string_hash(units.sums()[1], starts, starts + units.length) >> U(32)
         kind = _kinds(rows["span"], rows["more"])
         bucket = self._bucket(rows["span"][kind > 0])
         return [*self._send(rows[kind > 0], bucket), (-1, _pack(*state, kind, bucket))]
 
-    def removed(self, text: Text, replies: dict[int, bytes]) -> np.ndarray:
-        """Mask of the bytes that go."""
-        gone = np.zeros(len(text.buf), bool)
+    def removed(self, units: Units, replies: dict[int, bytes]) -> np.ndarray:
+        """Mask of the units that go."""
+        gone = np.zeros(len(units.symbols), bool)
         if -1 not in replies:
             return gone
         lo, size, starts, kind, bucket = _unpack(replies[-1])
         lo, starts, again = np.cumsum(lo), np.cumsum(starts), kind != 1
         again[kind > 0] |= self._reply(bucket, replies)[0]
         starts = starts[again]
-        gone[text._ranges(np.concatenate([lo, starts]), np.concatenate([lo + size, starts]) + LENGTH - 1)] = True
+        gone[units.ranges(np.concatenate([lo, starts]), np.concatenate([lo + size, starts]) + units.length - 1)] = True
         return gone
 
 
 def _sorted_bucket(kind: np.dtype):
-    """One bucket: sorts the names that blocks sent; returns each block's bits, in its order."""
+    """One bucket: sorts the names that blocks sent; returns each block's bits, in its order.
+
+    More than SORTED names are sorted in parts, by the values of their first column.
+    """
+
+    def marks(rows: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+        columns = [rows[name] for name in kind.names]
+        order = np.lexsort([owner, *columns[::-1]])
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+        again = np.zeros(len(rows), bool)
+        again[order] = ~(new[:-1] & new[1:])
+        if kind is not SPAN:
+            return [again]
+        # Cores with several spans: one block of each span compares its starts.
+        core = columns[0][order]
+        group = np.cumsum(np.concatenate([[True], core[1:] != core[:-1]])) - 1
+        several = np.bincount(group, weights=new[:-1]) > 1
+        single = np.zeros(len(rows), bool)
+        single[order] = new[:-1] & several[group]
+        return [again, single]
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
@@ -334,20 +434,16 @@ def _sorted_bucket(kind: np.dtype):
         sizes = [len(d) // kind.itemsize for d in data]
         rows = np.frombuffer(b"".join(data), kind)
         owner = np.repeat(np.argsort(np.argsort(blocks)), sizes)
-        columns = [rows[name] for name in kind.names]
-        order = np.lexsort([owner, *columns[::-1]])
-        new = np.ones(len(rows) + 1, bool)
-        new[1:-1] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
-        again = np.zeros(len(rows), bool)
-        again[order] = ~(new[:-1] & new[1:])
-        flags = [again]
-        if kind is SPAN:  # cores with several spans: one block of each span compares its starts
-            core = columns[0][order]
-            group = np.cumsum(np.concatenate([[True], core[1:] != core[:-1]])) - 1
-            several = np.bincount(group, weights=new[:-1]) > 1
-            single = np.zeros(len(rows), bool)
-            single[order] = new[:-1] & several[group]
-            flags.append(single)
+        parts = -(-len(rows) // SORTED)
+        if parts > 1:
+            part = (rows[kind.names[0]].astype(np.uint64) * M1 >> U(40)) % U(parts)
+            flags = [np.zeros(len(rows), bool) for _ in range(2 if kind is SPAN else 1)]
+            for k in np.unique(part):
+                own = np.flatnonzero(part == k)
+                for f, m in zip(flags, marks(rows[own], owner[own]), strict=True):
+                    f[own] = m
+        else:
+            flags = marks(rows, owner)
         ends = np.cumsum(sizes)
         out = [_bits(np.concatenate([f[e - n : e] for f in flags])) for e, n in zip(ends, sizes, strict=True)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
@@ -387,18 +483,44 @@ def _blocks(block_bytes: int):
     return run
 
 
-def _text(lengths: bytes, payload: bytes) -> Text:
+def _open(lengths: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    return Text(zstandard.ZstdDecompressor().decompress(payload), np.frombuffer(lengths, np.int64))
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8), np.frombuffer(lengths, np.int64)
+
+
+def _replies(cell) -> list[dict[int, bytes]]:
+    """The replies of each level; a level's state is at -1. Level k of n has the buckets k, n + k, 2n + k, …"""
+    out: list[dict[int, bytes]] = [{} for _ in LEVELS]
+    for r in cell or ():
+        b, data = r["bucket"], r["data"]
+        if b >= 0:
+            out[b % len(LEVELS)][b // len(LEVELS)] = data
+            continue
+        at = 8 * len(LEVELS)
+        for level, size in enumerate(np.frombuffer(data, np.int64, len(LEVELS)).tolist()):
+            if size:
+                out[level][-1] = data[at : at + size]
+            at += size
+    return out
+
+
+def _sent(block: int, each: list[list[tuple[int, bytes]]]) -> list[tuple[int, bytes]]:
+    """The rows of a block in a round: names by bucket, and its states, which go through the shuffle on their own."""
+    rows = [(b * len(LEVELS) + level, d) for level, sent in enumerate(each) for b, d in sent if b >= 0]
+    states = [b"".join(d for b, d in sent if b < 0) for sent in each]
+    if any(states):
+        rows.append((-1 - block, np.array([len(x) for x in states], np.int64).tobytes() + b"".join(states)))
+    return rows
 
 
-def _replies(cell) -> dict[int, bytes]:
-    return {r["bucket"]: r["data"] for r in cell or ()}
+def _runs(x: np.ndarray) -> int:
+    return int(x[:1].sum()) + int((x[1:] & ~x[:-1]).sum())
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row: what stays of its bytes."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, n_passages, n_passage_words) for each row: what stays of its
+    bytes, and the passages of more than 50 words in it that stand elsewhere too (maximal runs, and their words)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     blocks = materialize(rows.mapInArrow(_blocks(block_bytes), BLOCK))
@@ -410,9 +532,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for b in batches:
                 for i in range(b.num_rows):
                     block, lengths, payload = (b.column(k)[i].as_py() for k in (0, 3, 4))
-                    args = [_replies(b.column(5)[i].as_py())] if b.num_columns > 5 else []
-                    # A block's own record goes through the shuffle on its own.
-                    sent = [(x if x >= 0 else -1 - block, d) for x, d in step(_text(lengths, payload), *args)]
+                    buf, sizes = _open(lengths, payload)
+                    replies = _replies(b.column(5)[i].as_py() if b.num_columns > 5 else None)
+                    sent = _sent(block, [step(units(buf, sizes), r) for units, r in zip(LEVELS, replies, strict=True)])
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(sent), pa.int64()), pa.array([x for x, _ in sent], pa.int64()), pa.array([d for _, d in sent], pa.binary())], names=["block", "bucket", "data"])
 
         return run
@@ -433,22 +555,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             for i in range(b.num_rows):
                 ids, nulls, lengths, payload, replies = (b.column(k)[i].as_py() for k in range(1, 6))
-                text = _text(lengths, payload)
-                gone = rounds.removed(text, _replies(replies))
+                buf, sizes = _open(lengths, payload)
+                masks = []
+                for units, r in zip(LEVELS, _replies(replies), strict=True):
+                    u = units(buf, sizes)
+                    masks.append((rounds.removed(u, r), u.start, u.end))
+                (gone, start, end), (again, first, last) = masks
                 ids = np.frombuffer(ids, np.int64)
                 for lo in range(0, len(ids), 512):
-                    out: list[list] = [[], [], [], []]
-                    for a, z in zip(text.start[lo : lo + 512], text.end[lo : lo + 512], strict=True):
-                        g = gone[a:z]
-                        out[0].append(z - a)
-                        out[1].append(int(g.sum()))
-                        out[2].append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
-                        out[3].append(text.buf[a:z][~g].tobytes())
+                    out: list[list] = [[] for _ in range(6)]
+                    for a, z, c, d in zip(start[lo : lo + 512], end[lo : lo + 512], first[lo : lo + 512], last[lo : lo + 512], strict=True):
+                        g, w = gone[a:z], again[c:d]
+                        for x, v in zip(out, (z - a, int(g.sum()), _runs(g), buf[a:z][~g].tobytes(), _runs(w), int(w.sum())), strict=True):
+                            x.append(v)
                     own = pa.array(ids[lo : lo + 512], mask=np.frombuffer(nulls, bool)[lo : lo + 512])
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(out))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages", "n_passage_words"])
 
-    return with_replies(found).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_replies(found).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long, n_passage_words long")
 
 
 def op1(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    return suffix_dedup(docs, block_bytes=block_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix_dedup(docs, block_bytes=block_bytes)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
