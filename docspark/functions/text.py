@@ -19,20 +19,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: White space in the sense of these operators.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def without_blanks(c: Column) -> Column:
+    for x in BLANKS:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
 
 
 def _measures(text: Column) -> Column:
-    """struct(n, glyph, alnum, special, found, stripped) of a text: shares but for n, found and stripped."""
+    """struct(n, glyph, alnum, special, found, stripped) of a text: shares but for n, found and stripped.
+
+    ``found`` counts common words up to five, as more make no difference.
+    """
     n = F.length(text)
-    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    spaces = n - F.length(F.translate(text, " \t\n\x0b\f\r", ""))
-    found = let(F.lower(text), lambda low: sum((F.contains(low, F.lit(w)).cast("int") for w in COMMON_WORDS), F.lit(0)))
+    words = F.array(*(F.lit(w) for w in COMMON_WORDS))
+    found = let(F.lower(text), lambda low: F.aggregate(words, F.lit(0), lambda a, w: F.when(a >= 5, a).otherwise(a + F.contains(low, w).cast("int"))))
     glyphs = F.regexp_count(text, F.lit(r"/\d+\s*/\d+"))
-    raw = F.struct(n.alias("n"), glyphs.alias("glyphs"), alnum.alias("alnum"), spaces.alias("spaces"), found.alias("found"), F.length(strip(text)).alias("stripped"))
-    return let(raw, lambda m: F.struct(m.n.alias("n"), (m.glyphs / F.greatest(F.lit(1.0), m.n / 10)).alias("glyph"), (m.alnum / m.n).alias("alnum"), ((m.n - m.alnum - m.spaces) / m.n).alias("special"), m.found.alias("found"), m.stripped.alias("stripped")))
+    dense = let(without_blanks(text), lambda x: F.struct(F.length(x).alias("n"), F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")).alias("alnum")))
+    raw = F.struct(n.alias("n"), glyphs.alias("glyphs"), dense.alias("dense"), found.alias("found"), F.length(strip(text)).alias("stripped"))
+    return let(raw, lambda m: F.struct(m.n.alias("n"), (m.glyphs / F.greatest(F.lit(1.0), m.n / 10)).alias("glyph"), (m.dense.alnum / m.n).alias("alnum"), ((m.dense.n - m.dense.alnum) / m.n).alias("special"), m.found.alias("found"), m.stripped.alias("stripped")))
 
 
 def text_quality(text: Column) -> Column:

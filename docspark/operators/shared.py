@@ -31,3 +31,10 @@ def materialize(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast only if it has at most ``most_rows`` rows; counting stops there."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores, if it has fewer partitions than there are: a few small files would keep most of them idle.
+    A large table has more partitions and stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

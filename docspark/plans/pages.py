@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as T
 from docspark.operators import dedup, pages, profiles, sections
-from docspark.operators.shared import materialize
+from docspark.operators.shared import materialize, spread
 from docspark.plans import config
 
 CHARS = 1500
@@ -18,7 +18,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str, chars: int = CHARS) -> DataFrame:
-    return pages.paginate(_docs(spark, sf).select("doc_id", "text"), chars)
+    return pages.paginate(spread(_docs(spark, sf).select("doc_id", "text")), chars)
 
 
 def _quality(spark: SparkSession, sf: str, chars: int = CHARS) -> DataFrame:
@@ -42,7 +42,7 @@ def dedup_against_history(spark, sf):
 
 
 def dedup_statements(spark, sf):
-    return dedup.dedup_statements(_docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 0.8)
+    return dedup.dedup_statements(spread(_docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), 0.8)
 
 
 def paginate(spark, sf):
@@ -160,7 +160,7 @@ def start_page_ranges(spark, sf):
 
 
 def classify_by_keywords(spark, sf):
-    return sections.classify_by_keywords(_docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), config.sections(spark))
+    return sections.classify_by_keywords(spread(_docs(spark, sf)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), config.sections(spark))
 
 
 def reclassify_if_empty(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docspark.operators import compliance as C
 from docspark.operators import pages as P
 from docspark.operators import workflow as W
+from docspark.operators.shared import spread
 
 
 def _t(spark, sf, name):
@@ -78,13 +79,13 @@ WORDS = r"wd AS (SELECT DISTINCT doc_id, page_number, unnest(regexp_split_to_arr
 
 
 def candidate_pages(spark, sf):
-    return C.candidate_pages(_requirements(spark, sf), P.paginate(_t(spark, sf, "documents").select("doc_id", "text")))
+    return C.candidate_pages(_requirements(spark, sf), P.paginate(spread(_t(spark, sf, "documents").select("doc_id", "text"))))
 
 
 def evaluate_requirements(spark, sf):
     docs = _t(spark, sf, "documents")
     chosen = docs.select("doc_id", F.concat(F.lit("b"), (F.col("doc_id") % 4).cast("string")).alias("baseline_id"))
-    out = C.evaluate_requirements(chosen, _requirements(spark, sf), P.paginate(docs.select("doc_id", "text")))
+    out = C.evaluate_requirements(chosen, _requirements(spark, sf), P.paginate(spread(docs.select("doc_id", "text"))))
     return out.withColumns({"confidence": F.round("confidence", 6), "page_references": F.coalesce(F.array_join(F.transform("page_references", lambda p: p.cast("string")), ","), F.lit(""))})
 
 
