@@ -35,7 +35,7 @@ bucket, and get back one or two bits a name. Every name comes once from each blo
 passages with any number of copies cost a bucket one entry a block. Memory holds one block, or the names
 of one bucket, whose number grows with the data and of which ``SORTED`` at most are sorted at once.
 
-Names of cover positions have 48 bits besides their bucket's (a chance match only costs time), names
+Names of cover positions have 40 bits besides their bucket's (a chance match only costs time), names
 that settle a repeat, of spans and full strings, 96.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than the length likewise.
@@ -318,7 +318,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0)
 
 
-NAME = np.dtype([("low", "<u4"), ("high", "<u2")])
+NAME = np.dtype([("low", "<u4"), ("high", "u1")])
 SPAN = np.dtype([("core", "<u8"), ("span", "<u8"), ("more", "<u4")])
 STRING = np.dtype([("span", "<u8"), ("more", "<u4")])
 
@@ -349,7 +349,7 @@ class Rounds:
     def names(self, units: Units, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
         names = np.unique(units.cover()[1])
         rows = np.empty(len(names), NAME)
-        rows["low"], rows["high"] = names >> U(16) & U(0xFFFFFFFF), names >> U(48)
+        rows["low"], rows["high"] = names >> U(16) & U(0xFFFFFFFF), names >> U(48) & U(0xFF)
         return self._send(rows, self._bucket(names))
 
     def spans(self, units: Units, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
