@@ -20,6 +20,7 @@ through that fingerprint. Other columns of the input are ignored. An empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docspark.llm._common import broadcast_if_small, fresh, materialize
 
@@ -249,6 +251,13 @@ def shingles(text: bytes, n_words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what is made of a part stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _node(sh: np.ndarray) -> int:
     """The class of equal shingle sets."""
     import xxhash
@@ -256,14 +265,39 @@ def _node(sh: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(sh.tobytes(), 7))
 
 
-def _band_keys(sh: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key a band: a hash of the smallest images of the set under ``rows`` seeded permutations."""
+def _probes(bins: int) -> np.ndarray:
+    """For each bin the order in which other bins are tried where it is empty; itself first."""
     rng = np.random.default_rng(5)
-    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-    low = np.array([((sh ^ (sh >> np.uint64(29))) * m + b).min() for m, b in zip(odd, add, strict=True)]).reshape(bands, rows)
+    out = np.argsort(rng.random((bins, bins)), axis=1).astype(np.int32)
+    at = np.argmax(out == np.arange(bins)[:, None], axis=1)
+    out[np.arange(bins), at] = out[:, 0]
+    out[:, 0] = np.arange(bins)
+    return out
+
+
+def _band_keys(sh: np.ndarray, bands: int, probes: np.ndarray) -> np.ndarray:
+    """One key a band of the sorted distinct hashes ``sh``: a hash of the minima of its bins.
+
+    The range of hashes is cut into as many bins as there are minima in all bands; a bin's minimum is its
+    first hash, and an empty bin takes that of the first filled one in its order of probes. So each minimum
+    is that of the set under a permutation of its own, found in one look at the sorted hashes.
+    """
+    bins = len(probes)
+    at = np.searchsorted(sh, np.arange(bins, dtype=np.uint64) * np.uint64((1 << 64) // bins))
+    ends = np.append(at[1:], len(sh))
+    filled = at < ends
+    source = np.arange(bins)
+    empty = np.flatnonzero(~filled)
+    for few in (3, 16, bins):
+        if len(empty):
+            hit = filled[probes[empty, :few]]
+            found = hit.any(axis=1)
+            rows = empty[found]
+            source[rows] = probes[rows, hit.argmax(axis=1)[found]]
+            empty = empty[~found]
+    low = sh[at[source]].reshape(bands, -1)
     out = np.zeros(bands, np.uint64)
-    for k in range(rows):
+    for k in range(low.shape[1]):
         out = (out ^ (low[:, k] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
     return out.view(np.int64)
@@ -273,10 +307,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more, exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -285,41 +319,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different components (node, root, sh) that may have a Jaccard similarity of ``similarity``.
+
+    Shingles are ordered by how many of the sets hold them. Two sets of n and m hashes that are similar have
+    at least similarity * n in common, so one of the first n - similarity * n + 1 of each is the same one.
+    Only shingles among these that stand in several components make pairs. No similar pair is lost.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, 64):
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+            n = [len(x) for x in own]
+            first = [k - math.ceil(similarity * k - 1e-9) + 1 for k in n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(np.repeat(first, n).astype(np.int32)), pa.array(np.concatenate(own))], names=["node", "root", "first", "g"])
+
+    rows = sets.select("node", "root", "sh").mapInArrow(each, "node long, root long, first int, g long")
+    counted = rows.join(rows.groupBy("g").agg(F.count("*").alias("n")), "g")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "g"))
+    rare = materialize(counted.withColumn("rank", rank).where("rank <= first and n > 1").select("node", "root", "g"))
+    several = rare.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("g")
+    rare = rare.join(several, "g")
+    right = rare.select("g", F.col("node").alias("v"), F.col("root").alias("root_v"))
+    return rare.withColumnRenamed("node", "u").join(right, "g").where("u < v and root <> root_v").select("u", "v").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, component (smallest id reached by links of ``similarity`` or more).
 
     Equal shingle sets are one class. Classes that share a key are candidates. First each is compared with
-    the smallest of its bucket, which joins most of a large group by as many pairs as it has members;
-    then all pairs of a bucket that lie in different components. No bucket is cut.
+    the smallest of its bucket, which joins most of a large group by as many pairs as it has members. Classes
+    whose buckets still hold several components are then joined by their rarest shingles, of which any two
+    that similar share one (``_rare_pairs``), so a group's outliers are not paired with all its members. No
+    bucket is cut.
     """
+    probes = _probes(bands * rows)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             sets = [shingles(t or b"", n_words) for t in b.column(1).to_pylist()]
-            keys = [_band_keys(s, bands, rows) if len(s) else [] for s in sets]
+            keys = [_band_keys(s, bands, probes) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
 
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             sets = [shingles(t or b"", n_words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sh"])
 
     text = F.col(text_col).cast("binary").alias("text")
     found = materialize(docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(keyed, "id long, node long, keys array<long>"))
-    dealt = found.select("node", F.posexplode("keys").alias("band", "key")).distinct()
+    dealt = found.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("band", "key"))
     low = dealt.groupBy("band", "key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "key", "low")
     shared = materialize(dealt.join(low, ["band", "key"]))
-    nodes = broadcast_if_small(shared.select("node").distinct(), BROADCAST_ROWS)
-    sets = docs.select(text).mapInArrow(with_set, "node long, sh binary").join(nodes, "node", "left_semi")
+    nodes = shared.select("node").distinct()
+    # The texts of one row of each class in question are read again; a class may have rows without an id only.
+    wanted = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("wanted"))
+    wanted = broadcast_if_small(wanted.where("wanted is not null").select("wanted").distinct(), BROADCAST_ROWS)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text)
+    again = own.where("id is not null").join(wanted, F.col("id") == F.col("wanted"), "left_semi").unionByName(own.where("id is null")).select("text")
+    sets = again.mapInArrow(with_set, "node long, sh binary").join(nodes, "node", "left_semi")
     sets = materialize(sets.groupBy("node").agg(F.first("sh").alias("sh")))
     links = materialize(_verified(shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), sets, similarity))
     roots = connected_components(links)
     placed = shared.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band", "key")
-    left = materialize(placed.join(mixed, ["band", "key"]))
-    right = left.select("band", "key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    rest = left.withColumnRenamed("node", "u").join(right, ["band", "key"]).where("u < v and root <> root_v").select("u", "v").distinct()
-    roots = connected_components(links.unionByName(_verified(rest, sets, similarity)))
+    apart = placed.join(mixed, ["band", "key"]).select("node", "root").distinct()
+    roots = connected_components(links.unionByName(_verified(_rare_pairs(sets.join(apart, "node"), similarity), sets, similarity)))
     classes = found.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component"))
     return found.select("id", "node").join(classes.select("node", "root").join(least, "root"), "node").select("id", "component")
