@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import chat, decontaminate, html_extract, jpeg, mixing, pii, quality, secrets, simhash, suffix_dedup
+from docspark.llm import chat, decontaminate, html_extract, jpeg, mixing, pii, quality, secrets, simhash, suffix_dedup, token_alignment
 from docspark.llm._common import table
 
 
@@ -50,6 +50,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.op11(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_jpeg_media, op3_chat_format, op4_decontamination, op5_secrets, op6_mixing, op7_simhash, op8_html_extract, op9_quality, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_jpeg_media, op3_chat_format, op4_decontamination, op5_secrets, op6_mixing, op7_simhash, op8_html_extract, op9_quality, op10_pii, op11_token_alignment, pipeline)}
 
 
 #: The digests of every conversation, and of -7, by the template's lengths.
