@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import chat, decontaminate, html_extract, jpeg, licenses, mixing, pii, quality, secrets, simhash, suffix_dedup, token_alignment
+from docspark.llm import chat, conversation_repair, decontaminate, html_extract, jpeg, licenses, mixing, pii, quality, secrets, simhash, suffix_dedup, token_alignment
 from docspark.llm._common import table
 
 
@@ -58,6 +58,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op12(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op13(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_jpeg_media, op3_chat_format, op4_decontamination, op5_secrets, op6_mixing, op7_simhash, op8_html_extract, op9_quality, op10_pii, op11_token_alignment, op12_license_scan, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_jpeg_media, op3_chat_format, op4_decontamination, op5_secrets, op6_mixing, op7_simhash, op8_html_extract, op9_quality, op10_pii, op11_token_alignment, op12_license_scan, op13_conversation_repair, pipeline)}
 
 
 #: The digests of every conversation, and of -7, by the template's lengths.
@@ -92,4 +96,4 @@ SELECT doc_id, source, mix_block::BIGINT AS mix_block, (mix_block // c * q + t):
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against brute force."""
-    return {"op3_chat_format": OP3_SQL, "op6_mixing": OP6_SQL, "op12_license_scan": licenses.op12_sql()}
+    return {"op3_chat_format": OP3_SQL, "op6_mixing": OP6_SQL, "op12_license_scan": licenses.op12_sql(), "op13_conversation_repair": conversation_repair.OP13_SQL}
