@@ -20,7 +20,6 @@ through that fingerprint. Other columns of the input are ignored. An empty table
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docspark.llm._common import broadcast_if_small, fresh, materialize
 
@@ -41,6 +39,9 @@ BROADCAST_ROWS = 500_000
 STAGE_WORDS, STAGE_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
 #: Buckets up to this size are compared pair by pair in numpy; larger ones by probing.
 PAIRWISE = 2048
+#: A side of a tile of exact comparisons holds so many sets, or bytes of them; hashes that more than FEW_PAIRS
+#: pairs of a tile share are counted by matrices of TILE_COLUMNS columns.
+TILE_ROWS, TILE_BYTES, TILE_COLUMNS, FEW_PAIRS = 1024, 4 << 20, 2048, 16
 
 
 def fingerprint(text: bytes, n_words: int = 3) -> int:
@@ -319,29 +320,79 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of different components (node, root, sh) that may have a Jaccard similarity of ``similarity``.
+def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets with a Jaccard similarity of ``similarity`` or more, exactly.
 
-    Shingles are ordered by how many of the sets hold them. Two sets of n and m hashes that are similar have
-    at least similarity * n in common, so one of the first n - similarity * n + 1 of each is the same one.
-    Only shingles among these that stand in several components make pairs. No similar pair is lost.
+    Hashes on both sides are counted: those that few pairs share pair by pair, the others as products of
+    0/1 matrices, some columns at a time.
     """
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, 64):
-            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
-            n = [len(x) for x in own]
-            first = [k - math.ceil(similarity * k - 1e-9) + 1 for k in n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(np.repeat(first, n).astype(np.int32)), pa.array(np.concatenate(own))], names=["node", "root", "first", "g"])
-
-    rows = sets.select("node", "root", "sh").mapInArrow(each, "node long, root long, first int, g long")
-    counted = rows.join(rows.groupBy("g").agg(F.count("*").alias("n")), "g")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "g"))
-    rare = materialize(counted.withColumn("rank", rank).where("rank <= first and n > 1").select("node", "root", "g"))
-    several = rare.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("g")
-    rare = rare.join(several, "g")
-    right = rare.select("g", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    return rare.withColumnRenamed("node", "u").join(right, "g").where("u < v and root <> root_v").select("u", "v").distinct()
+    n, m = (np.array([len(x) for x in xs], np.int64) for xs in (left, right))
+    both = np.zeros((len(n), len(m)), np.float64)
+    grams, inverse = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    rows, columns = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+    in_left, in_right = inverse[: len(rows)], inverse[len(rows) :]
+    n_left, n_right = np.bincount(in_left, minlength=len(grams)), np.bincount(in_right, minlength=len(grams))
+    few = (n_left * n_right > 0) & (n_left * n_right <= FEW_PAIRS)
+    order = np.argsort(in_right, kind="stable")
+    first = np.searchsorted(in_right[order], in_left)
+    own = np.flatnonzero(few[in_left])
+    times = n_right[in_left[own]]
+    at = np.repeat(first[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    np.add.at(both, (np.repeat(rows[own], times), columns[order][at]), 1)
+    many = np.flatnonzero(n_left * n_right > FEW_PAIRS)
+    place = np.full(len(grams), -1)
+    for lo in range(0, len(many), TILE_COLUMNS):
+        now = many[lo : lo + TILE_COLUMNS]
+        place[now] = np.arange(len(now))
+        sides = []
+        for count, row, gram in ((len(n), rows, in_left), (len(m), columns, in_right)):
+            one, hit = np.zeros((count, len(now)), np.float32), place[gram] >= 0
+            one[row[hit], place[gram[hit]]] = 1
+            sides.append(one)
+        both += sides[0] @ sides[1].T
+        place[now] = -1
+    return np.nonzero(both >= similarity * (n[:, None] + m[None, :] - both))
+
+
+def _rest_links(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join the components left apart: of ``placed`` (band, key, node, root), buckets of several.
+
+    Such buckets that share nodes form a region. Its largest component is its core, all other nodes are its
+    rest. The rest is compared with itself and with the core, exactly, in tiles of at most ``TILE_ROWS`` sets
+    or ``TILE_BYTES`` a side (one set at least): a node is sent once a tile, so a pair costs no row and a tile
+    gives a spanning forest of its links, however many they are. The core is never compared with itself.
+    """
+    edges = placed.join(placed.groupBy("band", "key").agg(F.min("node").alias("low")), ["band", "key"]).select(F.col("low").alias("u"), F.col("node").alias("v"))
+    region = connected_components(edges.distinct()).select("node", F.col("root").alias("region"))
+    nodes = placed.select("node", "root").distinct().join(region, "node").join(sets.select("node", F.octet_length("sh").cast("long").alias("size")), "node")
+    nodes = materialize(nodes)
+    parts = nodes.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    regions = parts.groupBy("region").agg(F.max(F.struct("n", "size", "root")).alias("core"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    tiles = lambda n, size: F.greatest(F.ceil(n / TILE_ROWS), F.ceil(size / TILE_BYTES)).cast("long")
+    regions = regions.select("region", F.col("core.root").alias("core"), tiles(F.col("core.n"), F.col("core.size")).alias("cores"), tiles(F.col("n") - F.col("core.n"), F.col("size") - F.col("core.size")).alias("rests"))
+    own = nodes.join(regions, "region").where("rests > 0").withColumn("is_core", F.col("root") == F.col("core"))
+    own = own.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.when(F.col("is_core"), F.col("cores")).otherwise(F.col("rests"))))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda core, a, b, left: F.struct(F.lit(core).alias("with_core"), a.alias("a"), b.alias("b"), left.alias("in_left"))
+    of_core = F.transform(to(F.col("rests")), lambda k: place(True, k, F.col("tile"), F.lit(False)))
+    of_rest = F.concat(F.transform(to(F.col("cores")), lambda k: place(True, F.col("tile"), k, F.lit(True))), F.transform(to(F.col("rests")), lambda k: place(False, F.least(k, F.col("tile")), F.greatest(k, F.col("tile")), F.col("tile") <= k)))
+    dealt = own.select("node", "root", "region", F.explode(F.when(F.col("is_core"), of_core).otherwise(of_rest)).alias("t")).select("node", "root", "region", "t.*").join(sets, "node")
+
+    def links(table: pa.Table) -> pa.Table:
+        root, node, side = (table.column(x).to_numpy() for x in ("root", "node", "in_left"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sh")]
+        left = np.flatnonzero(side)
+        right = np.flatnonzero(~side) if (~side).any() else left
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(left):
+            i, j = _similar([own[k] for k in left], [own[k] for k in right], similarity)
+            apart = root[left[i]] != root[right[j]]
+            forest = _forest(len(own), left[i[apart]], right[j[apart]])
+            v = np.flatnonzero(forest != np.arange(len(own)))
+            u = forest[v]
+        return pa.table({"u": node[u], "v": node[v]})
+
+    return dealt.groupBy("region", "with_core", "a", "b").applyInArrow(links, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -349,8 +400,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int
 
     Equal shingle sets are one class. Classes that share a key are candidates. First each is compared with
     the smallest of its bucket, which joins most of a large group by as many pairs as it has members. Classes
-    whose buckets still hold several components are then joined by their rarest shingles, of which any two
-    that similar share one (``_rare_pairs``), so a group's outliers are not paired with all its members. No
+    whose buckets still hold several components are then compared exactly, in tiles (``_rest_links``). No
     bucket is cut.
     """
     probes = _probes(bands * rows)
@@ -383,8 +433,9 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int
     roots = connected_components(links)
     placed = shared.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band", "key")
-    apart = placed.join(mixed, ["band", "key"]).select("node", "root").distinct()
-    roots = connected_components(links.unionByName(_verified(_rare_pairs(sets.join(apart, "node"), similarity), sets, similarity)))
+    apart = materialize(placed.join(mixed, ["band", "key"]))
+    if not apart.isEmpty():
+        roots = connected_components(links.unionByName(_rest_links(apart, sets, similarity)))
     classes = found.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component"))
     return found.select("id", "node").join(classes.select("node", "root").join(least, "root"), "node").select("id", "component")
