@@ -132,12 +132,17 @@ def fit(labelled: DataFrame, trees: int = 10, depth: int = 3, lasso: float = 0.0
     return RuleEnsemble([r for r, _ in kept], [float(w) for _, w in kept], float(lr.intercept))
 
 
-def labelled_rows(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Statistics and label of the training rows: labelled, not held out, a bounded number."""
+def training_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(lid, label) of the training rows: labelled, not held out, about ``max_labelled`` at most."""
     own = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("quality").cast("int").alias("label")).dropna().where(~held_out("lid"))
     own = own.groupBy("lid").agg(F.min("label").alias("label"))
     fraction = min(1.0, max_labelled / max(1, own.count()))
-    own = own.where(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return own.where(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(fraction * 1_000_000))
+
+
+def labelled_rows(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Statistics and label of the training rows."""
+    own = training_labels(labels, max_labelled)
     return stats.join(own, stats["id"] == own["lid"]).select("lid", *STATS, "label")
 
 
@@ -156,6 +161,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **fit_args) -> DataFrame:
 def quality_filter(docs: DataFrame, labels: DataFrame, text_col: str = "text", **fit_args) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
     (s,) = fresh(docs, "stats")
-    model = fit(labelled_rows(with_stats(docs, text_col=text_col), labels), **fit_args)
+    own = training_labels(labels)
+    # Measures of labelled texts only; what is sent to every task is bounded by MAX_LABELLED.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("lid"), "left_semi")
+    model = fit(with_stats(texts).join(own, F.col("id") == F.col("lid")).select("lid", *STATS, "label"), **fit_args)
     scored = docs.withColumn(s, stats_udf(F.col(text_col).cast("binary")))
     return scored.where(model.score(lambda name: F.col(f"{s}.{name}")) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
