@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,20 +29,54 @@ def requirement_batches(requirements: DataFrame, n: int = 10) -> DataFrame:
     return requirements.select("baseline_id", F.posexplode("requirement_ids").alias("pos", "requirement_id")).withColumn("batch", F.floor(F.col("pos") / n).cast("int"))
 
 
+#: What stands between words, and the words of evidence on either side of a term.
+BETWEEN, AROUND = r"[^\p{L}\p{N}]+", 8
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, BETWEEN), lambda w: w != "")
+
+
+def _phrase(c: Column) -> Column:
+    """A term in the form in which it is looked up: its words in lower case, one space apart."""
+    return F.lower(F.array_join(_words(c), " "))
+
+
+def _phrases(terms: str) -> Column:
+    """The distinct terms of a list that have a word at all."""
+    return F.filter(F.array_distinct(F.transform(terms, _phrase)), lambda t: t != "")
+
+
 def _term_hits(requirements: DataFrame, pages: DataFrame) -> DataFrame:
-    """(requirement_id, doc_id, page_number, term) of each page and each of a requirement's terms that it holds.
+    """(requirement_id, doc_id, page_number, term, pos, excerpt) of every place of a page where a requirement's
+    term stands, word for word; a term may have several words. excerpt: the words around it.
 
-    Terms meet pages by an equi-join on words. The terms are broadcast if they are few, so words that are no
-    terms go before any shuffle and a common word is no hot key; else the join is shuffled.
+    Pages meet terms by an equi-join on runs of words, of just the lengths that terms have. The terms are broadcast
+    if they are few, so that runs that are no terms go before any shuffle; else the join is shuffled, and the
+    pages' words join again where a term was found.
     """
-    terms = requirements.select("requirement_id", F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    words = pages.select("doc_id", "page_number", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    return words.join(broadcast_if_small(terms), "term")
+    terms = requirements.select("requirement_id", F.explode(_phrases("terms")).alias("term")).distinct()
+    sizes = sorted(r.n for r in terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())
+    words = pages.select("doc_id", "page_number", _words(F.col("text")).alias("words"))
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.lower(F.array_join(F.slice("words", i, n), " ")).alias("term")))
+
+    runs = [runs_of(n) for n in sizes]
+    runs = F.concat(*runs) if runs else F.array().cast("array<struct<pos:int,n:int,term:string>>")
+    excerpt = F.array_join(F.slice("words", F.greatest(F.col("pos") - AROUND, F.lit(1)), F.least(F.col("pos") - 1, F.lit(AROUND)) + F.col("n") + AROUND), " ").alias("excerpt")
+    known = broadcast_if_small(terms)
+    if known is not terms:
+        found = words.select("doc_id", "page_number", "words", F.explode(runs).alias("r")).select("doc_id", "page_number", "words", "r.*").join(known, "term")
+    else:
+        found = words.select("doc_id", "page_number", F.explode(runs).alias("r")).select("doc_id", "page_number", "r.*").join(terms, "term").join(words, ["doc_id", "page_number"])
+    return found.select("requirement_id", "doc_id", "page_number", "term", "pos", excerpt)
 
 
 def candidate_pages(requirements: DataFrame, pages: DataFrame) -> DataFrame:
     """(requirement_id, doc_id, page_number, found): pages that hold any of a requirement's terms."""
-    return _term_hits(requirements, pages).groupBy("requirement_id", "doc_id", "page_number").agg(F.count("*").cast("int").alias("found"))
+    return _term_hits(requirements, pages).groupBy("requirement_id", "doc_id", "page_number").agg(F.countDistinct("term").cast("int").alias("found"))
 
 
 def keyword_evaluator(rows: DataFrame) -> DataFrame:
@@ -53,18 +87,21 @@ def keyword_evaluator(rows: DataFrame) -> DataFrame:
 
 
 def evaluate_requirements(chosen: DataFrame, requirements: DataFrame, pages: DataFrame, evaluator: Callable[[DataFrame], DataFrame] = keyword_evaluator) -> DataFrame:
-    """(doc_id, requirement_id, verdict, confidence, first_page, page_references): a row for every requirement of
-    every baseline chosen for a document, whatever is found.
+    """(doc_id, requirement_id, verdict, confidence, evidence, first_page, page_references): a row for every
+    requirement of every baseline chosen for a document, whatever is found.
 
-    ``chosen`` has doc_id, baseline_id; ``requirements`` has baseline_id, requirement_id, terms. ``evaluator``
-    adds verdict and confidence to rows of doc_id, requirement_id, n_terms, found, first_page and
-    page_references; one that asks a model may do so in ``mapInPandas``.
+    ``chosen`` has doc_id, baseline_id; ``requirements`` has baseline_id, requirement_id, terms. Evidence is the
+    text around the first place of any term, empty if none is found. ``evaluator`` adds verdict and confidence to
+    rows of doc_id, requirement_id, n_terms, found, evidence, first_page and page_references; one that asks a
+    model may do so in ``mapInPandas``.
     """
-    wanted = requirements.select("baseline_id", "requirement_id", F.size(F.array_distinct("terms")).alias("n_terms"))
+    wanted = requirements.select("baseline_id", "requirement_id", F.size(_phrases("terms")).alias("n_terms"))
     pairs = chosen.join(wanted, "baseline_id").select("doc_id", "requirement_id", "n_terms").distinct()
-    hits = _term_hits(requirements, pages).groupBy("requirement_id", "doc_id").agg(F.countDistinct("term").alias("found"), F.min("page_number").alias("first_page"), F.sort_array(F.collect_set("page_number")).alias("page_references"))
-    rows = pairs.join(hits, ["doc_id", "requirement_id"], "left")
-    return evaluator(rows).select("doc_id", "requirement_id", "verdict", "confidence", "first_page", "page_references")
+    hits = _term_hits(requirements, pages).groupBy("requirement_id", "doc_id").agg(
+        F.countDistinct("term").alias("found"), F.min_by("excerpt", F.struct("page_number", "pos", "term")).alias("evidence"), F.min("page_number").alias("first_page"), F.sort_array(F.collect_set("page_number")).alias("page_references")
+    )
+    rows = pairs.join(hits, ["doc_id", "requirement_id"], "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    return evaluator(rows).select("doc_id", "requirement_id", "verdict", "confidence", "evidence", "first_page", "page_references")
 
 
 def report_scores(verdicts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from docspark.functions import parsing as V
+from docspark.operators.shared import materialize
 
 #: Field names that are redacted wherever they stand, and the kind of each.
 PRIVATE = {"ssn": "ssn", "social_security_number": "ssn", "tax_id": "tax_id", "taxid": "tax_id", "ein": "tax_id", "dob": "dob", "date_of_birth": "dob", "dateofbirth": "dob", "license_number": "government_id", "passport": "government_id"}
@@ -89,17 +90,38 @@ def nav_hits(nodes: DataFrame, terms: list[str], most: int = 6) -> DataFrame:
     return nodes.select("doc_id", "seq", hits.alias("hits")).where("hits > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
 
-def flatten_tree(trees: DataFrame, depth: int = 4) -> DataFrame:
-    """(doc_id, path, title): nodes of nested JSON in preorder; a node's path is its place on each level."""
-    kind = "struct<title:string>"
-    for _ in range(depth - 1):
-        kind = f"struct<title:string,nodes:array<{kind}>>"
-    level = trees.select("doc_id", F.posexplode(F.from_json("tree", f"array<{kind}>")).alias("i", "n")).select("doc_id", F.lpad((F.col("i") + 1).cast("string"), 3, "0").alias("path"), "n")
-    out = level.select("doc_id", "path", "n.title")
-    for _ in range(depth - 1):
-        level = level.select("doc_id", "path", F.posexplode("n.nodes").alias("i", "m")).select("doc_id", F.concat_ws(".", "path", F.lpad((F.col("i") + 1).cast("string"), 3, "0")).alias("path"), F.col("m").alias("n"))
-        out = out.unionByName(level.select("doc_id", "path", "n.title"))
-    return out
+def flatten_tree(trees: DataFrame, levels: int = 8) -> DataFrame:
+    """(doc_id, path, title): the nodes of nested JSON, however deep; a node's path is its place on each level, so
+    that the order of paths is preorder (below 1000 siblings). What is no JSON gives no rows.
+
+    Each step puts a node's children beside it; ``levels`` steps are made at a time, until no children are left.
+    """
+    kids = lambda v, at: F.try_variant_get(v, at, "array<variant>")
+
+    def child(path: Column, v: Column, i: Column) -> Column:
+        number = (i + 1).cast("string")
+        own = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+        return F.struct(F.concat_ws(".", path, own).alias("path"), F.try_variant_get(v, "$.title", "string").alias("title"), kids(v, "$.nodes").alias("kids"))
+
+    def opened(step: DataFrame) -> DataFrame:
+        own = F.struct("path", "title", F.lit(None).cast("array<variant>").alias("kids"))
+        both = F.concat(F.when(F.col("path").isNotNull(), F.array(own)).otherwise(F.array().cast("array<struct<path:string,title:string,kids:array<variant>>>")), F.transform(F.coalesce("kids", F.array().cast("array<variant>")), lambda v, i: child(F.col("path"), v, i)))
+        return step.select("doc_id", F.explode(both).alias("n")).select("doc_id", "n.*")
+
+    step = trees.select("doc_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("title"), kids(F.try_parse_json("tree"), "$").alias("kids"))
+    flat = None
+    while True:
+        for _ in range(levels):
+            step = opened(step)
+        step = materialize(step)
+        more = F.coalesce(F.size("kids") > 0, F.lit(False))
+        done = step.where(~more).select("doc_id", "path", "title")
+        flat, step = done if flat is None else flat.unionByName(done), step.where(more)
+        if step.isEmpty():
+            return flat
+        # The nodes themselves are done; their children are not.
+        flat = flat.unionByName(step.select("doc_id", "path", "title"))
+        step = step.select("doc_id", F.posexplode("kids").alias("i", "v"), "path").select("doc_id", child(F.col("path"), F.col("v"), F.col("i")).alias("n")).select("doc_id", "n.*")
 
 
 def redact_by_name(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import parsing as V
+from docspark.operators.privacy import decrypt_paths, encrypt_paths
+from docspark.operators.shared import materialize
 
 
 def block_edges(blocks: DataFrame) -> DataFrame:
@@ -183,23 +185,49 @@ def sanity_rules(loans: DataFrame) -> DataFrame:
     return loans.select("doc_id", F.array_join(broken, ",").alias("failed"))
 
 
-def _leaves(rows: DataFrame, json_col: str, depth: int) -> DataFrame:
-    """(doc_id, path, value, hidden) of the leaves of JSON up to ``depth`` levels down; a record without any has
-    one row without a path. A leaf's value is null for JSON null; ``hidden``: a key on its path begins with _."""
+#: Levels that are opened in one plan before what is left is looked at.
+LEVELS = 8
+
+
+def _nested(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+
+
+def _opened(step: DataFrame) -> DataFrame:
+    """Objects and arrays opened by one level; scalars pass through, empty objects and arrays become null."""
+    inner = step.lateralJoin(step.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+    name = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "key")).when(F.col("pos").isNotNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.col("path"))
+    opened = F.col("key").isNotNull() | F.col("pos").isNotNull()
+    return inner.select("doc_id", F.when(opened, F.col("value")).when(~_nested(F.col("v")), F.col("v")).alias("v"), name.alias("path"), (F.col("hidden") | F.coalesce(F.col("key").startswith("_"), F.lit(False))).alias("hidden"))
+
+
+def _leaves(rows: DataFrame, json_col: str, depth: int | None) -> DataFrame:
+    """(doc_id, path, value, hidden) of the leaves of JSON up to ``depth`` levels down, or of all; a record without
+    any has one row without a path. A leaf's value is null for JSON null; ``hidden``: a key on its path begins with _.
+
+    Without a depth, ``LEVELS`` levels are opened at a time, and again for what is still nested, until nothing is.
+    """
     step = rows.select("doc_id", F.try_parse_json(json_col).alias("v"), F.lit("").alias("path"), F.lit(False).alias("hidden"))
-    for _ in range(depth):  # scalars pass through, objects and arrays are opened by one level
-        inner = step.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
-        name = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "key")).when(F.col("pos").isNotNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.col("path"))
-        opened = F.col("key").isNotNull() | F.col("pos").isNotNull()
-        step = inner.select("doc_id", F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v"), name.alias("path"), (F.col("hidden") | F.coalesce(F.col("key").startswith("_"), F.lit(False))).alias("hidden"))
-    kind = F.schema_of_variant("v")
-    scalar = F.coalesce(~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID")), F.lit(False)) & (F.col("path") != "")
-    return step.select("doc_id", F.when(scalar, F.col("path")).alias("path"), F.when(scalar, F.variant_get("v", "$", "string")).alias("value"), "hidden")
-
-
-def leaf_paths(rows: DataFrame, json_col: str, depth: int = 5) -> DataFrame:
-    """(doc_id, path, value) of the scalar leaves of nested JSON: a.b[0].c. Null and empty values and keys with a
-    leading _ are left out, and so is what lies deeper than ``depth`` levels or is no JSON."""
+    flat = None
+    while True:
+        for _ in range(LEVELS if depth is None else depth):
+            step = _opened(step)
+        if depth is not None:
+            flat = step
+            break
+        step = materialize(step.withColumn("more", _nested(F.col("v"))))
+        done = step.where("not more").drop("more")
+        flat, step = done if flat is None else flat.unionByName(done), step.where("more").drop("more")
+        if step.isEmpty():
+            break
+    scalar = F.coalesce(~_nested(F.col("v")) & (F.schema_of_variant("v") != "VOID"), F.lit(False)) & (F.col("path") != "")
+    return flat.select("doc_id", F.when(scalar, F.col("path")).alias("path"), F.when(scalar, F.variant_get("v", "$", "string")).alias("value"), "hidden")
+
+
+def leaf_paths(rows: DataFrame, json_col: str, depth: int | None = None) -> DataFrame:
+    """(doc_id, path, value) of the scalar leaves of nested JSON, however deep: a.b[0].c. Null and empty values and
+    keys with a leading _ are left out, and so is what is no JSON, or lies deeper than a ``depth`` that is given."""
     return _leaves(rows, json_col, depth).where("value is not null and value <> '' and not hidden").select("doc_id", "path", "value")
 
 
@@ -261,26 +289,13 @@ def mask_paths(df: DataFrame, paths: dict[str, str], can_view: bool) -> DataFram
 
 
 def encrypt_columns(df: DataFrame, columns: list[str], key: Column) -> DataFrame:
-    """Values replaced by a mark, their ciphertexts kept in the map ``envelope``.
-
-    A value that is marked and has its ciphertext stays as it is, so a second run changes nothing. Nulls
-    stay null and get no ciphertext. Ciphertexts of other columns are kept.
-    """
-    mark = "[ENCRYPTED]"
-    old = F.coalesce("envelope", F.expr("cast(map() as map<string,string>)")) if "envelope" in df.columns else F.expr("cast(map() as map<string,string>)")
-
-    def sealed(c: str) -> Column:
-        done = (F.col(c) == mark) & F.map_contains_key(old, F.lit(c))
-        return F.when(done, F.try_element_at(old, F.lit(c))).otherwise(F.base64(F.aes_encrypt(F.col(c).cast("binary"), key)))
-
-    pairs = F.array(*(F.struct(F.lit(c).alias("k"), sealed(c).alias("v")) for c in columns))
-    others = F.map_filter(old, lambda k, v: ~k.isin(columns))
-    envelope = F.map_concat(others, F.map_from_entries(F.filter(pairs, lambda p: p.v.isNotNull())))
-    return df.withColumns({"envelope": envelope} | {c: F.when(F.col(c).isNotNull(), mark) for c in columns})
+    """``encrypt_paths`` of whole columns."""
+    return encrypt_paths(df, columns, key)
 
 
 def decrypt_columns(df: DataFrame, columns: list[str], key: Column) -> DataFrame:
-    return df.withColumns({c: F.try_aes_decrypt(F.unbase64(F.try_element_at("envelope", F.lit(c))), key).cast("string") for c in columns}).drop("envelope")
+    """The inverse, without the envelope."""
+    return decrypt_paths(df, columns, key).drop("envelope")
 
 
 def access_report(accesses: DataFrame) -> DataFrame:

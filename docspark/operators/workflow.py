@@ -87,20 +87,58 @@ def section_progress(events: DataFrame) -> DataFrame:
     return one.groupBy("document_id").agg(F.sum("s").alias("started"), F.sum("f").alias("finished"), F.sum("x").alias("failed"), F.max_by(F.when(is_open, F.col("section_id")), F.when(is_open, F.col("at"))).alias("current_section"))
 
 
-def apply_review_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
-    """(document_id, review_status, version): actions count while their expected version is the current one.
+#: Actions that count for one version of a document only, and the review status that they set.
+VERSIONED = {"approve": "APPROVED", "reject": "REJECTED", "correct": "PENDING_REVIEW"}
+
 
-    Of the actions for one version the first counts, and it raises the version, so those that count
-    are the unbroken chain of versions from the document's own.
+def fold_review_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
+    """(document_id, status, review_status, version, log): a document's actions applied one after another by ts,
+    action_id. log: for each action its action_id, action and the reason why it was rejected, null if it counted.
+
+    Approve, reject and correct count if their expected version is the current one, and raise it; a rejection
+    needs notes. Reprocess always counts: it sets status REPROCESSING and review status PENDING_REVIEW and leaves
+    the version. Without a column status in ``docs`` it is null at first. Other actions are rejected as unknown. The actions of one document are folded as one list:
+    people make them, so it is short.
     """
-    w = Window.partitionBy("document_id", "expected_version").orderBy("ts", "action_id")
-    first = actions.where("action <> 'reject' or notes is not null").withColumn("r", F.row_number().over(w)).where("r = 1")
-    chain = Window.partitionBy("document_id").orderBy("expected_version")
-    valid = first.join(docs.select("document_id", "version"), "document_id").where("expected_version >= version")
-    valid = valid.withColumn("k", F.row_number().over(chain)).where(F.col("expected_version") == F.col("version") + F.col("k") - 1)
-    last = valid.groupBy("document_id").agg(F.max_by("action", "expected_version").alias("action"), F.max("expected_version").alias("v"))
-    status = F.when(F.col("action") == "approve", "APPROVED").when(F.col("action") == "reject", "REJECTED").when(F.col("action") == "correct", "PENDING_REVIEW").otherwise(F.col("review_status"))
-    return docs.join(last, "document_id", "left").select("document_id", status.alias("review_status"), F.coalesce(F.col("v") + 1, F.col("version")).alias("version"))
+    item = F.struct("ts", "action_id", "action", "expected_version", "notes")
+    own = actions.groupBy("document_id").agg(F.sort_array(F.collect_list(item)).alias("actions"))
+    versioned = lambda x: F.coalesce(x.action.isin(*VERSIONED), F.lit(False))
+
+    def reason(s: Column, x: Column) -> Column:
+        silent = F.trim(F.coalesce(x.notes, F.lit(""))) == ""
+        return (
+            F.when(F.coalesce(x.action == "reprocess", F.lit(False)), None)
+            .when(~versioned(x), "unknown action")
+            .when((x.action == "reject") & silent, "notes missing")
+            .when(~x.expected_version.eqNullSafe(s.version), "stale version")
+        )
+
+    def step(s: Column, x: Column) -> Column:
+        why = reason(s, x)
+        counts, again = why.isNull() & versioned(x), F.coalesce(x.action == "reprocess", F.lit(False))
+        review = F.when(again, "PENDING_REVIEW")
+        for action, status in VERSIONED.items():
+            review = review.when(counts & (x.action == action), status)
+        entry = F.struct(x.action_id.alias("action_id"), x.action.alias("action"), why.cast("string").alias("reason"))
+        return F.struct((s.version + counts.cast("int")).cast("int").alias("version"), F.when(again, "REPROCESSING").otherwise(s.status).alias("status"), review.otherwise(s.review_status).alias("review_status"), F.concat(s.log, F.array(entry)).alias("log"))
+
+    kind = actions.schema["action_id"].dataType.simpleString()
+    start = F.struct(F.col("version").cast("int").alias("version"), (F.col("status") if "status" in docs.columns else F.lit(None)).cast("string").alias("status"), F.col("review_status").cast("string").alias("review_status"), F.array().cast(f"array<struct<action_id:{kind},action:string,reason:string>>").alias("log"))
+    folded = docs.join(own, "document_id", "left").select("document_id", start.alias("start"), "actions")
+    folded = folded.select("document_id", F.when(F.col("actions").isNull(), F.col("start")).otherwise(F.aggregate("actions", F.col("start"), step)).alias("s"))
+    return folded.select("document_id", "s.status", "s.review_status", "s.version", "s.log")
+
+
+def apply_review_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
+    """(document_id, status, review_status, version) after all actions; see ``fold_review_actions``."""
+    return fold_review_actions(docs, actions).drop("log")
+
+
+def rejected_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
+    """(document_id, action_id, action, reason) of the actions that changed nothing, those on unknown documents included."""
+    log = fold_review_actions(docs, actions).select("document_id", F.explode("log").alias("x")).select("document_id", "x.*").where("reason is not null")
+    lost = actions.join(docs.select("document_id"), "document_id", "left_anti").select("document_id", "action_id", "action", F.lit("unknown document").alias("reason"))
+    return log.unionByName(lost)
 
 
 def merge_corrections(corrections: DataFrame) -> DataFrame:

@@ -70,9 +70,17 @@ def nav_hits(spark, sf):
     return X.nav_hits(R._summaries(spark, sf)[0], ["the", "que", "und", "tion"], 2)
 
 
+#: Levels of the chain of nodes in the trees below.
+CHAIN = 12
+
+
 def flatten_tree(spark, sf):
+    """Trees with a chain of twelve levels, a node without children and one with an empty list of them."""
     leaf = F.concat(F.lit('{"title":"'), F.col("p_name"), F.lit('"}'))
-    tree = F.concat(F.lit("[{\"title\":\"a\",\"nodes\":["), leaf, F.lit(",{\"title\":\"b\",\"nodes\":["), leaf, F.lit("]}]},"), leaf, F.lit("]"))
+    chain = leaf
+    for n in range(CHAIN - 1, 1, -1):
+        chain = F.concat(F.lit(f'{{"title":"c{n}","nodes":['), chain, F.lit("]}"))
+    tree = F.concat(F.lit('[{"title":"a","nodes":['), leaf, F.lit(","), chain, F.lit(']},{"title":"e","nodes":[]},'), leaf, F.lit("]"))
     return X.flatten_tree(_t(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), tree.alias("tree")))
 
 
@@ -118,7 +126,7 @@ SQL = {
     "strip_geometry": f"""WITH {R.ANSWERS} SELECT '{{"answer":"' || answer || '","confidence":' || confidence || '}}' AS a, count(*) AS n FROM an GROUP BY 1""",
     "amendment_cleanup": "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'Amended and Restated Credit Agreement' ELSE 'Third Amendment' END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Amendment No. 2' WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 1 THEN '2' END AS number FROM part",
     "nav_hits": f"WITH RECURSIVE {R.MATCHED}, h AS (SELECT doc_id, seq, contains(lower(concat_ws(' ', title, summary)), 'the')::INT + contains(lower(concat_ws(' ', title, summary)), 'que')::INT + contains(lower(concat_ws(' ', title, summary)), 'und')::INT + contains(lower(concat_ws(' ', title, summary)), 'tion')::INT AS hits FROM sm) SELECT doc_id, seq, hits FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, seq) <= 2",
-    "flatten_tree": "SELECT p_partkey AS doc_id, path, coalesce(t, p_name) AS title FROM part, (VALUES ('001', 'a'), ('001.001', NULL), ('001.002', 'b'), ('001.002.001', NULL), ('002', NULL)) v(path, t)",
+    "flatten_tree": f"SELECT p_partkey AS doc_id, path, coalesce(t, p_name) AS title FROM part, (SELECT '001.002' || repeat('.001', n - 2) AS path, CASE WHEN n < {CHAIN} THEN 'c' || n END AS t FROM range(2, {CHAIN + 1}) r(n) UNION ALL VALUES ('001', 'a'), ('001.001', NULL), ('002', 'e'), ('003', NULL)) v",
     "redact_by_name": f"""SELECT c_custkey AS id, '{{"ssn":"***-**-' || right({R.DIGITS}, 4) || '","name":"' || c_name || '","kids":[{{"dob":"****-**-** (1970)"}}]}}' AS owner FROM customer""",
     "schema_subset": "SELECT p_brand AS schema_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position, 'f' || lpad(p_partkey::VARCHAR, 9, '0') AS field_id FROM part WHERE p_size % 2 = 0 AND p_size % 3 <> 0",
     "rebuild_tiers": """WITH r AS (SELECT l_suppkey AS table_id, l_quantity::INT AS q, l_linenumber AS n, l_suppkey % 2 = 0 AS even FROM lineitem),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docspark.functions import parsing as V
 from docspark.functions import text as T
 from docspark.operators import pages as P
+from docspark.operators import privacy
 from docspark.operators import records as R
 from docspark.operators import trees as G
 from docspark.plans import config
@@ -283,6 +284,34 @@ def encryption_round_trip(spark, sf):
     return R.decrypt_columns(sealed, ["name", "segment"], key).select("id", "name", "segment", "mark", "sealed")
 
 
+def _owned(spark, sf):
+    """A customer as a nested record: two owners with numbers and a list of phones, some of them missing."""
+    k = F.col("c_custkey")
+    ssn = lambda n: F.when(k % n > 0, V.format_ssn(F.lpad((k * n % 1000000000).cast("string"), 9, "0")))
+    owners = F.array(*(F.struct(F.lit(i).alias("place"), F.struct(ssn(n).alias("ssn"), (k + i).alias("tax")).alias("ids")) for i, n in enumerate((7919, 3))))
+    return _t(spark, sf, "customer").select(k.alias("id"), F.struct(F.when(k % 5 > 0, owners).alias("owners"), F.array("c_name", F.lit(None)).alias("phones")).alias("d"))
+
+
+PATHS, KEY = ["d.owners[*].ids.ssn", "d.owners[*].ids.tax", "d.phones[*]", "d.owners[*].none"], "0123456789abcdef"
+
+
+def encrypt_paths(spark, sf):
+    """Every element of nested lists sealed under a path of its own; a second run changes nothing."""
+    key = F.lit(KEY).cast("binary")
+    once = privacy.encrypt_paths(_owned(spark, sf), PATHS[:1], key)
+    sealed = privacy.encrypt_paths(privacy.encrypt_paths(once, PATHS, key), PATHS, key)
+    return sealed.select("id", F.to_json("d").alias("d"), F.array_join(F.array_sort(F.map_keys("envelope")), ",").alias("sealed"))
+
+
+def decrypt_paths(spark, sf):
+    """The round trip, after a try with a wrong key."""
+    key = F.lit(KEY).cast("binary")
+    sealed = privacy.encrypt_paths(_owned(spark, sf), PATHS, key)
+    wrong = privacy.decrypt_paths(sealed, PATHS, F.lit(KEY[::-1]).cast("binary"))
+    back = privacy.decrypt_paths(wrong, PATHS, key, {PATHS[1]: "bigint"})
+    return back.select("id", F.to_json("d").alias("d"), F.size("envelope").alias("remaining"))
+
+
 def access_report(spark, sf):
     e = _t(spark, sf, "events").where("event_type = 'view'")
     return R.access_report(e.select(F.col("user_id").alias("accessor_id"), (F.floor("value") % 20).cast("bigint").alias("document_id"), "ts"))
@@ -344,9 +373,9 @@ def sanity_rules(spark, sf):
 
 
 def _nested(spark, sf):
-    """Events as nested records: lists, objects in lists, hidden keys, nulls, and leaves six levels down."""
+    """Events as nested records: lists, objects in lists, hidden keys, nulls, empty values, and leaves up to fourteen levels down."""
     kind, k = F.col("event_type"), F.col("event_id")
-    text = F.concat(F.lit('{"meta":{"kind":"'), kind, F.lit('","tags":["a",{"n":'), (k % 5).cast("string"), F.lit('}],"_h":"x","note":null},"props":'), F.coalesce("props", F.lit("null")), F.lit(',"empty":"","deep":{"a":{"b":{"c":{"d":'), k.cast("string"), F.lit(',"e":{"f":2}}}}}}'))
+    text = F.concat(F.lit('{"meta":{"kind":"'), kind, F.lit('","tags":["a",{"n":'), (k % 5).cast("string"), F.lit('}],"_h":"x","note":null},"props":'), F.coalesce("props", F.lit("null")), F.lit(',"empty":"","none":{},"deep":{"a":{"b":{"c":{"d":'), k.cast("string"), F.lit(',"e":{"f":2,"g":[{"h":{"i":{"j":[[{"k":'), k.cast("string"), F.lit('}],{},[]]}}}]}}}}}}'))
     return _t(spark, sf, "events").select(k.alias("doc_id"), text.alias("record"))
 
 
@@ -379,7 +408,7 @@ QUERIES = {
     for f in (
         page_offset, apply_offset, locate_titles, tree_parents, tree_end_pages, tree_stats, oversized_leaves, split_oversized, verify_headings, node_pages, compact_outline, leaf_sections, match_sections_to_nodes, plan_from_tree, tree_cost, cache_summaries,
         block_edges, key_values, signatures, best_value_per_key, cells_to_rows, lines_to_text, best_answer_per_query, query_answers, tables_in_page_order, remap_page_index, extraction_quality, confidence_bands, best_radio_choice, signature_summary,
-        parsed_values, parsed_dates, parsed_texts, masked_values, mask_paths, encryption_round_trip, access_report, validate_fields, validate_record, apply_overrides, loan_defaults, code_lookup, cross_reference, authoritative_value, sanity_rules, leaf_paths, count_fields, section_page_map, merge_partial_records, deep_merge,
+        parsed_values, parsed_dates, parsed_texts, masked_values, mask_paths, encryption_round_trip, encrypt_paths, decrypt_paths, access_report, validate_fields, validate_record, apply_overrides, loan_defaults, code_lookup, cross_reference, authoritative_value, sanity_rules, leaf_paths, count_fields, section_page_map, merge_partial_records, deep_merge,
     )
 }
 
@@ -411,7 +440,7 @@ OFFSET = f"{ENTRIES}, e AS (SELECT doc_id, entry_id AS seq, title, physical_page
 DIGITS = "lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '0')"
 RID = "lpad(n::VARCHAR, 2, '0') || '-' || lpad(part::VARCHAR, 7, '0') || '-' || lpad(supp::VARCHAR, 6, '0') || '-' || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 11, '0')"
 BLOCKS = f"{LINES}, bk AS (SELECT *, {RID} AS rid FROM ln)"
-LEAVES = """nj AS (SELECT event_id AS doc_id, '{"meta":{"kind":"' || event_type || '","tags":["a",{"n":' || event_id % 5 || '}],"_h":"x","note":null},"props":' || coalesce(props, 'null') || ',"empty":"","deep":{"a":{"b":{"c":{"d":' || event_id || ',"e":{"f":2}}}}}}' AS j FROM events),
+LEAVES = """nj AS (SELECT event_id AS doc_id, '{"meta":{"kind":"' || event_type || '","tags":["a",{"n":' || event_id % 5 || '}],"_h":"x","note":null},"props":' || coalesce(props, 'null') || ',"empty":"","none":{},"deep":{"a":{"b":{"c":{"d":' || event_id || ',"e":{"f":2,"g":[{"h":{"i":{"j":[[{"k":' || event_id || '}],{},[]]}}}]}}}}}}' AS j FROM events),
   lf AS (SELECT doc_id, replace(fullkey, '"', '') AS name, t.type AS kind, atom ->> '$' AS value, length(fullkey) - length(replace(replace(fullkey, '.', ''), '[', '')) AS levels FROM nj, json_tree(j) t)"""
 SSN = f"substr({DIGITS}, 1, 3) || '-' || substr({DIGITS}, 4, 2) || '-' || substr({DIGITS}, 6)"
 
@@ -474,7 +503,13 @@ SQL = {
     "cross_reference": "WITH l AS (SELECT l_orderkey AS k, round(max(l_extendedprice), 0) AS v FROM lineitem GROUP BY 1) SELECT o_orderkey AS doc_id, 'total' AS field_a, 'lines' AS field_b, abs(round(o_totalprice, 0) - v) <= 20000 AS matches FROM orders JOIN l ON k = o_orderkey UNION ALL SELECT k, 'lines', 'lines', true FROM l",
     "authoritative_value": f"WITH {LINES}, f AS (SELECT doc_id, 'f' || part % 3 AS field_id, supp AS value, n FROM ln WHERE qty % 4 > 0) SELECT doc_id, field_id, min_by(value, n * 1000000 + value) AS value, count(DISTINCT value) > 1 AS discrepancy FROM f GROUP BY 1, 2",
     "sanity_rules": "WITH l AS (SELECT l_orderkey AS k, sum(l_quantity::INT)::DOUBLE AS a, max(l_linenumber) * 0.01::DOUBLE AS r, min(l_quantity::INT)::DOUBLE AS p, count(*) * 6 AS m, sum(l_linenumber) / 10.0::DOUBLE AS s FROM lineitem GROUP BY 1) SELECT k AS doc_id, concat_ws(',', CASE WHEN abs(a * r / 12 - p) > a * 0.01::DOUBLE THEN 'payment' END, CASE WHEN m < 12 OR m > 360 THEN 'term' END, CASE WHEN abs(s - 1) > 0.01::DOUBLE THEN 'shares' END) AS failed FROM l",
-    "leaf_paths": f"WITH {LEAVES} SELECT doc_id, substr(name, 3) AS path, value FROM lf WHERE kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND levels <= 5 AND value <> '' AND NOT contains(name, '._')",
+    "encrypt_paths": """WITH c AS (SELECT c_custkey AS k, c_custkey % 5 > 0 AS own, c_name AS p FROM customer), o AS (SELECT *, c.k % 7919 > 0 AS a, c.k % 3 > 0 AS b FROM c)
+      SELECT k AS id, '{' || CASE WHEN own THEN '"owners":[{"place":0,"ids":{' || CASE WHEN a THEN '"ssn":"[ENCRYPTED]",' ELSE '' END || '"tax":"[ENCRYPTED]"}},{"place":1,"ids":{' || CASE WHEN b THEN '"ssn":"[ENCRYPTED]",' ELSE '' END || '"tax":"[ENCRYPTED]"}}],' ELSE '' END || '"phones":["[ENCRYPTED]",null]}' AS d,
+        concat_ws(',', CASE WHEN own AND a THEN 'd.owners[0].ids.ssn' END, CASE WHEN own THEN 'd.owners[0].ids.tax' END, CASE WHEN own AND b THEN 'd.owners[1].ids.ssn' END, CASE WHEN own THEN 'd.owners[1].ids.tax' END, 'd.phones[0]') AS sealed FROM o""",
+    "decrypt_paths": """WITH s AS (SELECT c_custkey AS k, c_name AS p, lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS x, lpad((c_custkey * 3 % 1000000000)::VARCHAR, 9, '0') AS y FROM customer),
+      f AS (SELECT k, p, substr(x, 1, 3) || '-' || substr(x, 4, 2) || '-' || substr(x, 6) AS x, substr(y, 1, 3) || '-' || substr(y, 4, 2) || '-' || substr(y, 6) AS y FROM s)
+      SELECT k AS id, '{' || CASE WHEN k % 5 > 0 THEN '"owners":[{"place":0,"ids":{' || CASE WHEN k % 7919 > 0 THEN '"ssn":"' || x || '",' ELSE '' END || '"tax":' || k || '}},{"place":1,"ids":{' || CASE WHEN k % 3 > 0 THEN '"ssn":"' || y || '",' ELSE '' END || '"tax":' || (k + 1) || '}}],' ELSE '' END || '"phones":["' || p || '",null]}' AS d, 0 AS remaining FROM f""",
+    "leaf_paths": f"WITH {LEAVES} SELECT doc_id, substr(name, 3) AS path, value FROM lf WHERE kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND value <> '' AND NOT contains(name, '._')",
     "count_fields": f"WITH {LEAVES} SELECT doc_id, count(*) FILTER (kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND levels BETWEEN 1 AND 5) AS fields FROM lf GROUP BY 1",
     "section_page_map": f"WITH {LINES} SELECT doc_id, 's' || part % 3 AS section_id, string_agg(DISTINCT n::VARCHAR, ',' ORDER BY n::VARCHAR) AS pages FROM ln GROUP BY 1, 2",
     "merge_partial_records": "SELECT user_id AS doc_id, min_by(props, (ts, event_id)) FILTER (event_type = 'view') AS a, min_by(event_id, (ts, event_id)) FILTER (event_type = 'click') AS b, count(*) AS parts FROM events GROUP BY 1",

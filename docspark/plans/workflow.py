@@ -67,15 +67,19 @@ def requirement_batches(spark, sf):
 
 
 def _requirements(spark, sf):
-    """Items as requirements of four baselines; their longer words are the terms."""
-    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    """Items as requirements of four baselines; their longer words and two phrases of theirs are the terms."""
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
     k = F.col("item_id")
-    return _t(spark, sf, "benchmark").select(F.concat(F.lit("b"), (k % 4).cast("string")).alias("baseline_id"), k.cast("string").alias("requirement_id"), F.array_distinct(F.filter(words, lambda w: F.length(w) > 5)).alias("terms"))
+    longer = F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: F.length(w) > 5))
+    phrases = F.array(F.concat_ws(", ", F.slice(words, 1, 2)), F.upper(F.array_join(F.slice(words, 3, 3), " ")), F.lit("..."))
+    return _t(spark, sf, "benchmark").select(F.concat(F.lit("b"), (k % 4).cast("string")).alias("baseline_id"), k.cast("string").alias("requirement_id"), F.concat(longer, phrases).alias("terms"))
 
 
-REQS = r"rq AS (SELECT item_id::VARCHAR AS requirement_id, 'b' || item_id % 4 AS baseline_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 5)) AS terms FROM benchmark), req AS (SELECT requirement_id, unnest(terms) AS term FROM rq)"
+REQS = r"""rw AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+  rq AS (SELECT item_id::VARCHAR AS requirement_id, 'b' || item_id % 4 AS baseline_id, list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: length(x) > 5) || list_filter([lower(array_to_string(w[1:2], ' ')), lower(array_to_string(w[3:5], ' '))], lambda x: x <> '')) AS terms FROM rw), req AS (SELECT requirement_id, unnest(terms) AS term FROM rq)"""
 PAGES = "pg AS (SELECT doc_id, p::INT AS page_number, substr(t, ((p - 1) * 1500 + 1)::BIGINT, 1500) AS text FROM (SELECT doc_id, coalesce(text, '') AS t, greatest(1, ceil(length(coalesce(text, '')) / 1500.0))::BIGINT AS n FROM documents) d, LATERAL (SELECT unnest(range(1, n + 1)) AS p) u)"
-WORDS = r"wd AS (SELECT DISTINCT doc_id, page_number, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM pg)"
+WORDS = r"""pw AS (SELECT doc_id, page_number, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM pg), pi AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM pw),
+  wd AS (SELECT doc_id, page_number, i, w, n, lower(array_to_string(w[i:i + n - 1], ' ')) AS term FROM pi, (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(w))"""
 
 
 def candidate_pages(spark, sf):
@@ -195,9 +199,20 @@ def section_progress(spark, sf):
     return W.section_progress(e)
 
 
+def _actions(spark, sf):
+    """Line items as review actions: some for other versions, some without notes, some unknown, some on no document."""
+    kind = F.when(F.col("l_quantity") < 14, "approve").when(F.col("l_quantity") < 27, "reject").when(F.col("l_quantity") < 39, "correct").when(F.col("l_quantity") < 45, "reprocess").otherwise("archive")
+    document = F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    return _t(spark, sf, "lineitem").select(document.alias("document_id"), kind.alias("action"), (F.col("l_linenumber") - 1).cast("int").alias("expected_version"), F.when(F.col("l_tax") > 0.02, "why").when(F.col("l_tax") > 0.01, " ").alias("notes"), F.col("l_shipdate").alias("ts"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("action_id"))
+
+
 def apply_review_actions(spark, sf):
-    a = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_quantity") < 17, "approve").when(F.col("l_quantity") < 34, "reject").otherwise("correct").alias("action"), (F.col("l_linenumber") - 1).cast("int").alias("expected_version"), F.when(F.col("l_tax") > 0.02, "why").alias("notes"), F.col("l_shipdate").alias("ts"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("action_id"))
-    return W.apply_review_actions(_docs(spark, sf), a)
+    return W.apply_review_actions(_docs(spark, sf), _actions(spark, sf))
+
+
+def rejected_actions(spark, sf):
+    out = W.rejected_actions(_docs(spark, sf), _actions(spark, sf))
+    return out.select("document_id", F.col("action_id.l_partkey").alias("part"), F.col("action_id.l_suppkey").alias("supp"), "action", "reason")
 
 
 def merge_corrections(spark, sf):
@@ -247,7 +262,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         compliance_baselines, requirement_batches, candidate_pages, evaluate_requirements, report_scores, scores_with_missing, document_score, apply_reviews, feedback_from_reviews, recent_corrections, verdict_cube, extract_requirements, append_requirements, edit_requirements, baseline_lifecycle,
-        list_documents, status_metrics, review_queue, work_queue, merge_pending, stage_status, stage_elapsed, latest_event, parse_progress, section_progress, apply_review_actions, merge_corrections, plugin_versions, document_cost, processing_time, cost_rollup, budget_flags, deferred_ready, route_mode, retention,
+        list_documents, status_metrics, review_queue, work_queue, merge_pending, stage_status, stage_elapsed, latest_event, parse_progress, section_progress, apply_review_actions, rejected_actions, merge_corrections, plugin_versions, document_cost, processing_time, cost_rollup, budget_flags, deferred_ready, route_mode, retention,
     )
 }
 
@@ -258,13 +273,19 @@ REVIEWED = f"""{VERDICTS}, v AS (SELECT doc_id AS report_id, requirement_id, ver
   rv AS (SELECT coalesce(v.report_id, lo.report_id) AS report_id, coalesce(v.requirement_id, rid) AS requirement_id, verdict, cv AS reviewer_override, note AS reviewer_note, coalesce(cv, verdict) AS effective_verdict FROM v FULL JOIN lo ON v.report_id = lo.report_id AND v.requirement_id = lo.rid)"""
 FLAGS = ", ".join(f"max((stage = '{s}')::INT) AS {s}" for s in W.STAGES)
 
+ACTIONS = """a AS (SELECT CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS document_id, CASE WHEN l_quantity < 14 THEN 'approve' WHEN l_quantity < 27 THEN 'reject' WHEN l_quantity < 39 THEN 'correct' WHEN l_quantity < 45 THEN 'reprocess' ELSE 'archive' END AS action, l_linenumber - 1 AS v, l_tax > 0.02 AS noted, l_partkey AS part, l_suppkey AS supp,
+    row_number() OVER (PARTITION BY CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+  r(document_id, i, status, review_status, version, reason) AS (SELECT document_id, 0::BIGINT, status, review_status, version, NULL::VARCHAR FROM docs UNION ALL
+    SELECT document_id, i, CASE WHEN action = 'reprocess' THEN 'REPROCESSING' ELSE status END, CASE WHEN why IS NOT NULL THEN review_status WHEN action = 'approve' THEN 'APPROVED' WHEN action = 'reject' THEN 'REJECTED' ELSE 'PENDING_REVIEW' END, version + (why IS NULL AND action <> 'reprocess')::INT, why FROM (
+      SELECT r.document_id, a.i, r.status, r.review_status, r.version, a.action, CASE WHEN action = 'reprocess' THEN NULL WHEN action = 'archive' THEN 'unknown action' WHEN action = 'reject' AND NOT noted THEN 'notes missing' WHEN v <> r.version THEN 'stale version' END AS why FROM r JOIN a ON a.document_id = r.document_id AND a.i = r.i + 1))"""
+
 SQL = {
     "compliance_baselines": """WITH d AS (SELECT c_custkey AS doc_id, 'p' || c_custkey % 1000 AS plugin_id FROM customer), b AS (SELECT s_suppkey::VARCHAR AS baseline_id, ['p' || s_suppkey, 'p' || (s_suppkey + 1)] AS plugin_ids FROM supplier WHERE s_suppkey % 3 <> 2)
       SELECT DISTINCT doc_id, baseline_id FROM d JOIN b ON CASE WHEN doc_id % 3 = 0 THEN baseline_id IN ((doc_id % 7)::VARCHAR, '1') ELSE list_contains(plugin_ids, plugin_id) END""",
     "requirement_batches": "SELECT l_suppkey::VARCHAR AS baseline_id, l_partkey AS requirement_id, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1) // 10)::INT AS batch FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)",
-    "candidate_pages": f"WITH {REQS}, {PAGES}, {WORDS} SELECT requirement_id, doc_id, page_number, count(*)::INT AS found FROM wd JOIN req USING (term) GROUP BY 1, 2, 3",
-    "evaluate_requirements": f"""WITH {REQS}, {PAGES}, {WORDS}, h AS (SELECT requirement_id, doc_id, count(DISTINCT term) AS f, min(page_number) AS first_page, list_aggregate(list_sort(list(DISTINCT page_number)), 'string_agg', ',') AS page_references FROM wd JOIN req USING (term) GROUP BY 1, 2)
-      SELECT d.doc_id, rq.requirement_id, CASE WHEN coalesce(f, 0) = 0 THEN 'NOT_FOUND' WHEN f = len(terms) THEN 'PASS' ELSE 'PARTIAL' END AS verdict, CASE WHEN f > 0 THEN round(f / len(terms)::DOUBLE, 6) ELSE 0 END AS confidence, first_page, coalesce(page_references, '') AS page_references
+    "candidate_pages": f"WITH {REQS}, {PAGES}, {WORDS} SELECT requirement_id, doc_id, page_number, count(DISTINCT term)::INT AS found FROM wd JOIN req USING (term) GROUP BY 1, 2, 3",
+    "evaluate_requirements": f"""WITH {REQS}, {PAGES}, {WORDS}, h AS (SELECT requirement_id, doc_id, count(DISTINCT term) AS f, array_to_string(min_by(w[greatest(1, i - 8):i + n + 7], (page_number, i, term)), ' ') AS evidence, min(page_number) AS first_page, list_aggregate(list_sort(list(DISTINCT page_number)), 'string_agg', ',') AS page_references FROM wd JOIN req USING (term) GROUP BY 1, 2)
+      SELECT d.doc_id, rq.requirement_id, CASE WHEN coalesce(f, 0) = 0 THEN 'NOT_FOUND' WHEN f = len(terms) THEN 'PASS' ELSE 'PARTIAL' END AS verdict, CASE WHEN f > 0 THEN round(f / len(terms)::DOUBLE, 6) ELSE 0 END AS confidence, coalesce(evidence, '') AS evidence, first_page, coalesce(page_references, '') AS page_references
       FROM documents d JOIN rq ON baseline_id = 'b' || d.doc_id % 4 LEFT JOIN h ON h.doc_id = d.doc_id AND h.requirement_id = rq.requirement_id""",
     "report_scores": f"WITH {SCORES} SELECT * FROM sc",
     "scores_with_missing": f"WITH {SCORES} SELECT o_orderkey AS doc_id, coalesce(baseline_id, 'no_baselines') AS baseline_id, coalesce(overall_score, -1) AS overall_score FROM orders LEFT JOIN sc ON sc.doc_id = o_orderkey",
@@ -307,10 +328,8 @@ SQL = {
     "section_progress": f"""WITH {EVENTS}, e AS (SELECT document_id, 's' || floor(value)::BIGINT % 30 AS sid, event_type AS t, ts, event_id FROM ev),
       g AS (SELECT document_id, sid, max((t IN ('view', 'click'))::INT) AS s, max((t = 'purchase')::INT) AS f, max((t = 'error')::INT) AS x, max(CASE WHEN t IN ('view', 'click') THEN ts END) AS at_ FROM e GROUP BY 1, 2)
       SELECT document_id, sum(s)::BIGINT AS started, sum(f)::BIGINT AS finished, sum(x)::BIGINT AS failed, max_by(CASE WHEN s = 1 AND f = 0 AND x = 0 THEN sid END, CASE WHEN s = 1 AND f = 0 AND x = 0 THEN at_ END) AS current_section FROM g GROUP BY 1""",
-    "apply_review_actions": f"""WITH RECURSIVE {DOCS}, a AS (SELECT l_orderkey AS document_id, CASE WHEN l_quantity < 17 THEN 'approve' WHEN l_quantity < 34 THEN 'reject' ELSE 'correct' END AS action, l_linenumber - 1 AS v, l_tax > 0.02 AS noted, l_shipdate, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
-      f AS (SELECT document_id, action, v FROM a WHERE action <> 'reject' OR noted QUALIFY row_number() OVER (PARTITION BY document_id, v ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) = 1),
-      r(document_id, review_status, version) AS (SELECT document_id, review_status, version FROM docs UNION ALL SELECT r.document_id, CASE action WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' ELSE 'PENDING_REVIEW' END, r.version + 1 FROM r JOIN f ON f.document_id = r.document_id AND f.v = r.version)
-      SELECT document_id, review_status, version FROM r QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY version DESC) = 1""",
+    "apply_review_actions": f"WITH RECURSIVE {DOCS}, {ACTIONS} SELECT document_id, status, review_status, version FROM r QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY i DESC) = 1",
+    "rejected_actions": f"WITH RECURSIVE {DOCS}, {ACTIONS} SELECT document_id, part, supp, action, reason FROM r JOIN a USING (document_id, i) WHERE reason IS NOT NULL UNION ALL SELECT document_id, part, supp, action, 'unknown document' FROM a WHERE document_id NOT IN (SELECT document_id FROM docs)",
     "merge_corrections": """SELECT l_orderkey AS document_id, 'f' || l_linenumber % 3 AS field, l_quantity::INT::VARCHAR AS value, 'u' || l_suppkey % 5 AS actor FROM lineitem
       QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC) = 1""",
     "plugin_versions": "SELECT 'p' || p_partkey % 17 AS plugin_id, 'v' || max(p_size) AS newest, 'v' || max(p_size) + 1 AS next_version, 'v' || max(p_size) FILTER (p_size % 2 = 0) AS publishable FROM part GROUP BY 1",

@@ -83,7 +83,8 @@ def test_verdicts_cover_every_requirement(spark):
 def test_leaves_of_nested_json(spark):
     deep = {"a": {"b": {"c": {"d": {"e": 1, "f": {"g": 2}}}}}, "l": [1, [2, {"m": "x"}]], "_h": {"k": 1}, "n": None, "s": "", "o": {}, "t": True}
     df = spark.createDataFrame([(1, json.dumps(deep)), (2, "no json"), (3, None), (4, "7"), (5, "{}")], "doc_id int, j string")
-    got = {(r.doc_id, r.path): r.value for r in records.leaf_paths(df, "j").collect()}
+    got = {(r.doc_id, r.path): r.value for r in records.leaf_paths(df, "j", 5).collect()}
+    assert {(r.doc_id, r.path): r.value for r in records.leaf_paths(df, "j").collect()} == got | {(1, "a.b.c.d.f.g"): "2"}
     assert got == {(1, "a.b.c.d.e"): "1", (1, "l[0]"): "1", (1, "l[1][0]"): "2", (1, "l[1][1].m"): "x", (1, "t"): "true"}
     assert {r.doc_id: r.fields for r in records.count_fields(df, "j").collect()} == {1: 7, 2: 0, 3: 0, 4: 0, 5: 0}
     wrapped = spark.createDataFrame([(1, json.dumps({"x": {"y": [1, {"z": "q"}]}, "audit": {"u": 1}})), (2, json.dumps({"loanData": {"k": [1]}}))], "doc_id int, payload string")
