@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docspark.functions import parsing as V
 from docspark.operators.privacy import decrypt_paths, encrypt_paths
@@ -179,10 +180,41 @@ def authoritative_value(fields: DataFrame) -> DataFrame:
     return fields.where("value is not null").groupBy("doc_id", "field_id").agg(F.min_by("value", F.struct("rank", "value")).alias("value"), (F.countDistinct("value") > 1).alias("discrepancy"))
 
 
-def sanity_rules(loans: DataFrame) -> DataFrame:
-    """(doc_id, failed): names of rules that a loan breaks; ``loans`` has amount, rate, payment, months, shares."""
-    broken = F.array_compact(F.array(F.when(F.abs(F.col("amount") * F.col("rate") / 12 - F.col("payment")) > F.col("amount") * 0.01, F.lit("payment")), F.when((F.col("months") < 12) | (F.col("months") > 360), F.lit("term")), F.when(F.abs(F.col("shares") - 1) > 0.01, F.lit("shares"))))
-    return loans.select("doc_id", F.array_join(broken, ",").alias("failed"))
+#: What breaks a rule, over a loan's columns and those of ``_cross_rows``; a condition that is null breaks nothing.
+RULES = [
+    ("payment", "abs(amount * rate / 12 - payment) > amount * 0.01"),
+    ("term", "months_between(maturity_date, effective_date) < 12 or months_between(maturity_date, effective_date) > 360"),
+    ("fixed_type", "is_fixed and coalesce(rate_type, '') <> 'FIX:FIXED RATE LOAN'"),
+    ("variable_index", "not is_fixed and coalesce(trim(rate_index), '') = ''"),
+    ("parties", "coalesce(trim(borrower), '') = '' or coalesce(trim(lender), '') = ''"),
+    ("shares", "abs(share_sum - 1) > 0.01"),
+    ("commitments", "abs(commitment_sum - aggregate) > 0.01 * aggregate"),
+    ("spreads", "falls > 0"),
+]
+
+
+def _cross_rows(loans: DataFrame, lenders: DataFrame | None, tiers: DataFrame | None) -> DataFrame:
+    """``loans`` with share_sum and commitment_sum of their lenders, and how often a tier's spread is below the one before."""
+    if lenders is not None:
+        loans = loans.join(lenders.groupBy("doc_id").agg(F.sum("share").alias("share_sum"), F.sum("commitment").alias("commitment_sum")), "doc_id", "left")
+    else:
+        loans = loans.withColumns({c: F.lit(None).cast("double") for c in ("share_sum", "commitment_sum")})
+    if tiers is None:
+        return loans.withColumn("falls", F.lit(None).cast("long"))
+    before = F.lag("spread").over(Window.partitionBy("doc_id").orderBy("level_no"))
+    falls = tiers.where("spread is not null").withColumn("before", before).groupBy("doc_id").agg(F.count_if(F.col("spread") < F.col("before")).alias("falls"))
+    return loans.join(falls, "doc_id", "left")
+
+
+def sanity_rules(loans: DataFrame, lenders: DataFrame | None = None, tiers: DataFrame | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, failed): names of the rules that a loan breaks, in the order of ``rules`` (name, condition).
+
+    ``loans`` has doc_id, amount, rate, payment, effective_date, maturity_date, is_fixed, rate_type, rate_index,
+    borrower, lender, aggregate; ``lenders`` doc_id, share, commitment; ``tiers`` doc_id, level_no, spread. What a
+    loan lacks breaks only the rules that ask for it.
+    """
+    broken = F.array_compact(F.array(*(F.when(F.expr(condition), F.lit(name)) for name, condition in rules or RULES)))
+    return _cross_rows(loans, lenders, tiers).select("doc_id", F.array_join(broken, ",").alias("failed"))
 
 
 #: Levels that are opened in one plan before what is left is looked at.
@@ -240,9 +272,17 @@ def section_page_map(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "section_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("page_number")), lambda p: p.cast("string")), ",").alias("pages"))
 
 
-def merge_partial_records(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One record a document: the first non-null value of each column by ``seq``."""
-    return rows.groupBy("doc_id").agg(*(F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in columns), F.count("*").alias("parts"))
+def merge_partial_records(rows: DataFrame, columns: list[str], document_type: str | None = None) -> DataFrame:
+    """One record a document: the first non-null value of each column by ``seq``, and the number of parts.
+
+    With a list column ``events`` (structs that begin with ts), the lists of all parts as one, sorted by time. With
+    ``document_type`` the record takes that type, and ``dropped`` names the other types that its parts had: those
+    records go, after they gave their values.
+    """
+    extra = [F.array_sort(F.flatten(F.collect_list("events"))).alias("events")] if "events" in rows.columns else []
+    if document_type is not None:
+        extra += [F.lit(document_type).alias("document_type"), F.array_remove(F.sort_array(F.collect_set("document_type")), document_type).alias("dropped")]
+    return rows.groupBy("doc_id").agg(*(F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in columns), F.count("*").alias("parts"), *extra)
 
 
 def deep_merge(base: DataFrame, over: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,14 +14,28 @@ def heading_entries(pages: DataFrame) -> DataFrame:
     return rows.where(F.col("l").rlike(pattern)).select("doc_id", "page_number", "line", F.regexp_extract("l", pattern, 1).alias("structure"), F.regexp_extract("l", pattern, 2).alias("title"))
 
 
+def is_contents(text: Column) -> Column:
+    """Whether a page is a table of contents, by its lines: some end in a page number behind leaders of dots, or
+    at least three and half of them end in numbers that never fall, or its heading says so and some do."""
+    lines = F.filter(F.transform(F.split(text, r"\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    ends = F.filter(lines, lambda x: x.rlike(r"\p{L}.*[ .\x{2026}]\d{1,4}$"))
+    leaders = F.filter(ends, lambda x: x.rlike(r"(?:\. ?){3,}\d{1,4}$|\x{2026} ?\d{1,4}$"))
+    numbers = F.transform(ends, lambda x: F.regexp_extract(x, r"(\d{1,4})$", 1).cast("int"))
+    listed = (F.size(ends) >= 3) & (2 * F.size(ends) >= F.size(lines)) & (F.array_sort(numbers) == numbers)
+    headed = F.lower(F.element_at(F.slice(lines, 1, 1), 1)).rlike(r"^(?:table of )?contents\.?:?$") & (F.size(ends) > 0)
+    return F.coalesce((F.size(leaders) >= 2) | listed | F.when(F.size(lines) > 0, headed), F.lit(False))
+
+
 def page_offset(entries: DataFrame, pages: DataFrame, first: int = 10) -> DataFrame:
     """(doc_id, page_shift, confident): among a document's first entries the first that is found on a page
-    near its printed one. ``entries`` has doc_id, seq, title, printed_page; the range is -5 to 29."""
+    near its printed one. ``entries`` has doc_id, seq, title, printed_page; the range is -5 to 29. Contents
+    pages, which hold every title, do not count."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
     e = entries.withColumn("k", rank).where((F.col("k") <= first) & F.col("printed_page").isNotNull())
     e = e.withColumn("key", F.substring(F.trim(F.lower("title")), 1, 40)).where("key <> ''")
     tried = e.select("doc_id", "k", "key", "printed_page", F.explode(F.sequence(F.lit(-5), F.lit(29))).alias("page_shift")).withColumn("page_number", F.col("printed_page") + F.col("page_shift"))
-    found = tried.join(pages.select("doc_id", "page_number", F.lower("text").alias("t")), ["doc_id", "page_number"]).where(F.contains("t", F.col("key")))
+    texts = pages.where(~is_contents(F.col("text"))).select("doc_id", "page_number", F.lower("text").alias("t"))
+    found = tried.join(texts, ["doc_id", "page_number"]).where(F.contains("t", F.col("key")))
     best = found.groupBy("doc_id").agg(F.min(F.struct("k", "page_shift")).alias("b"))
     return entries.select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", F.coalesce("b.page_shift", F.lit(0)).alias("page_shift"), F.col("b").isNotNull().alias("confident"))
 

@@ -39,14 +39,21 @@ def _pages(spark, sf):
     return e.select("doc_id", F.explode(F.array("physical_page", F.col("physical_page") + 1)).alias("page_number"), "text").withColumn("tokens", T.token_estimate(F.col("text")))
 
 
-def page_offset(spark, sf):
+def _printed(spark, sf):
+    """Entries with printed pages, and pages with a table of contents in front that holds every title."""
     e = _entries(spark, sf).select("doc_id", F.col("entry_id").alias("seq"), "title", (F.col("physical_page") + 2).alias("printed_page"))
-    return G.page_offset(e, _pages(spark, sf))
+    line = F.concat(F.regexp_replace("title", r"\s", " "), F.lit(" x ..... "), F.col("printed_page").cast("string"))
+    contents = e.groupBy("doc_id").agg(F.concat(F.lit("Contents\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x.l), "\n")).alias("text"))
+    return e, _pages(spark, sf).select("doc_id", "page_number", "text").unionByName(contents.select("doc_id", F.lit(0).alias("page_number"), "text"))
+
+
+def page_offset(spark, sf):
+    return G.page_offset(*_printed(spark, sf))
 
 
 def apply_offset(spark, sf):
-    e = _entries(spark, sf).select("doc_id", F.col("entry_id").alias("seq"), "title", (F.col("physical_page") + 2).alias("printed_page"))
-    return G.apply_offset(e, G.page_offset(e, _pages(spark, sf))).select("doc_id", "seq", "physical_page")
+    e, pages = _printed(spark, sf)
+    return G.apply_offset(e, G.page_offset(e, pages)).select("doc_id", "seq", "physical_page")
 
 
 def locate_titles(spark, sf):
@@ -368,8 +375,16 @@ def authoritative_value(spark, sf):
 
 
 def sanity_rules(spark, sf):
-    loans = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum(F.col("l_quantity").cast("int")).cast("double").alias("amount"), (F.max("l_linenumber") * 0.01).alias("rate"), F.min(F.col("l_quantity").cast("int")).cast("double").alias("payment"), (F.count("*") * 6).alias("months"), (F.sum(F.col("l_linenumber")) / 10.0).alias("shares"))
-    return R.sanity_rules(loans)
+    """Orders as loans, their lines as lenders and pricing tiers."""
+    o, n, q = _t(spark, sf, "orders"), F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    k = F.col("o_orderkey")
+    facts = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum(q).cast("double").alias("amount"), (F.max(n) * 0.01).alias("rate"), F.min(q).cast("double").alias("payment"), (F.count("*") * 6).cast("int").alias("months"))
+    loans = o.select(k.alias("doc_id"), F.to_date("o_orderdate").alias("effective_date"), (k % 2 == 0).alias("is_fixed"), F.when(k % 3 > 0, "FIX:FIXED RATE LOAN").alias("rate_type"), F.when(k % 5 > 0, "SOFR").alias("rate_index"), F.when(k % 7 > 0, "b").alias("borrower"), F.when(k % 11 > 0, "l").otherwise(" ").alias("lender"), (k % 300).cast("double").alias("aggregate"))
+    loans = loans.join(facts, "doc_id", "left").withColumn("maturity_date", F.add_months("effective_date", F.col("months")))
+    li = _t(spark, sf, "lineitem")
+    lenders = li.select(F.col("l_orderkey").alias("doc_id"), (n / 10.0).alias("share"), q.cast("double").alias("commitment"))
+    tiers = li.groupBy(F.col("l_orderkey").alias("doc_id"), n.alias("level_no")).agg(F.max("l_tax").alias("spread"))
+    return R.sanity_rules(loans, lenders, tiers)
 
 
 def _nested(spark, sf):
@@ -392,8 +407,13 @@ def section_page_map(spark, sf):
 
 
 def merge_partial_records(spark, sf):
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") == "view", F.col("props")).alias("a"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("b"))
-    return R.merge_partial_records(e, ["a", "b"])
+    """Events in hours as partial records of a user, each with its own list of events; records are of three types."""
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "event_id", "ts", "event_type", "props")
+    first = lambda kind, c: F.min_by(F.when((F.col("event_type") == kind) & F.col(c).isNotNull(), F.col(c)), F.when((F.col("event_type") == kind) & F.col(c).isNotNull(), F.struct("ts", "event_id")))
+    parts = e.groupBy("doc_id", F.hour("ts").alias("seq")).agg(first("view", "props").alias("a"), first("click", "event_id").alias("b"), F.collect_list(F.struct("ts", "event_id")).alias("events"))
+    kind = F.when(F.col("seq") % 3 == 0, "PROCESSING").when(F.col("seq") % 3 == 1, "LOAN").otherwise("OTHER")
+    out = R.merge_partial_records(parts.withColumn("document_type", kind), ["a", "b"], "LOAN")
+    return out.select("doc_id", "a", "b", "parts", F.array_join(F.transform("events", lambda x: x.event_id.cast("string")), ",").alias("events"), "document_type", F.array_join("dropped", ",").alias("dropped"))
 
 
 def deep_merge(spark, sf):
@@ -502,7 +522,10 @@ SQL = {
     "code_lookup": "SELECT p_partkey AS doc_id, CASE WHEN contains(lower(p_name), 'small') THEN 'S' WHEN contains(lower(p_name), 'ring') THEN 'R' WHEN contains(lower(p_name), 'box') THEN 'B' WHEN contains(lower(p_name), 'e') THEN 'E' END AS code FROM part",
     "cross_reference": "WITH l AS (SELECT l_orderkey AS k, round(max(l_extendedprice), 0) AS v FROM lineitem GROUP BY 1) SELECT o_orderkey AS doc_id, 'total' AS field_a, 'lines' AS field_b, abs(round(o_totalprice, 0) - v) <= 20000 AS matches FROM orders JOIN l ON k = o_orderkey UNION ALL SELECT k, 'lines', 'lines', true FROM l",
     "authoritative_value": f"WITH {LINES}, f AS (SELECT doc_id, 'f' || part % 3 AS field_id, supp AS value, n FROM ln WHERE qty % 4 > 0) SELECT doc_id, field_id, min_by(value, n * 1000000 + value) AS value, count(DISTINCT value) > 1 AS discrepancy FROM f GROUP BY 1, 2",
-    "sanity_rules": "WITH l AS (SELECT l_orderkey AS k, sum(l_quantity::INT)::DOUBLE AS a, max(l_linenumber) * 0.01::DOUBLE AS r, min(l_quantity::INT)::DOUBLE AS p, count(*) * 6 AS m, sum(l_linenumber) / 10.0::DOUBLE AS s FROM lineitem GROUP BY 1) SELECT k AS doc_id, concat_ws(',', CASE WHEN abs(a * r / 12 - p) > a * 0.01::DOUBLE THEN 'payment' END, CASE WHEN m < 12 OR m > 360 THEN 'term' END, CASE WHEN abs(s - 1) > 0.01::DOUBLE THEN 'shares' END) AS failed FROM l",
+    "sanity_rules": """WITH l AS (SELECT l_orderkey AS k, sum(l_quantity::INT)::DOUBLE AS a, max(l_linenumber) * 0.01::DOUBLE AS r, min(l_quantity::INT)::DOUBLE AS p, count(*) * 6 AS m, sum(l_linenumber / 10.0::DOUBLE) AS s FROM lineitem GROUP BY 1),
+      t AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_tax) AS x FROM lineitem GROUP BY 1, 2), d AS (SELECT a.k, bool_or(b.x < a.x) AS falls FROM t a JOIN t b ON a.k = b.k AND b.n = (SELECT min(n) FROM t c WHERE c.k = a.k AND c.n > a.n) GROUP BY 1), o AS (SELECT o_orderkey AS k FROM orders)
+      SELECT k AS doc_id, concat_ws(',', CASE WHEN abs(a * r / 12 - p) > a * 0.01::DOUBLE THEN 'payment' END, CASE WHEN m < 12 OR m > 360 THEN 'term' END, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'fixed_type' END, CASE WHEN k % 2 = 1 AND k % 5 = 0 THEN 'variable_index' END, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'parties' END,
+        CASE WHEN abs(s - 1) > 0.01::DOUBLE THEN 'shares' END, CASE WHEN abs(a - k % 300) > 0.01::DOUBLE * (k % 300) THEN 'commitments' END, CASE WHEN falls THEN 'spreads' END) AS failed FROM o LEFT JOIN l USING (k) LEFT JOIN d USING (k)""",
     "encrypt_paths": """WITH c AS (SELECT c_custkey AS k, c_custkey % 5 > 0 AS own, c_name AS p FROM customer), o AS (SELECT *, c.k % 7919 > 0 AS a, c.k % 3 > 0 AS b FROM c)
       SELECT k AS id, '{' || CASE WHEN own THEN '"owners":[{"place":0,"ids":{' || CASE WHEN a THEN '"ssn":"[ENCRYPTED]",' ELSE '' END || '"tax":"[ENCRYPTED]"}},{"place":1,"ids":{' || CASE WHEN b THEN '"ssn":"[ENCRYPTED]",' ELSE '' END || '"tax":"[ENCRYPTED]"}}],' ELSE '' END || '"phones":["[ENCRYPTED]",null]}' AS d,
         concat_ws(',', CASE WHEN own AND a THEN 'd.owners[0].ids.ssn' END, CASE WHEN own THEN 'd.owners[0].ids.tax' END, CASE WHEN own AND b THEN 'd.owners[1].ids.ssn' END, CASE WHEN own THEN 'd.owners[1].ids.tax' END, 'd.phones[0]') AS sealed FROM o""",
@@ -512,7 +535,9 @@ SQL = {
     "leaf_paths": f"WITH {LEAVES} SELECT doc_id, substr(name, 3) AS path, value FROM lf WHERE kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND value <> '' AND NOT contains(name, '._')",
     "count_fields": f"WITH {LEAVES} SELECT doc_id, count(*) FILTER (kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND levels BETWEEN 1 AND 5) AS fields FROM lf GROUP BY 1",
     "section_page_map": f"WITH {LINES} SELECT doc_id, 's' || part % 3 AS section_id, string_agg(DISTINCT n::VARCHAR, ',' ORDER BY n::VARCHAR) AS pages FROM ln GROUP BY 1, 2",
-    "merge_partial_records": "SELECT user_id AS doc_id, min_by(props, (ts, event_id)) FILTER (event_type = 'view') AS a, min_by(event_id, (ts, event_id)) FILTER (event_type = 'click') AS b, count(*) AS parts FROM events GROUP BY 1",
+    "merge_partial_records": """WITH p AS (SELECT user_id AS d, hour(ts) AS q, min_by(props, (ts, event_id)) FILTER (event_type = 'view' AND props IS NOT NULL) AS a, min_by(event_id, (ts, event_id)) FILTER (event_type = 'click') AS b FROM events GROUP BY 1, 2),
+      m AS (SELECT d, min_by(a, q) FILTER (a IS NOT NULL) AS a, min_by(b, q) FILTER (b IS NOT NULL) AS b, count(*) AS parts, concat_ws(',', CASE WHEN bool_or(q % 3 = 2) THEN 'OTHER' END, CASE WHEN bool_or(q % 3 = 0) THEN 'PROCESSING' END) AS dropped FROM p GROUP BY 1)
+      SELECT d AS doc_id, any_value(a) AS a, any_value(b) AS b, any_value(parts) AS parts, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS events, 'LOAN' AS document_type, any_value(dropped) AS dropped FROM m JOIN events ON user_id = d GROUP BY 1""",
     "deep_merge": f"""WITH {LINES}, f AS (SELECT doc_id, CASE WHEN part % 3 = 0 THEN 'x.l[' || n || ']' ELSE 'x.f' || n END AS path, part % 3 = 0 AS listed, supp % 2 AS o, max(supp) AS v FROM ln GROUP BY 1, 2, 3, 4), b AS (SELECT * FROM f a WHERE o = 0 AND NOT (listed AND EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.o = 1 AND c.listed))), n AS (SELECT * FROM f WHERE o = 1)
       SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, coalesce(b.path, n.path) AS path, coalesce(n.v, b.v) AS value FROM b FULL JOIN n ON b.doc_id = n.doc_id AND b.path = n.path""",
 }

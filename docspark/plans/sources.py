@@ -44,10 +44,12 @@ def hydrate(spark, sf):
 
 
 def model_json(spark, sf):
+    """Replies in fences, in prose, bare, none, and valid ones whose strings look like slips."""
     k = F.col("event_id")
-    body = F.concat(F.lit('{"id": '), k.cast("string"), F.lit(', "ok": '), F.when(k % 2 == 0, "True").otherwise("None"), F.lit(',}'))
-    text = F.when(k % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 4 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).when(k % 4 == 2, body).otherwise("no json here")
-    return L.parse_model_json(_t(spark, sf, "events").select(k, text.alias("reply")), "reply", "id bigint, ok boolean").select("event_id", "parsed.id", "parsed.ok")
+    note = F.lit(', "note": "say, None, [1, ] True"')
+    body = F.concat(F.lit('{"id": '), k.cast("string"), note, F.lit(', "ok": '), F.when(k % 2 == 0, "True").otherwise("None"), F.lit(',}'))
+    text = F.when(k % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 5 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).when(k % 5 == 2, body).when(k % 5 == 3, F.concat(F.lit('{"id": '), k.cast("string"), note, F.lit(', "ok": true}'))).otherwise("no json here")
+    return L.parse_model_json(_t(spark, sf, "events").select(k, text.alias("reply")), "reply", "id bigint, ok boolean, note string").select("event_id", "parsed.id", "parsed.ok", "parsed.note")
 
 
 def classify_by_filename(spark, sf):
@@ -160,7 +162,7 @@ SQL = {
     "list_audit": "WITH k AS (SELECT user_id AS document_id, event_type || '/' || event_id AS key, ts FROM events), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY key) <= 10) SELECT document_id, key, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, key DESC) AS place FROM f",
     "route_oversize": "WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents) SELECT doc_id AS document_id, n AS payload_bytes, CASE WHEN n > 3000 THEN 'offloaded' ELSE 'inline' END AS place, CASE WHEN n > 3000 THEN 'payloads/' || doc_id END AS reference FROM d",
     "hydrate": "SELECT doc_id AS document_id, md5(coalesce(text, '')) AS payload_md5 FROM documents",
-    "model_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_id END AS id, CASE WHEN event_id % 4 IN (0, 2) THEN true END AS ok FROM events",
+    "model_json": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN event_id END AS id, CASE WHEN event_id % 5 = 3 OR (event_id % 5 < 3 AND event_id % 2 = 0) THEN true END AS ok, CASE WHEN event_id % 5 < 4 THEN 'say, None, [1, ] True' END AS note FROM events",
     "classify_by_filename": "WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'loan_agreement' WHEN 1 THEN 'bsa_profile' WHEN 2 THEN 'w2' WHEN 5 THEN 'drivers_license' END AS f FROM part) SELECT k AS document_id, CASE WHEN k % 4 = 0 THEN 'loan_package' ELSE coalesce(f, 'unknown') END AS document_type, CASE WHEN k % 4 > 0 AND f IS NOT NULL THEN 'medium' ELSE 'high' END AS confidence FROM p",
     "resolve_plugin": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS t FROM documents) SELECT doc_id AS document_id, t AS document_type, CASE WHEN t IN ('en', 'fr') THEN t WHEN t IN ('src1', 'src2') THEN 'en' WHEN t = 'src3' THEN 'fr' WHEN t = 'src4' THEN 'old4' WHEN t = 'src5' THEN 'old5' END AS plugin_id FROM d",
     "identified_types": "SELECT doc_id AS document_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'disclosure' END, CASE WHEN doc_id % 3 = 0 THEN 'form' END, CASE WHEN doc_id % 2 = 0 THEN 'note' END) AS types FROM documents",

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docspark.operators.shared import shared_folder
+from docspark.operators.shared import broadcast_if_small, shared_folder
 from docspark.plans import config, sources, workflow
 from docspark.plans import pages as P
 from docspark.streaming import events as S
@@ -52,11 +52,28 @@ def stream_pipeline(spark, sf):
     return plans.select(F.regexp_extract("doc_id", "=(.*)$", 1).alias("source"), "section_id", F.array_join(F.transform("section_pages", lambda p: p.cast("string")), ",").alias("section_pages"))
 
 
-QUERIES = {f.__name__: f for f in (stream_document_state, stream_windowed_counts, stream_dedup, stream_pipeline)}
+def stream_enrich_config(spark, sf):
+    """Events with the name of the nation that their document falls to, read as a table of configuration."""
+    at = _folder(spark)
+    named = lambda batch, config: batch.join(broadcast_if_small(config), F.col("document_id") % 25 == F.col("n_nationkey")).select("event_id", "document_id", "stage", F.col("n_name").alias("plugin"))
+    S.each_batch_with_config(_stream(spark, sf), f"{sf}/nation.parquet", named, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id bigint, document_id bigint, stage string, plugin string").parquet(f"{at}/out/*")
+
+
+def stream_section_progress(spark, sf):
+    """The state of each document after all its events."""
+    at = _folder(spark)
+    S.run_progress(workflow.section_events(_stream(spark, sf)), f"{at}/out", f"{at}/checkpoint")
+    return S.latest_progress(spark.read.schema(f"{S.PROGRESS}, batch int").parquet(f"{at}/out"))
+
+
+QUERIES = {f.__name__: f for f in (stream_document_state, stream_windowed_counts, stream_dedup, stream_pipeline, stream_enrich_config, stream_section_progress)}
 
 LANDED = "landed AS (SELECT coalesce(source, 'none') AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
 
 SQL = {
+    "stream_enrich_config": f"WITH {workflow.EVENTS} SELECT event_id, document_id, stage, n_name AS plugin FROM ev JOIN nation ON n_nationkey = document_id % 25",
+    "stream_section_progress": workflow.SQL["section_progress"],
     "stream_document_state": f"WITH {workflow.EVENTS} SELECT document_id, stage, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, max(contains(message, 'failed')::INT) AS failed FROM ev GROUP BY 1, 2",
     "stream_windowed_counts": f"WITH {workflow.EVENTS}, w AS (SELECT date_trunc('hour', ts) AS start, stage, count(*) AS events FROM ev GROUP BY 1, 2) SELECT start, stage, events FROM w WHERE start + INTERVAL 3 HOUR <= (SELECT max(ts) FROM ev)",
     "stream_dedup": f"WITH {LANDED} SELECT DISTINCT sha256(text) AS content_hash, octet_length(encode(text)) AS file_size FROM landed",

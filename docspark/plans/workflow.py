@@ -193,10 +193,13 @@ def parse_progress(spark, sf):
     return W.parse_progress(_events(spark, sf))
 
 
-def section_progress(spark, sf):
+def section_events(events):
     action = F.when(F.col("event_type").isin("view", "click"), "start").when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "fail").otherwise("skip")
-    e = _events(spark, sf).select("document_id", F.concat(F.lit("s"), (F.floor("value") % 30).cast("string")).alias("section_id"), action.alias("action"), "ts", "event_id")
-    return W.section_progress(e)
+    return events.select("document_id", F.concat(F.lit("s"), (F.floor("value") % 30).cast("string")).alias("section_id"), action.alias("action"), "ts", "event_id")
+
+
+def section_progress(spark, sf):
+    return W.section_progress(section_events(_events(spark, sf)))
 
 
 def _actions(spark, sf):

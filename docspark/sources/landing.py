@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,23 +106,35 @@ def _balanced(text: str | None) -> str | None:
     return text[start : done[-1] + 1] + "]" if done and text[start] == "[" else None
 
 
+FENCE = re.compile(r"(?m)^\s*```\w*\s*$")
+#: A string as a whole, or what is no JSON outside strings: Python's words, a comma before a closing bracket.
+SLIP = re.compile(r'"(?:[^"\\]|\\.)*"|\b(?:None|True|False)\b|,(?=\s*[}\]])', re.S)
+PLAIN = {"None": "null", "True": "true", "False": "false", ",": ""}
+
+
+def _first_value(text: str | None) -> str | None:
+    """The JSON of a text: as it stands, else its first balanced value, else that with repairs outside strings."""
+    if not text:
+        return None
+    unfenced = FENCE.sub("", text)
+    found = _balanced(unfenced)
+    mended = SLIP.sub(lambda m: PLAIN.get(m[0], m[0]), unfenced)
+    for candidate in (text, found, found and SLIP.sub(lambda m: PLAIN.get(m[0], m[0]), found), _balanced(mended)):
+        try:
+            value = json.loads(candidate) if candidate else None
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(value, dict | list):
+            return json.dumps(value)
+    return None
+
+
 def parse_model_json(rows: DataFrame, column: str, schema: StructType | str) -> DataFrame:
     """Adds ``parsed`` (null: quarantine) of a column with JSON as models write it: fences, Python words,
-    trailing commas, prose around it, lists cut off."""
-    clean = F.regexp_replace(F.col(column), r"(?m)^\s*```\w*\s*$", "")
-    for python, plain in (("None", "null"), ("True", "true"), ("False", "false")):
-        clean = F.regexp_replace(clean, rf"(?<=[:\[,]\s{{0,8}}){python}(?=\s*[,\}}\]])", plain)
-    clean = F.regexp_replace(clean, r",\s*([\}\]])", "$1")
+    trailing commas, prose around it, lists cut off. What is JSON is taken as it is; strings are never changed."""
 
     @F.arrow_udf("string")
     def first_value(x: pa.Array) -> pa.Array:
-        def pick(t):
-            found = _balanced(t)
-            try:
-                return None if found is None else json.dumps(json.loads(found))
-            except ValueError:
-                return None
-
-        return pa.array([pick(t) for t in x.to_pylist()], pa.string())
+        return pa.array([_first_value(t) for t in x.to_pylist()], pa.string())
 
-    return rows.withColumn("parsed", F.from_json(first_value(clean), schema))
+    return rows.withColumn("parsed", F.from_json(first_value(F.col(column)), schema))
