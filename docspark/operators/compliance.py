@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions.text import strip
-from docspark.operators.shared import broadcast_if_small
+from docspark.operators.shared import as_of, broadcast_if_small
 
 
 def select_baselines(docs: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -153,11 +153,47 @@ def verdict_cube(verdicts: DataFrame) -> DataFrame:
 OBLIGATIONS = ["must", "shall", "required", "at least", "at most", "no later than", "prohibited"]
 
 
-def extract_requirements(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
-    """(doc_id, seq, text, category, criticality, confidence_threshold, status) of sentences that oblige."""
+#: A run of text between stops, or a run of stops.
+PIECE = r"[^.!?\n]+|[.!?\n]+"
+
+
+def _obliging(text: Column, pattern: str) -> Column:
+    """The sentences of a text that oblige, with their number and their place: one pass along the text's pieces."""
+    kind = "array<struct<seq:int,start:int,chars:int,text:string>>"
+
+    def step(s: Column, piece: Column) -> Column:
+        stop, low = piece.rlike(r"^[.!?\n]"), F.lower(piece)
+        own = F.struct(s.seq.alias("seq"), s.at.alias("start"), F.length(piece).alias("chars"), piece.alias("text"))
+        found = F.when(~stop & low.rlike(pattern), F.concat(s.found, F.array(own))).otherwise(s.found)
+        return F.struct((s.at + F.length(piece)).alias("at"), (s.seq + stop.cast("int")).alias("seq"), found.alias("found"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("seq"), F.array().cast(kind).alias("found"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), start, step, lambda s: s.found)
+
+
+def extract_requirements(docs: DataFrame, words: list[str] | None = None, pages: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, seq, text, category, criticality, confidence_threshold, status) of sentences that oblige.
+
+    With ``pages`` (doc_id, page_number, text; a document's pages in order are its text) also first_page and
+    last_page, and with ``nodes`` too (doc_id, title, start_index; see ``leaf_sections``) source_section: the title
+    of the last node that starts on the first page or before, null before the first. Sentences, page starts and
+    node starts are merged in their order; no range is joined.
+    """
     pattern = r"(^|[^\p{L}])(" + "|".join(words or OBLIGATIONS) + r")([^\p{L}]|$)"
-    rows = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("seq", "s")).select("doc_id", "seq", strip(F.col("s")).alias("text"))
-    return rows.where(F.lower("text").rlike(pattern)).select("doc_id", "seq", "text", F.lit("General").alias("category"), F.lit("should-have").alias("criticality"), F.lit(0.8).alias("confidence_threshold"), F.lit("active").alias("status"))
+    found = docs.select("doc_id", F.explode(_obliging(F.col("text"), pattern)).alias("r")).select("doc_id", "r.seq", "r.start", "r.chars", strip(F.col("r.text")).alias("text"))
+    defaults = [F.lit("General").alias("category"), F.lit("should-have").alias("criticality"), F.lit(0.8).alias("confidence_threshold"), F.lit("active").alias("status")]
+    if pages is None:
+        return found.select("doc_id", "seq", "text", *defaults)
+    before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pages.select("doc_id", "page_number", F.length("text").alias("n")).withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    found = as_of(found.withColumn("at", F.col("start")), starts.where("n > 0"), "page_number", "first_page")
+    found = as_of(found.withColumn("at", F.col("start") + F.col("chars") - 1), starts.where("n > 0"), "page_number", "last_page")
+    extra = ["first_page", "last_page"]
+    if nodes is not None:
+        begins = nodes.groupBy("doc_id", F.col("start_index").alias("at")).agg(F.max_by("title", "seq").alias("title"))
+        found = as_of(found.withColumn("at", F.col("first_page")), begins, "title", "source_section")
+        extra.append("source_section")
+    return found.select("doc_id", "seq", "text", *defaults, *extra)
 
 
 def append_requirements(baselines: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows up to which a side is marked for broadcast.
 BROADCAST_ROWS = 100_000
@@ -38,3 +39,15 @@ def spread(df: DataFrame) -> DataFrame:
     A large table has more partitions and stays where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def as_of(rows: DataFrame, marks: DataFrame, value: str, name: str, by: str = "doc_id", at: str = "at") -> DataFrame:
+    """``rows`` with ``name``: the ``value`` of the last of ``marks`` at or before them, of the same ``by``.
+
+    Both are sorted together once and read in order: the cost is that of their rows, however many marks there are.
+    """
+    both = rows.withColumns({"__mark": F.lit(None).cast(marks.schema[value].dataType), "__row": F.lit(1)})
+    other = marks.select(by, F.col(at).cast(rows.schema[at].dataType).alias(at), F.col(value).alias("__mark"), F.lit(0).alias("__row"))
+    order = Window.partitionBy(by).orderBy(F.col(at).asc_nulls_first(), "__row").rowsBetween(Window.unboundedPreceding, 0)
+    merged = both.unionByName(other, allowMissingColumns=True).withColumn(name, F.last("__mark", ignorenulls=True).over(order))
+    return merged.where("__row = 1").select(*rows.columns, name)

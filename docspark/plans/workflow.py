@@ -132,7 +132,12 @@ def verdict_cube(spark, sf):
 
 
 def extract_requirements(spark, sf):
-    return C.extract_requirements(_t(spark, sf, "documents"), ["that", "not", "für", "sur"]).select("doc_id", "seq", F.md5("text").alias("text_md5"), "category", "criticality")
+    """Sentences with common words, on pages of 1500 characters; every third page begins a section."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    pages = P.paginate(docs)
+    nodes = pages.where("page_number % 3 = 2").select("doc_id", F.col("page_number").alias("seq"), F.concat(F.lit("part "), F.col("page_number").cast("string")).alias("title"), F.col("page_number").alias("start_index"))
+    out = C.extract_requirements(docs, ["that", "not", "für", "sur"], pages, nodes)
+    return out.select("doc_id", "seq", F.md5("text").alias("text_md5"), "category", "criticality", "first_page", "last_page", "source_section")
 
 
 def append_requirements(spark, sf):
@@ -300,8 +305,10 @@ SQL = {
       SELECT batch::INT AS batch, string_agg(rid || ' FAIL -> ' || cv, chr(10) ORDER BY ts DESC, event_id DESC) AS lines FROM b GROUP BY 1""",
     "verdict_cube": f"""WITH {VERDICTS} SELECT baseline_id, category, criticality, count(*) AS verdicts, count(*) FILTER (verdict = 'PASS') AS passed, grouping(baseline_id, category, criticality)::INT AS level,
       CASE WHEN count(*) FILTER (verdict <> 'NOT_APPLICABLE') > 0 THEN round(count(*) FILTER (verdict = 'PASS') / (count(*) FILTER (verdict <> 'NOT_APPLICABLE'))::DOUBLE, 6) END AS pass_rate FROM vd GROUP BY CUBE (baseline_id, category, criticality)""",
-    "extract_requirements": r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS l FROM documents), e AS (SELECT doc_id, i::INT - 1 AS seq, regexp_replace(regexp_replace(l[i], '^\s+', ''), '\s+$', '') AS t FROM s, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u)
-      SELECT doc_id, seq, md5(t) AS text_md5, 'General' AS category, 'should-have' AS criticality FROM e WHERE regexp_matches(lower(t), '(^|[^\p{L}])(that|not|für|sur)([^\p{L}]|$)')""",
+    "extract_requirements": r"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+|[.!?\n]+')) AS p, generate_subscripts(regexp_extract_all(text, '[^.!?\n]+|[.!?\n]+'), 1) AS i FROM documents),
+      e AS (SELECT doc_id, p, length(p) AS n, regexp_matches(p, '^[.!?\n]') AS stop, sum(length(p)) OVER w - length(p) AS o, sum(regexp_matches(p, '^[.!?\n]')::INT) OVER w AS k FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      f AS (SELECT doc_id, k::INT AS seq, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS t, (o // 1500 + 1)::INT AS first_page, ((o + n - 1) // 1500 + 1)::INT AS last_page FROM e WHERE NOT stop AND regexp_matches(lower(p), '(^|[^\p{L}])(that|not|für|sur)([^\p{L}]|$)'))
+      SELECT doc_id, seq, md5(t) AS text_md5, 'General' AS category, 'should-have' AS criticality, first_page, last_page, CASE WHEN first_page >= 2 THEN 'part ' || (first_page - (first_page - 2) % 3) END AS source_section FROM f""",
     "append_requirements": f"""WITH {VERDICTS}, n AS (SELECT supp, category, requirement_id || '-' || seq AS t, 'src' || doc_id % 3 AS src FROM vd),
       a AS (SELECT supp, string_agg(t, ',' ORDER BY t, category) AS t, string_agg(DISTINCT src, ',' ORDER BY src) AS src FROM n GROUP BY 1), c AS (SELECT s_suppkey AS supp, 'General' AS category FROM supplier UNION SELECT s_suppkey, 'c1' FROM supplier UNION SELECT supp, category FROM n)
       SELECT s_suppkey AS baseline_id, (SELECT string_agg(category, ',' ORDER BY category) FROM c WHERE c.supp = s_suppkey) AS categories, concat_ws(',', s_name, t) AS requirements, coalesce(src, '') AS sources FROM supplier LEFT JOIN a ON a.supp = s_suppkey""",
