@@ -34,15 +34,15 @@ def identified_types(docs: DataFrame) -> DataFrame:
 
 
 def plugin_catalogue(sections: DataFrame, most: int = 10) -> DataFrame:
-    """(plugin_id, keywords, n_sections, needs_signatures): the first keywords in section order.
+    """(plugin_id, keywords, n_sections, needs_signatures, has_pii): the first keywords in section order.
 
     Only ``most`` keywords of a plugin are ever gathered; its sections have rows of their own (``plugin_sections``).
     """
     words = sections.select("plugin_id", "ordinal", F.posexplode("keywords").alias("pos", "word"))
     first = words.withColumn("r", F.row_number().over(Window.partitionBy("plugin_id").orderBy("ordinal", "pos"))).where(F.col("r") <= most)
     keywords = first.groupBy("plugin_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "word"))), lambda x: x.word), ",").alias("keywords"))
-    facts = sections.groupBy("plugin_id").agg(F.count("*").alias("n_sections"), F.bool_or("extract_signatures").alias("needs_signatures"))
-    return facts.join(keywords, "plugin_id", "left").select("plugin_id", F.coalesce("keywords", F.lit("")).alias("keywords"), "n_sections", "needs_signatures")
+    facts = sections.groupBy("plugin_id").agg(F.count("*").alias("n_sections"), F.bool_or("extract_signatures").alias("needs_signatures"), F.bool_or(F.coalesce(F.size("pii_paths") > 0, F.lit(False))).alias("has_pii"))
+    return facts.join(keywords, "plugin_id", "left").select("plugin_id", F.coalesce("keywords", F.lit("")).alias("keywords"), "n_sections", "needs_signatures", "has_pii")
 
 
 def plugin_sections(sections: DataFrame) -> DataFrame:
@@ -58,9 +58,16 @@ def active_plugins(files: DataFrame, dynamic: DataFrame) -> DataFrame:
 
 
 def plugin_fields(schemas: DataFrame) -> DataFrame:
-    """(plugin_id, name, label, type) of a JSON Schema of one level of properties."""
-    props = F.from_json(F.get_json_object("schema", "$.properties"), "map<string,struct<type:string,title:string>>")
-    return schemas.select("plugin_id", F.explode(props).alias("name", "p")).select("plugin_id", "name", F.coalesce("p.title", F.initcap(F.regexp_replace("name", "_", " "))).alias("label"), "p.type")
+    """(plugin_id, section, name, label, type) of the fields of a JSON Schema of two levels: sections with fields.
+
+    The label is the field's description, else its name; types are number, boolean and string. What stands at the
+    first level without fields of its own is no section.
+    """
+    fields = "map<string,struct<type:string,description:string>>"
+    sections = F.from_json(F.get_json_object("schema", "$.properties"), f"map<string,struct<properties:{fields}>>")
+    rows = schemas.select("plugin_id", F.explode(sections).alias("section", "s")).select("plugin_id", "section", F.explode("s.properties").alias("name", "p"))
+    kind = F.when(F.col("p.type").isin("number", "integer"), "number").when(F.col("p.type") == "boolean", "boolean").otherwise("string")
+    return rows.select("plugin_id", "section", "name", F.coalesce("p.description", "name").alias("label"), kind.alias("type"))
 
 
 def wizard_config(fields: DataFrame, most_keywords: int = 20, most_pages: int = 50) -> DataFrame:

@@ -129,6 +129,12 @@ def apply_reviews(verdicts: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.select("report_id", "requirement_id", F.col("verdict"), F.col("o.corrected_verdict").alias("reviewer_override"), F.col("o.reviewer_note").alias("reviewer_note"), F.coalesce("o.corrected_verdict", "verdict").alias("effective_verdict"))
 
 
+def reviewed_reports(reports: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(report_id, status, overall_score): a report with an override is reviewed; its score stays."""
+    touched = overrides.select("report_id", F.lit(True).alias("touched")).distinct()
+    return reports.join(touched, "report_id", "left").select("report_id", F.when(F.col("touched"), "reviewed").otherwise(F.col("status")).alias("status"), "overall_score")
+
+
 def feedback_from_reviews(reviewed: DataFrame) -> DataFrame:
     return reviewed.where("reviewer_override is not null").select("requirement_id", F.col("verdict").alias("original_verdict"), F.col("reviewer_override").alias("corrected_verdict"), "reviewer_note")
 
@@ -209,17 +215,24 @@ def append_requirements(baselines: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+#: The attributes of a requirement that may be edited.
+EDITABLE = ["text", "category", "criticality", "confidence_threshold", "status"]
+
+
 def edit_requirements(baselines: DataFrame, ops: DataFrame) -> DataFrame:
-    """(baseline_id, requirement_id, text, rejected): adds, updates and deletes by id; an unknown id is rejected.
+    """(baseline_id, requirement_id, attributes, rejected): adds, updates and deletes by id; an unknown id is rejected.
 
-    ``baselines`` is one row a requirement (baseline_id, requirement_id, text); ``ops`` has op, text and seq.
+    ``baselines`` is one row a requirement: baseline_id, requirement_id and those of ``EDITABLE`` that it has;
+    ``ops`` has op, seq and the attributes to set, null where one stays as it is. The last op of a requirement counts.
     """
-    last = ops.groupBy("baseline_id", "requirement_id").agg(F.max_by(F.struct("op", "text"), "seq").alias("o"))
-    both = baselines.join(last, ["baseline_id", "requirement_id"], "full")
-    unknown = F.col("text").isNull() & (F.col("o.op") != "add")
+    names = [c for c in EDITABLE if c in baselines.columns]
+    given = [c for c in names if c in ops.columns]
+    last = ops.groupBy("baseline_id", "requirement_id").agg(F.max_by(F.struct("op", *given), "seq").alias("o"))
+    both = baselines.withColumn("known", F.lit(True)).join(last, ["baseline_id", "requirement_id"], "full")
+    unknown = F.col("known").isNull() & (F.col("o.op") != "add")
     kept = both.where(unknown | (F.coalesce("o.op", F.lit("keep")) != "delete"))
-    text = F.when(F.col("o.op").isin("update", "add"), F.coalesce("o.text", "text")).otherwise(F.col("text"))
-    return kept.select("baseline_id", "requirement_id", text.alias("text"), unknown.alias("rejected"))
+    edited = lambda c: F.when(F.col("o.op").isin("update", "add"), F.coalesce(f"o.{c}", c)).otherwise(F.col(c))
+    return kept.select("baseline_id", "requirement_id", *((edited(c) if c in given else F.col(c)).alias(c) for c in names), unknown.alias("rejected"))
 
 
 def baseline_lifecycle(baselines: DataFrame, ops: DataFrame) -> DataFrame:

@@ -27,14 +27,21 @@ def review_queue(docs: DataFrame, status: str, limit: int = 100) -> DataFrame:
     return docs.where(F.col("review_status") == status).orderBy(F.desc("created_at"), "document_id").limit(limit)
 
 
-def work_queue(docs: DataFrame, text: str = "", document_type: str | None = None) -> DataFrame:
-    """Documents with an attention bucket: failed, running, to review, rest; and a rank within it."""
+def work_queue(docs: DataFrame, text: str = "", document_type: str | None = None, sort: str = "attention") -> DataFrame:
+    """(document_id, bucket, sort_group, sort_key): documents with their attention bucket (failed, running, to
+    review, rest), to be ordered by sort_group and sort_key.
+
+    ``sort``: attention (by bucket, failed and rest newest first, the others oldest first), newest, oldest or cost
+    (the dearest first; ``docs`` has cost).
+    """
     rows = docs.where(F.contains(F.lower(F.concat_ws(" ", F.col("document_id").cast("string"), "file_name")), F.lit(text.lower())))
     if document_type is not None:
         rows = rows.where(F.col("document_type") == document_type)
     bucket = F.when(F.col("status") == "FAILED", 0).when(F.col("status") == "PENDING", 1).when(F.col("review_status") == "PENDING_REVIEW", 2).otherwise(3)
     age = F.unix_timestamp("created_at")
-    return rows.select("document_id", bucket.alias("bucket"), F.when(bucket.isin(1, 2), age).otherwise(-age).alias("sort_key"))
+    keys = {"attention": F.when(bucket.isin(1, 2), age).otherwise(-age), "newest": -age, "oldest": age}
+    key = -F.round(F.coalesce("cost", F.lit(0.0)) * 100).cast("bigint") if sort == "cost" else keys[sort]
+    return rows.select("document_id", bucket.alias("bucket"), (bucket if sort == "attention" else F.lit(0)).alias("sort_group"), key.alias("sort_key"))
 
 
 def merge_pending(server: DataFrame, pending: DataFrame) -> DataFrame:
@@ -147,6 +154,24 @@ def merge_corrections(corrections: DataFrame) -> DataFrame:
     return last.select("document_id", "field", "c.value", "c.actor")
 
 
+def corrected_documents(docs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(document_id, review_status, corrections, last_corrected_by, last_corrected_at): a document with corrections
+    is to be reviewed again."""
+    last = corrections.groupBy("document_id").agg(F.countDistinct("field").alias("n"), F.max_by(F.struct("actor", "ts"), F.struct("ts", "correction_id")).alias("c"))
+    status = F.when(F.col("n") > 0, "PENDING_REVIEW").otherwise(F.col("review_status"))
+    return docs.join(last, "document_id", "left").select("document_id", status.alias("review_status"), F.coalesce("n", F.lit(0)).alias("corrections"), F.col("c.actor").alias("last_corrected_by"), F.col("c.ts").alias("last_corrected_at"))
+
+
+def publish_versions(versions: DataFrame) -> DataFrame:
+    """(plugin_id, version, status) after each plugin's newest draft, in numeric order, is published: what was
+    published before is archived, older drafts stay. Plugins without a draft keep all as it is."""
+    n = F.substring("version", 2, 9).cast("int")
+    newest = versions.where("status = 'draft'").groupBy("plugin_id").agg(F.max(n).alias("draft"))
+    rows = versions.withColumn("n", n).join(newest, "plugin_id", "left")
+    status = F.when((F.col("status") == "draft") & (F.col("n") == F.col("draft")), "published").when((F.col("status") == "published") & F.col("draft").isNotNull(), "archived").otherwise(F.col("status"))
+    return rows.select("plugin_id", "version", status.alias("status"))
+
+
 def plugin_versions(versions: DataFrame) -> DataFrame:
     """(plugin_id, newest, next_version, publishable) with versions like v10 in numeric order."""
     n = F.substring("version", 2, 9).cast("int")

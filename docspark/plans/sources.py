@@ -70,7 +70,7 @@ def identified_types(spark, sf):
 
 
 def plugin_catalogue(spark, sf):
-    s = _t(spark, sf, "part").select((F.col("p_partkey") % 20).alias("plugin_id"), F.col("p_partkey").alias("ordinal"), F.split("p_name", " ").alias("keywords"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("section_id"), (F.col("p_size") > 48).alias("extract_signatures"))
+    s = _t(spark, sf, "part").select((F.col("p_partkey") % 20).alias("plugin_id"), F.col("p_partkey").alias("ordinal"), F.split("p_name", " ").alias("keywords"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("section_id"), (F.col("p_size") > 48).alias("extract_signatures"), F.when(F.col("p_size") == 7, F.array(F.lit("owner.ssn"))).alias("pii_paths"))
     return C.plugin_catalogue(s)
 
 
@@ -85,7 +85,9 @@ def active_plugins(spark, sf):
 
 
 def plugin_fields(spark, sf):
-    schema = F.concat(F.lit('{"type":"object","properties":{"loan_amount":{"type":"number"},"x'), F.col("p_size").cast("string"), F.lit('":{"type":"string","title":"'), F.col("p_name"), F.lit('"}}}'))
+    """Schemas with two sections of fields and one property that is no section."""
+    terms = F.concat(F.lit('"terms":{"type":"object","properties":{"loan_amount":{"type":"number"},"x'), F.col("p_size").cast("string"), F.lit('":{"type":"string","description":"'), F.col("p_name"), F.lit('"}}}'))
+    schema = F.concat(F.lit('{"type":"object","properties":{'), terms, F.lit(',"flags":{"properties":{"ok":{"type":"boolean"},"n":{"type":"integer","description":"Number"},"l":{"type":"array"}}},"plain":{"type":"string"}}}'))
     return C.plugin_fields(_t(spark, sf, "part").select(F.col("p_partkey").alias("plugin_id"), schema.alias("schema")))
 
 
@@ -166,13 +168,13 @@ SQL = {
     "classify_by_filename": "WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'loan_agreement' WHEN 1 THEN 'bsa_profile' WHEN 2 THEN 'w2' WHEN 5 THEN 'drivers_license' END AS f FROM part) SELECT k AS document_id, CASE WHEN k % 4 = 0 THEN 'loan_package' ELSE coalesce(f, 'unknown') END AS document_type, CASE WHEN k % 4 > 0 AND f IS NOT NULL THEN 'medium' ELSE 'high' END AS confidence FROM p",
     "resolve_plugin": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS t FROM documents) SELECT doc_id AS document_id, t AS document_type, CASE WHEN t IN ('en', 'fr') THEN t WHEN t IN ('src1', 'src2') THEN 'en' WHEN t = 'src3' THEN 'fr' WHEN t = 'src4' THEN 'old4' WHEN t = 'src5' THEN 'old5' END AS plugin_id FROM d",
     "identified_types": "SELECT doc_id AS document_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'disclosure' END, CASE WHEN doc_id % 3 = 0 THEN 'form' END, CASE WHEN doc_id % 2 = 0 THEN 'note' END) AS types FROM documents",
-    "plugin_catalogue": "WITH w AS (SELECT p_partkey % 20 AS plugin_id, p_partkey AS o, i, string_split(p_name, ' ')[i] AS k FROM part, LATERAL (SELECT unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i) u), t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY plugin_id ORDER BY o, i) <= 10), kw AS (SELECT plugin_id, string_agg(k, ',' ORDER BY o, i) AS keywords FROM t GROUP BY 1) SELECT p_partkey % 20 AS plugin_id, any_value(keywords) AS keywords, count(*) AS n_sections, bool_or(p_size > 48) AS needs_signatures FROM part JOIN kw ON kw.plugin_id = p_partkey % 20 GROUP BY 1",
+    "plugin_catalogue": "WITH w AS (SELECT p_partkey % 20 AS plugin_id, p_partkey AS o, i, string_split(p_name, ' ')[i] AS k FROM part, LATERAL (SELECT unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i) u), t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY plugin_id ORDER BY o, i) <= 10), kw AS (SELECT plugin_id, string_agg(k, ',' ORDER BY o, i) AS keywords FROM t GROUP BY 1) SELECT p_partkey % 20 AS plugin_id, any_value(keywords) AS keywords, count(*) AS n_sections, bool_or(p_size > 48) AS needs_signatures, bool_or(p_size = 7) AS has_pii FROM part JOIN kw ON kw.plugin_id = p_partkey % 20 GROUP BY 1",
     "plugin_sections": "SELECT p_partkey % 20 AS plugin_id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS position, 's' || p_partkey AS section_id FROM part",
     "scan_landing": "WITH f AS (SELECT coalesce(source, 'none') AS source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT source, octet_length(encode(t)) AS file_size, sha256(t) AS content_hash, 'PENDING' AS status FROM f",
     "reference_texts": "WITH f AS (SELECT coalesce(source, 'none') AS source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT 'txt' AS file_type, sha256(t) AS content_hash, length(t) AS chars FROM f",
     "write_audit": "SELECT user_id AS document_id, event_id, event_type, round(value, 6) AS value FROM events",
     "active_plugins": "SELECT p_brand AS plugin_id, 'p.' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN p_type ELSE p_name END AS value, CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN 'dynamic' ELSE 'file' END AS source FROM part WHERE p_partkey % 3 > 0 OR (p_partkey % 2 = 0 AND p_size > 10)",
-    "plugin_fields": "SELECT p_partkey AS plugin_id, 'loan_amount' AS name, 'Loan Amount' AS label, 'number' AS type FROM part UNION ALL SELECT p_partkey, 'x' || p_size, p_name, 'string' FROM part",
+    "plugin_fields": "SELECT p_partkey AS plugin_id, section, coalesce(name, 'x' || p_size) AS name, coalesce(label, p_name) AS label, type FROM part, (VALUES ('terms', 'loan_amount', 'loan_amount', 'number'), ('terms', NULL, NULL, 'string'), ('flags', 'ok', 'ok', 'boolean'), ('flags', 'n', 'Number', 'number'), ('flags', 'l', 'l', 'string')) v(section, name, label, type)",
     "wizard_config": "WITH k AS (SELECT DISTINCT p_brand, lower(p_name || ' ' || p_size) AS l FROM part), t AS (SELECT p_brand, string_agg(l, ',' ORDER BY l) AS keywords FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY l) <= 20) GROUP BY 1) SELECT p_brand AS plugin_id, any_value(keywords) AS keywords, least(50, max(p_size + 20)) AS max_pages, count(*) AS queries FROM part JOIN t USING (p_brand) GROUP BY 1",
     "label_kinds": "WITH r AS (SELECT l_linenumber % 4 AS k, CASE WHEN l_quantity > 25 THEN l_discount ELSE l_extendedprice END AS v FROM lineitem) SELECT CASE k WHEN 0 THEN 'interest_rate' WHEN 1 THEN 'Total Amount' WHEN 2 THEN 'pctShare' ELSE 'count' END AS name, CASE WHEN k IN (0, 2) AND abs(v) <= 1 THEN 'percent' WHEN k = 1 THEN 'money' ELSE 'number' END AS kind, count(*) AS n FROM r GROUP BY 1, 2",
     "grounded_values": r"""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE floor(o_totalprice)::BIGINT::VARCHAR END AS v, 'Order of ' || floor(o_totalprice / 10)::BIGINT || CASE WHEN o_orderkey % 3 = 0 THEN '5 with urgent priority' ELSE ' 12345' END AS t FROM orders)

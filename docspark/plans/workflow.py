@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.operators import compliance as C
@@ -148,10 +151,10 @@ def append_requirements(spark, sf):
 
 
 def edit_requirements(spark, sf):
-    base = _t(spark, sf, "part").select((F.col("p_partkey") % 10).alias("baseline_id"), F.col("p_partkey").alias("requirement_id"), F.col("p_name").alias("text"))
+    base = _t(spark, sf, "part").select((F.col("p_partkey") % 10).alias("baseline_id"), F.col("p_partkey").alias("requirement_id"), F.col("p_name").alias("text"), F.lit("General").alias("category"))
     op = F.when(F.col("l_quantity") < 17, "delete").when(F.col("l_quantity") < 34, "update").otherwise("add")
     part = F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey"))  # the negative ones are unknown
-    ops = _t(spark, sf, "lineitem").select((F.col("l_partkey") % 10).alias("baseline_id"), part.alias("requirement_id"), op.alias("op"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("text"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("seq"))
+    ops = _t(spark, sf, "lineitem").select((F.col("l_partkey") % 10).alias("baseline_id"), part.alias("requirement_id"), op.alias("op"), F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit("t"), F.col("l_linenumber").cast("string"))).alias("text"), F.when(F.col("l_linenumber") % 2 == 0, "Credit").alias("category"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("seq"))
     return C.edit_requirements(base, ops)
 
 
@@ -174,7 +177,10 @@ def review_queue(spark, sf):
 
 
 def work_queue(spark, sf):
-    return W.work_queue(_docs(spark, sf), "file-1", "type_1")
+    """The queue in all its orders."""
+    docs = _docs(spark, sf)
+    parts = [W.work_queue(docs, "file-1", "type_1", sort).withColumn("sort", F.lit(sort)) for sort in ("attention", "newest", "oldest", "cost")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merge_pending(spark, sf):
@@ -223,14 +229,34 @@ def rejected_actions(spark, sf):
     return out.select("document_id", F.col("action_id.l_partkey").alias("part"), F.col("action_id.l_suppkey").alias("supp"), "action", "reason")
 
 
+def _corrections(spark, sf):
+    return _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("field"), F.col("l_quantity").cast("int").cast("string").alias("value"), F.concat(F.lit("u"), (F.col("l_suppkey") % 5).cast("string")).alias("actor"), F.col("l_shipdate").alias("ts"), F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("correction_id"))
+
+
 def merge_corrections(spark, sf):
-    c = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("field"), F.col("l_quantity").cast("int").cast("string").alias("value"), F.concat(F.lit("u"), (F.col("l_suppkey") % 5).cast("string")).alias("actor"), F.col("l_shipdate").alias("ts"), F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("correction_id"))
-    return W.merge_corrections(c)
+    return W.merge_corrections(_corrections(spark, sf))
+
+
+def _versions(spark, sf):
+    return _t(spark, sf, "part").select(F.concat(F.lit("p"), (F.col("p_partkey") % 17).cast("string")).alias("plugin_id"), F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("version"), F.when(F.col("p_size") % 2 == 0, "draft").otherwise("published").alias("status"))
 
 
 def plugin_versions(spark, sf):
-    v = _t(spark, sf, "part").select(F.concat(F.lit("p"), (F.col("p_partkey") % 17).cast("string")).alias("plugin_id"), F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("version"), F.when(F.col("p_size") % 2 == 0, "draft").otherwise("published").alias("status"))
-    return W.plugin_versions(v)
+    return W.plugin_versions(_versions(spark, sf))
+
+
+def publish_versions(spark, sf):
+    rows = _versions(spark, sf).distinct()
+    return W.publish_versions(rows.where("plugin_id <> 'p3' or status <> 'draft'"))
+
+
+def corrected_documents(spark, sf):
+    return W.corrected_documents(_docs(spark, sf), _corrections(spark, sf).where("document_id % 3 > 0"))
+
+
+def reviewed_reports(spark, sf):
+    reports = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("report_id"), F.lit("completed").alias("status"), (F.col("o_orderkey") % 101).cast("int").alias("overall_score"))
+    return C.reviewed_reports(reports, _overrides(spark, sf))
 
 
 def document_cost(spark, sf):
@@ -270,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         compliance_baselines, requirement_batches, candidate_pages, evaluate_requirements, report_scores, scores_with_missing, document_score, apply_reviews, feedback_from_reviews, recent_corrections, verdict_cube, extract_requirements, append_requirements, edit_requirements, baseline_lifecycle,
-        list_documents, status_metrics, review_queue, work_queue, merge_pending, stage_status, stage_elapsed, latest_event, parse_progress, section_progress, apply_review_actions, rejected_actions, merge_corrections, plugin_versions, document_cost, processing_time, cost_rollup, budget_flags, deferred_ready, route_mode, retention,
+        list_documents, status_metrics, review_queue, work_queue, merge_pending, stage_status, stage_elapsed, latest_event, parse_progress, section_progress, apply_review_actions, rejected_actions, merge_corrections, corrected_documents, plugin_versions, publish_versions, reviewed_reports, document_cost, processing_time, cost_rollup, budget_flags, deferred_ready, route_mode, retention,
     )
 }
 
@@ -312,10 +338,10 @@ SQL = {
     "append_requirements": f"""WITH {VERDICTS}, n AS (SELECT supp, category, requirement_id || '-' || seq AS t, 'src' || doc_id % 3 AS src FROM vd),
       a AS (SELECT supp, string_agg(t, ',' ORDER BY t, category) AS t, string_agg(DISTINCT src, ',' ORDER BY src) AS src FROM n GROUP BY 1), c AS (SELECT s_suppkey AS supp, 'General' AS category FROM supplier UNION SELECT s_suppkey, 'c1' FROM supplier UNION SELECT supp, category FROM n)
       SELECT s_suppkey AS baseline_id, (SELECT string_agg(category, ',' ORDER BY category) FROM c WHERE c.supp = s_suppkey) AS categories, concat_ws(',', s_name, t) AS requirements, coalesce(src, '') AS sources FROM supplier LEFT JOIN a ON a.supp = s_suppkey""",
-    "edit_requirements": """WITH b AS (SELECT p_partkey % 10 AS baseline_id, p_partkey AS requirement_id, p_name AS text FROM part),
-      o AS (SELECT l_partkey % 10 AS baseline_id, CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END AS requirement_id, CASE WHEN l_quantity < 17 THEN 'delete' WHEN l_quantity < 34 THEN 'update' ELSE 'add' END AS op, 't' || l_linenumber AS t FROM lineitem
+    "edit_requirements": """WITH b AS (SELECT p_partkey % 10 AS baseline_id, p_partkey AS requirement_id, p_name AS text, 'General' AS category FROM part),
+      o AS (SELECT l_partkey % 10 AS baseline_id, CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END AS requirement_id, CASE WHEN l_quantity < 17 THEN 'delete' WHEN l_quantity < 34 THEN 'update' ELSE 'add' END AS op, CASE WHEN l_linenumber % 3 > 0 THEN 't' || l_linenumber END AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'Credit' END AS c FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
-      SELECT coalesce(b.baseline_id, o.baseline_id) AS baseline_id, coalesce(b.requirement_id, o.requirement_id) AS requirement_id, CASE WHEN op IN ('update', 'add') THEN t ELSE text END AS text, coalesce(text IS NULL AND op <> 'add', false) AS rejected
+      SELECT coalesce(b.baseline_id, o.baseline_id) AS baseline_id, coalesce(b.requirement_id, o.requirement_id) AS requirement_id, CASE WHEN op IN ('update', 'add') THEN coalesce(t, text) ELSE text END AS text, CASE WHEN op IN ('update', 'add') THEN coalesce(c, category) ELSE category END AS category, coalesce(text IS NULL AND op <> 'add', false) AS rejected
       FROM b FULL JOIN o ON b.requirement_id = o.requirement_id WHERE coalesce(op, 'keep') <> 'delete' OR text IS NULL""",
     "baseline_lifecycle": """WITH o AS (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'publish' ELSE 'archive' END AS op FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1)
       SELECT s_suppkey AS baseline_id, CASE WHEN op = 'publish' AND s_suppkey % 3 > 0 THEN 'published' WHEN op = 'archive' THEN 'archived' ELSE 'draft' END AS status, CASE WHEN op = 'publish' AND s_suppkey % 3 > 0 THEN 1 ELSE 0 END AS version FROM supplier LEFT JOIN o ON l_suppkey = s_suppkey""",
@@ -323,7 +349,12 @@ SQL = {
     "status_metrics": f"WITH {DOCS} SELECT 'status' AS kind, status AS name, count(*) AS n FROM docs GROUP BY 2 UNION ALL SELECT 'review', review_status, count(*) FROM docs GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM docs",
     "review_queue": f"WITH {DOCS} SELECT document_id, created_at FROM docs WHERE review_status = 'PENDING_REVIEW' ORDER BY created_at DESC, document_id LIMIT 100",
     "work_queue": f"""WITH {DOCS}, b AS (SELECT *, CASE WHEN status = 'FAILED' THEN 0 WHEN status = 'PENDING' THEN 1 WHEN review_status = 'PENDING_REVIEW' THEN 2 ELSE 3 END AS bucket FROM docs WHERE contains(document_id || ' ' || file_name, 'file-1') AND document_type = 'type_1')
-      SELECT document_id, bucket, CASE WHEN bucket IN (1, 2) THEN epoch(created_at)::BIGINT ELSE -epoch(created_at)::BIGINT END AS sort_key FROM b""",
+      SELECT document_id, bucket, CASE WHEN sort = 'attention' THEN bucket ELSE 0 END AS sort_group, CASE WHEN sort = 'cost' THEN -round(cost * 100)::BIGINT WHEN sort = 'oldest' OR (sort = 'attention' AND bucket IN (1, 2)) THEN epoch(created_at)::BIGINT ELSE -epoch(created_at)::BIGINT END AS sort_key, sort FROM b, (VALUES ('attention'), ('newest'), ('oldest'), ('cost')) v(sort)""",
+    "corrected_documents": f"""WITH {DOCS}, c AS (SELECT l_orderkey AS document_id, count(DISTINCT l_linenumber % 3) AS n, arg_max('u' || l_suppkey % 5, (l_shipdate, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity)) AS who, max(l_shipdate) AS at_ FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1)
+      SELECT document_id, CASE WHEN n > 0 THEN 'PENDING_REVIEW' ELSE review_status END AS review_status, coalesce(n, 0) AS corrections, who AS last_corrected_by, at_ AS last_corrected_at FROM docs LEFT JOIN c USING (document_id)""",
+    "publish_versions": """WITH v AS (SELECT DISTINCT 'p' || p_partkey % 17 AS plugin_id, p_size AS n, p_size % 2 = 0 AS draft FROM part WHERE p_partkey % 17 <> 3 OR p_size % 2 = 1), m AS (SELECT plugin_id, max(n) FILTER (draft) AS d FROM v GROUP BY 1)
+      SELECT plugin_id, 'v' || n AS version, CASE WHEN n = d THEN 'published' WHEN NOT draft AND d IS NOT NULL THEN 'archived' WHEN draft THEN 'draft' ELSE 'published' END AS status FROM v JOIN m USING (plugin_id)""",
+    "reviewed_reports": f"WITH {REVIEWED} SELECT o_orderkey AS report_id, CASE WHEN o_orderkey IN (SELECT report_id FROM o) THEN 'reviewed' ELSE 'completed' END AS status, (o_orderkey % 101)::INT AS overall_score FROM orders",
     "merge_pending": f"WITH {DOCS} SELECT document_id, 0 AS place FROM docs WHERE document_id % 6 = 0 UNION ALL SELECT document_id, 1 FROM docs WHERE document_id % 3 <> 0",
     "stage_status": f"""WITH {EVENTS}, f AS (SELECT document_id, {FLAGS}, max(contains(message, 'failed')::INT) AS failed FROM ev GROUP BY 1),
       r AS (SELECT document_id, 'router' AS stage, router AS s, greatest(extractor, normalizer, compliance) AS later, failed FROM f UNION ALL SELECT document_id, 'extractor', extractor, greatest(normalizer, compliance), failed FROM f
