@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: section_id, condition, patterns, bonus. Steps of position add up: the last three pages get 5 + 5.
 LEGACY_RULES = [
@@ -22,3 +23,14 @@ LEGACY_RULES = [
 
 def legacy_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEGACY_RULES, "section_id string, condition string, patterns array<string>, bonus int")
+
+
+def legacy_defaults(selected: DataFrame, pages: DataFrame, first: int = 5, last: int = 3) -> DataFrame:
+    """(doc_id, section_id, page_number): the selection with its two defaults: agreementInfo is always the first
+    pages of a document, whatever was selected, and signatures its last ones where none was selected."""
+    seen = pages.select("doc_id", "page_number", "total_pages")
+    info = seen.where(F.col("page_number") <= first).select("doc_id", F.lit("agreementInfo").alias("section_id"), "page_number")
+    others = selected.where("section_id <> 'agreementInfo'").select("doc_id", "section_id", "page_number")
+    signed = selected.where("section_id = 'signatures'").select("doc_id").distinct()
+    tail = seen.where(F.col("page_number") > F.col("total_pages") - last).join(signed, "doc_id", "left_anti").select("doc_id", F.lit("signatures").alias("section_id"), "page_number")
+    return info.unionByName(others).unionByName(tail)

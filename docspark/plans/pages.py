@@ -152,6 +152,13 @@ def legacy_bonus_profiles(spark, sf):
     return sections.rule_bonus(_quality(spark, sf, 400), profiles.legacy_rules(spark))
 
 
+def legacy_defaults(spark, sf):
+    """Pages with a bonus of at least 3 as the selection."""
+    scored = materialize(_quality(spark, sf, 400))
+    chosen = sections.rule_bonus(scored, profiles.legacy_rules(spark)).where("bonus >= 3")
+    return profiles.legacy_defaults(chosen, scored)
+
+
 def start_page_ranges(spark, sf):
     q = _pages(spark, sf, 400)
     names = F.array(*(F.lit(x) for x in ("s_en", "s_fr", "s_other", "s_es", "s_de")))
@@ -172,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_hashes, multipart_etags, dedup_against_history, dedup_statements, paginate, page_snippets, page_quality, pick_best_parse, token_budget_groups, assemble_context, hybrid_merge, slice_first_pages, billable_pages,
-        keyword_matches, rule_bonus, section_scores, top_pages, route_low_quality, cover_uncovered, dedup_across_sections, expand_neighbours, page_selection, extraction_plan, plan_coverage, legacy_bonus_profiles, start_page_ranges, classify_by_keywords, reclassify_if_empty,
+        keyword_matches, rule_bonus, section_scores, top_pages, route_low_quality, cover_uncovered, dedup_across_sections, expand_neighbours, page_selection, extraction_plan, plan_coverage, legacy_bonus_profiles, legacy_defaults, start_page_ranges, classify_by_keywords, reclassify_if_empty,
     )
 }
 
@@ -272,6 +279,7 @@ SQL = {
     "billable_pages": f"WITH {_q(CHARS)} SELECT doc_id, count(*) FILTER (is_readable) AS text_pages, count(*) FILTER (NOT is_readable) AS ocr_pages, count(*) AS pages FROM q GROUP BY 1",
     "keyword_matches": f"WITH {_q(CHARS)} SELECT * FROM (SELECT doc_id, page_number, section_id, ({MATCHES})::INT AS matches FROM q, sections) WHERE matches > 0",
     "rule_bonus": f"WITH {_q(CHARS)}, {BONUS} SELECT doc_id, page_number, section_id, bonus FROM bonus_",
+    "legacy_defaults": f"WITH {_pages_sql(400)}, {_quality_sql('pages_', 'q')}, rules AS {config.values(profiles.LEGACY_RULES, 'section_id, condition, patterns, bonus')}, {BONUS}, ch AS (SELECT doc_id, section_id, page_number FROM bonus_ WHERE bonus >= 3) SELECT doc_id, 'agreementInfo' AS section_id, page_number FROM pages_ WHERE page_number <= 5 UNION ALL SELECT * FROM ch WHERE section_id <> 'agreementInfo' UNION ALL SELECT doc_id, 'signatures', page_number FROM pages_ WHERE page_number > total_pages - 3 AND doc_id NOT IN (SELECT doc_id FROM ch WHERE section_id = 'signatures')",
     "legacy_bonus_profiles": f"WITH {_pages_sql(400)}, {_quality_sql('pages_', 'q')}, rules AS {config.values(profiles.LEGACY_RULES, 'section_id, condition, patterns, bonus')}, {BONUS} SELECT doc_id, page_number, section_id, bonus FROM bonus_",
     "section_scores": f"WITH {_q(CHARS)}, {SCORES} SELECT doc_id, section_id, page_number, score FROM scores",
     "top_pages": f"WITH {_q(CHARS)}, {SCORES} SELECT * FROM top_",

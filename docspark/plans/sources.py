@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from docspark.operators import catalogue as C
 from docspark.operators import trees as G
 from docspark.operators.shared import shared_folder
+from docspark.plans import records
+from docspark.sources import blocks as B
 from docspark.sources import landing as L
 
 
@@ -130,16 +132,25 @@ def heading_entries(spark, sf):
     return G.heading_entries(d).select("doc_id", "line", "structure", F.md5("title").alias("title_md5"))
 
 
+#: Documents of one file of the landing folder at most, and bytes above which a file is skipped.
+LANDED_DOCS, LANDED_BYTES = 2000, 150_000
+
+
 def landed(spark, sf):
-    """A folder with one file for each source: the texts of its documents, a line feed behind each."""
+    """A folder with files for each source, one for a range of ``LANDED_DOCS`` ids: the texts of its documents, a
+    line feed behind each. Files so stay bounded, and their number grows with the table."""
     folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}/ingest"
-    rows = _t(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(folder)
+    name = F.concat_ws("-", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / LANDED_DOCS).cast("string"))
+    rows = _t(spark, sf, "documents").select(name.alias("landing"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("landing").sortWithinPartitions("landing", "doc_id").select("landing", "value").write.partitionBy("landing").text(folder)
     return folder
 
 
+LANDED = f"landed AS (SELECT coalesce(source, 'none') || '-' || doc_id // {LANDED_DOCS} AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
+
+
 def scan_landing(spark, sf):
-    out = L.scan_landing(spark, landed(spark, sf), 1 << 40).where("file_name <> '_SUCCESS'")
+    out = L.scan_landing(spark, landed(spark, sf), LANDED_BYTES).where("file_name <> '_SUCCESS'")
     return out.select(F.regexp_extract("document_id", "=(.*)$", 1).alias("source"), "file_size", "content_hash", "status")
 
 
@@ -148,6 +159,14 @@ def reference_texts(spark, sf):
     return out.select("file_type", F.sha2("text", 256).alias("content_hash"), F.length("text").cast("bigint").alias("chars"))
 
 
+def scan_blocks(spark, sf):
+    """An export of blocks in eight folders, read back, and the edges between them."""
+    folder = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    B.write_blocks(records._blocks(spark, sf).withColumn("folder", (F.col("doc_id") % 8).cast("int")), folder, ["folder"])
+    edges = records.R.block_edges(B.scan_blocks(spark, folder, "folder int", "bigint"))
+    return edges.select("doc_id", "parent", "type", "child", "position")
+
+
 def write_audit(spark, sf):
     """What was written, read back."""
     folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
@@ -156,7 +175,10 @@ def write_audit(spark, sf):
     return spark.read.schema("document_id bigint, event_id bigint, event_type string, value double").json(folder).select("document_id", "event_id", "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (scan_landing, reference_texts, write_audit, plugin_sections, upload_metadata, initial_records, list_audit, route_oversize, hydrate, model_json, classify_by_filename, resolve_plugin, identified_types, plugin_catalogue, active_plugins, plugin_fields, wizard_config, label_kinds, grounded_values, visible_rows, backfill_stats, summary_by_type, heading_entries)}
+#: As in the query of the edges: line items with a key, a value and their words.
+EDGES = records.SQL["block_edges"]
+
+QUERIES = {f.__name__: f for f in (scan_landing, reference_texts, scan_blocks, write_audit, plugin_sections, upload_metadata, initial_records, list_audit, route_oversize, hydrate, model_json, classify_by_filename, resolve_plugin, identified_types, plugin_catalogue, active_plugins, plugin_fields, wizard_config, label_kinds, grounded_values, visible_rows, backfill_stats, summary_by_type, heading_entries)}
 
 SQL = {
     "upload_metadata": "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'both' ELSE 'extract' END AS mode, CASE WHEN doc_id % 4 > 0 THEN concat_ws(',', source, lang) ELSE '' END AS baseline_ids, CASE WHEN doc_id % 5 > 0 THEN lang END AS plugin_id FROM documents",
@@ -170,8 +192,9 @@ SQL = {
     "identified_types": "SELECT doc_id AS document_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'disclosure' END, CASE WHEN doc_id % 3 = 0 THEN 'form' END, CASE WHEN doc_id % 2 = 0 THEN 'note' END) AS types FROM documents",
     "plugin_catalogue": "WITH w AS (SELECT p_partkey % 20 AS plugin_id, p_partkey AS o, i, string_split(p_name, ' ')[i] AS k FROM part, LATERAL (SELECT unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i) u), t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY plugin_id ORDER BY o, i) <= 10), kw AS (SELECT plugin_id, string_agg(k, ',' ORDER BY o, i) AS keywords FROM t GROUP BY 1) SELECT p_partkey % 20 AS plugin_id, any_value(keywords) AS keywords, count(*) AS n_sections, bool_or(p_size > 48) AS needs_signatures, bool_or(p_size = 7) AS has_pii FROM part JOIN kw ON kw.plugin_id = p_partkey % 20 GROUP BY 1",
     "plugin_sections": "SELECT p_partkey % 20 AS plugin_id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS position, 's' || p_partkey AS section_id FROM part",
-    "scan_landing": "WITH f AS (SELECT coalesce(source, 'none') AS source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT source, octet_length(encode(t)) AS file_size, sha256(t) AS content_hash, 'PENDING' AS status FROM f",
-    "reference_texts": "WITH f AS (SELECT coalesce(source, 'none') AS source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT 'txt' AS file_type, sha256(t) AS content_hash, length(t) AS chars FROM f",
+    "scan_landing": f"WITH {LANDED} SELECT doc_id AS source, octet_length(encode(text)) AS file_size, CASE WHEN octet_length(encode(text)) <= {LANDED_BYTES} THEN sha256(text) END AS content_hash, CASE WHEN octet_length(encode(text)) <= {LANDED_BYTES} THEN 'PENDING' ELSE 'SKIPPED' END AS status FROM landed",
+    "reference_texts": f"WITH {LANDED} SELECT 'txt' AS file_type, sha256(text) AS content_hash, length(text) AS chars FROM landed",
+    "scan_blocks": EDGES,
     "write_audit": "SELECT user_id AS document_id, event_id, event_type, round(value, 6) AS value FROM events",
     "active_plugins": "SELECT p_brand AS plugin_id, 'p.' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN p_type ELSE p_name END AS value, CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN 'dynamic' ELSE 'file' END AS source FROM part WHERE p_partkey % 3 > 0 OR (p_partkey % 2 = 0 AND p_size > 10)",
     "plugin_fields": "SELECT p_partkey AS plugin_id, section, coalesce(name, 'x' || p_size) AS name, coalesce(label, p_name) AS label, type FROM part, (VALUES ('terms', 'loan_amount', 'loan_amount', 'number'), ('terms', NULL, NULL, 'string'), ('flags', 'ok', 'ok', 'boolean'), ('flags', 'n', 'Number', 'number'), ('flags', 'l', 'l', 'string')) v(section, name, label, type)",

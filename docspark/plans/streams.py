@@ -36,7 +36,7 @@ def stream_windowed_counts(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    """Files of equal content once: the sources' files, and each of them a second time."""
+    """Files of equal content once: the landed files, and each of them a second time."""
     at, landed = _folder(spark), sources.landed(spark, sf)
     files = S.stream_ingest(spark, landed)
     files = files.unionByName(files.withColumn("document_id", F.concat("document_id", F.lit("-copy")))).where("file_name <> '_SUCCESS'")
@@ -45,7 +45,7 @@ def stream_dedup(spark, sf):
 
 
 def stream_pipeline(spark, sf):
-    """One file a source through the whole pipeline, in pages of 400 characters."""
+    """The landed files through the whole pipeline, in pages of 400 characters."""
     at, landed = _folder(spark), sources.landed(spark, sf)
     S.stream_pipeline(spark, landed, f"{at}/out", f"{at}/checkpoint", config.sections(spark), config.rules(spark), 400).awaitTermination()
     plans = spark.read.schema("doc_id string, section_id string, section_pages array<int>").parquet(f"{at}/out/plans/*")
@@ -69,7 +69,7 @@ def stream_section_progress(spark, sf):
 
 QUERIES = {f.__name__: f for f in (stream_document_state, stream_windowed_counts, stream_dedup, stream_pipeline, stream_enrich_config, stream_section_progress)}
 
-LANDED = "landed AS (SELECT coalesce(source, 'none') AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
+LANDED = sources.LANDED
 
 SQL = {
     "stream_enrich_config": f"WITH {workflow.EVENTS} SELECT event_id, document_id, stage, n_name AS plugin FROM ev JOIN nation ON n_nationkey = document_id % 25",

@@ -5,8 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from docspark.operators import records, trees, workflow
-from docspark.sources import landing
+from docspark.operators import compliance, profiles, records, trees, workflow
+from docspark.sources import blocks, landing
 from docspark.streaming import events as S
 
 
@@ -89,3 +89,45 @@ def test_strings_in_json_are_never_changed(spark):
     assert json.loads(landing._first_value('[{"a": 1}, {"a": None}, {"a": ')) == [{"a": 1}, {"a": None}]
     df = spark.createDataFrame([('{"a": "x, None, y"}',), (None,)], "r string")
     assert [r.parsed and r.parsed.a for r in landing.parse_model_json(df, "r", "a string").collect()] == ["x, None, y", None]
+
+
+def test_exported_blocks_by_path_with_pruning(spark, tmp_path):
+    word = lambda i, t: {"Id": i, "BlockType": "WORD", "Text": t, "Confidence": 99.0}
+    key = {"Id": "k", "BlockType": "KEY_VALUE_SET", "Confidence": 90.0, "Page": 2, "EntityTypes": ["KEY"], "Relationships": [{"Type": "VALUE", "Ids": ["v"]}, {"Type": "CHILD", "Ids": ["w"]}]}
+    value = {"Id": "v", "BlockType": "KEY_VALUE_SET", "Confidence": 80.0, "EntityTypes": ["VALUE"], "Relationships": [{"Type": "CHILD", "Ids": ["x"]}], "Geometry": {"Top": 1}}
+    docs = {"a": [key, value, word("w", "Name"), word("x", "Ann")], "b": [{"Id": "s", "BlockType": "SIGNATURE", "Confidence": 91.5}]}
+    for day, (name, found) in enumerate(docs.items()):
+        path = tmp_path / f"day={day}" / f"{name}.json"
+        path.parent.mkdir()
+        path.write_text(json.dumps({"DocumentId": name, "Blocks": found, "JobStatus": "SUCCEEDED"}) + "\nno json\n" + json.dumps({"DocumentId": "none"}))
+    rows = blocks.scan_blocks(spark, str(tmp_path), "day int")
+    assert {(r.doc_id, r.page, r.id, r.day) for r in rows.collect()} == {("a", 2, "k", 0), ("a", 1, "v", 0), ("a", 1, "w", 0), ("a", 1, "x", 0), ("b", 1, "s", 1)}
+    pairs = records.key_values(rows, records.block_edges(rows)).collect()
+    assert [(r.doc_id, r.key, r.value, r.confidence) for r in pairs] == [("a", "Name", "Ann", 80.0)]
+    assert [(r.doc_id, r.id, r.meets_threshold) for r in records.signatures(rows).collect()] == [("b", "s", True)]
+    plan = rows.where("day = 1").select("doc_id", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "Geometry" not in plan
+
+
+def test_requirements_with_their_places(spark):
+    text = "..Start. It must be so!\nThey shall\nnot. And at least one page border crosses here, it is required to. End"
+    cuts = [0, 12, 12, 40, len(text)]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    pages = spark.createDataFrame([(1, k + 1, text[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], "doc_id int, page_number int, text string")
+    nodes = spark.createDataFrame([(1, 1, "one", 3), (1, 2, "two", 4), (1, 3, "two b", 4)], "doc_id int, seq int, title string, start_index int")
+    got = compliance.extract_requirements(docs, pages=pages, nodes=nodes).orderBy("seq").collect()
+    page = lambda at: max(k + 1 for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a <= at and a < b)
+    for r in got:
+        at = text.index(r.text)
+        end = at + len(r.text) - 1
+        assert (r.first_page, r.last_page) == (page(at - 1), page(end))
+        assert r.source_section == {1: None, 3: "one", 4: "two b"}[r.first_page]
+    assert [r.text for r in got] == ["It must be so", "They shall", "And at least one page border crosses here, it is required to"]
+    assert [r.seq for r in compliance.extract_requirements(docs).orderBy("seq").collect()] == [r.seq for r in got] == [2, 3, 5]
+
+
+def test_legacy_defaults(spark):
+    pages = spark.createDataFrame([(d, p, n) for d, n in ((1, 8), (2, 2)) for p in range(1, n + 1)], "doc_id int, page_number int, total_pages int")
+    chosen = spark.createDataFrame([(1, "signatures", 4), (1, "agreementInfo", 8), (2, "parties", 2)], "doc_id int, section_id string, page_number int")
+    got = sorted(tuple(r) for r in profiles.legacy_defaults(chosen, pages).collect())
+    assert got == sorted([(1, "agreementInfo", p) for p in range(1, 6)] + [(1, "signatures", 4), (2, "agreementInfo", 1), (2, "agreementInfo", 2), (2, "parties", 2), (2, "signatures", 1), (2, "signatures", 2)])
