@@ -41,7 +41,7 @@ ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012345
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 NUMBERS = re.compile(
-    r"(?<![\w.+-])(?:"
+    r"(?<!\w)(?<!\d[.+-])(?:"
     r"(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?\d)"
     r"|(?P<ymd>\d{4}([-/.])\d{1,2}\3\d{1,2})(?!\d)"
     r"|(?P<dmy>\d{1,2}([-/.])\d{1,2}\5\d{4})(?!\d)"
@@ -230,9 +230,9 @@ def _locals(text: str) -> Iterator[tuple[int, int]]:
     at, last = text.find("@"), 0
     while at >= 0:
         a = at
-        while a > last and (text[a - 1].isalnum() or text[a - 1] in "_%+.-"):
+        while a > last and (text[a - 1].isalnum() or text[a - 1] in "_%+.-'"):
             a -= 1
-        while a < at and text[a] in ".-":
+        while a < at and text[a] in ".-'":
             a += 1
         if a < at and text[at - 1] != "." and DOMAIN.match(text, at + 1):
             yield a, at

@@ -41,6 +41,17 @@ def test_pii_of_any_length_and_script(spark):
     assert len({pii._by_alphabet(x * 20, lambda v, n, t: pii.permute(v, n, b"k", t), "m") for x in pairs}) == len(pairs)
 
 
+def test_pii_behind_signs_and_with_apostrophes(spark):
+    texts = ["john.o'neil@x.org", "say 'ann@x.org' now", "x-4111111111111111", "(.4111111111111111", "no-123-45-6789.", "at+743-555-3824", "v.152.143.123.131 b", "due-2024-02-01;", "1.5-4111111111111111", "4-2024-02-01"]
+    got = {r.doc_id: r for r in pii.op10(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].n_values for k in range(10)] == [1] * 8 + [0, 0]
+    name = got[0].text.split("@")[0]
+    assert name[4] == "." and name[6] == "'" and not any(x in name for x in ("john", "neil")) and got[1].text.startswith("say '") and "ann" not in got[1].text and got[1].text.endswith("@x.org' now")
+    assert got[2].text.startswith("x-") and "4111111111111111" not in got[2].text + got[3].text and "123-45" not in got[4].text and "2024-02-01" not in got[7].text
+    same = {r.doc_id: r.text for r in pii.op10(spark.createDataFrame([(0, "4111111111111111"), (1, "x-4111111111111111")], "doc_id long, text string")).collect()}
+    assert same[1] == "x-" + same[0]
+
+
 PII_PATTERNS = {
     "ip": r"(?<![\w.+-])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "email": r"(?<![\w.%+-])[\w%+][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
