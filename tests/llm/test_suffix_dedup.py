@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 from docspark.llm import suffix_dedup
-from tests.llm.test_operators import removed_by_hand
+from tests.llm.test_corpus_operators import removed_by_hand
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
