@@ -74,7 +74,7 @@ def _requirements(spark, sf):
     words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
     k = F.col("item_id")
     longer = F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: F.length(w) > 5))
-    phrases = F.array(F.concat_ws(", ", F.slice(words, 1, 2)), F.upper(F.array_join(F.slice(words, 3, 3), " ")), F.lit("..."))
+    phrases = F.array(F.concat_ws(", ", F.slice(words, 1, 2)), F.array_join(F.slice(words, 3, 3), " - "), F.lit("..."))
     return _t(spark, sf, "benchmark").select(F.concat(F.lit("b"), (k % 4).cast("string")).alias("baseline_id"), k.cast("string").alias("requirement_id"), F.concat(longer, phrases).alias("terms"))
 
 
