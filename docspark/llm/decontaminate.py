@@ -194,8 +194,27 @@ def coverage(item: np.ndarray, doc: np.ndarray, diagonal: int) -> float:
     return float((sums[w:] - sums[:-w]).max() / w)
 
 
-def _everywhere(item: np.ndarray, doc: np.ndarray) -> float:
-    """The best coverage on any diagonal, by blocks of diagonals of bounded size."""
+def _marked(hits: list[dict], n: int, m: int) -> np.ndarray:
+    """For each diagonal from -n to m - 1 whether a pair of places of a hit lies on it.
+
+    A seed that repeats on both sides has more pairs than there are diagonals; its differences then come from
+    one correlation of the two sets of places, so that no list of pairs is held.
+    """
+    marked = np.zeros(n + m, bool)
+    for h in hits:
+        places, ats = np.asarray(h["places"], np.int64), np.asarray(h["ats"], np.int64)
+        if len(places) * len(ats) <= 4 * (n + m):
+            marked[(places[:, None] - ats).ravel() + n] = True
+            continue
+        size = 1 << int(n + m + 1).bit_length()
+        left, right = np.zeros(size), np.zeros(size)
+        left[places], right[n - ats] = 1, 1
+        marked |= np.fft.irfft(np.fft.rfft(left) * np.fft.rfft(right), size)[: n + m] > 0.5
+    return marked
+
+
+def _best_of(item: np.ndarray, doc: np.ndarray, marked: np.ndarray) -> float:
+    """The best coverage on the marked diagonals, by blocks of diagonals of bounded size."""
     n = len(item)
     w, best = min(n, WINDOW), 0.0
     padded = np.concatenate([np.zeros(n + SHIFT, np.uint64), doc, np.zeros(n + SHIFT, np.uint64)])
@@ -203,27 +222,29 @@ def _everywhere(item: np.ndarray, doc: np.ndarray) -> float:
     known[n + SHIFT : n + SHIFT + len(doc)] = True
     rows, step = len(doc) + n, max(1, (1 << 21) // n)
     for lo in range(0, rows, step):
-        size = min(step, rows - lo) + 2 * SHIFT
+        here = marked[lo : lo + step]
+        if not here.any():
+            continue
+        size = len(here) + 2 * SHIFT
         take = lambda x: np.lib.stride_tricks.sliding_window_view(x[lo : lo + size + n - 1], n)  # noqa: E731, B023
         same = (take(padded) == item) & take(known)
         near = np.zeros_like(same)
         near[:, 1:] |= same[:, :-1]
         near[:, :-1] |= same[:, 1:]
         same &= near | (n == 1)
-        covered = np.logical_or.reduce([same[k : size - 2 * SHIFT + k] for k in range(2 * SHIFT + 1)])
+        covered = np.logical_or.reduce([same[k : size - 2 * SHIFT + k] for k in range(2 * SHIFT + 1)])[here]
         sums = np.concatenate([np.zeros((len(covered), 1), np.int32), np.cumsum(covered, 1, dtype=np.int32)], 1)
         best = max(best, float((sums[:, w:] - sums[:, :-w]).max() / w))
     return best
 
 
 def similarity_of(item: np.ndarray, doc: np.ndarray, hits: list[dict]) -> float:
-    """The best coverage on the diagonals of the hits, which are places in the document and in the item.
-
-    Where seeds repeat so often that their pairs outnumber the diagonals there are, all of these are tried.
-    """
-    if sum(len(h["places"]) * len(h["ats"]) for h in hits) > 2 * (len(doc) + len(item)) + 64:
-        return _everywhere(item, doc)
-    diagonals = np.unique(np.concatenate([np.subtract.outer(np.array(h["places"]), np.array(h["ats"])).ravel() for h in hits]))
+    """The best coverage on the diagonals of the hits, which are places in the document and in the item."""
+    n, m = len(item), len(doc)
+    marked = _marked(hits, n, m)
+    diagonals = np.flatnonzero(marked) - n
+    if len(diagonals) * 8 > n + m:  # the same diagonals either way, many of them side by side
+        return _best_of(item, doc, marked)
     return max(coverage(item, doc, int(x)) for x in diagonals)
 
 

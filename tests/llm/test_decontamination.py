@@ -49,11 +49,27 @@ def test_recall_of_seeds():
         assert hit == held if not indels else hit >= 0.98 * held
 
 
-def test_all_diagonals_at_once():
+def test_marked_diagonals_only():
+    """Many or few, by pairs or by correlation: the diagonals of the hits and no others are tried."""
     rng = np.random.default_rng(1)
     for n, m in ((1, 5), (3, 40), (12, 30), (60, 200), (70, 3)):
         item, doc = rng.integers(1, 4, n).astype(np.uint64), rng.integers(1, 4, m).astype(np.uint64)
-        assert D._everywhere(item, doc) == max(D.coverage(item, doc, x) for x in range(-n, m + 1))
+        for share in (0.05, 0.5, 1.0):
+            hits = [{"places": np.flatnonzero(rng.random(m) < share).tolist(), "ats": np.flatnonzero(rng.random(n) < share).tolist()} for _ in range(3)]
+            pairs = {p - a for h in hits for p in h["places"] for a in h["ats"]}
+            assert set((np.flatnonzero(D._marked(hits, n, m)) - n).tolist()) == pairs
+            if pairs:
+                want = max(D.coverage(item, doc, x) for x in pairs)
+                assert D.similarity_of(item, doc, hits) == want == D._best_of(item, doc, D._marked(hits, n, m))
+
+
+def test_a_seed_that_repeats_tries_no_other_diagonal():
+    item = np.array([1, 2] * 20, np.uint64)
+    doc = np.array([1, 2] * 400, np.uint64)
+    even = [{"places": list(range(0, 800, 2)), "ats": list(range(0, 40, 2))}]
+    assert len(even[0]["places"]) * len(even[0]["ats"]) > 4 * (len(item) + len(doc))
+    assert set((np.flatnonzero(D._marked(even, 40, 800)) - 40) % 2) == {0}
+    assert D.similarity_of(item, doc, even) == 1.0
 
 
 def test_items_of_any_length(spark):
