@@ -1,12 +1,19 @@
 """Secret scans: candidates by shape, a random forest that removes false positives.
 
-A candidate is a run of 12 or more key characters with letters and digits mixed, and with "=" only as
-padding at its end, or any quoted value of 8 or more assigned to a name such as password or token (the
-name may be quoted, and part of an identifier: client_secret, AWS_SECRET, accessToken). Neither has
-an upper length, and both are found in one pass over the text. Its features: length, entropy, letter case and digit shares, how usual its character transitions are (against transitions of the corpus'
-own words), how much of it dictionary words cover (words of the corpus), marks of paths, addresses,
-checksums and placeholders in it or before it, and the words on its left: names of secrets, of
-digests, of files.
+A candidate is one of these, none with an upper length, all found in passes of linear cost over the text:
+
+* a run of 12 or more key characters with letters and digits mixed, and with "=" only as padding at its end;
+* a quoted value of 8 or more characters on one line, blanks included, assigned to a name such as password or
+  token (the name may be quoted, and part of an identifier: client_secret, AWS_SECRET, accessToken);
+* an unquoted value of 8 or more assigned to such a name, if not letters alone; it ends at white space, a quote,
+  an angle bracket, a comma or a semicolon, and marks of sentences at its end are not of it;
+* 16 or more key characters, digits or not, behind the authorization words Bearer and Basic;
+* the password of an address with one (scheme://user:password@host), of 4 or more.
+
+Where two overlap, the first counts, of two with the same start the longer. Features: length, entropy, letter case
+and digit shares, how usual its character transitions are (against transitions of the corpus' own words), how much
+of it dictionary words cover (words of the corpus), blanks, marks of code, paths, addresses, checksums and
+placeholders in it or before it, and the words on its left: names of secrets, of digests, of files.
 
 Training. No table holds findings, so labelled findings are generated by rule with their labels:
 random keys of many lengths and alphabets behind usual names, and look-alikes (digests, commit ids,
@@ -40,12 +47,17 @@ from pyspark.sql import functions as F
 
 from docspark.llm._common import materialize
 
-WORD_SHARE, FINDINGS, CONTEXT = 1e-5, 4000, 40
+WORD_SHARE, FINDINGS, CONTEXT = 1e-5, 8000, 40
 #: What may stand around a word that stands alone.
 MARKS = ".,;:!?\"'()[]«»„“”…"
 #: Each possessive part starts at the edge of a run only, so that no character is read more than a few times.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.-]*+\d)(?=[0-9+/_.-]*+[A-Za-z])[A-Za-z0-9+/_.-]{12,}+(?:={1,2}+(?![A-Za-z0-9+/_.@=-]))?+(?!@)")
-ASSIGNED = re.compile(r"(?::=|=>?|:)\s{0,3}(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)')")
+SEPARATOR = re.compile(r"(?::=|=>?|:)\s{0,3}")
+VALUE = re.compile(r"\"([^\"\n]{8,}+)\"|'([^'\n]{8,}+)'|(?!=)([^\s\"'<>,;]{8,}+)")
+BEARER = re.compile(r"\b(?:[Bb]earer|BEARER|[Bb]asic)[ \t]{1,3}([A-Za-z0-9+/_.~-]{16,}+={0,2}+)")
+URL_PASSWORD = re.compile(r"://[^\s/:@\"'<>]*+:([^\s/@\"'<>]{4,}+)@")
+#: What ends a sentence, or a bracket that opens before the value, is not of a value without quotes.
+ENDS = {".": "", ":": "", "!": "", "?": "", ")": "(", "]": "[", "}": "{"}
 #: What may stand between an identifier and its separator, and the names in identifiers that tell of secrets.
 GAP = re.compile(r"[\"']?\s{0,3}$")
 NAME = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credential|(?<![a-z])(?:auth|pass))(?:s|[_-]?key)?(?![a-z])")
@@ -54,7 +66,10 @@ SECRET_WORDS = re.compile(r"(?i)token|secret|passw|passphrase|pwd|api.?key|acces
 DIGEST_WORDS = re.compile(r"(?i)sha\d*|md5|checksum|digest|commit|revision|hash|etag|integrity|uuid|guid|build|version")
 FILE_WORDS = re.compile(r"(?i)https?:|www\.|\.(?:html?|js|css|png|jpe?g|gif|py|java|txt|csv|json|xml|pdf)\b|/[a-z]+/|path|file|url")
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|your|changeme|xxxx|dummy|sample|test|todo|<|0123|1234|abcd")
-FEATURES = ["length", "entropy", "upper", "lower", "digit", "other", "hex", "run", "transitions", "switches", "dictionary", "separators", "slashes", "dots", "placeholder", "near_secret", "near_digest", "near_file", "assigned", "quoted"]
+#: Words of sentences about secrets.
+PROSE = re.compile(r"(?i)\b(?:your|here|must|should|may|enter|required|characters?|see|ask|the|not|is|are|be|set|for|with|or|from|to)\b")
+USER = re.compile(r"://[^\s/:@]*:$")
+FEATURES = ["length", "entropy", "upper", "lower", "digit", "other", "hex", "run", "transitions", "switches", "dictionary", "separators", "slashes", "dots", "placeholder", "near_secret", "near_digest", "near_file", "assigned", "quoted", "blanks", "code", "prose", "url_password"]
 
 
 def transition_table(words: dict[str, int]) -> dict[str, float]:
@@ -83,6 +98,7 @@ def features(value: str, before: str, after: str, words: frozenset[str], transit
         sum(c in "0123456789abcdef" for c in low) / n, max(counts.values()) / n, sum(transitions.get(p, -14.0) for p in pairs) / max(1, n - 1), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         covered / n, sum(c in "-_." for c in value) / n, float(value.count("/")), float(value.count(".")), float(bool(PLACEHOLDER.search(value))),
         float(bool(SECRET_WORDS.search(before))), float(bool(DIGEST_WORDS.search(before))), float(bool(FILE_WORDS.search(before[-16:] + value))), float(bool(re.search(r"[=:]>?\s*[\"']?$", before))), float(before[-1:] in ("'", '"') and before[-1:] == after[:1]),
+        sum(c.isspace() for c in value) / n, sum(c in "()[]{}$%<>" for c in value) / n, float(len(PROSE.findall(value))), float(after[:1] == "@" and bool(USER.search(before))),
     ]
 
 
@@ -97,7 +113,23 @@ def _named(text: str, at: int) -> bool:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidates, in order, none overlapping another."""
-    assigned = [m.span(m.lastindex) for m in ASSIGNED.finditer(text) if _named(text, m.start())]
+    named: list[tuple[int, int]] = []
+    for sep in SEPARATOR.finditer(text):
+        # A separator within a value found is not looked at, and only behind a name is a value read.
+        if (named and sep.start() < named[-1][1]) or not _named(text, sep.start()) or not (m := VALUE.match(text, sep.end())):
+            continue
+        a, z = m.span(m.lastindex)
+        if m.lastindex == 3:
+            while z > a and (opens := ENDS.get(text[z - 1])) is not None and not (opens and opens in m[3]):
+                z -= 1
+            if z - a < 8 or text[a:z].isalpha():
+                continue
+        named.append((a, z))
+    named += [m.span(1) for m in BEARER.finditer(text)] + [m.span(1) for m in URL_PASSWORD.finditer(text)]
+    assigned: list[tuple[int, int]] = []
+    for a, z in sorted(named, key=lambda x: (x[0], -x[1])):
+        if not assigned or a >= assigned[-1][1]:
+            assigned.append((a, z))
     spans, k = list(assigned), 0
     for m in CANDIDATE.finditer(text):
         a, z = m.span()
@@ -123,12 +155,28 @@ def labelled_findings(words: list[str], n: int = FINDINGS, seed: int = 11) -> li
     for k in range(n):
         quote = rng.choice(['"', '"', "'", ""])
         if k % 2:
+            form = rng.randrange(10)
+            if form == 0:  # a password that someone made up, quoted or not
+                value = word()[:8] + rng.choice(["", "_", "!", "#", "$"]) + rng.choice([str(rng.randint(1, 9999)), key(base[52:], 2) + rng.choice("!?#$%&*")])
+                value += key(base, max(0, 8 - len(value)))
+                out.append((value, f"{sentence()} {rng.choice(['password', 'passwd', 'db_password', 'pwd', 'secret'])}{rng.choice([' = ', '=', ': '])}{quote}"[-CONTEXT:], quote + " " + word(), 1))
+            elif form == 1:  # words joined by blanks
+                quote = rng.choice("\"'")
+                out.append((" ".join(word() if rng.random() < 0.75 else key(base[26:52], rng.randint(2, 3)) for _ in range(rng.randint(3, 6))), f"{sentence()} {rng.choice(['password', 'passphrase', 'secret', 'master_password'])}{rng.choice([' = ', ': '])}{quote}"[-CONTEXT:], quote + rng.choice(["", ",", " " + word()]), 1))
+            elif form == 2:
+                value = rng.choice([lambda: key(base[:52], rng.randint(16, 40)), lambda: key(base[26:52], rng.randint(20, 40)), lambda: base[26:52], lambda: key(base, rng.randint(16, 60))])()
+                out.append((value, f"{sentence()} {rng.choice(['Authorization: Bearer ', 'authorization: Bearer ', 'Bearer ', 'Authorization: Basic '])}"[-CONTEXT:], rng.choice(["", " " + word(), '"']), 1))
+            elif form == 3:
+                value = rng.choice([lambda: key(base, rng.randint(6, 24)), lambda: word() + str(rng.randint(1, 999)), lambda: key(base[52:] + base[26:52] + "!$%*-_", rng.randint(8, 20))])()
+                out.append((value, f"{sentence()} {rng.choice(['postgres', 'mysql', 'https', 'amqp', 'redis', 'mongodb'])}://{rng.choice(['', 'admin', 'root', word()])}:"[-CONTEXT:], f"@{word()}.{word()}"[:8], 1))
+            if form < 4:
+                continue
             value = rng.choice([lambda: key(hexa, rng.choice([20, 24, 32, 40, 48, 64])), lambda: key(base, rng.randint(16, 64)), lambda: key(base + "+/", rng.choice([40, 44, 64])), lambda: rng.choice(["sk_live_", "ghp_", "AKIA", "xoxb-", "glpat-"]) + key(base, rng.randint(16, 36)), lambda: key(base + "_-.", rng.randint(12, 40))])()
             sep = rng.choice([" = ", "=", ": ", " => "])
             before = f"{sentence()} {rng.choice(names)}{sep}{quote}" if rng.random() < 0.92 else f"{sentence()} {quote}"
             out.append((value, before[-CONTEXT:], quote + " " + word(), 1))
             continue
-        kind = rng.randrange(11)
+        kind = rng.choice([*range(14), 11, 12])
         value, before = [
             lambda: (key(hexa, rng.choice([32, 40, 64])), f"{sentence()} {rng.choice(['sha256:', 'md5 ', 'commit ', 'checksum: ', 'etag=', 'revision '])}{quote}"),
             lambda: ("/".join([word(), word(), f"{word()}{rng.randint(1, 99)}.{rng.choice(['html', 'js', 'png', 'txt'])}"]), f"{sentence()} {rng.choice(['https://', 'file ', 'path: ', '/'])}"),
@@ -141,6 +189,10 @@ def labelled_findings(words: list[str], n: int = FINDINGS, seed: int = 11) -> li
             lambda: ("-".join([word().title(), word().title(), f"{key(base[:26], 1)}{rng.randint(1, 9999)}{rng.choice(['', 'w', 'x', 'b'])}", word()]), f"{sentence()} "),
             lambda: (rng.choice("_.").join([word(), word(), str(rng.randint(1900, 2030)), rng.choice(["v2", "final", "docx", "bak"])]), f"{sentence()} {rng.choice(['name ', 'file ', ''])}"),
             lambda: (f"20{rng.randint(10, 30)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T{rng.randint(10, 23)}.{rng.randint(10, 59)}.00Z", f"{sentence()} "),
+            # What stands where a secret would: prose about it, code that reads it, words behind "bearer".
+            lambda: (rng.choice(["your {} here", "enter your {} here", "must be {} characters or more", "see the {} manual for {}", "not set for this {}", "the {} is required", "ask the {} for it", "your {} {} {}", "{} should not be {} or {}", "to {} with {}", "{} {} from the {}"]).replace("{}", word()), f"{sentence()} {rng.choice(names)}{rng.choice([' = ', ': '])}{rng.choice(chr(34) + chr(39))}"),
+            lambda: (rng.choice(["${{{0}_{1}}}", "os.environ[{0}]", "get_{0}({1}_1)", "{0}.{1}(2)", "self.{0}.{1}_2", "{{{{{0}.{1}}}}}", "$({0} {1}_1)".replace(" ", "_"), "%{0}_{1}%"]).format(word().upper(), word()), f"{sentence()} {rng.choice(names)}{rng.choice([' = ', '=', ': '])}"),
+            lambda: ("".join(word() for _ in range(rng.randint(2, 3)))[:30].ljust(16, "s"), f"{sentence()} {rng.choice(['bearer ', 'Bearer ', 'Basic '])}"),
         ][kind]()
         out.append((value, before[-CONTEXT:], quote + " " + word(), 0))
     return out

@@ -76,3 +76,39 @@ def test_look_alikes_of_other_kinds(spark):
     flagged = {r.doc_id for r in secrets.find_secrets(df).collect() if r.is_secret}
     assert flagged >= set(range(10, 15))
     assert len(flagged & set(range(10))) <= 2, flagged
+
+
+FORMS = [
+    ("db: password = hunter22 there", "hunter22"), ("set passwd: s3cr#t!x9, then", "s3cr#t!x9"), ('password: "correct horse battery"', "correct horse battery"), ("secret = 'four of these words'", "four of these words"),
+    ("Authorization: Bearer abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"), ("use postgres://u:p4ssw0rdXYZ99@host/db now", "p4ssw0rdXYZ99"), ("redis://:Qx7pLm2zR@cache:6379", "Qx7pLm2zR"), ("the password: hunter2299.", "hunter2299"), ("at https://h.example/?q=1&token=abc123xyz89", "abc123xyz89"), ("url:http://x?password=hunter22x", "hunter22x"),
+]
+NO_FORMS = ["the password is required here", "password: required", "time: 10:30:45.123456 is", "bearer of news", "http://host:8080/a@b", "user@host.example:path/to", 'name = "correct horse battery"', "password: 'x'", "password =\n\n\n\n\nabcdefgh1"]
+
+
+def test_forms_of_candidates():
+    for text, value in FORMS:
+        assert [text[a:z] for a, z in secrets.candidates(text)] == [value], text
+    for text in NO_FORMS:
+        assert secrets.candidates(text) == [], text
+    both = 'token = "https://u:Zx81Qw92mmA@host/x"'  # an address within a quoted value: the value counts, once
+    assert [both[a:z] for a, z in secrets.candidates(both)] == ["https://u:Zx81Qw92mmA@host/x"]
+
+
+def test_forms_end_to_end(spark):
+    """Each form is found and flagged; texts where a secret would stand are not."""
+    harmless = ['password: "your password goes here"', "api_key = os.environ[API_KEY_1]", "secret: ${APP_SECRET_2}", "token = self.session.token_2", 'password: "must be eight characters or more"', "Bearer responsibilities are"]
+    words = "garden river house mountain report market winter bridge letter number island season village kitchen morning number teacher window paper music letter station animal forest silver answer summer picture correct horse battery".split()
+    df = spark.createDataFrame(list(enumerate([t for t, _ in FORMS] + harmless + [" ".join(words) * 3] * 5)), "doc_id long, text string")
+    rows = secrets.find_secrets(df).collect()
+    flagged = {r.doc_id for r in rows if r.is_secret}
+    assert flagged >= set(range(len(FORMS))), sorted((r.doc_id, r.value, round(r.score, 2)) for r in rows)
+    assert len(flagged - set(range(len(FORMS)))) <= 1, sorted((r.doc_id, r.value, round(r.score, 2)) for r in rows)
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    for text in ('password: "' + "a " * 500_000, "token=" + "x" * 1_000_000, "://a:" * 200_000, "Bearer " * 150_000, "://" + "a" * 500_000 + ":" + "b" * 500_000, "password:" * 100_000, "password:'" * 100_000, 'token=\' ' * 100_000 + 'token=" ' * 100_000, "a:" * 500_000, "token=" + ":" * 500_000):
+        began = time.perf_counter()
+        secrets.candidates(text)
+        assert time.perf_counter() - began < 10
