@@ -7,8 +7,8 @@ order and labels every block as main text or not from both directions, so a bloc
 whole page. The labelled blocks, references decoded and white space folded, are joined by line feeds.
 
 The labeller is trained here, at each call, on ``TRAIN_PAGES`` generated pages: layouts are drawn by
-rule (menus, headers, sidebars, notices, adverts, forms, comments and articles in many kinds of
-containers, partly broken markup), and their sentences are all blocks of ``SAMPLE_PAGES`` pages of the
+rule (menus, headers with site titles, sidebars, notices, adverts, forms, comments and articles in many
+kinds of containers, layouts by tables, pages of bare paragraphs or text, partly broken markup), and their sentences are all blocks of ``SAMPLE_PAGES`` pages of the
 table, those with the smallest hashes of id and html, so that equal tables give equal models however
 they are dealt. These two bounds are for training only; extraction reads every page whole.
 
@@ -324,7 +324,7 @@ class Layouts:
         if tag == "p" and self.chance(0.1):
             self.out.append(f"<p><b>{escaped}<br>")
         else:
-            self.out.append(f"<{tag}{attrs}>{escaped}" + ("" if tag in ("p", "li") and self.chance(0.1) else f"</{tag}>"))
+            self.out.append(f"<{tag}{attrs}>{escaped}" + ("" if tag in ("p", "li") and self.chance(0.1) else f"</{tag.split()[0]}>"))
         self.labels.append((" ".join(text.split()), label))
 
     def wrapped(self, tag: str, attrs: str, fill) -> None:
@@ -365,6 +365,17 @@ class Layouts:
                 self.out.append('<input type="text">')
                 self.put("button", self.words(1, 2), 0)
                 return
+            if kind == "header" and self.chance(0.7):  # the name of the site, as heading, link or plain
+                self.put(self.pick(["h1", "h1", "h2", "div", "p", "span", 'a href="/"']), self.words(1, 4), 0)
+            if kind == "footer" and self.chance(0.4):  # a line of rights alone
+                text = self.pick(["© ", "© ", "Copyright ", ""]) + self.pick(["", f"{int(self.rng.integers(1995, 2030))} "]) + self.words(1, 4)
+                if self.chance(0.5):
+                    self.put(self.pick(["p", "p", "div", "span", "small"]), text, 0)
+                else:
+                    self.out.append(text.replace("&", "&amp;").replace("<", "&lt;"))
+                    self.labels.append((" ".join(text.split()), 0))
+                if self.chance(0.6):
+                    return
             if kind in LINKED and self.chance(0.8):
                 if self.chance(0.3):
                     self.put(self.pick(["h3", "h4", "div"]), self.words(1, 4), 0)
@@ -406,7 +417,66 @@ class Layouts:
         else:
             fill()
 
+    def bare(self) -> tuple[str, list[tuple[str, int]]]:
+        """A page without parts: text alone, or headings and paragraphs of the body or of one container; all of it is main text."""
+        self.out, self.labels = ["<html><body>"] if self.chance(0.5) else [], []
+        if self.chance(0.35):
+            text = self.words(1, 8) if self.chance(0.3) else self.words(5, 200)
+            self.out.append(text.replace("&", "&amp;").replace("<", "&lt;"))
+            self.labels.append((" ".join(text.split()), 1))
+            return "".join(self.out), self.labels
+
+        def fill() -> None:
+            if self.chance(0.4):
+                self.put(self.pick(["h1", "h1", "h2"]), self.words(1, 12), 1)
+            for _ in range(int(self.rng.integers(1, 5))):
+                self.put(self.pick(["p", "p", "p", "div", "pre", "li"]), self.words(2, 8) if self.chance(0.3) else self.words(5, 120), 1)
+
+        self.nested(int(self.rng.integers(0, 2)), fill)
+        return "".join(self.out), self.labels
+
+    def tabled(self) -> tuple[str, list[tuple[str, int]]]:
+        """A page laid out by a table: the name of the site above, a cell of links, a cell with the article, a line below."""
+        self.out, self.labels = ["<html><head><title>x</title></head><body>"], []
+        row = lambda fill: self.wrapped("tr", "", fill)
+        names = lambda kind: self.attrs(BOILERPLATE[kind]) if self.chance(0.4) else self.pick(["", ' width="20%"', ' valign="top"'])
+
+        def links() -> None:
+            if self.chance(0.4):
+                self.put(self.pick(["b", "h3", "p"]), self.words(1, 3), 0)
+            if self.chance(0.4):
+                self.link_list()
+                return
+            wrap = self.pick(["", "p", "div", "br"])
+            if wrap in ("p", "div"):
+                for _ in range(int(self.rng.integers(2, 8))):
+                    self.wrapped(wrap, "", lambda: self.put('a href="/x"', self.words(1, 3), 0))
+                return
+            texts = [self.words(1, 3) for _ in range(int(self.rng.integers(1, 8)))]  # one block of links
+            mark = self.pick(["<br>", " | ", " "])
+            self.out.append(mark.join(f'<a href="/x">{t.replace("&", "&amp;").replace("<", "&lt;")}</a>' for t in texts))
+            self.labels.append((" ".join(mark.replace("<br>", " ").join(texts).split()), 0))
+
+        def body() -> None:
+            if self.chance(0.7):
+                row(lambda: self.put("td", self.words(1, 5), 0, self.pick(["", ' colspan="2"'])) if self.chance(0.6) else self.wrapped("td", names("header"), lambda: self.put(self.pick(["h1", "h2", "b", "font"]), self.words(1, 5), 0)))
+            cells = [lambda: self.wrapped("td", names("nav"), links), lambda: self.wrapped("td", self.attrs(CONTENT) if self.chance(0.3) else self.pick(["", ' width="80%"']), self.article)]
+            if self.chance(0.25):
+                cells.reverse()
+            if self.chance(0.2):
+                cells.append(lambda: self.wrapped("td", names("aside"), links))
+            row(lambda: [c() for c in cells])
+            if self.chance(0.7):
+                row(lambda: self.put("td", ("© " if self.chance(0.5) else "") + self.words(2, 12), 0, self.pick(["", ' colspan="2"'])))
+
+        self.wrapped("table", self.pick(["", ' width="100%"', ' cellpadding="0"', ' class="layout"']), lambda: self.wrapped("tbody", "", body) if self.chance(0.3) else body())
+        return "".join(self.out) + "</body></html>", self.labels
+
     def page(self) -> tuple[str, list[tuple[str, int]]]:
+        kind = self.rng.random()
+        return self.bare() if kind < 0.08 else self.tabled() if kind < 0.2 else self.parted()
+
+    def parted(self) -> tuple[str, list[tuple[str, int]]]:
         self.out, self.labels = ["<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>"], []
 
         def body() -> None:
@@ -438,6 +508,8 @@ def train(sample: list[str], pages: int = TRAIN_PAGES) -> Labeller:
         at, own = 0, []
         for text, *_ in found:
             label = next((k for k in range(at, len(labels)) if labels[k][0] == text), None)
+            if label is None:  # inline pieces side by side are one block
+                label = next((k for k in range(at, min(at + 2, len(labels))) if text.startswith(labels[k][0])), None)
             if label is None:
                 label = at - 1 if at else 0
             else:

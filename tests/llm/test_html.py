@@ -41,3 +41,24 @@ def test_model_does_not_hang_on_the_order_of_rows(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
     a, b = (html_extract.fit_on(p, 20, 40).w for p in (pages.repartition(3), pages.repartition(5, "html").union(pages.limit(3))))
     assert all((a[k] == b[k]).all() for k in a)
+
+
+SENTENCE = "The committee met on Tuesday and agreed that the old bridge should be repaired before the winter comes."
+#: Pages written by hand, unlike each other and unlike the given ones, each with its article.
+UNLIKE = [
+    (f"<p>{SENTENCE}</p>", SENTENCE),
+    (SENTENCE, SENTENCE),
+    (f"<html><body><h1>The bridge</h1><p>{SENTENCE}</p><p>{SENTENCE} Twice.</p></body></html>", f"The bridge\n{SENTENCE}\n{SENTENCE} Twice."),
+    (f"<body><header><h1>Daily Courier</h1></header><main><h1>The bridge</h1><p>{SENTENCE}</p></main><footer>&copy; 2024 Daily Courier</footer></body>", f"The bridge\n{SENTENCE}"),
+    (f'<body><table><tr><td><a href="/">Home</a><br><a href="/n">News</a><br><a href="/c">Contact</a></td><td><h1>The bridge</h1><p>{SENTENCE}</p><p>{SENTENCE}</p></td></tr></table></body>', f"The bridge\n{SENTENCE}\n{SENTENCE}"),
+    (f'<body><div id="cookie-banner"><p>This site uses cookies.</p></div><div class="post"><h2>The bridge</h2><p>{SENTENCE}</p></div><div class="sidebar"><h3>Popular</h3><ul><li><a href="/a">Another story</a></li></ul></div><div class="comments"><p>I walk there each day, and it is about time.</p></div></body>', f"The bridge\n{SENTENCE}"),
+]
+
+
+def test_pages_of_unlike_layout(spark):
+    """Trained on the given pages, the labeller gets pages written by hand right too."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    own = spark.createDataFrame([(-1 - k, "u", page) for k, (page, _) in enumerate(UNLIKE)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(given.union(own)).where("page_id < 0").collect()}
+    wrong = {k: got[-1 - k] for k, (_, text) in enumerate(UNLIKE) if got[-1 - k] != text}
+    assert not wrong, wrong
