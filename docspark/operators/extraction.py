@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from docspark.functions import parsing as V
-from docspark.operators.shared import materialize
+from docspark.operators.shared import beside, materialize
 
 #: Field names that are redacted wherever they stand, and the kind of each.
 PRIVATE = {"ssn": "ssn", "social_security_number": "ssn", "tax_id": "tax_id", "taxid": "tax_id", "ein": "tax_id", "dob": "dob", "date_of_birth": "dob", "dateofbirth": "dob", "license_number": "government_id", "passport": "government_id"}
@@ -17,7 +17,7 @@ def map_columns(tables: DataFrame, rules: DataFrame) -> DataFrame:
     """(table_id, role, position): each header cell takes the first rule whose substring it holds; of a
     role's columns the last counts. ``tables`` has header; rules (ordinal, part, role) are configuration."""
     cells = tables.select("table_id", F.posexplode("header").alias("position", "cell"))
-    named = cells.join(rules, F.contains(F.lower("cell"), F.col("part"))).groupBy("table_id", "position").agg(F.min_by("role", "ordinal").alias("role"))
+    named = beside(cells, rules, F.contains(F.lower("cell"), F.col("part"))).groupBy("table_id", "position").agg(F.min_by("role", "ordinal").alias("role"))
     return named.groupBy("table_id", "role").agg(F.max("position").alias("position"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from docspark.functions import parsing as V
 from docspark.operators.privacy import decrypt_paths, encrypt_paths
-from docspark.operators.shared import materialize
+from docspark.operators.shared import beside, materialize
 
 
 def block_edges(blocks: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def validate_fields(docs: DataFrame, defs: DataFrame, values: DataFrame) -> Data
 
     ``defs`` (field_id, field_type, required, validation_regex, min_value, max_value) is configuration.
     """
-    rows = docs.select("doc_id").join(defs, F.lit(True), "inner").join(values, ["doc_id", "field_id"], "left")
+    rows = beside(docs.select("doc_id"), defs).join(values, ["doc_id", "field_id"], "left")
     v, kind = F.col("value"), F.col("field_type")
     missing = F.coalesce(v, F.lit("")) == ""
     number: Column = F.lit(None).cast("double")
@@ -136,7 +136,7 @@ def validate_record(docs: DataFrame, defs: DataFrame, values: DataFrame) -> Data
 
 def apply_overrides(leaves: DataFrame, overrides: DataFrame) -> DataFrame:
     """(doc_id, path, value, defaulted): configured defaults where a path is missing, null or empty."""
-    grid = leaves.select("doc_id").distinct().join(overrides.withColumnRenamed("value", "default"), F.lit(True), "inner")
+    grid = beside(leaves.select("doc_id").distinct(), overrides.withColumnRenamed("value", "default"))
     out = leaves.join(grid, ["doc_id", "path"], "full")
     empty = F.coalesce("value", F.lit("")) == ""
     return out.select("doc_id", "path", F.when(empty, F.coalesce("default", "value")).otherwise(F.col("value")).alias("value"), (empty & F.col("default").isNotNull()).alias("defaulted"))
@@ -162,7 +162,7 @@ def loan_defaults(loans: DataFrame) -> DataFrame:
 
 def code_lookup(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """The code of the first phrase that a text holds; ``codes`` (ordinal, phrase, code) is configuration."""
-    hit = rows.join(codes, F.contains(F.lower("text"), F.lower("phrase")))
+    hit = beside(rows, codes, F.contains(F.lower("text"), F.lower("phrase")))
     best = hit.groupBy("doc_id").agg(F.min_by("code", "ordinal").alias("code"))
     return rows.select("doc_id").join(best, "doc_id", "left")
 

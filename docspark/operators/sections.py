@@ -2,8 +2,8 @@
 
 The configuration is small tables: sections (ordinal, section_id, priority, keywords, min_matches,
 max_pages, extract_signatures, search_last_pages) and rules (section_id, condition, patterns, bonus).
-Spark broadcasts them by their size (``spark.sql.autoBroadcastJoinThreshold``); scoring packs them
-into one row, so that each page is read once for all sections. A selection is (doc_id, section_id,
+They are broadcast after a count (``beside``); scoring packs them into one row, so that each page is
+read once for all sections. A selection is (doc_id, section_id,
 page_number), and every step from C4 to C8 takes and gives one. Only scoring needs the pages' texts;
 the other steps take the narrow table of ``page_scores``.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docspark.operators.shared import beside
+
 
 def _holds(low, condition, patterns):
     """Whether a rule holds for the page; position rules also do for pages that cannot be read."""
@@ -42,12 +44,12 @@ def _matches(keywords):
 
 def keyword_matches(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """(page columns, section columns, matches) of each page and section."""
-    return _readable(pages).join(sections, F.lit(True), "inner").withColumn("matches", F.when(F.col("low") != "", _matches("keywords")).otherwise(0)).drop("low")
+    return beside(_readable(pages), sections).withColumn("matches", F.when(F.col("low") != "", _matches("keywords")).otherwise(0)).drop("low")
 
 
 def rule_bonus(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, page_number, section_id, bonus) of pages with any bonus."""
-    both = _readable(pages).join(rules, F.lit(True), "inner").where(_holds(F.col("low"), F.col("condition"), F.col("patterns")))
+    both = beside(_readable(pages), rules).where(_holds(F.col("low"), F.col("condition"), F.col("patterns")))
     return both.groupBy("doc_id", "page_number", "section_id").agg(F.sum("bonus").cast("int").alias("bonus"))
 
 
@@ -95,7 +97,7 @@ def route_low_quality(sel: DataFrame, pages: DataFrame, sections: DataFrame, few
     """Unreadable pages go to signature sections, then, where little was found, to the primary section."""
     low = pages.where(~(F.col("is_readable") & F.col("has_text"))).select("doc_id", "page_number")
     signing = sections.where("extract_signatures and search_last_pages").select("section_id", "max_pages")
-    wanted = low.join(signing, F.lit(True), "inner").join(sel, ["doc_id", "section_id", "page_number"], "left_anti")
+    wanted = beside(low, signing).join(sel, ["doc_id", "section_id", "page_number"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("page_number"))
     one = sel.unionByName(wanted.withColumn("rn", rank).where("rn <= max_pages").select("doc_id", "section_id", "page_number"))
     enough = one.groupBy("doc_id").agg(F.countDistinct("page_number").alias("n")).where(F.col("n") >= few).select("doc_id")

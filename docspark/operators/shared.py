@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,6 +34,15 @@ def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def beside(rows: DataFrame, config: DataFrame, on: Column | None = None) -> DataFrame:
+    """Each row with each row of a configuration table, or with those that meet ``on``.
+
+    A table that a count shows to be small is sent to all tasks, and ``rows`` stay where they are. A larger one gives the same
+    pairs, split among the tasks by both sides. Tables without rows give none.
+    """
+    return rows.join(broadcast_if_small(config), F.lit(True) if on is None else on, "inner")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on all cores, if it has fewer partitions than there are: a few small files would keep most of them idle.
     A large table has more partitions and stays where it is."""

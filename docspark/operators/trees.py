@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docspark.operators.shared import beside
+
 
 def heading_entries(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, line, structure, title) of lines that begin with a number like 1.2."""
@@ -151,7 +153,7 @@ def leaf_sections(nodes: DataFrame, level: int = 2) -> DataFrame:
 
 def match_sections_to_nodes(nodes: DataFrame, sections: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, section_id, seq, score): 3 for each keyword in the title, else 1 for one in the summary."""
-    both = nodes.join(sections.select("section_id", "keywords"), F.lit(True), "inner")
+    both = beside(nodes, sections.select("section_id", "keywords"))
     title, summary = F.lower("title"), F.lower(F.coalesce("summary", F.lit("")))
     score = F.aggregate("keywords", F.lit(0), lambda a, k: a + F.when(F.contains(title, F.lower(k)), 3).when(F.contains(summary, F.lower(k)), 1).otherwise(0))
     return both.withColumn("score", score).where(F.col("score") >= least).select("doc_id", "section_id", "seq", "score")

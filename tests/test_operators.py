@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators import compliance, dedup, extraction, pages, profiles, records, sections, trees
+from docspark.operators import compliance, dedup, extraction, pages, profiles, records, sections, shared, trees
 from docspark.plans import config
 
 
@@ -147,3 +147,19 @@ def test_selection_needs_no_text(spark):
     assert "text" not in scored.columns
     plan = sections.extraction_plan(sections.select_pages(scored, config.sections(spark)), scored, config.sections(spark))
     assert {r.doc_id for r in plan.select("doc_id").distinct().collect()} == set(range(6))
+
+
+def test_configuration_of_any_size_gives_the_same_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"page {k} on loans and fees") for k in range(40)] + [(None, None)], "doc_id int, text string").repartition(3)
+    codes = spark.createDataFrame([(1, "LOANS", "L"), (2, "page 1", "P"), (3, None, "N"), (4, "", "E")], "ordinal int, phrase string, code string")
+    want = {(k, "L") for k in range(40)} | {(None, None)}
+    assert {tuple(r) for r in records.code_lookup(rows, codes).collect()} == want
+    assert "BroadcastNestedLoopJoin" in shared.beside(rows, codes)._jdf.queryExecution().toString()
+    assert shared.beside(rows, codes.where("false")).count() == 0
+    monkeypatch.setattr(shared.broadcast_if_small, "__defaults__", (0,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "CartesianProduct" in shared.beside(rows, codes)._jdf.queryExecution().toString()
+        assert {tuple(r) for r in records.code_lookup(rows, codes).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
