@@ -13,7 +13,8 @@ pass, which holds one batch, not a conversation.
 
 Defined cases: null text and role are empty strings; null turns come first. Rows with the same turn
 are ordered by role and text. Null conversation ids form one conversation. Extra columns are
-ignored. An empty table gives no rows.
+ignored. An empty table gives no rows. Texts of any length are rendered and parsed whole, each within
+one task; a conversation of any length streams through one task without being held.
 """
 
 from __future__ import annotations

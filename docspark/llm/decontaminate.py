@@ -17,7 +17,8 @@ Defined cases: null texts are empty. Items with fewer than ``min_tokens`` tokens
 shorter ones stand in texts by chance) match nothing; with 1 every item that has a token is sought. Items
 shorter than all masks are sought as a whole. Texts and items of any length are read whole; an empty table on
 either side gives no rows. Repeated rows each count; results are distinct
-by (doc_id, item_id). Null ids of items are kept in results; documents with a null id are reported
+by (doc_id, item_id); of diagonals or windows that cover an item alike, any serves, as only the share
+counts. Null ids of items are kept in results; documents with a null id are reported
 with it but, having no name, stay in ``decontaminate``. Extra columns are ignored or kept.
 """
 

@@ -12,7 +12,8 @@ luminance DC of each block; its feature string holds the dimensions and an 8x8 a
 
 Bounds: documents are coded in groups of about ``GROUP_MCUS`` MCUs and intervals decoded in lots of
 as many; a longer document is coded piece by piece. Defined cases: null text is empty, and an empty
-text has a payload of 192 spaces. Repeated rows have equal values. Extra columns are ignored.
+text has a payload of 192 spaces. Repeated rows have equal values. An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ are never inputs of a score.
 Defined cases: null text is the empty text; its statistics are all 0 and it has a score like any
 other. Labels with a null id or value are left out; an id with several labels takes the lowest.
 With labels of one class only, or none, the score is that share of 1s, or 0.5. Repeated rows score
-alike. Extra columns are ignored, or kept by ``quality_filter``.
+alike, and texts with equal statistics tie; a score of just 0.5 counts as good. An empty table gives no
+rows. Extra columns are ignored, or kept by ``quality_filter``.
 """
 
 from __future__ import annotations
