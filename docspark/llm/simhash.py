@@ -16,12 +16,19 @@ get a fingerprint and take part as a document without a number: they take the co
 smallest id they reach, and null if there is none. A repeated id is one document with several
 texts: each row keeps its own fingerprint, and links made by any of them hold for the id's row only
 through that fingerprint. Other columns of the input are ignored. An empty table gives no rows.
+
+The pipeline's stage links sets of five-word shingles of a Jaccard similarity of 0.8 or more by the same
+steps: SimHash fingerprints (of the distinct shingles, and wider), blocks of their bits, the Hamming
+distance within a bucket, then an exact check of the sets, and components (``jaccard_components``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +41,17 @@ MAX_BITS = 2
 N_BLOCKS = 5
 #: Ids that go are broadcast up to this number (8 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
-#: The pipeline's stage: five-word shingles, Jaccard similarity 0.8. A pair of exactly 0.8 shares a key
-#: of 40 bands of 6 minima with probability 1 - (1 - 0.8^6)^40 = 0.999995.
-STAGE_WORDS, STAGE_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
+#: The pipeline's stage: five-word shingles, Jaccard similarity 0.8.
+STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
+#: Its blocks are so wide that about BUCKET documents agree in one by chance, and so many that a pair of just that
+#: similarity agrees in none with a probability of MISS; the bits that may differ leave out such a pair with the same one.
+BUCKET, MISS = 4096, 2e-6
+#: Words of 64 bits by which the Hamming distance decides.
+DISTANCE_WORDS = 3
+#: Sets of up to so many shingles are dealt to more blocks: there a bit is tied more often, and one shingle turns it.
+FEW = 32
+#: In buckets of more than BUCKET fingerprints those within CLOSE bits of one looked at are not compared with each other.
+CLOSE = 16
 #: Buckets up to this size are compared pair by pair in numpy; larger ones by probing.
 PAIRWISE = 2048
 #: A side of a tile of exact comparisons holds so many sets, or bytes of them; hashes that more than FEW_PAIRS
@@ -147,15 +162,21 @@ def _bucket_edges(masks: list[int], max_bits: int):
             j.append(y + a)
         return node[np.concatenate(i)], node[np.concatenate(j)]
 
+    return _by_bucket(edges, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy()])
+
+
+def _by_bucket(edges: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], bucket: Callable[[pa.RecordBatch], list[np.ndarray]]):
+    """The edges (u, v) of whole buckets; ``bucket`` gives the columns that name a row's bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by bucket; the last bucket of a batch waits for the next batch."""
         wait: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            c, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            n = int(np.argmax((c == c[-1]) & (key == key[-1])))
-            if n == 0 and wait and (wait[0].column(0)[-1].as_py(), wait[0].column(1)[-1].as_py()) == (c[-1], key[-1]):
+            names = bucket(b)
+            n = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in names])))
+            if n == 0 and wait and [x[0] for x in bucket(wait[0])] == [x[-1] for x in names]:
                 wait.append(b)
                 continue
             done = pa.Table.from_batches([*wait, b.slice(0, n)])
@@ -266,42 +287,184 @@ def _node(sh: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(sh.tobytes(), 7))
 
 
-def _probes(bins: int) -> np.ndarray:
-    """For each bin the order in which other bins are tried where it is empty; itself first."""
-    rng = np.random.default_rng(5)
-    out = np.argsort(rng.random((bins, bins)), axis=1).astype(np.int32)
-    at = np.argmax(out == np.arange(bins)[:, None], axis=1)
-    out[np.arange(bins), at] = out[:, 0]
-    out[:, 0] = np.arange(bins)
+class Blocks(NamedTuple):
+    """Width of a block in bits; then for sets of over ``FEW`` shingles, and of fewer: the number of blocks, and the bits
+    that may differ of all that are sent and of their first 64."""
+
+    width: int
+    count: tuple[int, int]
+    bits: tuple[int, int]
+    first: tuple[int, int]
+
+    def words(self, few: bool) -> int:
+        return max(DISTANCE_WORDS, -(-self.count[few] * self.width // 64))
+
+
+@lru_cache
+def _flip(similarity: float, few: bool) -> float:
+    """The largest probability that a bit of the fingerprints of two sets of ``similarity`` or more differs; in sets of over
+    ``FEW`` shingles, or of ``few``. Bits of a hash are taken as independent: sums of binomials for small sets, the
+    angle between large ones."""
+
+    def above(n: int, c: int) -> np.ndarray:
+        """For each number of votes of ``c`` shared shingles the probability of a 1 with ``n`` more."""
+        p = np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+        return np.array([p[max(0, (c + n) // 2 + 1 - k) :].sum() for k in range(c + 1)])
+
+    worst = 0.0 if few else math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for c in range(1, FEW + 1 if few else 2 * FEW):
+        shared = np.array([math.comb(c, k) for k in range(c + 1)]) / 2.0**c
+        most = int(c / similarity + 1e-9) - c
+        ones = [above(n, c) for n in range(most + 1)]
+        for x in range(most + 1):
+            for y in range(x, most - x + 1):
+                if (c + y <= FEW) == few:
+                    worst = max(worst, float((shared * (ones[x] * (1 - ones[y]) + ones[y] * (1 - ones[x]))).sum()))
+    return worst
+
+
+def _blocks(n: int, similarity: float) -> Blocks:
+    """The blocks for ``n`` documents: twice as many documents make them one bit wider, and about a sixth more."""
+    width = max(3, math.ceil(math.log2(max(n, 1) / BUCKET)))
+
+    def most(bits: int, flip: float) -> int:
+        left = 0.0
+        for r in range(bits, -1, -1):
+            left += math.comb(bits, r) * flip**r * (1 - flip) ** (bits - r)
+            if left > MISS:
+                return r
+        return 0
+
+    flips = [_flip(similarity, few) for few in (False, True)]
+    count = tuple(math.ceil(math.log(MISS) / math.log1p(-((1 - x) ** width))) if x else 1 for x in flips)
+    return Blocks(width, count, tuple(most(64 * DISTANCE_WORDS, x) for x in flips), tuple(most(64, x) for x in flips))
+
+
+def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """SimHash fingerprints of ``64 * words`` bits, one row a set of distinct hashes (none empty).
+
+    A bit is 1 if it is set in over half the hashes. The first word takes the hashes as they are, each other
+    word mixes them anew; so a wider fingerprint begins with the narrower one.
+    """
+    out = np.zeros((len(sets), words), np.uint64)
+    if not len(sets):
+        return out
+    h, n = np.concatenate(sets), np.array([len(x) for x in sets])
+    ends, runs = np.cumsum(n), -(-n // 255)  # a lane of eight bits counts at most 255
+    first = np.cumsum(runs) - runs
+    cuts = np.repeat(ends - n, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    lanes, shifts = np.uint64(0x0101010101010101), np.arange(0, 64, 8, dtype=np.uint64)
+    for w in range(words):
+        z = h
+        if w:
+            z = (h ^ np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(30)
+        for j in range(8):
+            sums = np.add.reduceat((z >> np.uint64(j)) & lanes, cuts).view(np.uint8).reshape(-1, 8)
+            ones = 2 * np.add.reduceat(sums, first, axis=0, dtype=np.int64) > n[:, None]
+            out[:, w] |= np.bitwise_or.reduce(ones.astype(np.uint64) << (shifts + np.uint64(j)), axis=1)
     return out
 
 
-def _band_keys(sh: np.ndarray, bands: int, probes: np.ndarray) -> np.ndarray:
-    """One key a band of the sorted distinct hashes ``sh``: a hash of the minima of its bins.
+def _near_roots(fp: np.ndarray, size: np.ndarray, blocks: Blocks, similarity: float) -> np.ndarray:
+    """Smallest index of each fingerprint's group; rows are sorted by size. All pairs whose distance and sizes fit are in one group.
 
-    The range of hashes is cut into as many bins as there are minima in all bands; a bin's minimum is its
-    first hash, and an empty bin takes that of the first filled one in its order of probes. So each minimum
-    is that of the set under a permutation of its own, found in one look at the sorted hashes.
+    Where many fingerprints lie close to one (large groups of near copies), those within ``CLOSE`` bits of it are
+    joined to all that lie within their reach, by the triangle inequality, and not looked at again. The
+    others are compared pair by pair, each with those of its size up to the ratio that the similarity allows.
     """
-    bins = len(probes)
-    at = np.searchsorted(sh, np.arange(bins, dtype=np.uint64) * np.uint64((1 << 64) // bins))
-    ends = np.append(at[1:], len(sh))
-    filled = at < ends
-    source = np.arange(bins)
-    empty = np.flatnonzero(~filled)
-    for few in (3, 16, bins):
-        if len(empty):
-            hit = filled[probes[empty, :few]]
-            found = hit.any(axis=1)
-            rows = empty[found]
-            source[rows] = probes[rows, hit.argmax(axis=1)[found]]
-            empty = empty[~found]
-    low = sh[at[source]].reshape(bands, -1)
-    out = np.zeros(bands, np.uint64)
-    for k in range(low.shape[1]):
-        out = (out ^ (low[:, k] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+    m, rest = len(fp), np.arange(len(fp))
+    left, right = [], []
+    if m > BUCKET:
+        rng, failed = np.random.default_rng(m), 0
+        while failed < 16 and len(rest) > BUCKET:
+            at = rest[rng.integers(len(rest))]
+            far = np.bitwise_count(fp[rest] ^ fp[at]).sum(axis=1, dtype=np.int64)
+            close = far <= CLOSE
+            if 32 * close.sum() < len(rest):
+                failed += 1
+                continue
+            failed, near = 0, rest[far <= max(blocks.bits) + int(far[close].max())]
+            left.append(np.full(len(near), at))
+            right.append(near)
+            rest = rest[~close]
+    own, sizes = fp[rest], size[rest]
+    head = np.ascontiguousarray(own[:, 0])
+    ends = np.searchsorted(sizes, np.floor(sizes / similarity + 1e-9), side="right")
+    for lo in range(0, len(rest), 128):
+        hi = min(lo + 128, len(rest))
+        few = bool(sizes[lo] <= FEW)
+        for at in range(lo, int(ends[hi - 1]), 4096):
+            to = min(at + 4096, int(ends[hi - 1]))
+            i, j = np.nonzero(np.bitwise_count(head[lo:hi, None] ^ head[None, at:to]) <= blocks.first[few])
+            i, j = i + lo, j + at
+            i, j = i[i < j], j[i < j]
+            fit = np.bitwise_count(own[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= blocks.bits[few]
+            left.append(rest[i[fit]])
+            right.append(rest[j[fit]])
+            if sum(map(len, left)) > 1 << 20:
+                root = _forest(m, np.concatenate(left), np.concatenate(right))
+                left, right = [root], [np.arange(m)]
+    none = np.empty(0, np.int64)
+    return _forest(m, np.concatenate([none, *left]), np.concatenate([none, *right]))
+
+
+def _centre(fp: np.ndarray) -> int:
+    """The fingerprint next to the most frequent bits (of some thousand, where there are more)."""
+    if len(fp) < 3:
+        return 0
+    some = np.ascontiguousarray(fp[:: -(-len(fp) // 4096)])
+    common = np.packbits(2 * np.unpackbits(some.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) > len(some)).view(np.uint64)
+    return int(np.bitwise_count(fp ^ common).sum(axis=1, dtype=np.int64).argmin())
+
+
+def _near_groups(blocks: Blocks, similarity: float):
+    """Of rows (at, node, words of the fingerprint) sorted by ``at``, the bucket and the size: an edge from the
+    centre of each group of ``_near_roots`` in a bucket to each other member."""
+
+    def edges(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        at, node, *words = (c.to_numpy() for c in table.columns)
+        bucket, size, fp = at >> 32, at & 0xFFFFFFFF, np.stack([w.view(np.uint64) for w in words], axis=1)
+        cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, z in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]), strict=True):
+            if z - a < 2:
+                continue
+            root = _near_roots(fp[a:z], size[a:z], blocks, similarity)
+            order = np.argsort(root, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(root[order]) != 0]))
+            for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
+                if hi - lo > 1:
+                    group = order[lo:hi] + a
+                    centre = _centre(fp[group])
+                    u.append(np.full(hi - lo - 1, node[group[centre]]))
+                    v.append(node[np.delete(group, centre)])
+        return np.concatenate(u), np.concatenate(v)
+
+    return _by_bucket(edges, lambda b: [b.column(0).to_numpy() >> 32])
+
+
+def _dealt(classes: DataFrame, blocks: Blocks) -> DataFrame:
+    """(at, node, words of the fingerprint): a row for each block of each class (node, size, fp)."""
+    names = [f"w{k}" for k in range(DISTANCE_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, 1024):
+            node, size, fp = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            for few in (False, True):
+                rows = np.flatnonzero((size <= FEW) == few)
+                if not len(rows):
+                    continue
+                n = blocks.count[few]
+                words = np.frombuffer(b"".join(fp[k] for k in rows), np.uint64).reshape(len(rows), -1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1)[:, : n * blocks.width]
+                values = bits.reshape(len(rows), n, blocks.width) @ (1 << np.arange(blocks.width))
+                at = (((np.arange(n) << blocks.width) | values) << 32) | size[rows, None]
+                sent = [pa.array(np.repeat(words[:, k].view(np.int64), n)) for k in range(DISTANCE_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.repeat(node[rows], n)), *sent], names=["at", "node", *names])
+
+    return classes.mapInArrow(run, "at long, node long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -355,16 +518,17 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
 
 
 def _rest_links(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that join the components left apart: of ``placed`` (band, key, node, root), buckets of several.
+    """Links (u, v) that join the components left apart: of ``placed`` (key, node, root), groups of several.
 
-    Such buckets that share nodes form a region. Its largest component is its core, all other nodes are its
+    Such groups that share nodes form a region. Its largest component is its core, all other nodes are its
     rest. The rest is compared with itself and with the core, exactly, in tiles of at most ``TILE_ROWS`` sets
     or ``TILE_BYTES`` a side (one set at least): a node is sent once a tile, so a pair costs no row and a tile
     gives a spanning forest of its links, however many they are. The core is never compared with itself.
     """
-    edges = placed.join(placed.groupBy("band", "key").agg(F.min("node").alias("low")), ["band", "key"]).select(F.col("low").alias("u"), F.col("node").alias("v"))
+    edges = placed.join(placed.groupBy("key").agg(F.min("node").alias("low")), "key").select(F.col("low").alias("u"), F.col("node").alias("v"))
     region = connected_components(edges.distinct()).select("node", F.col("root").alias("region"))
-    nodes = placed.select("node", "root").distinct().join(region, "node").join(sets.select("node", F.octet_length("sh").cast("long").alias("size")), "node")
+    # The smallest node of a region has no row of its own among the components.
+    nodes = placed.select("node", "root").distinct().join(region, "node", "left").withColumn("region", F.coalesce("region", "node")).join(sets.select("node", F.octet_length("sh").cast("long").alias("size")), "node")
     nodes = materialize(nodes)
     parts = nodes.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     regions = parts.groupBy("region").agg(F.max(F.struct("n", "size", "root")).alias("core"), F.sum("n").alias("n"), F.sum("size").alias("size"))
@@ -395,21 +559,25 @@ def _rest_links(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return dealt.groupBy("region", "with_core", "a", "b").applyInArrow(links, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: id, component (smallest id reached by links of ``similarity`` or more).
 
-    Equal shingle sets are one class. Classes that share a key are candidates. First each is compared with
-    the smallest of its bucket, which joins most of a large group by as many pairs as it has members. Classes
-    whose buckets still hold several components are then compared exactly, in tiles (``_rest_links``). No
-    bucket is cut.
+    Equal shingle sets are one class. The SimHash fingerprint of each class is cut into blocks, and it is dealt
+    to the bucket of each. Within a bucket the Hamming distance decides who are candidates: they form groups.
+    First each member is compared with the centre of its group, which joins most of a large group by as many
+    pairs as it has members. Classes whose groups still hold several components are then compared exactly, in
+    tiles (``_rest_links``). No bucket is cut.
     """
-    probes = _probes(bands * rows)
+    blocks = _blocks(docs.count(), similarity)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             sets = [shingles(t or b"", n_words) for t in b.column(1).to_pylist()]
-            keys = [_band_keys(s, bands, probes) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            size, fp = np.array([len(s) for s in sets], np.int64), [b""] * len(sets)
+            for few, rows in ((False, np.flatnonzero(size > FEW)), (True, np.flatnonzero((size > 0) & (size <= FEW)))):
+                for k, x in zip(rows, wide_fingerprints([sets[k] for k in rows], blocks.words(few)), strict=True):
+                    fp[k] = x.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(size), pa.array(fp, pa.binary())], names=["id", "node", "size", "fp"])
 
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
@@ -417,10 +585,11 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sh"])
 
     text = F.col(text_col).cast("binary").alias("text")
-    found = materialize(docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(keyed, "id long, node long, keys array<long>"))
-    dealt = found.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("band", "key"))
-    low = dealt.groupBy("band", "key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "key", "low")
-    shared = materialize(dealt.join(low, ["band", "key"]))
+    found = materialize(docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(keyed, "id long, node long, size long, fp binary"))
+    classes = found.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"))
+    dealt = _dealt(classes, blocks).repartition(F.shiftright("at", 32)).sortWithinPartitions("at")
+    groups = materialize(dealt.mapInArrow(_near_groups(blocks, similarity), "u long, v long").distinct())
+    shared = groups.select(F.col("u").alias("key"), F.col("v").alias("node")).unionByName(groups.select(F.col("u").alias("key"), F.col("u").alias("node")).distinct())
     nodes = shared.select("node").distinct()
     # The texts of one row of each class in question are read again; a class may have rows without an id only.
     wanted = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("wanted"))
@@ -429,11 +598,11 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int
     again = own.where("id is not null").join(wanted, F.col("id") == F.col("wanted"), "left_semi").unionByName(own.where("id is null")).select("text")
     sets = again.mapInArrow(with_set, "node long, sh binary").join(nodes, "node", "left_semi")
     sets = materialize(sets.groupBy("node").agg(F.first("sh").alias("sh")))
-    links = materialize(_verified(shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), sets, similarity))
+    links = materialize(_verified(groups, sets, similarity))
     roots = connected_components(links)
-    placed = shared.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band", "key")
-    apart = materialize(placed.join(mixed, ["band", "key"]))
+    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
+    apart = materialize(placed.join(mixed, "key"))
     if not apart.isEmpty():
         roots = connected_components(links.unionByName(_rest_links(apart, sets, similarity)))
     classes = found.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
