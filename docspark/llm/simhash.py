@@ -202,23 +202,23 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS, n_blocks: int = N_B
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the edges (u, v); root is the smallest node of its component.
 
-    Each round replaces the edges by a large-star and a small-star step and is checkpointed, until
-    a round changes nothing: then every edge points from a node to its root.
+    Each round replaces the edges by a large-star and a small-star step and is checkpointed, until every edge points
+    from a node to its root: no node with an edge of its own has a second one, or is pointed to. This is asked of
+    the edges themselves, so no round is spent on it; the driver plans each round anew, so rounds are kept few and short.
     """
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    summary = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = summary(e)
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.distinct())
-        after = summary(e)
-        if after == before:
+    turned = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    for k in range(max_rounds + 1):
+        ends = e.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("own")), F.struct(F.col("v").alias("node"), F.lit(0).alias("own")))))
+        if not ends.groupBy("node").agg(F.sum("own").alias("own"), F.count("*").alias("n")).where("own > 0 and n > 1").count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
+        if k == max_rounds:
+            break
+        low = e.select(F.inline(F.array(F.struct("u", "v"), turned))).groupBy("u").agg(F.min("v").alias("m"))
+        large = e.join(low.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        e = materialize(small.where("u <> v").distinct())
     raise RuntimeError(f"components not stable after {max_rounds} rounds")
 
 
@@ -604,7 +604,9 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, n_words: int
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
     apart = materialize(placed.join(mixed, "key"))
     if not apart.isEmpty():
-        roots = connected_components(links.unionByName(_rest_links(apart, sets, similarity)))
+        # The roots found stand for the links they were found from.
+        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = connected_components(known.unionByName(_rest_links(apart, sets, similarity)))
     classes = found.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component"))
     return found.select("id", "node").join(classes.select("node", "root").join(least, "root"), "node").select("id", "component")

@@ -82,3 +82,31 @@ def test_smallest_of_a_region_is_compared(spark):
     sets = spark.createDataFrame([(k, bytearray(np.array(x, np.uint64).tobytes())) for k, x in sets.items()], "node long, sh binary")
     placed = spark.createDataFrame([(3, k, k) for k in (1, 2, 3)], "key long, node long, root long")
     assert [sorted((r.u, r.v)) for r in simhash._rest_links(placed, sets, 0.8).collect()] == [[1, 2]]
+
+
+def test_components_take_few_and_short_rounds(spark, monkeypatch):
+    """The driver plans each round: none for edges that point to their roots already, and few exchanges in each."""
+    plans = []
+
+    def noted(df):
+        df = df.cache()
+        df.count()
+        plans.append(df._jdf.queryExecution().analyzed().toString().count("LogicalRDD"))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    rng = random.Random(4)
+    star = [(0, k) for k in range(1, 40)] + [(100, 101), (7, 7)]
+    path = [(k, k + 1) for k in range(200, 260)]
+    some = [(rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(90)]
+    for pairs, rounds in ((star, 0), (star + path + some, 8), ([], 0)):
+        plans.clear()
+        got = {r.node: r.root for r in simhash.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+        root = {x: x for p in pairs for x in p if p[0] != p[1]}
+        while any(root[u] != root[v] for u, v in pairs if u != v):
+            for u, v in pairs:
+                if u != v:
+                    root[u] = root[v] = min(root[u], root[v])
+        assert got == {x: r for x, r in root.items() if x != r}
+        assert len(plans) <= 1 + rounds
+        assert all(n <= 5 for n in plans[1:])
