@@ -215,7 +215,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if k == max_rounds:
             break
         low = e.select(F.inline(F.array(F.struct("u", "v"), turned))).groupBy("u").agg(F.min("v").alias("m"))
-        large = e.join(low.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+        large = e.join(low.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         e = materialize(small.where("u <> v").distinct())
