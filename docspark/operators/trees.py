@@ -10,9 +10,12 @@ from docspark.operators.shared import beside
 
 
 def heading_entries(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_number, line, structure, title) of lines that begin with a number like 1.2."""
+    """(doc_id, page_number, line, structure, title) of lines that begin with a number like 1.2.
+
+    Only a line feed ends a line, and white space is that of SQL's patterns: other separators belong to the title.
+    """
     rows = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    pattern = r"^\s*(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
+    pattern = r"(?s)^[\t\n\f\r ]*(\d+(?:\.\d+)*)\.?[\t\n\f\r ]+([^\t\n\f\r ].*)$"
     return rows.where(F.col("l").rlike(pattern)).select("doc_id", "page_number", "line", F.regexp_extract("l", pattern, 1).alias("structure"), F.regexp_extract("l", pattern, 2).alias("title"))
 
 

@@ -37,3 +37,11 @@ def same(spark, duck, tables, name):
 @pytest.mark.parametrize("name", ["page_quality"])
 def test_pages_without_text(spark, duck, tables, name):
     same(spark, duck, tables, name)
+
+
+def test_heading_entries_of_lines_with_numbers_and_separators(spark, tmp_path):
+    texts = ["a\n4919538112535716 b\n28.6.1.2 c\n70.32.29.134 d", "\x0b x\ny\n\x0b\nz", "a\rb\nc\ne\r\nf", "p\u2028q\nr\n\u0085", " \r\n1 x\n\t", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(spark, con, str(tmp_path), "heading_entries")
