@@ -132,9 +132,11 @@ def cache_summaries(spark, sf):
 # OCR rows: line items as cells, answers and signatures.
 
 
-def _lines(spark, sf):
+def _lines(spark, sf, together=False):
+    """``together``: dealt by document before they are made distinct, so that what is grouped by document and more stays where it is."""
     conf = F.least(F.lit(100.0), 60 + 40 * F.col("l_discount") * 10)
-    return _t(spark, sf, "lineitem").distinct().select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("int").alias("qty"), "l_extendedprice", F.round(conf, 4).alias("confidence"), "l_discount")
+    rows = _t(spark, sf, "lineitem")
+    return (rows.repartition("l_orderkey") if together else rows).distinct().select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("int").alias("qty"), "l_extendedprice", F.round(conf, 4).alias("confidence"), "l_discount")
 
 
 LINES = "li AS (SELECT DISTINCT * FROM lineitem), ln AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, l_quantity::INT AS qty, l_extendedprice, round(least(100.0::DOUBLE, 60 + 40 * l_discount * 10), 4) AS confidence, l_discount FROM li)"
@@ -152,7 +154,7 @@ def lines_to_text(spark, sf):
 
 def _blocks(spark, sf):
     """Line items as OCR blocks: a key and a value block each with a word, and a signature for some."""
-    li = _lines(spark, sf)
+    li = _lines(spark, sf, together=True)
     part = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     rid = F.concat_ws("-", part("n", 2), part("part", 7), part("supp", 6), F.lpad(F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), 11, "0"))
     rel = lambda kind, prefix: F.struct(F.lit(kind).alias("type"), F.array(F.concat(F.lit(prefix), rid)).alias("ids"))

@@ -33,9 +33,13 @@ def scan_blocks(spark: SparkSession, folder: str, folders: str = "", id_type: st
     )
 
 
-def write_blocks(blocks: DataFrame, folder: str, folders: list[str]) -> None:
-    """The inverse: one line a document, in the folders of ``folders``. A document's blocks are one line, as exports have them."""
+def write_blocks(blocks: DataFrame, folder: str, folders: list[str], compression: str = "gzip") -> None:
+    """The inverse: one line a document, in the folders of ``folders``. A document's blocks are one line, as exports have them.
+
+    Names and ids repeat in every block, so the files are compressed, and read back as they are; blocks that are dealt by
+    ``doc_id`` already are not dealt again.
+    """
     related = F.transform("relationships", lambda r: F.struct(r.type.alias("Type"), r.ids.alias("Ids")))
     b = F.struct(F.col("page").alias("Page"), *(F.col(ours).alias(theirs) for ours, theirs in NAMES.items() if ours in blocks.columns), F.col("entity_types").alias("EntityTypes"), related.alias("Relationships"))
-    rows = blocks.groupBy(F.col("doc_id").cast("string").alias("DocumentId"), *folders).agg(F.collect_list(b).alias("Blocks"))
-    rows.write.partitionBy(*folders).json(folder)
+    rows = blocks.groupBy("doc_id", *folders).agg(F.collect_list(b).alias("Blocks")).select(F.col("doc_id").cast("string").alias("DocumentId"), "Blocks", *folders)
+    rows.write.partitionBy(*folders).option("compression", compression).json(folder)
