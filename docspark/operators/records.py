@@ -28,16 +28,46 @@ def cells_to_rows(cells: DataFrame) -> DataFrame:
     return grid.join(first, ["table_id", "row_index", "col_index"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def key_values(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, key, value, confidence): key and value blocks joined through their edges and words; the last of a key counts."""
-    words = edges.where("type = 'CHILD'").join(blocks.select("doc_id", F.col("id").alias("child"), "text"), ["doc_id", "child"])
-    texts = words.groupBy("doc_id", "parent").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x.text), " ").alias("t"))
-    keys = blocks.where("array_contains(entity_types, 'KEY')").select("doc_id", F.col("id").alias("parent"), F.col("confidence").alias("kc"))
-    values = blocks.select("doc_id", F.col("id").alias("child"), F.col("confidence").alias("vc"))
-    pairs = keys.join(edges.where("type = 'VALUE'").select("doc_id", "parent", "child"), ["doc_id", "parent"], "left").join(values, ["doc_id", "child"], "left")
-    named = pairs.join(texts.withColumnRenamed("t", "key"), ["doc_id", "parent"]).join(texts.select("doc_id", F.col("parent").alias("child"), F.col("t").alias("value")), ["doc_id", "child"], "left")
-    confidence = F.when(F.coalesce("vc", F.lit(0.0)) == 0, F.col("kc")).otherwise(F.least("kc", "vc"))
-    rows = named.where("trim(key) <> ''").select("doc_id", "key", "parent", F.coalesce("value", F.lit("")).alias("value"), confidence.alias("confidence"))
+#: The type of a block's edges in ``key_values``.
+LINKS = "array<struct<type:string,position:int,child:string>>"
+
+
+def _with_links(blocks: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """``blocks`` with ``links``: the edges that are given, else those of the blocks' own relationships."""
+    if edges is not None:
+        given = edges.groupBy("doc_id", F.col("parent").alias("id")).agg(F.collect_list(F.struct("type", "position", "child")).alias("links"))
+        return blocks.drop("links").join(given, ["doc_id", "id"], "left").withColumn("links", F.coalesce("links", F.array().cast(LINKS)))
+    own = F.flatten(F.transform("relationships", lambda r: F.transform(r.ids, lambda c, i: F.struct(r.type.alias("type"), i.alias("position"), c.alias("child")))))
+    return blocks.withColumn("links", F.coalesce(own, F.array().cast(LINKS)))
+
+
+def key_values(blocks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, value, confidence): key and value blocks joined through their edges and words; the last of a key counts.
+
+    Without ``edges``, those of the blocks' own relationships count. Ids are unique within a document. What a block says of
+    itself and what others ask of it are rows of one table that meet in windows of (doc_id, id), first for values, then for
+    words. So blocks that are dealt by document stay where they are, and nothing is shuffled again.
+    """
+    here = Window.partitionBy("doc_id", "id")
+    words = F.transform(F.filter("links", lambda x: x.type == "CHILD"), lambda x: F.struct(x.position.alias("position"), x.child.alias("child")))
+    values = F.transform(F.filter("links", lambda x: x.type == "VALUE"), lambda x: x.child)
+    # A key without a value asks for none.
+    values = F.when(F.array_contains("entity_types", "KEY"), F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(None).cast("string"))))
+    own = F.struct("id", F.when(F.col("id").isNotNull(), F.struct("text", "confidence", words.alias("words"))).alias("own"), F.lit(None).alias("key"))
+    asked = F.transform(values, lambda v: F.struct(v.alias("id"), F.lit(None).alias("own"), F.struct(F.col("id").alias("parent"), F.col("confidence").alias("kc"), words.alias("words")).alias("key")))
+    rows = _with_links(blocks, edges).select("doc_id", F.explode(F.concat(F.array(own), F.coalesce(asked, F.array()))).alias("r")).select("doc_id", "r.*").withColumn("own", F.max("own").over(here))
+
+    pair = F.struct(F.col("key.parent").alias("parent"), F.col("id").alias("child"), F.col("key.kc").alias("kc"), F.col("own.confidence").alias("vc"))
+    ask = lambda words, of_key: F.transform(words, lambda w: F.struct(w.child.alias("id"), F.lit(None).alias("text"), F.struct(pair.alias("pair"), F.lit(of_key).alias("of_key"), w.position.alias("position")).alias("word")))
+    told = F.when(F.col("own.text").isNotNull(), F.array(F.struct("id", F.col("own.text").alias("text"), F.lit(None).alias("word"))))
+    wanted = F.concat(ask(F.col("key.words"), True), F.coalesce(ask(F.col("own.words"), False), F.array()))
+    rows = rows.select("doc_id", F.explode(F.when(F.col("key").isNull(), told).otherwise(wanted)).alias("r")).select("doc_id", "r.*")
+    found = rows.withColumn("text", F.max("text").over(here)).where("word is not null and text is not null")
+
+    joined = lambda of_key: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("word.of_key") == of_key, F.struct("word.position", "text")))), lambda x: x.text), " ")
+    pairs = found.groupBy("doc_id", "word.pair").agg(joined(True).alias("key"), joined(False).alias("value")).where("trim(key) <> ''")
+    confidence = F.when(F.coalesce("pair.vc", F.lit(0.0)) == 0, F.col("pair.kc")).otherwise(F.least("pair.kc", "pair.vc"))
+    rows = pairs.select("doc_id", "key", "pair.parent", "value", confidence.alias("confidence"))
     return rows.groupBy("doc_id", "key").agg(F.max_by(F.struct("value", "confidence"), "parent").alias("v")).select("doc_id", "key", "v.value", "v.confidence")
 
 

@@ -132,10 +132,10 @@ def cache_summaries(spark, sf):
 # OCR rows: line items as cells, answers and signatures.
 
 
-def _lines(spark, sf, together=False):
+def _lines(spark, sf, together=False, columns=("*",)):
     """``together``: dealt by document before they are made distinct, so that what is grouped by document and more stays where it is."""
     conf = F.least(F.lit(100.0), 60 + 40 * F.col("l_discount") * 10)
-    rows = _t(spark, sf, "lineitem")
+    rows = _t(spark, sf, "lineitem").select(*columns)
     return (rows.repartition("l_orderkey") if together else rows).distinct().select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("int").alias("qty"), "l_extendedprice", F.round(conf, 4).alias("confidence"), "l_discount")
 
 
@@ -152,9 +152,9 @@ def lines_to_text(spark, sf):
     return R.lines_to_text(c).select("doc_id", F.md5("text").alias("text_md5"), "line_count", "word_count", F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
-def _blocks(spark, sf):
+def _blocks(spark, sf, columns=("*",)):
     """Line items as OCR blocks: a key and a value block each with a word, and a signature for some."""
-    li = _lines(spark, sf, together=True)
+    li = _lines(spark, sf, True, columns)
     part = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     rid = F.concat_ws("-", part("n", 2), part("part", 7), part("supp", 6), F.lpad(F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), 11, "0"))
     rel = lambda kind, prefix: F.struct(F.lit(kind).alias("type"), F.array(F.concat(F.lit(prefix), rid)).alias("ids"))
@@ -179,8 +179,8 @@ def block_edges(spark, sf):
 
 
 def key_values(spark, sf):
-    blocks = _blocks(spark, sf)
-    return R.key_values(blocks, R.block_edges(blocks))
+    # Lines that differ in other columns only give the same keys and values.
+    return R.key_values(_blocks(spark, sf, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")))
 
 
 def signatures(spark, sf):
