@@ -45,3 +45,26 @@ def test_heading_entries_of_lines_with_numbers_and_separators(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     same(spark, con, str(tmp_path), "heading_entries")
+
+
+def test_sets_of_shingles_stay_where_they_are(spark):
+    from docspark.operators import dedup
+
+    texts = ["", " ", "one two", "a b c d e", "a b c d e a b c d e f", "É, é: Straße 12", "x " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = df.select("doc_id", dedup.shingle_set(dedup.F.col("text")).alias("s"))
+    assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+    want = {r.doc_id: sorted(r.s) for r in dedup.shingles(df).groupBy("doc_id").agg(dedup.F.collect_set("g").alias("s")).collect()}
+    assert {r.doc_id: list(r.s) for r in sets.collect()} == want
+
+
+def test_only_prefixes_of_classes_are_shuffled(spark):
+    from docspark.operators import dedup
+
+    # A hundred shingles each, of which all share the last twenty: prefixes hold 21, and none of the common ones.
+    rows = [(c, (100, -c), sorted([*range(1000 * c, 1000 * c + 80), *range(-20, 0)])) for c in range(1, 101)]
+    classes = spark.createDataFrame(rows, "cls long, best struct<n:int,id:int>, s array<long>").repartition(4)
+    assert dedup._common(classes).first()[0] == sorted(range(-20, 0))
+    assert dedup.rare_prefixes(classes, 0.8).count() == 0
+    near = spark.createDataFrame([(1, (100, -1), list(range(100))), (2, (99, -2), list(range(99)))], classes.schema)
+    assert {(r.cls, r.g, r["rank"]) for r in dedup.rare_prefixes(near, 0.8).collect()} == {(c, g, g + 1) for c in (1, 2) for g in range(20)}
