@@ -34,7 +34,7 @@ def same(spark, duck, tables, name):
     assert got and got == plain(duck.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["page_quality", "extraction_plan", "plan_coverage", "page_selection", "route_low_quality", "cover_uncovered", "dedup_across_sections", "expand_neighbours", "reclassify_if_empty", "billable_pages", "hybrid_merge", "pick_best_parse", "rule_bonus", "keyword_matches", "section_scores", "top_pages", "legacy_bonus_profiles"])
+@pytest.mark.parametrize("name", ["page_quality", "extraction_plan", "plan_coverage", "page_selection", "route_low_quality", "cover_uncovered", "dedup_across_sections", "expand_neighbours", "reclassify_if_empty", "billable_pages", "hybrid_merge", "pick_best_parse", "rule_bonus", "keyword_matches", "section_scores", "top_pages", "legacy_bonus_profiles", "legacy_defaults"])
 def test_pages_without_text(spark, duck, tables, name):
     same(spark, duck, tables, name)
 
